@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import analysis as A
+from ..operators import profile as P
 from ..session import apply_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,18 +30,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double column (the oracle SQL rounds the same way)."""
-    return df.select(*[F.round(F.col(f.name), places).alias(f.name)
+SIG_DIGITS = 10
+
+
+def _sig(c):
+    """``c`` rounded to SIG_DIGITS significant digits (same formula as
+    :func:`_sig_sql`, so both engines round the same value the same way)."""
+    e = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))))
+    keep = c.isNull() | (c == 0) | F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+    return F.when(keep, c).otherwise(F.round(c / e, SIG_DIGITS - 1) * e)
+
+
+def _sig_sql(c: str) -> str:
+    e = f"power(10.0, floor(log10(abs({c}))))"
+    return (f"CASE WHEN {c} IS NULL OR {c} = 0 OR isnan({c}) OR isinf({c}) THEN {c} "
+            f"ELSE round({c} / {e}, {SIG_DIGITS - 1}) * {e} END")
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Round every double column to SIG_DIGITS significant digits, so that
+    summation order cannot change compared values (the oracle does the same)."""
+    return df.select(*[_sig(F.col(f.name)).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, dbl: tuple[str, ...] | list[str] = ()):
+    """Register a query; ``dbl`` names the double columns of the oracle SQL,
+    which are rounded like :func:`rounded` does on the Spark side."""
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql.strip()
+            q = sql.strip()
+            if dbl:
+                rep = ", ".join(f"{_sig_sql(c)} AS {c}" for c in dbl)
+                q = f"SELECT * REPLACE ({rep}) FROM (\n{q}\n) AS oracle_q"
+            ORACLE[name] = q
         return fn
     return deco
 
@@ -86,11 +111,11 @@ def _describe_sql(tab: str, cols: list[str]) -> str:
         for stat, e in zip(A.DESCRIBE_STATS, [f"n{i}", f"a{i}", f"s{i}", f"lo{i}", f"q{i}[1]",
                                               f"q{i}[2]", f"q{i}[3]", f"hi{i}"]):
             parts.append(f"SELECT '{c}' AS column_name, '{stat}' AS stat, "
-                         f"round({e}::DOUBLE, 6) AS value FROM a")
+                         f"{e}::DOUBLE AS value FROM a")
     return f"WITH a AS (SELECT {', '.join(aggs)} FROM {tab})\n" + _union(parts)
 
 
-@register("describe_numeric", _describe_sql("lineitem", LINEITEM_NUMERIC))
+@register("describe_numeric", _describe_sql("lineitem", LINEITEM_NUMERIC), ["value"])
 def q_describe_numeric(spark, sf_dir):
     return rounded(A.describe_numeric(table(spark, sf_dir, "lineitem")))
 
@@ -131,21 +156,21 @@ def _corr_sql(tab: str, cols: list[str]) -> str:
         for j, b in enumerate(cols):
             e = (f"CASE WHEN d{i} > 0 THEN 1.0 END" if i == j
                  else f"r{min(i, j)}_{max(i, j)}")
-            parts.append(f"SELECT '{a}' AS x, '{b}' AS y, round(({e})::DOUBLE, 6) AS r FROM a")
+            parts.append(f"SELECT '{a}' AS x, '{b}' AS y, ({e})::DOUBLE AS r FROM a")
     return f"WITH a AS (SELECT {', '.join(aggs)} FROM {tab})\n" + _union(parts)
 
 
-@register("correlation_matrix", _corr_sql("lineitem", LINEITEM_NUMERIC))
+@register("correlation_matrix", _corr_sql("lineitem", LINEITEM_NUMERIC), ["r"])
 def q_correlation_matrix(spark, sf_dir):
     return rounded(A.correlation_matrix(table(spark, sf_dir, "lineitem")))
 
 
 _GROUP_SQL = {
-    "mean": "round(avg(l_extendedprice), 6)",
-    "sum": "round(coalesce(sum(l_extendedprice), 0), 2)",
+    "mean": "avg(l_extendedprice)",
+    "sum": "coalesce(sum(l_extendedprice), 0)",
     "min": "min(l_extendedprice)",
     "max": "max(l_extendedprice)",
-    "median": "round(median(l_extendedprice), 6)",
+    "median": "median(l_extendedprice)",
     "count": "count(l_extendedprice)",
 }
 
@@ -154,10 +179,10 @@ def _make_group(agg: str):
     sql = (f"SELECT l_returnflag, {_GROUP_SQL[agg]} AS \"{agg}\" FROM lineitem "
            f"WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag")
 
-    @register(f"groupby_{agg}", sql)
+    @register(f"groupby_{agg}", sql, [] if agg == "count" else [f'"{agg}"'])
     def q(spark, sf_dir):
         out = A.groupby_agg(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", agg)
-        return rounded(out, 2 if agg == "sum" else 6)
+        return rounded(out)
     return q
 
 
@@ -165,6 +190,10 @@ for _agg in A.GROUP_AGGS:
     _make_group(_agg)
 
 
+ANOMALY_DBL = ["threshold", "percentage", "min_anomaly", "max_anomaly", "mean_anomaly",
+               "std_anomaly"]
+
+
 def _anomaly_sql(tab: str, col: str, thr: float) -> str:
     return f"""
 WITH s AS (SELECT avg({col}) mu, stddev_samp({col}) sd, count(*) n_all FROM {tab}),
@@ -173,18 +202,18 @@ h AS (SELECT t.{col} AS x FROM {tab} t, s
 SELECT '{col}' AS column_name, {thr}::DOUBLE AS threshold,
   CASE WHEN s.sd > 0 THEN (SELECT count(*) FROM h) END AS count,
   CASE WHEN s.sd > 0 THEN round_even((SELECT count(*) FROM h) * 100.0 / s.n_all, 2) END AS percentage,
-  round((SELECT min(x) FROM h), 6) AS min_anomaly, round((SELECT max(x) FROM h), 6) AS max_anomaly,
-  round((SELECT avg(x) FROM h), 6) AS mean_anomaly, round((SELECT stddev_samp(x) FROM h), 6) AS std_anomaly,
+  (SELECT min(x) FROM h) AS min_anomaly, (SELECT max(x) FROM h) AS max_anomaly,
+  (SELECT avg(x) FROM h) AS mean_anomaly, (SELECT stddev_samp(x) FROM h) AS std_anomaly,
   CASE WHEN s.sd IS NULL OR s.sd = 0 THEN 'Insufficient variance for anomaly detection' END AS message
 FROM s"""
 
 
-@register("anomaly_detection", _anomaly_sql("lineitem", "l_extendedprice", 1.5))
+@register("anomaly_detection", _anomaly_sql("lineitem", "l_extendedprice", 1.5), ANOMALY_DBL)
 def q_anomaly_detection(spark, sf_dir):
     return rounded(A.anomaly_detection(table(spark, sf_dir, "lineitem"), "l_extendedprice", 1.5))
 
 
-@register("anomaly_detection_events", _anomaly_sql("events", "value", 3.0))
+@register("anomaly_detection_events", _anomaly_sql("events", "value", 3.0), ANOMALY_DBL)
 def q_anomaly_detection_events(spark, sf_dir):
     return rounded(A.anomaly_detection(table(spark, sf_dir, "events"), "value", 3.0))
 
@@ -200,11 +229,11 @@ _TREND_NAMES = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "yea
 
 
 def _make_trend(freq: str):
-    sql = (f"SELECT {_TREND_LABEL_SQL[freq]} AS period, round(avg(v), 6) AS mean FROM "
+    sql = (f"SELECT {_TREND_LABEL_SQL[freq]} AS period, avg(v) AS mean FROM "
            f"(SELECT l_shipdate AS d, l_extendedprice AS v FROM lineitem "
            f"WHERE l_shipdate IS NOT NULL AND l_extendedprice IS NOT NULL) GROUP BY 1")
 
-    @register(f"trend_{_TREND_NAMES[freq]}", sql)
+    @register(f"trend_{_TREND_NAMES[freq]}", sql, ["mean"])
     def q(spark, sf_dir):
         return rounded(A.time_series_trend(table(spark, sf_dir, "lineitem"), "l_shipdate",
                                            "l_extendedprice", freq))
@@ -213,4 +242,120 @@ def _make_trend(freq: str):
 
 for _f in ("D", "W", "M", "Q", "Y"):
     _make_trend(_f)
-FLAGSHIP = "groupby_mean"
+
+
+# --------------------------------------------------------------------------
+# P1-P9 profile
+# --------------------------------------------------------------------------
+
+LINEITEM_SCHEMA = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
+                   ("l_linenumber", "int"), ("l_quantity", "double"),
+                   ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+                   ("l_returnflag", "string"), ("l_linestatus", "string"),
+                   ("l_shipdate", "timestamp_ntz")]
+_NUMERIC_TYPES = {"bigint", "int", "double", "float", "smallint", "tinyint", "boolean"}
+_ISO_OK = "CASE WHEN try_cast({c} AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END"
+PROFILE_DBL = ["mean", "median", "variance", "min", "max", "datetime_ratio"]
+
+
+def _profile_row_sql(tab: str, pos: int, c: str, typ: str, ncols: int) -> str:
+    null_d, null_t = "CAST(NULL AS DOUBLE)", "CAST(NULL AS TIMESTAMP)"
+    if typ in _NUMERIC_TYPES:
+        klass = "'numeric'"
+        num = (f"avg({c}), median({c})::DOUBLE, var_samp({c}), min({c})::DOUBLE, "
+               f"max({c})::DOUBLE")
+        dts = f"{null_t}, {null_t}, {null_d}, CAST(NULL AS VARCHAR)"
+    elif typ.startswith("timestamp") or typ == "date":
+        klass = "'datetime'"
+        num = ", ".join([null_d] * 5)
+        dts = f"min({c})::TIMESTAMP, max({c})::TIMESTAMP, {null_d}, CAST(NULL AS VARCHAR)"
+    else:
+        ratio = f"avg({_ISO_OK.format(c=c)})"
+        is_dt = f"{ratio} >= 0.8"
+        klass = f"CASE WHEN {is_dt} THEN 'datetime_like' ELSE 'categorical' END"
+        num = ", ".join([null_d] * 5)
+        dts = (f"CASE WHEN {is_dt} THEN min(try_cast({c} AS TIMESTAMP)) END, "
+               f"CASE WHEN {is_dt} THEN max(try_cast({c} AS TIMESTAMP)) END, "
+               f"coalesce({ratio}, 0.0)::DOUBLE, CASE WHEN {is_dt} THEN 'iso8601' END")
+    return (f"SELECT '{c}' AS column_name, {pos} AS position, '{typ}' AS type, {klass} AS class, "
+            f"count(*) FILTER (WHERE {c} IS NULL) AS num_missing, "
+            f"count(DISTINCT {c}) AS num_unique, {num}, {dts}, count(*) AS num_rows, "
+            f"{ncols} AS num_cols FROM {tab}")
+
+
+def _profile_sql(tab: str, schema: list[tuple[str, str]]) -> str:
+    cols = ("column_name, position, type, class, num_missing, num_unique, mean, median, "
+            "variance, min, max, datetime_min, datetime_max, datetime_ratio, datetime_format, "
+            "num_rows, num_cols")
+    rows = [_profile_row_sql(tab, i, c, t, len(schema)) for i, (c, t) in enumerate(schema)]
+    return (f"SELECT * FROM (\n{_union(rows)}\n) AS p({cols})")
+
+
+PROFILE_FLAT = ["column_name", "position", "type", "class", "num_missing", "num_unique", "mean",
+                "median", "variance", "min", "max", "datetime_min", "datetime_max",
+                "datetime_ratio", "datetime_format", "num_rows", "num_cols"]
+
+
+@register("profile", _profile_sql("lineitem", LINEITEM_SCHEMA), PROFILE_DBL)
+def q_profile(spark, sf_dir):
+    return rounded(P.profile(table(spark, sf_dir, "lineitem")).select(*PROFILE_FLAT))
+
+
+def _profile_part(name: str, cols: list[str], dbl: list[str], where: str = ""):
+    sql = (f"SELECT {', '.join(cols)} FROM ({_profile_sql('lineitem', LINEITEM_SCHEMA)}) AS q"
+           + (f" WHERE {where}" if where else ""))
+
+    @register(name, sql, dbl)
+    def q(spark, sf_dir):
+        out = P.profile(table(spark, sf_dir, "lineitem"))
+        if where:
+            out = out.where(where)
+        return rounded(out.select(*cols))
+    return q
+
+
+_profile_part("profile_classes", ["column_name", "position", "type", "class"], [])
+_profile_part("profile_unique", ["column_name", "num_unique"], [])
+_profile_part("profile_numeric", ["column_name", "mean", "median", "variance", "min", "max"],
+              ["mean", "median", "variance", "min", "max"], "class = 'numeric'")
+_profile_part("profile_datetime", ["column_name", "datetime_min", "datetime_max"], [],
+              "class = 'datetime'")
+
+
+@register("profile_shape", "SELECT count(*) AS num_rows, CAST(11 AS BIGINT) AS num_cols FROM lineitem")
+def q_profile_shape(spark, sf_dir):
+    return P.profile_shape(table(spark, sf_dir, "lineitem"))
+
+
+@register("profile_missing", _union([
+    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS num_missing FROM {DOCS_LABELS_SQL}"
+    for c in DOCS_LABELS_COLS]))
+def q_profile_missing(spark, sf_dir):
+    return P.column_stats(docs_labels(spark, sf_dir)).select("column_name", "num_missing")
+
+
+_EVENTS_TEXT = "(SELECT CAST(ts AS VARCHAR) AS ts_text, event_type FROM events)"
+
+
+@register("profile_datetime_text", _union([
+    f"""SELECT '{c}' AS column_name,
+      CASE WHEN avg({_ISO_OK.format(c=c)}) >= 0.8 THEN 'datetime_like' ELSE 'categorical' END AS class,
+      avg({_ISO_OK.format(c=c)})::DOUBLE AS datetime_ratio,
+      CASE WHEN avg({_ISO_OK.format(c=c)}) >= 0.8 THEN min(try_cast({c} AS TIMESTAMP)) END AS datetime_min,
+      CASE WHEN avg({_ISO_OK.format(c=c)}) >= 0.8 THEN max(try_cast({c} AS TIMESTAMP)) END AS datetime_max
+    FROM {_EVENTS_TEXT}""" for c in ("ts_text", "event_type")]), ["datetime_ratio"])
+def q_profile_datetime_text(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select(F.col("ts").cast("string").alias("ts_text"),
+                                                 "event_type")
+    return rounded(P.profile(ev).select("column_name", "class", "datetime_ratio",
+                                        "datetime_min", "datetime_max"))
+
+
+@register("profile_top_values", _union([
+    f"""SELECT '{c}' AS column_name, CAST(rank AS INTEGER) AS rank, value, count FROM (
+      SELECT v AS value, n AS count, row_number() OVER (ORDER BY n DESC, v ASC) AS rank
+      FROM (SELECT {c} AS v, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY 1))
+    WHERE rank <= 5""" for c in ("o_orderstatus", "o_orderpriority")]))
+def q_profile_top_values(spark, sf_dir):
+    return P.top_values(table(spark, sf_dir, "orders"))
+FLAGSHIP = "profile"

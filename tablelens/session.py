@@ -22,6 +22,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # one aggregation computes many statistics at once (profile, describe,
     # correlation); keep it inside whole-stage codegen past 100 buffer fields
     "spark.sql.codegen.maxFields": "2000",
