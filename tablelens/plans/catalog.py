@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import analysis as A
+from ..operators import clean as C
+from ..operators import privacy as M
 from ..operators import profile as P
 from ..session import apply_defaults
 
@@ -358,4 +360,185 @@ def q_profile_datetime_text(spark, sf_dir):
     WHERE rank <= 5""" for c in ("o_orderstatus", "o_orderpriority")]))
 def q_profile_top_values(spark, sf_dir):
     return P.top_values(table(spark, sf_dir, "orders"))
+
+
+def spark_type_sql(col: str) -> str:
+    """DuckDB type name -> Spark's simpleString, for metadata oracles."""
+    return (f"CASE {col} WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' "
+            f"WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' "
+            f"WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT' THEN 'float' "
+            f"WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' "
+            f"WHEN 'SMALLINT' THEN 'smallint' WHEN 'TINYINT' THEN 'tinyint' "
+            f"ELSE lower({col}) END")
+
+
+# --------------------------------------------------------------------------
+# C0-C6 cleaning (documents LEFT JOIN labels has natural NULLs)
+# --------------------------------------------------------------------------
+
+@register("missing_columns", f"""
+WITH m AS ({_union([f"SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS missing FROM {DOCS_LABELS_SQL}" for c in DOCS_LABELS_COLS])}),
+t AS (SELECT column_name, {spark_type_sql('column_type')} AS type FROM (DESCRIBE SELECT * FROM {DOCS_LABELS_SQL}))
+SELECT m.column_name, m.missing, t.type FROM m JOIN t ON m.column_name = t.column_name
+WHERE m.missing > 0""")
+def q_missing_columns(spark, sf_dir):
+    return C.missing_columns(docs_labels(spark, sf_dir))
+
+
+@register("clean_drop", f"SELECT * FROM {DOCS_LABELS_SQL} WHERE quality IS NOT NULL")
+def q_clean_drop(spark, sf_dir):
+    return C.drop_rows(docs_labels(spark, sf_dir), "quality")
+
+
+@register("clean_drop_column", f"SELECT doc_id, lang, source, n_chars, quality FROM {DOCS_LABELS_SQL}")
+def q_clean_drop_column(spark, sf_dir):
+    return C.drop_column(docs_labels(spark, sf_dir), "toxic")
+
+
+def _impute_sql(fill: str, cast: str = "::DOUBLE") -> str:
+    return (f"SELECT doc_id, lang, source, n_chars, coalesce(quality{cast}, ({fill})) AS quality, "
+            f"toxic FROM {DOCS_LABELS_SQL}")
+
+
+@register("clean_impute_mean", _impute_sql(f"SELECT avg(quality) FROM {DOCS_LABELS_SQL}"), ["quality"])
+def q_clean_impute_mean(spark, sf_dir):
+    return rounded(C.impute_mean(docs_labels(spark, sf_dir), "quality"))
+
+
+@register("clean_impute_median", _impute_sql(f"SELECT median(quality) FROM {DOCS_LABELS_SQL}"),
+          ["quality"])
+def q_clean_impute_median(spark, sf_dir):
+    return rounded(C.impute_median(docs_labels(spark, sf_dir), "quality"))
+
+
+@register("clean_impute_mode", _impute_sql(
+    f"SELECT quality FROM {DOCS_LABELS_SQL} WHERE quality IS NOT NULL GROUP BY 1 "
+    f"ORDER BY count(*) DESC, 1 LIMIT 1", ""))
+def q_clean_impute_mode(spark, sf_dir):
+    return C.impute_mode(docs_labels(spark, sf_dir), "quality")
+
+
+CLEAN_PLAN = [
+    {"column": "lang_n", "action": "drop"},
+    {"column": "quality", "action": "impute_median"},
+    {"column": "toxic", "action": "impute_mode"},
+    {"column": "source", "action": "drop_column"},
+    {"column": "no_such_column", "action": "impute_mean"},
+    {"column": "n_chars", "action": "not_an_action"},
+]
+
+
+@register("clean_plan", f"""
+WITH b AS (SELECT *, nullif(lang, 'en') AS lang_n FROM {DOCS_LABELS_SQL}),
+d AS (SELECT * FROM b WHERE lang_n IS NOT NULL)
+SELECT doc_id, lang, n_chars, coalesce(quality::DOUBLE, (SELECT median(quality) FROM d)) AS quality,
+  coalesce(toxic, (SELECT toxic FROM d WHERE toxic IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS toxic,
+  lang_n
+FROM d""", ["quality"])
+def q_clean_plan(spark, sf_dir):
+    base = docs_labels(spark, sf_dir).withColumn("lang_n", F.expr("nullif(lang, 'en')"))
+    return rounded(C.apply_cleaning_plan(base, CLEAN_PLAN))
+
+
+# --------------------------------------------------------------------------
+# M1-M7 privacy (customer with derived contact columns)
+# --------------------------------------------------------------------------
+
+def customer_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    email = F.lower(F.concat(F.regexp_replace("c_name", "#", "."), F.lit("@example.com")))
+    return c.select(
+        "c_custkey", "c_name", email.alias("email"),
+        F.concat(F.lit("+1-555-"), F.lpad(key, 7, "0")).alias("phone"),
+        F.concat(F.lit("ID"), F.lpad(((F.col("c_custkey") * 7919) % 10000000).cast("string"), 9, "0"))
+        .alias("national_id"),
+        F.col("c_acctbal").alias("balance"), "c_mktsegment",
+        F.when(F.col("c_custkey") % 5 != 0, email).alias("contact"))
+
+
+PII_SQL = """(SELECT c_custkey, c_name,
+  lower(replace(c_name, '#', '.') || '@example.com') AS email,
+  '+1-555-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS phone,
+  'ID' || lpad(CAST((c_custkey * 7919) % 10000000 AS VARCHAR), 9, '0') AS national_id,
+  c_acctbal AS balance, c_mktsegment,
+  CASE WHEN c_custkey % 5 <> 0 THEN lower(replace(c_name, '#', '.') || '@example.com') END AS contact
+FROM customer)"""
+
+
+def _email_mask_sql(v: str) -> str:
+    return (f"CASE WHEN {v} IS NULL THEN NULL WHEN instr({v}, '@') > 0 THEN "
+            f"left(split_part({v}, '@', 1), 1) || '***@' || substr({v}, instr({v}, '@') + 1) "
+            f"ELSE {v} END")
+
+
+def _id_mask_sql(v: str) -> str:
+    return (f"CASE WHEN {v} IS NULL THEN NULL WHEN length({v}) <= 4 THEN '****' ELSE "
+            f"left({v}, 2) || repeat('*', length({v}) - 4) || right({v}, 2) END")
+
+
+def _fin_mask_sql(v: str) -> str:
+    s = f"format('{{:,.0f}}', abs({v}))"
+    return (f"CASE WHEN {v} IS NULL THEN NULL ELSE (CASE WHEN {v} < 0 THEN '-' ELSE '' END) || "
+            f"'***' || CASE WHEN length({s}) > 3 THEN right({s}, 3) ELSE '' END END")
+
+
+_NAME_CASE = " ".join(f"WHEN regexp_matches(lower(column_name), '{p}') THEN '{t}'"
+                      for t, p in M.NAME_PATTERNS.items())
+
+
+@register("detect_sensitive", f"""
+SELECT column_name, sensitive_type FROM (
+  SELECT column_name, CASE {_NAME_CASE} END AS sensitive_type FROM (DESCRIBE SELECT * FROM {PII_SQL}))
+WHERE sensitive_type IS NOT NULL""")
+def q_detect_sensitive(spark, sf_dir):
+    return M.detect_sensitive(customer_pii(spark, sf_dir))
+
+
+_EMAIL_RE_SQL = M.EMAIL_VALUE_RE.replace("'", "''")
+
+
+@register("detect_email_content", _union([
+    f"SELECT '{c}' AS column_name, avg(CASE WHEN {c} IS NULL THEN NULL WHEN regexp_full_match({c}, '{_EMAIL_RE_SQL}') THEN 1.0 ELSE 0.0 END)::DOUBLE AS email_share, "
+    f"coalesce(avg(CASE WHEN {c} IS NULL THEN NULL WHEN regexp_full_match({c}, '{_EMAIL_RE_SQL}') THEN 1.0 ELSE 0.0 END) > 0.5, false) AS is_email FROM {PII_SQL}"
+    for c in ("c_name", "email", "phone", "national_id", "c_mktsegment", "contact")]), ["email_share"])
+def q_detect_email_content(spark, sf_dir):
+    return rounded(M.detect_email_content(customer_pii(spark, sf_dir)))
+
+
+@register("mask_email", f"SELECT c_custkey, {_email_mask_sql('email')} AS email FROM {PII_SQL}")
+def q_mask_email(spark, sf_dir):
+    from ..functions.masks import mask_email
+    return customer_pii(spark, sf_dir).select("c_custkey", mask_email(F.col("email")).alias("email"))
+
+
+@register("mask_id", f"SELECT c_custkey, {_id_mask_sql('c_name')} AS c_name FROM customer")
+def q_mask_id(spark, sf_dir):
+    from ..functions.masks import mask_id
+    return table(spark, sf_dir, "customer").select("c_custkey", mask_id(F.col("c_name")).alias("c_name"))
+
+
+@register("mask_phone", f"SELECT c_custkey, {_id_mask_sql('phone')} AS phone FROM {PII_SQL}")
+def q_mask_phone(spark, sf_dir):
+    from ..functions.masks import mask_id
+    return customer_pii(spark, sf_dir).select("c_custkey", mask_id(F.col("phone")).alias("phone"))
+
+
+@register("mask_financial", f"SELECT c_custkey, {_fin_mask_sql('c_acctbal')} AS c_acctbal FROM customer")
+def q_mask_financial(spark, sf_dir):
+    from ..functions.masks import mask_financial
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", mask_financial(F.col("c_acctbal"), T.DoubleType()).alias("c_acctbal"))
+
+
+@register("mask_table", f"""
+SELECT c_custkey, c_name, {_email_mask_sql('email')} AS email, {_id_mask_sql('phone')} AS phone,
+  {_id_mask_sql('national_id')} AS national_id, {_fin_mask_sql('balance')} AS balance, c_mktsegment,
+  CASE WHEN (SELECT avg(CASE WHEN contact IS NULL THEN NULL WHEN regexp_full_match(contact, '{_EMAIL_RE_SQL}') THEN 1.0 ELSE 0.0 END) FROM {PII_SQL}) > 0.5
+       THEN {_email_mask_sql('contact')} ELSE contact END AS contact
+FROM {PII_SQL}""")
+def q_mask_table(spark, sf_dir):
+    return M.mask_table(customer_pii(spark, sf_dir))
+
+
 FLAGSHIP = "profile"
