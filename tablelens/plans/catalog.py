@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import analysis as A
+from ..operators import charts as V
 from ..operators import clean as C
+from ..operators import text as X
 from ..operators import privacy as M
 from ..operators import profile as P
 from ..session import apply_defaults
@@ -541,4 +543,157 @@ def q_mask_table(spark, sf_dir):
     return M.mask_table(customer_pii(spark, sf_dir))
 
 
+
+
+# --------------------------------------------------------------------------
+# T1-T6 text columns
+# --------------------------------------------------------------------------
+
+def _re2(pattern: str) -> str:
+    """A Java pattern for DuckDB (RE2): inline (?iU)/(?i) flags go to options
+    (in RE2, U would mean ungreedy), quotes doubled."""
+    for prefix in ("(?iU)", "(?i)"):
+        if pattern.startswith(prefix):
+            pattern = pattern[len(prefix):]
+    return pattern.replace("'", "''")
+
+
+def _redact_sql(col: str) -> str:
+    from ..functions import text as TX
+    e = f"regexp_replace({col}, '{_re2(TX.API_KEY_RE)}', '\\1{TX.REDACTED}', 'gi')"
+    e = f"regexp_replace({e}, '{_re2(TX.DATABASE_URL_RE)}', '{TX.DATABASE_URL_REDACTED}', 'gi')"
+    return f"regexp_replace({e}, '{_re2(TX.SECRET_WORD_RE)}', '\\1{TX.REDACTED}', 'gi')"
+
+
+@register("redact_secrets", f"SELECT doc_id, {_redact_sql('text')} AS text FROM documents")
+def q_redact_secrets(spark, sf_dir):
+    return X.redact_column(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+_SCRIPT_SQL = "regexp_replace({c}, '(?is)<script[^>]*>.*?</script>', '', 'g')"
+
+
+@register("sanitize_markdown", f"""
+SELECT conv_id, turn, regexp_replace({_SCRIPT_SQL.format(c='text')}, 'on\\w+\\s*=', '', 'gi') AS text
+FROM conversations""")
+def q_sanitize_markdown(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return X.sanitize_markdown_column(t, "text")
+
+
+@register("strip_scripts", f"SELECT page_id, {_SCRIPT_SQL.format(c='html')} AS html FROM pages")
+def q_strip_scripts(spark, sf_dir):
+    return X.strip_scripts_column(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+
+
+@register("sanitize_html")
+def q_sanitize_html(spark, sf_dir):
+    return X.sanitize_html(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+
+
+@register("token_estimate",
+          "SELECT doc_id, CAST(length(text) // 4 AS BIGINT) AS tokens FROM documents")
+def q_token_estimate(spark, sf_dir):
+    return X.token_estimate_column(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                   "text").select("doc_id", "tokens")
+
+
+BUDGET_TOKENS = 256
+
+
+@register("token_budget", f"""
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN length(text) // 4 <= {BUDGET_TOKENS} THEN text
+  WHEN instr(t, chr(10)) > 0 AND length(t) - instr(reverse(t), chr(10)) > {int(4 * BUDGET_TOKENS * 0.8)}
+  THEN substring(t, 1, length(t) - instr(reverse(t), chr(10)))
+  ELSE t END AS text
+FROM (SELECT doc_id, text, substring(text, 1, {4 * BUDGET_TOKENS}) AS t FROM documents)""")
+def q_token_budget(spark, sf_dir):
+    return X.token_budget_column(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 "text", BUDGET_TOKENS)
+
+
+BULLET_HEADER = "(?i)the"
+_LB_SQL = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+
+
+@register("section_bullets", f"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '([.!?]) ', '\\1' || chr(10) || '* ', 'g') AS x FROM documents),
+l AS (SELECT doc_id, unnest(string_split_regex(x, '{_LB_SQL}')) AS line,
+             generate_subscripts(string_split_regex(x, '{_LB_SQL}'), 1) - 1 AS line_no FROM t),
+s AS (SELECT doc_id, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS sl FROM l),
+h AS (SELECT doc_id, min(line_no) AS hdr FROM s WHERE regexp_matches(sl, '{BULLET_HEADER}') GROUP BY doc_id)
+SELECT s.doc_id, CAST(s.line_no AS INTEGER) AS line_no,
+       regexp_replace(sl, '^[ \\-*0-9.]+', '') AS bullet
+FROM s JOIN h ON s.doc_id = h.doc_id
+WHERE s.line_no > h.hdr AND sl <> '' AND NOT regexp_matches(sl, '{BULLET_HEADER}')
+  AND regexp_matches(sl, '^([-*]|[0-9]+\\.)')""")
+def q_section_bullets(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    d = d.select("doc_id", F.regexp_replace("text", r"([.!?]) ", "$1\n* ").alias("text"))
+    return X.section_bullets(d, "text", ["doc_id"], BULLET_HEADER)
+
+
+# --------------------------------------------------------------------------
+# V1-V6 chart data
+# --------------------------------------------------------------------------
+
+_X_SQL = "(SELECT l_extendedprice AS x FROM lineitem WHERE l_extendedprice IS NOT NULL)"
+
+
+@register("chart_histogram", f"""
+WITH r AS (SELECT min(x) AS lo, max(x) AS hi FROM {_X_SQL}),
+c AS (SELECT CASE WHEN hi - lo = 0 THEN 1
+                  ELSE least(CAST(floor((x - lo) / (hi - lo) * 10) AS BIGINT) + 1, 10) END AS bucket,
+             count(*) AS cnt FROM {_X_SQL}, r GROUP BY 1)
+SELECT CAST(g.bucket AS INTEGER) AS bucket, lo + (g.bucket - 1) * (hi - lo) / 10 AS lower,
+       CASE WHEN g.bucket = 10 THEN hi ELSE lo + g.bucket * (hi - lo) / 10 END AS upper,
+       coalesce(cnt, 0) AS count
+FROM generate_series(1, 10) AS g(bucket) CROSS JOIN r LEFT JOIN c ON c.bucket = g.bucket
+WHERE lo IS NOT NULL""", ["lower", "upper"])
+def q_chart_histogram(spark, sf_dir):
+    return rounded(V.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 10))
+
+
+@register("chart_box", f"""
+WITH q AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+                  quantile_cont(x, 0.75) AS q3 FROM {_X_SQL}),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q)
+SELECT 'l_extendedprice' AS column_name, count(*) AS count, min(x) AS min, max(f.q1) AS q1,
+       max(f.median) AS median, max(f.q3) AS q3, max(x) AS max,
+       min(x) FILTER (WHERE x >= lf AND x <= uf) AS whisker_low,
+       max(x) FILTER (WHERE x >= lf AND x <= uf) AS whisker_high,
+       count(*) FILTER (WHERE NOT (x >= lf AND x <= uf)) AS outliers
+FROM {_X_SQL}, f""", ["min", "q1", "median", "q3", "max", "whisker_low", "whisker_high"])
+def q_chart_box(spark, sf_dir):
+    return rounded(V.box_plot(table(spark, sf_dir, "lineitem"), "l_extendedprice"))
+
+
+@register("chart_bar", """
+SELECT o_orderpriority AS value, count(*) AS count FROM orders WHERE o_orderpriority IS NOT NULL
+GROUP BY 1 ORDER BY count DESC, value ASC LIMIT 10""")
+def q_chart_bar(spark, sf_dir):
+    return V.bar_top(table(spark, sf_dir, "orders"), "o_orderpriority", 10)
+
+
+@register("chart_heatmap", _corr_sql("lineitem", LINEITEM_NUMERIC[:10]), ["r"])
+def q_chart_heatmap(spark, sf_dir):
+    return rounded(V.heatmap(table(spark, sf_dir, "lineitem")))
+
+
+@register("chart_anomaly", f"""
+SELECT s.stat, s.value FROM ({_anomaly_sql("lineitem", "l_extendedprice", 1.5)}) a,
+LATERAL (VALUES ('Min Anomaly', a.min_anomaly), ('Mean Anomaly', a.mean_anomaly),
+                ('Max Anomaly', a.max_anomaly)) AS s(stat, value)
+WHERE a.count > 0""", ["value"])
+def q_chart_anomaly(spark, sf_dir):
+    return rounded(V.anomaly_bar(table(spark, sf_dir, "lineitem"), "l_extendedprice", 1.5))
+
+
+@register("chart_trend", """
+SELECT CAST(last_day(o_orderdate) AS TIMESTAMP) AS x, avg(o_totalprice) AS y FROM orders
+WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1""", ["y"])
+def q_chart_trend(spark, sf_dir):
+    return rounded(V.trend_line(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "M"))
+
+
 FLAGSHIP = "profile"
