@@ -20,6 +20,8 @@ from ..operators import clean as C
 from ..operators import text as X
 from ..operators import privacy as M
 from ..operators import profile as P
+from ..operators import rate as R
+from ..operators import retention as RT
 from ..session import apply_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -696,4 +698,108 @@ def q_chart_trend(spark, sf_dir):
     return rounded(V.trend_line(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "M"))
 
 
+
+
+# --------------------------------------------------------------------------
+# R1-R4 rate, retention, ranking
+# --------------------------------------------------------------------------
+
+RATE_LIMIT, RATE_WINDOW_S = 3, 86400
+
+
+def _rate_fold_sql(limit: int, window_s: int) -> str:
+    """R1 as a recursive fold per user (DuckDB): the list of admitted times
+    inside the window is the state carried from one event to the next."""
+    w = window_s * 1_000_000
+    keep = f"list_filter(r.q, lambda x: x > e.t - {w})"
+    return f"""
+WITH RECURSIVE e AS (
+  SELECT event_id, user_id, ts, epoch_us(ts) AS t,
+         row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn
+  FROM events),
+r(user_id, rn, event_id, ts, allowed, q) AS (
+  SELECT user_id, rn, event_id, ts, {limit} > 0, CASE WHEN {limit} > 0 THEN [t] ELSE [] END
+  FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id, e.ts, len({keep}) < {limit},
+         CASE WHEN len({keep}) < {limit} THEN list_append({keep}, e.t) ELSE {keep} END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT event_id, user_id, ts, allowed FROM r"""
+
+
+@register("rate_admission", _rate_fold_sql(RATE_LIMIT, RATE_WINDOW_S))
+def q_rate_admission(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return R.rate_admission(ev, "user_id", "ts", RATE_LIMIT, RATE_WINDOW_S, tiebreak="event_id")
+
+
+@register("rate_window_count", f"""
+SELECT event_id, user_id, ts, recent, recent < {RATE_LIMIT} AS allowed FROM (
+  SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)
+    RANGE BETWEEN {RATE_WINDOW_S * 1_000_000 - 1} PRECEDING AND 1 PRECEDING) AS recent
+  FROM events)""")
+def q_rate_window_count(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return R.rate_window_count(ev, "user_id", "ts", RATE_LIMIT, RATE_WINDOW_S)
+
+
+@register("rate_admission_stream", _rate_fold_sql(RATE_LIMIT, RATE_WINDOW_S))
+def q_rate_admission_stream(spark, sf_dir):
+    from ..session import shared_path
+    from ..streaming.rate import rate_admission_stream, run_to_table
+    src = f"{sf_dir.rstrip('/')}/events*.parquet"  # a file glob: the source wants a pattern
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(src)
+    out = rate_admission_stream(stream, "user_id", "ts", "event_id", RATE_LIMIT, RATE_WINDOW_S,
+                                watermark=f"{RATE_WINDOW_S} seconds")
+    path = shared_path(spark, "rate-stream")
+    run_to_table(out, path + "/data", path + "/checkpoint")
+    return spark.read.parquet(path + "/data")
+
+
+RETENTION_HOURS = 72
+
+
+@register("retention_report", f"""
+WITH m AS (SELECT max(ts) AS now FROM events)
+SELECT count(*) FILTER (WHERE ts < now - INTERVAL {RETENTION_HOURS} HOUR) AS expired_count,
+       CAST(coalesce(sum(octet_length(encode(props))) FILTER (WHERE ts < now - INTERVAL {RETENTION_HOURS} HOUR), 0) AS BIGINT) AS expired_bytes,
+       count(*) FILTER (WHERE NOT (ts < now - INTERVAL {RETENTION_HOURS} HOUR) OR ts IS NULL) AS kept_count
+FROM events, m""")
+def q_retention_report(spark, sf_dir):
+    return RT.retention_report(table(spark, sf_dir, "events"), "ts", RETENTION_HOURS,
+                               size_col="props")
+
+
+@register("retention_apply", f"""
+SELECT * FROM events WHERE ts IS NULL OR ts >= (SELECT max(ts) FROM events) - INTERVAL {RETENTION_HOURS} HOUR""")
+def q_retention_apply(spark, sf_dir):
+    return RT.apply_retention(table(spark, sf_dir, "events"), "ts", RETENTION_HOURS)
+
+
+@register("rank_items", f"""
+WITH i AS (
+  SELECT d.doc_id, regexp_replace(regexp_extract(d.text, '^[^\\n]*', 0), '^\\s+|\\s+$', '', 'g') AS text,
+         CASE WHEN l.quality IS NULL THEN 'n/a' ELSE CAST(l.quality * 100 AS VARCHAR) END AS r_raw,
+         CAST(d.n_chars AS VARCHAR) AS s_raw
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+s AS (SELECT doc_id, text, r_raw, s_raw, try_cast(r_raw AS DOUBLE) AS r, try_cast(s_raw AS DOUBLE) AS s FROM i),
+b AS (SELECT doc_id, text,
+        CASE WHEN (r_raw IS NOT NULL AND r IS NULL) OR (s_raw IS NOT NULL AND s IS NULL) THEN 50.0 ELSE coalesce(r, 50.0) END AS relevance,
+        CASE WHEN (r_raw IS NOT NULL AND r IS NULL) OR (s_raw IS NOT NULL AND s IS NULL) THEN 50.0 ELSE coalesce(s, 50.0) END AS significance
+      FROM s WHERE text IS NOT NULL AND text <> '')
+SELECT CAST(row_number() OVER (ORDER BY relevance DESC, significance DESC, doc_id ASC) AS INTEGER) AS rank,
+       text, relevance::DOUBLE AS relevance, significance::DOUBLE AS significance, doc_id
+FROM b ORDER BY relevance DESC, significance DESC, doc_id ASC LIMIT {RT.RANK_LIMIT}""",
+          ["relevance", "significance"])
+def q_rank_items(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    items = d.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
+        "doc_id", F.regexp_extract("text", r"^[^\n]*", 0).alias("text"),
+        F.when(F.col("quality").isNull(), F.lit("n/a"))
+        .otherwise((F.col("quality") * 100).cast("string")).alias("r_raw"),
+        F.col("n_chars").cast("string").alias("s_raw"))
+    return rounded(RT.rank_items(items, "text", "r_raw", "s_raw", "doc_id"))
+
+
 FLAGSHIP = "profile"
