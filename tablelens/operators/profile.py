@@ -199,6 +199,28 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
         F.lit(len(df.columns)).cast("bigint").alias("num_cols"))
 
 
+def classes(df: DataFrame) -> DataFrame:
+    """``(column_name, position, type, class)`` only: the schema decides all
+    but text columns, which need just the datetime detection (a frequency
+    table of the text columns)."""
+    text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    rows = [(f.name, i, type_name(f.dataType), schema_class(f.dataType))
+            for i, f in enumerate(df.schema.fields)]
+    spark = df.sparkSession
+    base = spark.createDataFrame(rows, "column_name string, position int, type string, "
+                                       "base_class string")
+    if not text_cols:
+        return base.select("column_name", "position", "type", F.col("base_class").alias("class"))
+    n_rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    dates = _text_dates(frequency_table(df, text_cols), text_cols)
+    out = base.join(F.broadcast(dates), "column_name", "left").crossJoin(F.broadcast(n_rows))
+    best = _best_format(F.col("n_rows").cast("double"))
+    klass = F.coalesce(F.col("base_class"),
+                       F.when(best["ratio"] >= F.lit(DATETIME_RATIO), F.lit(DATETIME_LIKE_CLASS))
+                       .otherwise(F.lit(CATEGORICAL_CLASS)))
+    return out.select("column_name", "position", "type", klass.alias("class"))
+
+
 def profile_shape(df: DataFrame) -> DataFrame:
     """``(num_rows, num_cols)``."""
     return df.agg(F.count(F.lit(1)).cast("bigint").alias("num_rows")) \

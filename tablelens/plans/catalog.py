@@ -802,4 +802,87 @@ def q_rank_items(spark, sf_dir):
     return rounded(RT.rank_items(items, "text", "r_raw", "s_raw", "doc_id"))
 
 
+
+
+# --------------------------------------------------------------------------
+# W1-W4 plans and the report
+# --------------------------------------------------------------------------
+
+@register("default_plan")
+def q_default_plan(spark, sf_dir):
+    import json
+    from . import plan as W
+    li = table(spark, sf_dir, "lineitem")
+    steps = W.default_plan(W.column_classes(li))
+    return spark.createDataFrame(
+        [(i + 1, s["operation"], s["task"], json.dumps(s["params"], sort_keys=True))
+         for i, s in enumerate(steps)], "step int, operation string, task string, params string")
+
+
+@register("run_plan")
+def q_run_plan(spark, sf_dir):
+    from . import plan as W
+    li = table(spark, sf_dir, "lineitem")
+    steps = W.default_plan(W.column_classes(li))
+    steps.append({"task": "Mean price by flag", "operation": "groupby_agg",
+                  "params": {"by": "l_returnflag", "target": "l_extendedprice", "agg": "median"}})
+    return W.result_rows(W.run_plan(li, W.validate_plan(steps)))
+
+
+@register("report_rows")
+def q_report_rows(spark, sf_dir):
+    from . import plan as W
+    return W.result_rows(W.analyze(table(spark, sf_dir, "orders"), persist=False))
+
+
+# --------------------------------------------------------------------------
+# S1-S11 sources and sinks
+# --------------------------------------------------------------------------
+
+@register("read_csv", """
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment
+FROM customer""", ["c_acctbal"])
+def q_read_csv(spark, sf_dir):
+    from ..session import shared_path
+    from ..sources.csv import read_csv, write_table
+    path = shared_path(spark, "customer-csv")
+    write_table(table(spark, sf_dir, "customer"), path, "csv")
+    return rounded(read_csv(spark, path))
+
+
+@register("preview", "SELECT * FROM customer ORDER BY c_custkey LIMIT 2", ["c_acctbal"])
+def q_preview(spark, sf_dir):
+    from ..sources.tables import preview
+    return rounded(preview(table(spark, sf_dir, "customer"), 2, ["c_custkey"]))
+
+
+@register("schema_fingerprint", f"""
+SELECT 'lineitem' AS table_name,
+  sha256(string_agg(column_name || ':' || {spark_type_sql('column_type')}, '|' ORDER BY column_name))
+  AS schema_fingerprint
+FROM (DESCRIBE lineitem)""")
+def q_schema_fingerprint(spark, sf_dir):
+    from ..sources.tables import schema_fingerprint_frame
+    return schema_fingerprint_frame(table(spark, sf_dir, "lineitem"), "lineitem")
+
+
+@register("recent_topk", """
+SELECT CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank,
+       event_id, ts, user_id, event_type, value, props,
+       'Historical Insight ' || CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS VARCHAR)
+         || ': ' || props AS insight
+FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 3""", ["value"])
+def q_recent_topk(spark, sf_dir):
+    from ..sources.memory import recent_memory
+    ev = table(spark, sf_dir, "events")
+    return rounded(recent_memory(ev, "purchase", 3, key="event_type", ts="ts", text="props",
+                                 tiebreak="event_id"))
+
+
+@register("history_topk", "SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 20", ["value"])
+def q_history_topk(spark, sf_dir):
+    from ..sources.memory import history
+    return rounded(history(table(spark, sf_dir, "events"), 20, ts="ts", tiebreak="event_id"))
+
+
 FLAGSHIP = "profile"
