@@ -15,7 +15,8 @@ from ..functions.columns import (as_double, clean_value, field, is_float, is_mis
                                  is_numeric, numeric_columns, qcol, safe_corr)
 from ..functions.dates import FREQS, as_timestamp, period_label
 from ..functions.masks import to_double
-from .common import is_identifier, long_rows, message_frame, quantile_agg, require_columns
+from .common import is_identifier, long_rows, message_frame, require_columns
+from .quantiles import column_quantiles, quantile_frame
 
 DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 GROUP_AGGS = ("mean", "sum", "min", "max", "median", "count")
@@ -32,12 +33,14 @@ def missing_values(df: DataFrame) -> DataFrame:
                      ["column_name"], "missing")
 
 
-def describe_numeric(df: DataFrame, columns=None, approx: bool = False) -> DataFrame:
+def describe_numeric(df: DataFrame, columns=None, method: str = "exact") -> DataFrame:
     """count, mean, std, min, quartiles, max per numeric column, as
-    ``(column_name, stat, value)``. All columns share one aggregation.
+    ``(column_name, stat, value)``.
 
-    Given only text/boolean columns, the categorical description is returned
-    instead (see :func:`describe_categorical`).
+    Moments and bounds share one aggregation; the quartiles of all columns
+    share one frequency table (see :mod:`quantiles`; ``method`` picks exact
+    bounded-memory, Spark ``percentile`` or ``approx``). Given only
+    text/boolean columns, the categorical description is returned instead.
     """
     cols = require_columns(df, columns) if columns else numeric_columns(df)
     if not cols:
@@ -50,18 +53,20 @@ def describe_numeric(df: DataFrame, columns=None, approx: bool = False) -> DataF
         x = as_double(df, c)
         exprs += [F.count(x).cast("double").alias(f"n{i}"), F.avg(x).alias(f"a{i}"),
                   F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                  F.max(x).alias(f"hi{i}"),
-                  quantile_agg(x, [0.25, 0.5, 0.75], approx).alias(f"q{i}")]
+                  F.max(x).alias(f"hi{i}")]
     agg = df.agg(*exprs)
     rows, vals = [], []
     for i, c in enumerate(num):
-        for stat, v in zip(DESCRIBE_STATS,
-                           [F.col(f"n{i}"), F.col(f"a{i}"), F.col(f"s{i}"), F.col(f"lo{i}"),
-                            F.col(f"q{i}")[0], F.col(f"q{i}")[1], F.col(f"q{i}")[2],
-                            F.col(f"hi{i}")]):
+        for stat, v in (("count", f"n{i}"), ("mean", f"a{i}"), ("std", f"s{i}"),
+                        ("min", f"lo{i}"), ("max", f"hi{i}")):
             rows.append((c, stat))
-            vals.append(v.cast("double"))
-    return long_rows(agg, rows, vals, ["column_name", "stat"], "value")
+            vals.append(F.col(v).cast("double"))
+    moments = long_rows(agg, rows, vals, ["column_name", "stat"], "value")
+    q = column_quantiles(df, num, [0.25, 0.5, 0.75], method)
+    quart = q.select("column_name", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("stat"), F.col("q")[i].alias("value"))
+        for i, s in enumerate(("25%", "50%", "75%"))])))
+    return moments.unionByName(quart)
 
 
 def frequency_table(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -143,11 +148,13 @@ def correlation_matrix(df: DataFrame, columns=None, max_columns: int | None = No
 
 
 def groupby_agg(df: DataFrame, by: str, target: str, agg: str = "mean",
-                approx: bool = False) -> DataFrame:
+                method: str = "exact") -> DataFrame:
     """One aggregate of ``target`` per value of ``by``: ``(by, <agg>)``.
 
     Null keys are dropped; ``sum`` of an all-null group is 0, every other
-    aggregate of it is NULL. Unknown ``agg`` falls back to ``mean``.
+    aggregate of it is NULL. Unknown ``agg`` falls back to ``mean``. The
+    median is exact with bounded memory per task (a hot group is split by
+    value buckets, see :mod:`quantiles`).
     """
     spark = df.sparkSession
     if not is_identifier(by) or by not in df.columns:
@@ -161,10 +168,14 @@ def groupby_agg(df: DataFrame, by: str, target: str, agg: str = "mean",
     if agg in ("mean", "median", "sum") and not numeric:
         raise ValueError(f"groupby {agg} needs a numeric target, {target} is {dt.simpleString()}")
     x = as_double(df, target) if agg in ("mean", "median") else clean_value(df, target)
+    keyed = df.where(qcol(by).isNotNull())
+    if agg == "median":
+        base = keyed.select(qcol(by).alias(by), x.alias("_v"))
+        groups = base.groupBy(by).agg(F.count(F.lit(1)).alias("_rows"))
+        med = quantile_frame(base, "_v", [0.5], method, [by])
+        return groups.join(med, by, "left").select(by, F.col("q")[0].alias("median"))
     if agg == "mean":
         e = F.avg(x)
-    elif agg == "median":
-        e = quantile_agg(x, [0.5], approx)[0]
     elif agg == "sum":
         s = F.sum(x.cast("int") if isinstance(dt, T.BooleanType) else x)
         e = F.coalesce(s, F.lit(0).cast(s_type(dt)))
@@ -174,7 +185,7 @@ def groupby_agg(df: DataFrame, by: str, target: str, agg: str = "mean",
         e = F.max(x)
     else:
         e = F.count(x)
-    return df.where(qcol(by).isNotNull()).groupBy(qcol(by).alias(by)).agg(e.alias(agg))
+    return keyed.groupBy(qcol(by).alias(by)).agg(e.alias(agg))
 
 
 def s_type(dt: T.DataType) -> str:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, field, is_numeric, numeric_columns
 from .analysis import anomaly_detection, correlation_matrix, time_series_trend, value_counts
-from .common import message_frame, quantile_agg
+from .common import message_frame
+from .quantiles import quantile_frame
 
 HEATMAP_MAX_COLUMNS = 10
 
@@ -41,12 +42,12 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
         F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
 
 
-def box_plot(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
+def box_plot(df: DataFrame, column: str, method: str = "exact") -> DataFrame:
     """Five-number summary with 1.5*IQR whiskers and the outlier count."""
     if column not in df.columns or not is_numeric(field(df, column).dataType, True):
         return message_frame(df.sparkSession, f"No numeric column {column!r}")
     x = df.select(as_double(df, column).alias("x")).where(F.col("x").isNotNull())
-    q = x.agg(quantile_agg(F.col("x"), [0.25, 0.5, 0.75], approx).alias("q"))
+    q = quantile_frame(x, "x", [0.25, 0.5, 0.75], method)
     q = q.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                  F.col("q")[2].alias("q3"))
     q = q.withColumn("lf", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \

@@ -3,7 +3,7 @@
 Imputation statistics are one-row aggregates joined back by broadcast (one
 row by construction). The mode is taken from the value frequency table
 with a top-1 (TakeOrderedAndProject), so no task ever holds all distinct
-values of a column; mean and median share one aggregation.
+values of a column; means share one aggregation, medians one frequency table.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import as_double, clean_value, field, is_missing, is_numeric, qcol
 from .analysis import missing_values
-from .common import quantile_agg
+from .quantiles import column_quantiles
 
 ACTIONS = ("drop", "drop_column", "impute_mean", "impute_median", "impute_mode")
 
@@ -46,16 +46,16 @@ def _mode_frame(df: DataFrame, column: str) -> DataFrame:
     return freq.orderBy(F.col("count").desc(), F.col("_mode").asc()).limit(1).select("_mode")
 
 
-def impute(df: DataFrame, columns_actions: list[tuple[str, str]], approx: bool = False) -> DataFrame:
+def impute(df: DataFrame, columns_actions: list[tuple[str, str]], method: str = "exact") -> DataFrame:
     """Fill missing values of several columns at once.
 
     ``columns_actions`` holds ``(column, action)`` with action in impute_mean,
     impute_median, impute_mode; all statistics are computed on the same rows
-    (the input frame), mean and median in one aggregation. Mean/median on a
+    (the input frame): the means in one aggregation, the medians of all
+    columns from one frequency table, each mode by a top-1. Mean/median on a
     non-numeric column is a no-op; mean/median results are double.
     """
-    stat_exprs, fills = [], {}
-    modes = []
+    means, medians, modes, fills = [], [], [], {}
     for i, (c, action) in enumerate(columns_actions):
         if c not in df.columns or c in fills:
             continue
@@ -63,23 +63,29 @@ def impute(df: DataFrame, columns_actions: list[tuple[str, str]], approx: bool =
         if action in ("impute_mean", "impute_median"):
             if not is_numeric(dt, include_bool=True) or isinstance(dt, T.BooleanType):
                 continue
-            x = as_double(df, c)
-            e = F.avg(x) if action == "impute_mean" else quantile_agg(x, [0.5], approx)[0]
-            stat_exprs.append(e.alias(f"_s{i}"))
+            (means if action == "impute_mean" else medians).append((i, c))
             fills[c] = (f"_s{i}", "double")
         elif action == "impute_mode":
             modes.append((i, c))
-            fills[c] = (f"_o{i}", dt.simpleString())
+            fills[c] = (f"_s{i}", dt.simpleString())
     if not fills:
         return df
-    stats = df.agg(*stat_exprs) if stat_exprs else None
+    parts = []
+    if means:
+        parts.append(df.agg(*[F.avg(as_double(df, c)).alias(f"_s{i}") for i, c in means]))
+    if medians:
+        q = column_quantiles(df, [c for _, c in medians], [0.5], method)
+        parts.append(q.agg(*[F.max(F.when(F.col("_k") == k, F.col("q")[0])).alias(f"_s{i}")
+                             for k, (i, _) in enumerate(medians)]))
+    one = df.sparkSession.range(1).select(F.lit(1).alias("_k1"))
     for i, c in modes:
-        m = _mode_frame(df, c).withColumnRenamed("_mode", f"_o{i}")
-        # a left join onto a one-row frame keeps the row when the mode is absent
-        one = df.sparkSession.range(1).select(F.lit(1).alias("_k"))
-        m = one.join(m.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
-        stats = m if stats is None else stats.crossJoin(m)
-    j = df.crossJoin(F.broadcast(stats))
+        m = _mode_frame(df, c).withColumnRenamed("_mode", f"_s{i}").withColumn("_k1", F.lit(1))
+        # a left join onto a one-row frame keeps a row when the mode is absent
+        parts.append(one.join(m, "_k1", "left").drop("_k1"))
+    stats = parts[0]
+    for p in parts[1:]:
+        stats = stats.crossJoin(p)
+    j = df.crossJoin(F.broadcast(stats))  # one row by construction
     out = []
     for f in df.schema.fields:
         if f.name in fills:
@@ -87,8 +93,7 @@ def impute(df: DataFrame, columns_actions: list[tuple[str, str]], approx: bool =
             base = clean_value(df, f.name)
             if typ == "double":
                 base = base.cast("double")
-            out.append(F.coalesce(base, F.col(scol).cast(typ if typ != "double" else "double"))
-                       .alias(f.name))
+            out.append(F.coalesce(base, F.col(scol).cast(typ)).alias(f.name))
         else:
             out.append(qcol(f.name))
     return j.select(*out)
@@ -98,8 +103,8 @@ def impute_mean(df: DataFrame, column: str) -> DataFrame:
     return impute(df, [(column, "impute_mean")])
 
 
-def impute_median(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
-    return impute(df, [(column, "impute_median")], approx)
+def impute_median(df: DataFrame, column: str, method: str = "exact") -> DataFrame:
+    return impute(df, [(column, "impute_median")], method)
 
 
 def impute_mode(df: DataFrame, column: str) -> DataFrame:
@@ -115,7 +120,7 @@ def validate_cleaning_plan(steps, columns) -> list[dict]:
             and s.get("column") in cols]
 
 
-def apply_cleaning_plan(df: DataFrame, steps, approx: bool = False) -> DataFrame:
+def apply_cleaning_plan(df: DataFrame, steps, method: str = "exact") -> DataFrame:
     """Apply cleaning steps in order; a step on a column that no longer
     exists is skipped. Statistics always follow earlier row drops; runs of
     imputes on different columns share one statistics pass (they do not
@@ -123,7 +128,7 @@ def apply_cleaning_plan(df: DataFrame, steps, approx: bool = False) -> DataFrame
     pending: list[tuple[str, str]] = []
 
     def flush(frame):
-        return impute(frame, pending, approx) if pending else frame
+        return impute(frame, pending, method) if pending else frame
 
     for step in steps or []:
         if not isinstance(step, dict):

@@ -24,6 +24,7 @@ from ..functions.columns import (CATEGORICAL_CLASS, DATETIME_CLASS, DATETIME_LIK
 from ..functions.dates import DATETIME_FORMATS, parse_datetime
 from .analysis import frequency_table
 from .common import quantile_agg
+from .quantiles import quantiles_from_frequency
 
 DATETIME_RATIO = 0.8
 TOP_K = 5
@@ -42,24 +43,33 @@ def schema_class(dt: T.DataType) -> str | None:
     return OTHER_CLASS
 
 
-def _stats_frame(df: DataFrame, approx_quantiles: bool = False) -> DataFrame:
+def _stats_frame(df: DataFrame, quantile_method: str = "exact",
+                 approx_distinct: bool = False) -> DataFrame:
     """Scan 1: one row per column with every statistic that needs no shuffle
-    of values (all columns share one aggregation)."""
+    of values (all columns share one aggregation). The median is added here
+    only for the one-pass methods; the exact one comes from the frequency
+    table."""
     exprs: list[Column] = [F.count(F.lit(1)).alias("n_rows")]
     rows = []
     for i, f in enumerate(df.schema.fields):
         name, dt = f.name, f.dataType
         base = schema_class(dt)
         exprs.append(F.count_if(is_missing(df, name)).alias(f"m{i}"))
+        uniq = F.lit(None).cast("bigint")
+        if approx_distinct and base != OTHER_CLASS:
+            exprs.append(F.approx_count_distinct(clean_value(df, name)).alias(f"u{i}"))
+            uniq = F.col(f"u{i}")
         mean = median = var = lo = hi = F.lit(None).cast("double")
         dlo = dhi = F.lit(None).cast("timestamp_ntz")
         if base == NUMERIC_CLASS:
             x = as_double(df, name)
-            exprs += [F.avg(x).alias(f"a{i}"),
-                      quantile_agg(x, [0.5], approx_quantiles)[0].alias(f"q{i}"),
-                      F.var_samp(x).alias(f"v{i}"), F.min(x).alias(f"lo{i}"),
-                      F.max(x).alias(f"hi{i}")]
-            mean, median, var = F.col(f"a{i}"), F.col(f"q{i}"), F.col(f"v{i}")
+            exprs += [F.avg(x).alias(f"a{i}"), F.var_samp(x).alias(f"v{i}"),
+                      F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+            if quantile_method != "exact":
+                exprs.append(quantile_agg(x, [0.5], quantile_method == "approx")[0]
+                             .alias(f"q{i}"))
+                median = F.col(f"q{i}")
+            mean, var = F.col(f"a{i}"), F.col(f"v{i}")
             lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
         elif base == DATETIME_CLASS:
             exprs += [F.min(qcol(name)).cast("timestamp_ntz").alias(f"dlo{i}"),
@@ -70,6 +80,7 @@ def _stats_frame(df: DataFrame, approx_quantiles: bool = False) -> DataFrame:
             F.lit(type_name(dt)).alias("type"),
             F.lit(base).cast("string").alias("base_class"),
             F.col(f"m{i}").cast("bigint").alias("num_missing"),
+            uniq.cast("bigint").alias("approx_unique"),
             mean.cast("double").alias("mean"), median.cast("double").alias("median"),
             var.cast("double").alias("variance"), lo.cast("double").alias("min"),
             hi.cast("double").alias("max"),
@@ -107,24 +118,29 @@ def _best_format(n_rows: Column, formats=DATETIME_FORMATS) -> Column:
     return F.greatest(*cands) if len(cands) > 1 else cands[0]
 
 
-def _frequency(df: DataFrame, approx_distinct: bool) -> tuple[DataFrame | None, DataFrame]:
-    """Frequency table (all columns; text columns only when distinct counts
-    are approximate) and the distinct counts per column."""
-    text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    spark = df.sparkSession
-    if approx_distinct:
-        u = df.agg(*[F.approx_count_distinct(clean_value(df, c)).alias(f"u{i}")
-                     for i, c in enumerate(df.columns)])
-        unique = u.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(f"u{i}").cast("bigint").alias("num_unique"))
-            for i, c in enumerate(df.columns)])))
-        freq = frequency_table(df, text_cols) if text_cols else None
-        return freq, unique
-    if not df.columns:
-        return None, spark.createDataFrame([], "column_name string, num_unique bigint")
-    freq = frequency_table(df, df.columns)
-    unique = freq.groupBy("column_name").agg(F.count(F.lit(1)).alias("num_unique"))
-    return freq, unique
+def _value_micros(df: DataFrame, name: str) -> Column:
+    """A numeric or datetime column as double (datetimes as epoch micros or
+    days), for the numeric frequency table."""
+    dt = df.schema[name].dataType
+    c = qcol(name)
+    if isinstance(dt, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                                c).cast("double")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
+    return as_double(df, name)
+
+
+def _numeric_frequency(df: DataFrame, positions: list[int]) -> DataFrame:
+    """``(_k, _x, _c)`` over numeric and datetime columns, ``_k`` = position."""
+    names = df.columns
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_k"), _value_micros(df, names[i]).alias("_x"))
+        for i in positions])))
+    return long.where(F.col("_x").isNotNull()).groupBy("_k", "_x") \
+        .agg(F.count(F.lit(1)).alias("_c"))
 
 
 def _top(freq: DataFrame, text_cols: list[str], top_k: int) -> DataFrame:
@@ -154,7 +170,7 @@ def top_values(df: DataFrame, top_k: int = TOP_K) -> DataFrame:
 
 
 def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
-            approx_quantiles: bool = False) -> DataFrame:
+            quantile_method: str = "exact") -> DataFrame:
     """Full profile, one row per column.
 
     Columns: column_name, position, type, class (numeric / datetime /
@@ -163,17 +179,40 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
     datetime_ratio, datetime_format (text), top_values (categorical only),
     num_rows, num_cols.
 
-    Two scans: the statistics aggregation and the frequency table (which
-    also feeds distinct counts, top values and datetime detection). The
-    per-column pieces are joined by broadcast: one row per column each.
+    Three pieces, all lazy: the statistics aggregation; the numeric
+    frequency table (numeric and datetime columns as doubles, keyed by
+    position) giving distinct counts and exact medians; the text frequency
+    table giving distinct counts, top values and datetime detection. Each
+    piece has one row per column and is joined by broadcast (size bounded
+    by the schema width). ``approx_distinct`` replaces exact distinct counts
+    by HyperLogLog sketches; ``quantile_method`` as in :mod:`quantiles`.
     """
-    text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    stats = _stats_frame(df, approx_quantiles)
-    freq, unique = _frequency(df, approx_distinct)
-    out = stats.join(F.broadcast(unique), "column_name", "left")
-    if text_cols and freq is not None:
-        out = out.join(F.broadcast(_text_dates(freq, text_cols)), "column_name", "left") \
-            .join(F.broadcast(_top(freq, text_cols, top_k)), "column_name", "left")
+    fields = df.schema.fields
+    num_pos = [i for i, f in enumerate(fields) if schema_class(f.dataType) == NUMERIC_CLASS]
+    dt_pos = [i for i, f in enumerate(fields) if schema_class(f.dataType) == DATETIME_CLASS]
+    text_cols = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    out = _stats_frame(df, quantile_method, approx_distinct)
+
+    exact_median = quantile_method == "exact" and bool(num_pos)
+    if (num_pos or dt_pos) and (exact_median or not approx_distinct):
+        nf = _numeric_frequency(df, num_pos + dt_pos)
+        if not approx_distinct:
+            nu = nf.groupBy(F.col("_k").alias("position")).agg(
+                F.count(F.lit(1)).alias("num_unique_n"))
+            out = out.join(F.broadcast(nu), "position", "left")
+        if exact_median:
+            med = quantiles_from_frequency(nf.where(F.col("_k").isin(num_pos)), ["_k"], [0.5],
+                                           small_keys=True)
+            med = med.select(F.col("_k").alias("position"), F.col("q")[0].alias("median_x"))
+            out = out.join(F.broadcast(med), "position", "left") \
+                .withColumn("median", F.coalesce("median", "median_x"))
+    if text_cols:
+        tf = frequency_table(df, text_cols)
+        if not approx_distinct:
+            tu = tf.groupBy("column_name").agg(F.count(F.lit(1)).alias("num_unique_t"))
+            out = out.join(F.broadcast(tu), "column_name", "left")
+        out = out.join(F.broadcast(_text_dates(tf, text_cols)), "column_name", "left") \
+            .join(F.broadcast(_top(tf, text_cols, top_k)), "column_name", "left")
         best = _best_format(F.col("n_rows").cast("double"))
     else:
         best = F.struct(F.lit(None).cast("double").alias("ratio"),
@@ -182,13 +221,18 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
                         F.lit(None).cast("timestamp_ntz").alias("hi"))
         out = out.withColumn("top_values", F.lit(None).cast(
             "array<struct<rank:int,value:string,count:bigint>>"))
+    for c in ("num_unique_n", "num_unique_t"):
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("bigint"))
     out = out.withColumn("_best", F.when(F.col("base_class").isNull(), best))
     is_dt = F.col("_best.ratio") >= F.lit(DATETIME_RATIO)
     klass = F.coalesce(F.col("base_class"),
                        F.when(is_dt, F.lit(DATETIME_LIKE_CLASS)).otherwise(F.lit(CATEGORICAL_CLASS)))
+    uniq = F.coalesce("approx_unique", "num_unique_n", "num_unique_t",
+                      F.when(F.col("base_class") != OTHER_CLASS, F.lit(0)))
     return out.select(
         "column_name", "position", "type", klass.alias("class"), "num_missing",
-        F.coalesce(F.col("num_unique"), F.lit(0)).cast("bigint").alias("num_unique"),
+        uniq.cast("bigint").alias("num_unique"),
         "mean", "median", "variance", "min", "max",
         F.coalesce(F.col("dt_min"), F.when(is_dt, F.col("_best.lo"))).alias("datetime_min"),
         F.coalesce(F.col("dt_max"), F.when(is_dt, F.col("_best.hi"))).alias("datetime_max"),
@@ -227,12 +271,13 @@ def profile_shape(df: DataFrame) -> DataFrame:
         .select("num_rows", F.lit(len(df.columns)).cast("bigint").alias("num_cols"))
 
 
-def column_stats(df: DataFrame, approx_quantiles: bool = False) -> DataFrame:
-    """Scan-1 statistics only (no frequency table): one row per column with
-    missing counts, numeric moments and median, datetime bounds."""
-    return _stats_frame(df, approx_quantiles)
+def column_stats(df: DataFrame) -> DataFrame:
+    """Scan-1 statistics only (no frequency tables, so no median and no
+    distinct counts): one row per column with missing counts, numeric
+    moments and bounds, datetime bounds."""
+    return _stats_frame(df, "exact")
 
 
 def unique_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     """``(column_name, num_unique)``: distinct non-null values per column."""
-    return _frequency(df, approx)[1]
+    return profile(df, approx_distinct=approx).select("column_name", "num_unique")

@@ -1,8 +1,8 @@
 """Exact quantiles (linear interpolation) with bounded work per task.
 
-Spark's ``percentile`` keeps a value->count map per group and merges all
-of a group's maps in one task, so its memory grows with the number of
-distinct values. This operator computes the same numbers as a plan of
+Spark's ``percentile`` keeps a value->count map per group and merges all of
+a group's maps in one task, so its memory grows with the number of distinct
+values. The default method here computes the same numbers as a plan of
 shuffles and small windows instead:
 
 1. frequency table ``(keys, x, c)``: hot values collapse map-side;
@@ -15,9 +15,13 @@ shuffles and small windows instead:
    at ranks ``floor(p(n-1))`` and the next one, which are interpolated.
 
 No step holds all distinct values of a key: the final sort sees only the
-distinct values of the few target buckets. The work is a few shuffles of the
-frequency table, so for wide-range data with few repeats it costs about as
-much as a sort-free aggregation plus one small sort per wanted rank.
+distinct values of the few target buckets (equal-width buckets, so a key
+whose values crowd into one bucket sorts that bucket's distinct values, in
+one task, spilling if needed). A hot key is split by buckets as well.
+
+Methods: ``exact`` (above), ``percentile`` (Spark's aggregate: one pass,
+memory grows with distinct values per group), ``approx``
+(``percentile_approx``: bounded sketch, rank error 1/accuracy).
 """
 
 from __future__ import annotations
@@ -26,35 +30,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 1024
+METHODS = ("exact", "percentile", "approx")
+APPROX_ACCURACY = 10000
 
 
-def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
+def _bc(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: list[float],
-                    buckets: int = DEFAULT_BUCKETS, small_keys: bool = True) -> DataFrame:
-    """``(*keys, q)`` where ``q`` is an array of the quantiles at ``probs``
-    of the non-null values of ``x`` per key (NULLs when a key has no value).
+def numeric_frequency(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(_k, _x, _c)``: counts of each non-null value of several numeric
+    columns (``_k`` = position in ``columns``), one shuffle for all."""
+    from ..functions.columns import as_double
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_k"), as_double(df, c).alias("_x"))
+        for i, c in enumerate(columns)])))
+    return long.where(F.col("_x").isNotNull()).groupBy("_k", "_x") \
+        .agg(F.count(F.lit(1)).alias("_c"))
 
-    ``small_keys``: the number of distinct keys is bounded (for example
-    column names); the per-key tables are then broadcast. For a group-by on
-    data keys pass False and let adaptive execution choose the joins.
-    """
+
+def quantiles_from_frequency(freq: DataFrame, keys: list[str], probs: list[float],
+                             buckets: int = DEFAULT_BUCKETS, small_keys: bool = True
+                             ) -> DataFrame:
+    """``(*keys, _n, q)`` from a frequency table ``(*keys, _x, _c)``; one row
+    per key that has values."""
     probs = [float(p) for p in probs]
     kc = [F.col(k) for k in keys]
-    vals = df.select(*kc, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    freq = vals.groupBy(*kc, "_x").agg(F.count(F.lit(1)).alias("_c"))
     rng = freq.groupBy(*kc).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
                                 F.sum("_c").alias("_n"))
     width = F.col("_hi") - F.col("_lo")
     bucket = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("_x") - F.col("_lo")) / width * buckets), F.lit(buckets - 1)))
-    fb = (freq.join(_maybe_broadcast(rng, small_keys), keys) if keys
-          else freq.crossJoin(F.broadcast(rng)))
+    fb = freq.join(_bc(rng, small_keys), keys) if keys else freq.crossJoin(F.broadcast(rng))
     fb = fb.select(*kc, "_x", "_c", bucket.cast("int").alias("_b"))
 
-    # rank range [_start, _end) of each bucket (a window over <= buckets rows per key)
+    # rank range [_start, _end) of each bucket: a window over <= buckets rows per key
     btot = fb.groupBy(*kc, "_b").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(*kc).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     btot = btot.withColumn("_end", F.sum("_bc").over(wb)) \
@@ -63,50 +73,79 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: list[float],
     # wanted ranks: floor(p(n-1)) and the next one, per probability
     targets = []
     for i, p in enumerate(probs):
-        pos = F.lit(p) * (F.col("_n") - 1)
-        k = F.floor(pos)
+        k = F.floor(F.lit(p) * (F.col("_n") - 1))
         targets.append(F.struct(F.lit(i).alias("_i"), F.lit(0).alias("_s"), k.alias("_r")))
         targets.append(F.struct(F.lit(i).alias("_i"), F.lit(1).alias("_s"),
                                 F.least(k + 1, F.col("_n") - 1).alias("_r")))
-    tg = rng.select(*kc, "_n", F.inline(F.array(*targets)))
-    tb = (tg.join(_maybe_broadcast(btot, small_keys), keys) if keys else tg.crossJoin(btot)) \
+    tg = rng.select(*kc, F.inline(F.array(*targets)))
+    tb = (tg.join(_bc(btot, small_keys), keys) if keys else tg.crossJoin(F.broadcast(btot))) \
         .where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_end"))) \
         .select(*kc, "_i", "_s", "_r", "_b", "_start")
     need = tb.select(*kc, "_b", "_start").distinct()
 
-    # values of the target buckets only, with their rank ranges
-    inb = fb.join(F.broadcast(need), keys + ["_b"]) if small_keys else fb.join(need, keys + ["_b"])
+    # only the values of target buckets are sorted
+    inb = fb.join(_bc(need, small_keys), keys + ["_b"])
     wv = Window.partitionBy(*kc, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     inb = inb.withColumn("_cend", F.col("_start") + F.sum("_c").over(wv)) \
-        .withColumn("_cstart", F.col("_cend") - F.col("_c"))
-    hit = tb.drop("_start").join(inb.drop("_start"), keys + ["_b"]) \
+        .withColumn("_cstart", F.col("_cend") - F.col("_c")).drop("_start")
+    hit = tb.drop("_start").join(inb, keys + ["_b"]) \
         .where((F.col("_cstart") <= F.col("_r")) & (F.col("_r") < F.col("_cend")))
-
-    # one row per key: v_k and v_k+1 per probability, then interpolate
     picked = hit.groupBy(*kc).agg(*[
         F.max(F.when((F.col("_i") == i) & (F.col("_s") == s), F.col("_x"))).alias(f"_v{i}_{s}")
         for i in range(len(probs)) for s in (0, 1)])
-    out = (rng.join(picked, keys, "left") if keys else rng.crossJoin(picked))
+    out = rng.join(_bc(picked, small_keys), keys, "left") if keys else rng.crossJoin(picked)
     qs = []
     for i, p in enumerate(probs):
         pos = F.lit(p) * (F.col("_n") - 1)
         frac = pos - F.floor(pos)
         lo, hi = F.col(f"_v{i}_0"), F.col(f"_v{i}_1")
         qs.append(F.when(frac == 0, lo).otherwise(lo + (hi - lo) * frac))
-    q = F.array(*qs).alias("q")
-    # keys without any non-null value get no row; the global result is one row
-    return out.select(*kc, q)
+    return out.select(*kc, "_n", F.array(*qs).alias("q"))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: list[float],
+                    buckets: int = DEFAULT_BUCKETS, small_keys: bool = False) -> DataFrame:
+    """``(*keys, q)``: quantiles of the non-null values of ``x`` per key
+    (keys without values get no row; with no keys, one row always).
+
+    ``small_keys``: the number of keys is bounded (e.g. column names), so
+    per-key tables are broadcast; otherwise adaptive execution picks joins.
+    """
+    kc = [F.col(k) for k in keys]
+    vals = df.select(*kc, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    freq = vals.groupBy(*kc, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    return quantiles_from_frequency(freq, keys, probs, buckets, small_keys or not keys) \
+        .drop("_n")
+
+
+def quantile_frame(df: DataFrame, x: str, probs: list[float], method: str = "exact",
+                   keys: list[str] | None = None, small_keys: bool = False) -> DataFrame:
+    """``(*keys, q)`` by any method (see module doc)."""
+    keys = list(keys or [])
+    if method == "exact":
+        return exact_quantiles(df, keys, x, probs, small_keys=small_keys)
+    v = F.col(x).cast("double")
+    e = (F.percentile_approx(v, [float(p) for p in probs], APPROX_ACCURACY) if method == "approx"
+         else F.percentile(v, F.array(*[F.lit(float(p)) for p in probs])))
+    agg = df.groupBy(*keys).agg(e.alias("q")) if keys else df.agg(e.alias("q"))
+    return agg.where(F.col("q").isNotNull()) if keys else agg
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                     buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """``(column_name, q)`` for several numeric columns at once: the columns
-    are unpivoted into one long frame and share every shuffle."""
+                     method: str = "exact", freq: DataFrame | None = None) -> DataFrame:
+    """``(column_name, q)`` for several numeric columns (all share the
+    shuffles); ``freq`` may pass a ready :func:`numeric_frequency` table."""
     from ..functions.columns import as_double
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), as_double(df, c).alias("x")) for c in columns])))
-    q = exact_quantiles(long, ["column_name"], "x", probs, buckets, small_keys=True)
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
-    return names.join(F.broadcast(q), "column_name", "left").select(
-        "column_name", F.coalesce(F.col("q"), F.array(*[F.lit(None).cast("double")
-                                                         for _ in probs])).alias("q"))
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)],
+                                            "_k int, column_name string")
+    nulls = F.array(*[F.lit(None).cast("double") for _ in probs])
+    if method == "exact":
+        f = freq if freq is not None else numeric_frequency(df, columns)
+        q = quantiles_from_frequency(f, ["_k"], probs, small_keys=True).drop("_n")
+    else:
+        long = df.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("_k"), as_double(df, c).alias("_x"))
+            for i, c in enumerate(columns)])))
+        q = quantile_frame(long, "_x", probs, method, ["_k"])
+    return names.join(F.broadcast(q), "_k", "left").select(
+        "_k", "column_name", F.coalesce(F.col("q"), nulls).alias("q"))
