@@ -20,6 +20,7 @@ from .quantiles import column_quantiles, quantile_frame
 
 DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 GROUP_AGGS = ("mean", "sum", "min", "max", "median", "count")
+SMALL_GROUPS = 10000
 
 
 def missing_values(df: DataFrame) -> DataFrame:
@@ -172,7 +173,12 @@ def groupby_agg(df: DataFrame, by: str, target: str, agg: str = "mean",
     if agg == "median":
         base = keyed.select(qcol(by).alias(by), x.alias("_v"))
         groups = base.groupBy(by).agg(F.count(F.lit(1)).alias("_rows"))
-        med = quantile_frame(base, "_v", [0.5], method, [by])
+        # a few groups: per-group tables are broadcast into two scans; many
+        # groups: a frequency table is shuffled instead (one small action to
+        # choose, a HyperLogLog count of the groups)
+        small = method != "exact" or \
+            base.agg(F.approx_count_distinct(by)).first()[0] <= SMALL_GROUPS
+        med = quantile_frame(base, "_v", [0.5], method, [by], small_keys=small)
         return groups.join(med, by, "left").select(by, F.col("q")[0].alias("median"))
     if agg == "mean":
         e = F.avg(x)

@@ -2,26 +2,26 @@
 
 Spark's ``percentile`` keeps a value->count map per group and merges all of
 a group's maps in one task, so its memory grows with the number of distinct
-values. The default method here computes the same numbers as a plan of
-shuffles and small windows instead:
-
-1. frequency table ``(keys, x, c)``: hot values collapse map-side;
-2. per key: n, min, max; values are cut into ``buckets`` equal-width
-   ranges and each bucket's count is summed (<= ``buckets`` rows per key);
-3. a running sum over the bucket counts (a window over <= ``buckets`` rows
-   per key) gives the rank range of every bucket;
-4. only the buckets that hold a wanted rank are kept; inside them, values
-   are sorted by a window partitioned by (keys, bucket) to find the values
-   at ranks ``floor(p(n-1))`` and the next one, which are interpolated.
-
-No step holds all distinct values of a key: the final sort sees only the
-distinct values of the few target buckets (equal-width buckets, so a key
-whose values crowd into one bucket sorts that bucket's distinct values, in
-one task, spilling if needed). A hot key is split by buckets as well.
-
-Methods: ``exact`` (above), ``percentile`` (Spark's aggregate: one pass,
-memory grows with distinct values per group), ``approx``
-(``percentile_approx``: bounded sketch, rank error 1/accuracy).
+values (a column of 10^10 distinct doubles cannot be done that way). The
+default ``exact`` method computes the same numbers (same interpolation
+arithmetic) without ever holding a key's values together:
+
+* ``scan_quantiles`` (columns, global, few groups): min/max per key; counts
+  per (key, equal-width bucket) as a map-side aggregate of <= 4096 rows per
+  key; a running sum over those rows gives each bucket's rank range; a
+  second scan keeps only rows in the buckets that hold a wanted rank, which
+  are counted per value and ranked inside their bucket. No shuffle of the
+  input rows at all; hot values and hot keys only raise counters.
+* ``quantiles_from_frequency`` (many groups): the same bucket logic on a
+  frequency table ``(keys, x, c)``, which shuffles distinct (key, value)
+  pairs once (map-side combined) instead of broadcasting per-key tables.
+
+A bucket that holds most distinct values of a key (very skewed values) is
+sorted in one task, spilling to disk if needed.
+
+Other methods: ``percentile`` (Spark's aggregate; one pass, memory grows with
+distinct values per group), ``approx`` (``percentile_approx``, bounded sketch,
+rank error 1/accuracy).
 """
 
 from __future__ import annotations
@@ -94,13 +94,91 @@ def quantiles_from_frequency(freq: DataFrame, keys: list[str], probs: list[float
         F.max(F.when((F.col("_i") == i) & (F.col("_s") == s), F.col("_x"))).alias(f"_v{i}_{s}")
         for i in range(len(probs)) for s in (0, 1)])
     out = rng.join(_bc(picked, small_keys), keys, "left") if keys else rng.crossJoin(picked)
+    return out.select(*kc, "_n", _interpolate(probs).alias("q"))
+
+
+SCAN_BUCKETS = 4096
+
+
+def _range_bucket(buckets: int):
+    """Equal-width bucket of ``_x`` within [_lo, _hi]: monotone in the value;
+    -inf / +inf get the outer buckets, an infinite range puts every finite
+    value in bucket 0 (ranks stay right, only the in-bucket sort grows)."""
+    x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
+    width = hi - lo
+    inf = F.lit(float("inf"))
+    finite = (F.abs(width) < inf) & (width > 0)
+    return (F.when(x == -inf, F.lit(-1)).when(x == inf, F.lit(buckets))
+            .when(~finite, F.lit(0))
+            .otherwise(F.least(F.floor((x - lo) / width * buckets), F.lit(buckets - 1)))
+            ).cast("int")
+
+
+def scan_quantiles(df: DataFrame, keys: list[str], x: str, probs: list[float],
+                   small_keys: bool = True, ranges: DataFrame | None = None,
+                   buckets: int = SCAN_BUCKETS) -> DataFrame:
+    """``(*keys, _n, q)`` in three scans of ``df`` and no shuffle of its rows:
+
+    0. min and max per key (skipped when ``ranges`` ``(*keys, _lo, _hi)`` is
+       given);
+    1. counts per (keys, equal-width bucket): a map-side aggregate of at most
+       ``buckets`` rows per key; a running sum over them (a window over those
+       few rows) gives each bucket's rank range;
+    2. only rows of the buckets holding a wanted rank are read again, counted
+       per value and ranked inside their bucket (window per key and bucket).
+
+    ``small_keys``: the number of keys is bounded (columns, a few groups), so
+    the per-key tables are broadcast into the scans.
+    """
+    probs = [float(p) for p in probs]
+    kc = [F.col(k) for k in keys]
+    vals = df.select(*kc, F.col(x).cast("double").alias("_x")) \
+        .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    rng = ranges if ranges is not None else \
+        vals.groupBy(*kc).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    vb = vals.join(_bc(rng, small_keys), keys) if keys else vals.crossJoin(F.broadcast(rng))
+    vb = vb.select(*kc, "_x", _range_bucket(buckets).alias("_b"))
+    btot = vb.groupBy(*kc, "_b").agg(F.count(F.lit(1)).alias("_bc"))
+    wrun = Window.partitionBy(*kc).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    wall = Window.partitionBy(*kc)
+    btot = btot.withColumn("_end", F.sum("_bc").over(wrun)) \
+        .withColumn("_n", F.sum("_bc").over(wall)) \
+        .withColumn("_start", F.col("_end") - F.col("_bc"))
+    targets = []
+    for i, p in enumerate(probs):
+        k = F.floor(F.lit(p) * (F.col("_n") - 1))
+        targets.append(F.struct(F.lit(i).alias("_i"), F.lit(0).alias("_s"), k.alias("_r")))
+        targets.append(F.struct(F.lit(i).alias("_i"), F.lit(1).alias("_s"),
+                                F.least(k + 1, F.col("_n") - 1).alias("_r")))
+    tb = btot.select(*kc, "_b", "_start", "_end", "_n", F.inline(F.array(*targets))) \
+        .where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
+    need = tb.select(*kc, "_b", "_start").distinct()
+    inb = vb.join(_bc(need, small_keys), keys + ["_b"]) \
+        .groupBy(*kc, "_b", "_start", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    wv = Window.partitionBy(*kc, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    inb = inb.withColumn("_cend", F.col("_start") + F.sum("_c").over(wv)) \
+        .withColumn("_cstart", F.col("_cend") - F.col("_c")).drop("_start")
+    hit = tb.select(*kc, "_b", "_i", "_s", "_r", "_n").join(inb, keys + ["_b"]) \
+        .where((F.col("_cstart") <= F.col("_r")) & (F.col("_r") < F.col("_cend")))
+    picked = hit.groupBy(*kc).agg(F.max("_n").alias("_n"), *[
+        F.max(F.when((F.col("_i") == i) & (F.col("_s") == s), F.col("_x"))).alias(f"_v{i}_{s}")
+        for i in range(len(probs)) for s in (0, 1)])
+    if not keys:
+        one = df.sparkSession.range(1).select(F.lit(1).alias("_one"))
+        picked = one.join(picked.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    return picked.select(*kc, "_n", _interpolate(probs).alias("q"))
+
+
+def _interpolate(probs: list[float]):
+    """Linear interpolation between the values at floor/ceil of p(n-1), in
+    the same arithmetic as Spark's ``percentile``."""
     qs = []
     for i, p in enumerate(probs):
         pos = F.lit(p) * (F.col("_n") - 1)
-        frac = pos - F.floor(pos)
         lo, hi = F.col(f"_v{i}_0"), F.col(f"_v{i}_1")
-        qs.append(F.when(frac == 0, lo).otherwise(lo + (hi - lo) * frac))
-    return out.select(*kc, "_n", F.array(*qs).alias("q"))
+        mixed = (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi
+        qs.append(F.when((F.ceil(pos) == F.floor(pos)) | (lo == hi), lo).otherwise(mixed))
+    return F.array(*qs)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: list[float],
@@ -111,11 +189,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: list[float],
     ``small_keys``: the number of keys is bounded (e.g. column names), so
     per-key tables are broadcast; otherwise adaptive execution picks joins.
     """
+    if small_keys or not keys:
+        return scan_quantiles(df, keys, x, probs, small_keys=True).drop("_n")
     kc = [F.col(k) for k in keys]
     vals = df.select(*kc, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     freq = vals.groupBy(*kc, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    return quantiles_from_frequency(freq, keys, probs, buckets, small_keys or not keys) \
-        .drop("_n")
+    return quantiles_from_frequency(freq, keys, probs, buckets, False).drop("_n")
 
 
 def quantile_frame(df: DataFrame, x: str, probs: list[float], method: str = "exact",
@@ -139,13 +218,20 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)],
                                             "_k int, column_name string")
     nulls = F.array(*[F.lit(None).cast("double") for _ in probs])
-    if method == "exact":
-        f = freq if freq is not None else numeric_frequency(df, columns)
-        q = quantiles_from_frequency(f, ["_k"], probs, small_keys=True).drop("_n")
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_k"), as_double(df, c).alias("_x"))
+        for i, c in enumerate(columns)])))
+    if method == "exact" and freq is not None:
+        q = quantiles_from_frequency(freq, ["_k"], probs, small_keys=True).drop("_n")
+    elif method == "exact":
+        # min/max of all columns in one wide aggregation (no unpivot needed)
+        wide = df.agg(*[f(as_double(df, c)).alias(f"{n}{i}") for i, c in enumerate(columns)
+                        for f, n in ((F.min, "lo"), (F.max, "hi"))])
+        ranges = wide.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("_k"), F.col(f"lo{i}").alias("_lo"),
+                     F.col(f"hi{i}").alias("_hi")) for i in range(len(columns))])))
+        q = scan_quantiles(long, ["_k"], "_x", probs, small_keys=True, ranges=ranges).drop("_n")
     else:
-        long = df.select(F.inline(F.array(*[
-            F.struct(F.lit(i).alias("_k"), as_double(df, c).alias("_x"))
-            for i, c in enumerate(columns)])))
         q = quantile_frame(long, "_x", probs, method, ["_k"])
     return names.join(F.broadcast(q), "_k", "left").select(
         "_k", "column_name", F.coalesce(F.col("q"), nulls).alias("q"))
