@@ -83,11 +83,14 @@ def section_bullets(df: DataFrame, column: str, keys: list[str] | None = None,
     ``(*keys, line_no, bullet)`` with ``line_no`` 0-based in the text.
     """
     keys = list(keys or [])
-    lines = F.transform(split_lines(qcol(column)), lambda x: py_strip(x))
-    is_head = F.transform(lines, lambda x: x.rlike(header))
-    first = F.array_position(is_head, True)  # 1-based, 0 when absent
-    base = df.select(*[qcol(k) for k in keys], first.alias("_hdr"),
-                     F.posexplode(lines).alias("line_no", "_line"))
+    kc = [qcol(k) for k in keys]
+    # materialise the line array once per text, then its header position,
+    # then explode (so no expression is re-evaluated per generated line)
+    staged = df.select(*kc, F.transform(split_lines(qcol(column)), lambda x: py_strip(x))
+                       .alias("_lines"))
+    first = F.array_position(F.transform("_lines", lambda x: x.rlike(header)), True)
+    staged = staged.select(*kc, "_lines", first.alias("_hdr")).where(F.col("_hdr") > 0)
+    base = staged.select(*kc, "_hdr", F.posexplode("_lines").alias("line_no", "_line"))
     keep = ((F.col("_hdr") > 0) & (F.col("line_no") + 1 > F.col("_hdr"))
             & (F.col("_line") != "") & ~F.col("_line").rlike(header)
             & F.col("_line").rlike(BULLET_RE))
