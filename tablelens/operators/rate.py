@@ -94,14 +94,29 @@ def rate_admission(df: DataFrame, key: str, ts: str, limit: int, window_seconds:
     return staged.mapInPandas(run, schema).drop("_t")
 
 
-def rate_window_count(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float
-                      ) -> DataFrame:
+def rate_window_count(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float,
+                      chunk_windows: int = 16) -> DataFrame:
     """Plain sliding count: ``recent`` = earlier events of the key in
     ``(t - window, t)`` (rejected ones included), ``allowed`` = recent < limit.
-    A range frame over the key's events sorted by time (spills when large)."""
+
+    The range window is partitioned by (key, time chunk) rather than by key
+    alone, so a hot key is spread over as many tasks as its timeline has
+    chunks. A chunk spans ``chunk_windows`` windows; the events of the last
+    window before a chunk are copied into it as context rows (counted, not
+    output), which is all a frame of one window can reach. The copy costs
+    1/chunk_windows of the rows.
+    """
     window_us = int(round(float(window_seconds) * 1_000_000))
-    w = Window.partitionBy(qcol(key)).orderBy(F.col("_t")).rangeBetween(-(window_us - 1), -1)
-    out = df.withColumn("_t", epoch_micros(qcol(ts))) \
-        .withColumn("recent", F.count(F.lit(1)).over(w)) \
+    chunk_us = window_us * max(1, int(chunk_windows))
+    t = epoch_micros(qcol(ts))
+    base = df.withColumn("_t", t).withColumn("_chunk", F.floor(F.col("_t") / F.lit(chunk_us)))
+    base = base.withColumn("_own", F.lit(True))
+    # events within one window before the end of their chunk also feed the next chunk
+    tail = base.where(F.col("_t") >= (F.col("_chunk") + 1) * F.lit(chunk_us) - F.lit(window_us)) \
+        .withColumn("_chunk", F.col("_chunk") + 1).withColumn("_own", F.lit(False))
+    both = base.unionByName(tail)
+    w = Window.partitionBy(qcol(key), F.col("_chunk")).orderBy(F.col("_t")) \
+        .rangeBetween(-(window_us - 1), -1)
+    out = both.withColumn("recent", F.count(F.lit(1)).over(w)).where(F.col("_own")) \
         .withColumn("allowed", F.col("recent") < F.lit(int(limit)))
-    return out.drop("_t")
+    return out.drop("_t", "_chunk", "_own")

@@ -84,3 +84,11 @@ def test_rank_items(spark):
            RT.rank_items(df, "q", "rel", "sig", "pos").collect()]
     assert got == [(1, "q5", 95.0, 10.0), (2, "q0", 90.0, 80.0), (3, "q1", 90.0, 80.0),
                    (4, "q3", 50.0, 50.0), (5, "q4", 50.0, 50.0)]
+
+
+def test_window_count_chunking_is_exact(spark):
+    ev = spark.read.parquet(EVENTS).select("event_id", "user_id", "ts")
+    one = {r.event_id: r.recent for r in R.rate_window_count(ev, "user_id", "ts", 2, 7200, 1).collect()}
+    whole = {r.event_id: r.recent for r in
+             R.rate_window_count(ev, "user_id", "ts", 2, 7200, 10 ** 6).collect()}
+    assert one == whole and max(one.values()) >= 1
