@@ -24,7 +24,7 @@ from ..functions.columns import (CATEGORICAL_CLASS, DATETIME_CLASS, DATETIME_LIK
 from ..functions.dates import DATETIME_FORMATS, parse_datetime
 from .analysis import frequency_table
 from .common import quantile_agg
-from .quantiles import quantiles_from_bucketed, range_bucket
+from .quantiles import quantiles_from_frequency
 
 DATETIME_RATIO = 0.8
 TOP_K = 5
@@ -133,18 +133,14 @@ def _value_micros(df: DataFrame, name: str) -> Column:
     return as_double(df, name)
 
 
-def _numeric_frequency(df: DataFrame, positions: list[int], ranges: DataFrame) -> DataFrame:
-    """``(_k, _b, _x, _c)`` over numeric and datetime columns (``_k`` =
-    position, ``_b`` = equal-width bucket within the column's min/max from
-    ``ranges``, 0 for datetime columns): one shuffle of distinct values,
-    combined map-side."""
+def _numeric_frequency(df: DataFrame, positions: list[int]) -> DataFrame:
+    """``(_k, _x, _c)`` over numeric and datetime columns, ``_k`` = position."""
     names = df.columns
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("_k"), _value_micros(df, names[i]).alias("_x"))
         for i in positions])))
-    long = long.where(F.col("_x").isNotNull()).join(F.broadcast(ranges), "_k", "left")
-    b = range_bucket(F.col("_x"), F.col("_lo"), F.col("_hi"))
-    return long.groupBy("_k", b.alias("_b"), "_x").agg(F.count(F.lit(1)).alias("_c"))
+    return long.where(F.col("_x").isNotNull()).groupBy("_k", "_x") \
+        .agg(F.count(F.lit(1)).alias("_c"))
 
 
 def _top(freq: DataFrame, text_cols: list[str], top_k: int) -> DataFrame:
@@ -199,18 +195,14 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
 
     exact_median = quantile_method == "exact" and bool(num_pos)
     if (num_pos or dt_pos) and (exact_median or not approx_distinct):
-        # numeric/datetime values counted per (column, bucket, value); the
-        # buckets come from the min/max already in the statistics row
-        ranges = out.where(F.col("base_class") == NUMERIC_CLASS) \
-            .select(F.col("position").alias("_k"), F.col("min").alias("_lo"),
-                    F.col("max").alias("_hi"))
-        nf = _numeric_frequency(df, num_pos + dt_pos, ranges)
+        nf = _numeric_frequency(df, num_pos + dt_pos)
         if not approx_distinct:
             nu = nf.groupBy(F.col("_k").alias("position")).agg(
                 F.count(F.lit(1)).alias("num_unique_n"))
             out = out.join(F.broadcast(nu), "position", "left")
         if exact_median:
-            med = quantiles_from_bucketed(nf.where(F.col("_k").isin(num_pos)), ["_k"], [0.5])
+            med = quantiles_from_frequency(nf.where(F.col("_k").isin(num_pos)), ["_k"], [0.5],
+                                           small_keys=True)
             med = med.select(F.col("_k").alias("position"), F.col("q")[0].alias("median_x"))
             out = out.join(F.broadcast(med), "position", "left") \
                 .withColumn("median", F.coalesce("median", "median_x"))
