@@ -169,51 +169,6 @@ def scan_quantiles(df: DataFrame, keys: list[str], x: str, probs: list[float],
     return picked.select(*kc, "_n", _interpolate(probs).alias("q"))
 
 
-def quantiles_from_bucketed(fb: DataFrame, keys: list[str], probs: list[float],
-                            small_keys: bool = True) -> DataFrame:
-    """``(*keys, _n, q)`` from a bucketed frequency table ``(*keys, _b, _x,
-    _c)`` whose bucket ids are monotone in ``_x`` within each key: one pass
-    for the bucket counts, one for the values of the target buckets."""
-    probs = [float(p) for p in probs]
-    kc = [F.col(k) for k in keys]
-    btot = fb.groupBy(*kc, "_b").agg(F.sum("_c").alias("_bc"))
-    wrun = Window.partitionBy(*kc).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    btot = btot.withColumn("_end", F.sum("_bc").over(wrun)) \
-        .withColumn("_n", F.sum("_bc").over(Window.partitionBy(*kc))) \
-        .withColumn("_start", F.col("_end") - F.col("_bc"))
-    targets = []
-    for i, p in enumerate(probs):
-        k = F.floor(F.lit(p) * (F.col("_n") - 1))
-        targets.append(F.struct(F.lit(i).alias("_i"), F.lit(0).alias("_s"), k.alias("_r")))
-        targets.append(F.struct(F.lit(i).alias("_i"), F.lit(1).alias("_s"),
-                                F.least(k + 1, F.col("_n") - 1).alias("_r")))
-    tb = btot.select(*kc, "_b", "_start", "_end", "_n", F.inline(F.array(*targets))) \
-        .where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
-    need = tb.select(*kc, "_b", "_start").distinct()
-    inb = fb.join(_bc(need, small_keys), keys + ["_b"])
-    wv = Window.partitionBy(*kc, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    inb = inb.withColumn("_cend", F.col("_start") + F.sum("_c").over(wv)) \
-        .withColumn("_cstart", F.col("_cend") - F.col("_c")).drop("_start")
-    hit = tb.select(*kc, "_b", "_i", "_s", "_r", "_n").join(inb, keys + ["_b"]) \
-        .where((F.col("_cstart") <= F.col("_r")) & (F.col("_r") < F.col("_cend")))
-    picked = hit.groupBy(*kc).agg(F.max("_n").alias("_n"), *[
-        F.max(F.when((F.col("_i") == i) & (F.col("_s") == s), F.col("_x"))).alias(f"_v{i}_{s}")
-        for i in range(len(probs)) for s in (0, 1)])
-    return picked.select(*kc, "_n", _interpolate(probs).alias("q"))
-
-
-def range_bucket(x, lo, hi, buckets: int = SCAN_BUCKETS):
-    """Public form of the equal-width bucket for callers that already know
-    each key's min and max."""
-    width = hi - lo
-    inf = F.lit(float("inf"))
-    finite = (F.abs(width) < inf) & (width > 0)
-    return (F.when(x == -inf, F.lit(-1)).when(x == inf, F.lit(buckets))
-            .when(~finite | lo.isNull(), F.lit(0))
-            .otherwise(F.least(F.floor((x - lo) / width * buckets), F.lit(buckets - 1)))
-            ).cast("int")
-
-
 def _interpolate(probs: list[float]):
     """Linear interpolation between the values at floor/ceil of p(n-1), in
     the same arithmetic as Spark's ``percentile``."""
