@@ -63,12 +63,16 @@ def rate_admission(df: DataFrame, key: str, ts: str, limit: int, window_seconds:
                    tiebreak: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Input rows plus ``allowed`` (boolean).
 
-    Events of a key are judged in (ts, tiebreak) order. ``num_partitions``
+    Events of a key are judged in (ts, tiebreak) order; without a tiebreak
+    column, ties are broken by the other columns so the order is total and a
+    recomputed partition reproduces the same decisions. ``num_partitions``
     defaults to ``spark.sql.shuffle.partitions``.
     """
     window_us = int(round(float(window_seconds) * 1_000_000))
     limit = int(limit)
-    order = [qcol(key), F.col("_t")] + ([qcol(tiebreak)] if tiebreak else [])
+    # a total order, so a re-run task (lost executor) makes the same decisions
+    ties = [tiebreak] if tiebreak else sorted(c for c in df.columns if c not in (key, ts))
+    order = [qcol(key), F.col("_t")] + [qcol(c) for c in ties]
     staged = df.withColumn("_t", epoch_micros(qcol(ts)))
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     staged = staged.repartition(parts, qcol(key)).sortWithinPartitions(*order)
