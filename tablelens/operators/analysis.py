@@ -16,7 +16,7 @@ from ..functions.columns import (as_double, clean_value, field, is_float, is_mis
 from ..functions.dates import FREQS, as_timestamp, period_label
 from ..functions.masks import to_double
 from .common import is_identifier, long_rows, message_frame, require_columns
-from .quantiles import column_quantiles, quantile_frame
+from .quantiles import column_quantiles, quantile_frame, resolve_method
 
 DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 GROUP_AGGS = ("mean", "sum", "min", "max", "median", "count")
@@ -34,7 +34,7 @@ def missing_values(df: DataFrame) -> DataFrame:
                      ["column_name"], "missing")
 
 
-def describe_numeric(df: DataFrame, columns=None, method: str = "exact") -> DataFrame:
+def describe_numeric(df: DataFrame, columns=None, method: str = "auto") -> DataFrame:
     """count, mean, std, min, quartiles, max per numeric column, as
     ``(column_name, stat, value)``.
 
@@ -63,7 +63,11 @@ def describe_numeric(df: DataFrame, columns=None, method: str = "exact") -> Data
             rows.append((c, stat))
             vals.append(F.col(v).cast("double"))
     moments = long_rows(agg, rows, vals, ["column_name", "stat"], "value")
-    q = column_quantiles(df, num, [0.25, 0.5, 0.75], method)
+    # the quartile pass reuses this aggregation's min/max as bucket ranges
+    ranges = agg.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_k"), F.col(f"lo{i}").alias("_lo"), F.col(f"hi{i}").alias("_hi"))
+        for i in range(len(num))])))
+    q = column_quantiles(df, num, [0.25, 0.5, 0.75], method, ranges=ranges)
     quart = q.select("column_name", F.inline(F.array(*[
         F.struct(F.lit(s).alias("stat"), F.col("q")[i].alias("value"))
         for i, s in enumerate(("25%", "50%", "75%"))])))
@@ -149,7 +153,7 @@ def correlation_matrix(df: DataFrame, columns=None, max_columns: int | None = No
 
 
 def groupby_agg(df: DataFrame, by: str, target: str, agg: str = "mean",
-                method: str = "exact") -> DataFrame:
+                method: str = "auto") -> DataFrame:
     """One aggregate of ``target`` per value of ``by``: ``(by, <agg>)``.
 
     Null keys are dropped; ``sum`` of an all-null group is 0, every other
@@ -176,6 +180,7 @@ def groupby_agg(df: DataFrame, by: str, target: str, agg: str = "mean",
         # a few groups: per-group tables are broadcast into two scans; many
         # groups: a frequency table is shuffled instead (one small action to
         # choose, a HyperLogLog count of the groups)
+        method = resolve_method(keyed.select(qcol(by), x), method)
         small = method != "exact" or \
             base.agg(F.approx_count_distinct(by)).first()[0] <= SMALL_GROUPS
         med = quantile_frame(base, "_v", [0.5], method, [by], small_keys=small)

@@ -42,7 +42,7 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
         F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
 
 
-def box_plot(df: DataFrame, column: str, method: str = "exact") -> DataFrame:
+def box_plot(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
     """Five-number summary with 1.5*IQR whiskers and the outlier count."""
     if column not in df.columns or not is_numeric(field(df, column).dataType, True):
         return message_frame(df.sparkSession, f"No numeric column {column!r}")

@@ -46,7 +46,7 @@ def _mode_frame(df: DataFrame, column: str) -> DataFrame:
     return freq.orderBy(F.col("count").desc(), F.col("_mode").asc()).limit(1).select("_mode")
 
 
-def impute(df: DataFrame, columns_actions: list[tuple[str, str]], method: str = "exact") -> DataFrame:
+def impute(df: DataFrame, columns_actions: list[tuple[str, str]], method: str = "auto") -> DataFrame:
     """Fill missing values of several columns at once.
 
     ``columns_actions`` holds ``(column, action)`` with action in impute_mean,
@@ -103,7 +103,7 @@ def impute_mean(df: DataFrame, column: str) -> DataFrame:
     return impute(df, [(column, "impute_mean")])
 
 
-def impute_median(df: DataFrame, column: str, method: str = "exact") -> DataFrame:
+def impute_median(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
     return impute(df, [(column, "impute_median")], method)
 
 
@@ -120,7 +120,7 @@ def validate_cleaning_plan(steps, columns) -> list[dict]:
             and s.get("column") in cols]
 
 
-def apply_cleaning_plan(df: DataFrame, steps, method: str = "exact") -> DataFrame:
+def apply_cleaning_plan(df: DataFrame, steps, method: str = "auto") -> DataFrame:
     """Apply cleaning steps in order; a step on a column that no longer
     exists is skipped. Statistics always follow earlier row drops; runs of
     imputes on different columns share one statistics pass (they do not

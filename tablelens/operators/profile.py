@@ -24,7 +24,7 @@ from ..functions.columns import (CATEGORICAL_CLASS, DATETIME_CLASS, DATETIME_LIK
 from ..functions.dates import DATETIME_FORMATS, parse_datetime
 from .analysis import frequency_table
 from .common import quantile_agg
-from .quantiles import quantiles_from_frequency
+from .quantiles import quantiles_from_frequency, resolve_method
 
 DATETIME_RATIO = 0.8
 TOP_K = 5
@@ -170,7 +170,7 @@ def top_values(df: DataFrame, top_k: int = TOP_K) -> DataFrame:
 
 
 def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
-            quantile_method: str = "exact") -> DataFrame:
+            quantile_method: str = "auto") -> DataFrame:
     """Full profile, one row per column.
 
     Columns: column_name, position, type, class (numeric / datetime /
@@ -191,6 +191,7 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
     num_pos = [i for i, f in enumerate(fields) if schema_class(f.dataType) == NUMERIC_CLASS]
     dt_pos = [i for i, f in enumerate(fields) if schema_class(f.dataType) == DATETIME_CLASS]
     text_cols = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    quantile_method = resolve_method(df, quantile_method)
     out = _stats_frame(df, quantile_method, approx_distinct)
 
     exact_median = quantile_method == "exact" and bool(num_pos)

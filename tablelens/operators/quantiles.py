@@ -21,7 +21,10 @@ sorted in one task, spilling to disk if needed.
 
 Other methods: ``percentile`` (Spark's aggregate; one pass, memory grows with
 distinct values per group), ``approx`` (``percentile_approx``, bounded sketch,
-rank error 1/accuracy).
+rank error 1/accuracy). The default ``auto`` reads Catalyst's size estimate
+of the input (no job): up to ``tablelens.quantiles.onePassMaxBytes`` (32 MB)
+the one-pass ``percentile`` is used, above it ``exact``. Both are exact and
+give identical numbers.
 """
 
 from __future__ import annotations
@@ -30,8 +33,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 1024
-METHODS = ("exact", "percentile", "approx")
+METHODS = ("auto", "exact", "percentile", "approx")
 APPROX_ACCURACY = 10000
+# "auto": inputs whose planned size is at most this use the one-pass
+# ``percentile`` (its value maps stay small); larger ones the bounded method.
+ONE_PASS_CONF = "tablelens.quantiles.onePassMaxBytes"
+ONE_PASS_DEFAULT = 32 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the frame (file sizes for scans; no job
+    runs). Unknown sizes count as unbounded."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - e.g. no JVM handle: assume large
+        return 1 << 62
+
+
+def resolve_method(df: DataFrame, method: str) -> str:
+    """``auto`` -> ``percentile`` for small inputs, ``exact`` otherwise; both
+    give identical results, only memory behaviour differs."""
+    if method != "auto":
+        return method
+    try:
+        limit = int(df.sparkSession.conf.get(ONE_PASS_CONF, str(ONE_PASS_DEFAULT)))
+    except Exception:  # noqa: BLE001
+        limit = ONE_PASS_DEFAULT
+    return "percentile" if estimated_bytes(df) <= limit else "exact"
 
 
 def _bc(df: DataFrame, small: bool) -> DataFrame:
@@ -197,10 +225,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: list[float],
     return quantiles_from_frequency(freq, keys, probs, buckets, False).drop("_n")
 
 
-def quantile_frame(df: DataFrame, x: str, probs: list[float], method: str = "exact",
+def quantile_frame(df: DataFrame, x: str, probs: list[float], method: str = "auto",
                    keys: list[str] | None = None, small_keys: bool = False) -> DataFrame:
     """``(*keys, q)`` by any method (see module doc)."""
     keys = list(keys or [])
+    method = resolve_method(df, method)
     if method == "exact":
         return exact_quantiles(df, keys, x, probs, small_keys=small_keys)
     v = F.col(x).cast("double")
@@ -211,10 +240,13 @@ def quantile_frame(df: DataFrame, x: str, probs: list[float], method: str = "exa
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                     method: str = "exact", freq: DataFrame | None = None) -> DataFrame:
+                     method: str = "auto", freq: DataFrame | None = None,
+                     ranges: DataFrame | None = None) -> DataFrame:
     """``(column_name, q)`` for several numeric columns (all share the
-    shuffles); ``freq`` may pass a ready :func:`numeric_frequency` table."""
+    shuffles); ``freq`` may pass a ready :func:`numeric_frequency` table,
+    ``ranges`` a ready ``(_k, _lo, _hi)`` table of the columns' min/max."""
     from ..functions.columns import as_double
+    method = resolve_method(df.select(*[F.col(f"`{c}`") for c in columns]), method)
     names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)],
                                             "_k int, column_name string")
     nulls = F.array(*[F.lit(None).cast("double") for _ in probs])
@@ -223,6 +255,8 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         for i, c in enumerate(columns)])))
     if method == "exact" and freq is not None:
         q = quantiles_from_frequency(freq, ["_k"], probs, small_keys=True).drop("_n")
+    elif method == "exact" and ranges is not None:
+        q = scan_quantiles(long, ["_k"], "_x", probs, small_keys=True, ranges=ranges).drop("_n")
     elif method == "exact":
         # min/max of all columns in one wide aggregation (no unpivot needed)
         wide = df.agg(*[f(as_double(df, c)).alias(f"{n}{i}") for i, c in enumerate(columns)

@@ -75,7 +75,7 @@ def test_exact_quantiles_shuffle_no_input_rows(lineitem):
     """The two scans feed only map-side aggregates (counts per bucket and per
     target-bucket value): every exchange is above a partial aggregate or a
     small broadcast, never directly above the scan's rows."""
-    p = plan_of(column_quantiles(lineitem, ["l_extendedprice", "l_tax"], [0.5]))
+    p = plan_of(column_quantiles(lineitem, ["l_extendedprice", "l_tax"], [0.5], "exact"))
     lines = p.splitlines()
     for i, line in enumerate(lines):
         if "Exchange hashpartitioning" in line and "ReusedExchange" not in line:
