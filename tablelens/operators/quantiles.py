@@ -266,6 +266,13 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                      F.col(f"hi{i}").alias("_hi")) for i in range(len(columns))])))
         q = scan_quantiles(long, ["_k"], "_x", probs, small_keys=True, ranges=ranges).drop("_n")
     else:
-        q = quantile_frame(long, "_x", probs, method, ["_k"])
+        # one-pass methods: one wide aggregation, no unpivot
+        ps = [float(p) for p in probs]
+        aggs = [(F.percentile_approx(as_double(df, c), ps, APPROX_ACCURACY) if method == "approx"
+                 else F.percentile(as_double(df, c), F.array(*[F.lit(p) for p in ps])))
+                .alias(f"_q{i}") for i, c in enumerate(columns)]
+        q = df.agg(*aggs).select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("_k"), F.col(f"_q{i}").alias("q"))
+            for i in range(len(columns))])))
     return names.join(F.broadcast(q), "_k", "left").select(
         "_k", "column_name", F.coalesce(F.col("q"), nulls).alias("q"))
