@@ -15,7 +15,7 @@ from ..functions.columns import (as_double, clean_value, field, is_float, is_mis
                                  is_numeric, numeric_columns, qcol, safe_corr)
 from ..functions.dates import FREQS, as_timestamp, period_label
 from ..functions.masks import to_double
-from .common import is_identifier, long_rows, message_frame, quantile_agg, require_columns
+from .common import is_identifier, long_rows, message_frame, require_columns
 from .quantiles import column_quantiles, quantile_frame, resolve_method
 
 DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
@@ -49,29 +49,23 @@ def describe_numeric(df: DataFrame, columns=None, method: str = "auto") -> DataF
     num = [c for c in cols if is_numeric(field(df, c).dataType)]
     if not num:
         return describe_categorical(df, cols)
-    method = resolve_method(df.select(*[qcol(c) for c in num]), method)
-    one_pass = method != "exact"
     exprs = []
     for i, c in enumerate(num):
         x = as_double(df, c)
         exprs += [F.count(x).cast("double").alias(f"n{i}"), F.avg(x).alias(f"a{i}"),
                   F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
                   F.max(x).alias(f"hi{i}")]
-        if one_pass:  # small input: quartiles in the same aggregation
-            exprs.append(quantile_agg(x, [0.25, 0.5, 0.75], method == "approx").alias(f"q{i}"))
+    # moments stay in a codegen'd aggregation of their own (an object
+    # aggregate such as percentile would take the whole aggregation out of
+    # whole-stage codegen)
     agg = df.agg(*exprs)
     rows, vals = [], []
     for i, c in enumerate(num):
-        stats = [("count", F.col(f"n{i}")), ("mean", F.col(f"a{i}")), ("std", F.col(f"s{i}")),
-                 ("min", F.col(f"lo{i}")), ("max", F.col(f"hi{i}"))]
-        if one_pass:
-            stats += [(s, F.col(f"q{i}")[j]) for j, s in enumerate(("25%", "50%", "75%"))]
-        for stat, v in stats:
+        for stat, v in (("count", f"n{i}"), ("mean", f"a{i}"), ("std", f"s{i}"),
+                        ("min", f"lo{i}"), ("max", f"hi{i}")):
             rows.append((c, stat))
-            vals.append(v.cast("double"))
+            vals.append(F.col(v).cast("double"))
     moments = long_rows(agg, rows, vals, ["column_name", "stat"], "value")
-    if one_pass:
-        return moments
     # the quartile pass reuses this aggregation's min/max as bucket ranges
     ranges = agg.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("_k"), F.col(f"lo{i}").alias("_lo"), F.col(f"hi{i}").alias("_hi"))
