@@ -23,8 +23,7 @@ from ..functions.columns import (CATEGORICAL_CLASS, DATETIME_CLASS, DATETIME_LIK
                                  is_missing, is_numeric, qcol, type_name)
 from ..functions.dates import DATETIME_FORMATS, parse_datetime
 from .analysis import frequency_table
-from .common import quantile_agg
-from .quantiles import quantiles_from_frequency, resolve_method
+from .quantiles import column_quantiles, quantiles_from_frequency, resolve_method
 
 DATETIME_RATIO = 0.8
 TOP_K = 5
@@ -65,10 +64,6 @@ def _stats_frame(df: DataFrame, quantile_method: str = "exact",
             x = as_double(df, name)
             exprs += [F.avg(x).alias(f"a{i}"), F.var_samp(x).alias(f"v{i}"),
                       F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-            if quantile_method != "exact":
-                exprs.append(quantile_agg(x, [0.5], quantile_method == "approx")[0]
-                             .alias(f"q{i}"))
-                median = F.col(f"q{i}")
             mean, var = F.col(f"a{i}"), F.col(f"v{i}")
             lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
         elif base == DATETIME_CLASS:
@@ -195,6 +190,13 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
     out = _stats_frame(df, quantile_method, approx_distinct)
 
     exact_median = quantile_method == "exact" and bool(num_pos)
+    if num_pos and not exact_median:
+        # one-pass median in its own aggregation, so the statistics above
+        # keep whole-stage codegen (an object aggregate would disable it)
+        names = df.columns
+        med = column_quantiles(df, [names[i] for i in num_pos], [0.5], quantile_method)
+        out = out.join(F.broadcast(med.select("column_name", F.col("q")[0].alias("median_q"))),
+                       "column_name", "left").withColumn("median", F.coalesce("median", "median_q"))
     if (num_pos or dt_pos) and (exact_median or not approx_distinct):
         nf = _numeric_frequency(df, num_pos + dt_pos)
         if not approx_distinct:
