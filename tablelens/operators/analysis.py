@@ -77,20 +77,63 @@ def describe_numeric(df: DataFrame, columns=None, method: str = "auto") -> DataF
     return moments.unionByName(quart)
 
 
+# Text longer than this is counted by a SHA-256 key instead of its full value,
+# so frequency tables of long texts shuffle 80 bytes per distinct value.
+LONG_TEXT = 256
+# Keys of long texts start with U+10FFFF: they sort after every plain value
+# (ties among long texts are ordered by digest), and plain values that start
+# with it are hashed too, so a key can never equal a plain value.
+LONG_MARK = "\U0010FFFF"
+
+
+def text_key(v):
+    """The value itself, or a digest key for long (or marker-prefixed) text."""
+    long_ = (F.length(v) > LONG_TEXT) | v.startswith(LONG_MARK)
+    return F.when(long_, F.concat(F.lit(LONG_MARK), F.sha2(v, 256))).otherwise(v)
+
+
 def frequency_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_name, value, n)``: non-null value counts of several columns in
-    one shuffle. Values are compared as text; NaN counts as missing.
+    one shuffle. Values are compared as text; NaN counts as missing; texts
+    longer than ``LONG_TEXT`` appear as digest keys (see
+    :func:`restore_values` for turning the few wanted keys back into text).
 
     The unpivot is a projection; the aggregation combines map-side, so a hot
     value costs one partial row per task, not one row per occurrence.
     """
-    pairs = [F.struct(F.lit(c).alias("column_name"),
-                      clean_value(df, c).cast("string").alias("value")) for c in columns]
+    pairs = []
+    for c in columns:
+        v = clean_value(df, c).cast("string")
+        if isinstance(field(df, c).dataType, T.StringType):
+            v = text_key(v)
+        pairs.append(F.struct(F.lit(c).alias("column_name"), v.alias("value")))
     long = df.select(F.inline(F.array(*pairs)))
     return (long.where(F.col("value").isNotNull())
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
+def restore_values(df: DataFrame, small: DataFrame, value_col: str = "value") -> DataFrame:
+    """Replace digest keys in a *small* frame ``(column_name, <value_col>, ...)``
+    by the texts they stand for. Only long texts of the named columns are
+    re-read and hashed; the keys looked up are broadcast (a few per column)."""
+    text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not text_cols:
+        return small
+    need = small.where(F.col(value_col).startswith(LONG_MARK)) \
+        .select("column_name", F.col(value_col).alias("_key")).distinct()
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), qcol(c).alias("_v")) for c in text_cols])))
+    long = long.where((F.length("_v") > LONG_TEXT) | F.col("_v").startswith(LONG_MARK))
+    found = long.withColumn("_key", text_key(F.col("_v"))) \
+        .join(F.broadcast(need), ["column_name", "_key"]) \
+        .groupBy(F.col("column_name").alias("_rcn"), F.col("_key").alias("_rkey")) \
+        .agg(F.min("_v").alias("_rv"))
+    cond = (F.col("column_name") == F.col("_rcn")) & (F.col(value_col) == F.col("_rkey"))
+    out = small.join(F.broadcast(found), cond, "left")
+    return out.withColumn(value_col, F.coalesce(F.col("_rv"), F.col(value_col))) \
+        .select(*small.columns)
+
+
 def describe_categorical(df: DataFrame, columns) -> DataFrame:
     """count, unique, top, freq per column as ``(column_name, stat, value)``
     with text values; the top value is the most frequent, smallest on ties."""
@@ -100,6 +143,7 @@ def describe_categorical(df: DataFrame, columns) -> DataFrame:
         F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
         F.max("n").alias("freq"))
+    per = restore_values(df, per, "top")
     stats = ["count", "unique", "top", "freq"]
     return per.select("column_name", F.inline(F.array(*[
         F.struct(F.lit(s).alias("stat"), F.col(s).cast("string").alias("value"))
@@ -117,10 +161,11 @@ def value_counts(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
         return message_frame(df.sparkSession, "Invalid column for value_counts")
     if not isinstance(top_n, int) or isinstance(top_n, bool) or top_n < 1 or top_n > 100:
         top_n = 10
-    v = clean_value(df, column).cast("string").alias("value")
-    counts = df.select(v).where(F.col("value").isNotNull()).groupBy("value") \
-        .agg(F.count(F.lit(1)).alias("count"))
-    return counts.orderBy(F.col("count").desc(), F.col("value").asc()).limit(top_n)
+    counts = frequency_table(df, [column]).withColumnRenamed("n", "count")
+    top = counts.orderBy(F.col("count").desc(), F.col("value").asc()).limit(top_n)
+    if isinstance(field(df, column).dataType, T.StringType):
+        top = restore_values(df.select(qcol(column)), top)
+    return top.select("value", "count")
 
 
 def correlation_matrix(df: DataFrame, columns=None, max_columns: int | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from ..functions.columns import (CATEGORICAL_CLASS, DATETIME_CLASS, DATETIME_LIK
                                  NUMERIC_CLASS, OTHER_CLASS, as_double, clean_value, is_datetime,
                                  is_missing, is_numeric, qcol, type_name)
 from ..functions.dates import DATETIME_FORMATS, parse_datetime
-from .analysis import frequency_table
+from .analysis import frequency_table, restore_values
 from .quantiles import column_quantiles, quantiles_from_frequency, resolve_method
 
 DATETIME_RATIO = 0.8
@@ -138,7 +138,8 @@ def _numeric_frequency(df: DataFrame, positions: list[int]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_c"))
 
 
-def _top(freq: DataFrame, text_cols: list[str], top_k: int) -> DataFrame:
+def _top(freq: DataFrame, text_cols: list[str], top_k: int,
+         source: DataFrame | None = None) -> DataFrame:
     """Top-k values per text column as an array column.
 
     ``row_number() <= k`` over the frequency table is planned with a partial
@@ -148,6 +149,8 @@ def _top(freq: DataFrame, text_cols: list[str], top_k: int) -> DataFrame:
     w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), F.col("value").asc())
     ranked = freq.where(F.col("column_name").isin(text_cols)) \
         .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    if source is not None:  # digest keys of long texts back to text (k rows per column)
+        ranked = restore_values(source.select(*[qcol(c) for c in text_cols]), ranked)
     return ranked.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct(
         F.col("rank").cast("int").alias("rank"), F.col("value").alias("value"),
         F.col("n").cast("bigint").alias("count")))).alias("top_values"))
@@ -160,7 +163,7 @@ def top_values(df: DataFrame, top_k: int = TOP_K) -> DataFrame:
     if not text_cols:
         return df.sparkSession.createDataFrame(
             [], "column_name string, rank int, value string, count bigint")
-    return _top(frequency_table(df, text_cols), text_cols, top_k) \
+    return _top(frequency_table(df, text_cols), text_cols, top_k, df) \
         .select("column_name", F.inline("top_values"))
 
 
@@ -215,7 +218,7 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
             tu = tf.groupBy("column_name").agg(F.count(F.lit(1)).alias("num_unique_t"))
             out = out.join(F.broadcast(tu), "column_name", "left")
         out = out.join(F.broadcast(_text_dates(tf, text_cols)), "column_name", "left") \
-            .join(F.broadcast(_top(tf, text_cols, top_k)), "column_name", "left")
+            .join(F.broadcast(_top(tf, text_cols, top_k, df)), "column_name", "left")
         best = _best_format(F.col("n_rows").cast("double"))
     else:
         best = F.struct(F.lit(None).cast("double").alias("ratio"),
