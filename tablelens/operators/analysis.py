@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (as_double, clean_value, field, is_float, is_missing,
+from ..functions.columns import (as_double, clean_value, field, is_missing,
                                  is_numeric, numeric_columns, qcol, safe_corr)
 from ..functions.dates import FREQS, as_timestamp, period_label
 from ..functions.masks import to_double
