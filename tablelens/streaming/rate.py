@@ -8,6 +8,11 @@ operator. An event older than the newest admitted time of its key is judged
 against the current state (late data is not re-ordered). Event-time
 timeouts drop the state of keys idle for longer than the window once the
 watermark passes, so state size follows the number of active keys.
+
+Within one micro-batch a key's events are sorted together in one Python
+worker, so memory per task is bounded by the micro-batch size: bound it at
+the source (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``) when single
+keys can be very hot.
 """
 
 from __future__ import annotations
