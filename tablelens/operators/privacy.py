@@ -58,10 +58,19 @@ def sensitive_type_by_name(name: str, split_underscore: bool = False) -> str | N
 
 
 def detect_sensitive(df: DataFrame, split_underscore: bool = False) -> DataFrame:
-    """``(column_name, sensitive_type)`` for columns whose *name* marks them."""
-    rows = [(c, sensitive_type_by_name(c, split_underscore)) for c in df.columns]
-    return df.sparkSession.createDataFrame(
-        [r for r in rows if r[1] is not None], "column_name string, sensitive_type string")
+    """``(column_name, sensitive_type, values_to_mask)`` for columns whose
+    *name* marks them; ``values_to_mask`` counts their non-null values (one
+    aggregation over the table)."""
+    hits = [(c, t) for c in df.columns
+            if (t := sensitive_type_by_name(c, split_underscore)) is not None]
+    if not hits:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, sensitive_type string, values_to_mask bigint")
+    agg = df.agg(*[F.count(qcol(c)).alias(f"_n{i}") for i, (c, _) in enumerate(hits)])
+    return agg.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("sensitive_type"),
+                 F.col(f"_n{i}").cast("bigint").alias("values_to_mask"))
+        for i, (c, t) in enumerate(hits)])))
 
 
 def email_share_exprs(df: DataFrame, columns: list[str]):

@@ -491,10 +491,17 @@ _NAME_CASE = " ".join(f"WHEN regexp_matches(lower(column_name), '{p}') THEN '{t}
                       for t, p in M.NAME_PATTERNS.items())
 
 
+_PII_COLS = ["c_custkey", "c_name", "email", "phone", "national_id", "balance", "c_mktsegment",
+             "contact"]
+
+
 @register("detect_sensitive", f"""
-SELECT column_name, sensitive_type FROM (
-  SELECT column_name, CASE {_NAME_CASE} END AS sensitive_type FROM (DESCRIBE SELECT * FROM {PII_SQL}))
-WHERE sensitive_type IS NOT NULL""")
+WITH t AS (
+  SELECT column_name, CASE {_NAME_CASE} END AS sensitive_type FROM (DESCRIBE SELECT * FROM {PII_SQL})),
+n AS ({_union([f"SELECT '{c}' AS column_name, count({c}) AS values_to_mask FROM {PII_SQL}" for c in _PII_COLS])})
+SELECT t.column_name, t.sensitive_type, n.values_to_mask
+FROM t JOIN n ON t.column_name = n.column_name
+WHERE t.sensitive_type IS NOT NULL""")
 def q_detect_sensitive(spark, sf_dir):
     return M.detect_sensitive(customer_pii(spark, sf_dir))
 
