@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tablelens.llm import sharding
+from tablelens.llm import line_dedup, sharding
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 
 ORACLE = {
     "op2_sharding": sharding.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text",
                  most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``most_bytes`` of text (one row at least)."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         start, held = 0, 0
         for i, n in enumerate(lengths.to_pylist()):
             if held and held + n > most_bytes:
