@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tablelens.llm import line_dedup, sharding
+from tablelens.llm import line_dedup, quality, sharding
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 
