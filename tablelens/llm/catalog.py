@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tablelens.llm import line_dedup, quality, sharding
+from tablelens.llm import line_dedup, quality, sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_simhash_dedup": simhash.op6_simhash_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 
