@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tablelens.llm import line_dedup, packing, quality, sharding, simhash
+from tablelens.llm import line_dedup, mixing, packing, quality, sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_mixing": mixing.op5_mixing,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
