@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tablelens.llm import line_dedup, minhash, mixing, packing, quality, sharding, simhash
+from tablelens.llm import line_dedup, minhash, mixing, packing, quality, sharding, simhash, span_dedup
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_mixing": mixing.op5_mixing,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
+    "op7_span_dedup": span_dedup.op7_span_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_minhash_fingerprints": minhash.op9_minhash_fingerprints,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
