@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tablelens.llm import line_dedup, minhash, mixing, packing, quality, sharding, simhash, span_dedup
+from tablelens.llm import line_dedup, minhash, mixing, packing, quality, secrets, sharding, simhash, span_dedup
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_sharding": sharding.op2_sharding,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_mixing": mixing.op5_mixing,
