@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tablelens.llm import line_dedup, minhash, mixing, packing, quality, secrets, sharding, simhash, span_dedup
+from tablelens.llm import langid, line_dedup, minhash, mixing, packing, quality, secrets, sharding, simhash, span_dedup
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_sharding": sharding.op2_sharding,
+    "op3_language_id": langid.op3_language_id,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_mixing": mixing.op5_mixing,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,

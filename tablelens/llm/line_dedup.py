@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tablelens.llm.common import SPACE, table, text_batches, written
 from tablelens.llm.cuckoo import CuckooFilter, as_words
@@ -171,7 +172,8 @@ def drop_lines(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str,
     packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.struct("*").alias("row"))
     joined = packed.join(drops, F.col("_id").eqNullSafe(F.col("holder")), "left").select(
         "row", F.col(f"row.`{text_col}`").alias("text"), "keys")
-    row_type = joined.schema["row"].dataType.simpleString()
+    made = StructType([StructField("row", joined.schema["row"].dataType), StructField("kept_text", StringType()),
+                       StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
@@ -189,7 +191,7 @@ def drop_lines(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str,
                 [batch.column("row"), pa.array(kept, pa.string()), pa.array(total, pa.int64()),
                  pa.array(gone, pa.int64())], ["row", "kept_text", "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(cut, f"row {row_type}, kept_text string, n_lines long, n_dropped long")
+    return joined.mapInArrow(cut, made)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
