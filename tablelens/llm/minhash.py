@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import table, text_batches, written
+from tablelens.llm.common import table, text_batches
 
 BINS = 512
 KEPT_BITS = 4
 SHINGLE = 5
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
+RANGE_ROWS = 250
+MOST_RANGES = 4096
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,7 +63,7 @@ def shingle_hashes(words: np.ndarray, shingle: int) -> np.ndarray:
 def donors(bins: int, tries: int = 2048) -> np.ndarray:
     """For each bin, the bins that an empty one asks in turn: one fixed table of hashes."""
     at = np.arange(bins, dtype=np.uint64)[:, None] * np.uint64(tries) + np.arange(tries, dtype=np.uint64)
-    return (_scramble(at * _MIX + np.uint64(1)) % np.uint64(bins)).astype(np.int64)
+    return (_scramble(at * _MIX + np.uint64(1)) % np.uint64(bins)).astype(np.int32)
 
 
 def fingerprint(shingles: np.ndarray, asks: np.ndarray, bits: int) -> np.ndarray | None:
@@ -113,11 +116,16 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None, bits: int) -> float:
     return float(min(1.0, max(0.0, (np.count_nonzero(a == b) / len(a) - chance) / (1 - chance))))
 
 
+@functools.lru_cache(maxsize=4)
+def _asks(bins: int) -> np.ndarray:
+    return donors(bins)
+
+
 class _Printer:
     """Compares each text with its edited form and with the next text."""
 
     def __init__(self, bins: int, bits: int, shingle: int):
-        self.asks, self.bits, self.shingle = donors(bins), bits, shingle
+        self.asks, self.bits, self.shingle = _asks(bins), bits, shingle
 
     def low(self, text: str) -> np.ndarray | None:
         return fingerprint(shingle_hashes(word_hashes(text), self.shingle), self.asks, self.bits)
@@ -158,79 +166,85 @@ def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = KEPT_BITS, shing
     return rows.mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
+def range_of(bounds: list) -> Column:
+    """How many of the sorted bounds lie below doc_id, found in two steps of about their square root."""
+    step = max(1, math.isqrt(len(bounds)))
+    fine = [bounds[i:i + step] for i in range(0, len(bounds), step)]
+    if not fine:
+        return F.lit(0)
+    text = ";".join(",".join(map(str, x)) for x in fine)
+    parsed = F.transform(F.split(F.lit(text), ";"), lambda x: F.split(x, ",").cast("array<bigint>"))
+    below = lambda xs: F.size(F.filter(xs, lambda b: b < F.col("doc_id")))
+    group = F.size(F.filter(parsed, lambda xs: xs[0] < F.col("doc_id"))) - 1
+    return F.when(F.col("doc_id").isNull() | (group < 0), 0).otherwise(
+        group * step + below(parsed[F.greatest(group, F.lit(0))]))
+
+
+def with_following(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(range, ahead, doc_id, h, text): all rows by ranges of the id, and one row ahead for each range.
+
+    The row ahead is the first of the next range (of the first range, for the last), so
+    that every row's next row is in its own range. The ranges follow from quantiles of
+    the ids, of which there are at most ``MOST_RANGES``.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    total = rows.count()
+    cuts = min(MOST_RANGES, -(-total // RANGE_ROWS))
+    shares = [k / cuts for k in range(1, cuts)]
+    bounds = rows.agg(F.percentile_approx("doc_id", shares, 10 * MOST_RANGES).alias("b")).first()["b"] if shares else []
+    dealt = rows.withColumn("range", range_of(sorted(set(bounds or []))))
+    firsts = sorted((r["range"], r["first"]) for r in dealt.groupBy("range").agg(
+        F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).getField("doc_id").alias("first")).collect())
+    ahead = [(to, firsts[(k + 1) % len(firsts)][1]) for k, (to, _) in enumerate(firsts)]  # at most MOST_RANGES
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(ahead, f"_to int, _first {kind}")
+    lowest = Window.partitionBy("_to").orderBy("h")
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    extra = hashed.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("_first"))).withColumn(
+        "_at", F.row_number().over(lowest)).where(F.col("_at") == 1)
+    columns = ["range", "ahead", "doc_id", "h", "text"]
+    return dealt.withColumns({"h": F.xxhash64("text"), "ahead": F.lit(False)}).select(columns).unionByName(
+        extra.select(F.col("_to").alias("range"), F.lit(True).alias("ahead"), "doc_id", "h", "text"))
+
+
 def compare_edited(docs: DataFrame, bins: int = BINS, bits: int = KEPT_BITS, shingle: int = SHINGLE,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every text and its edited form, and compare with that and the next document.
 
     The edited text is the text with its last half (rounded down) replaced by the
     beginning, as long, of the next document in id order; after the last comes the
-    first. Texts are dealt by ranges of ids and read in order, so a text and its next
-    meet in one task. Only at a range's end the next is elsewhere: the first and last
-    row of each range are set aside (two rows for each task) and paired afterwards.
+    first. Texts are shuffled once, by ranges of ids, and read in order, so a text and
+    its next meet in one task; each range also holds the one row that follows it.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, one row per input row. Cases: a null text is empty; an empty text's
-    fingerprint is empty, alike only to another without words; null ids come first; rows
-    of equal id follow the hash of their text; a single row is its own next; an
-    empty table gives no rows; other columns are ignored.
+    near_next, one row per input row. ``id_col`` must be a whole number. Cases: a null
+    text is empty; an empty text's fingerprint is empty, alike only to another without
+    words; null ids come first; rows of equal id follow the hash of their text; a
+    single row is its own next; an empty table gives no rows; other columns are
+    ignored.
     """
-    kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    dealt = rows.select("*", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
-    dealt = dealt.repartitionByRange("doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "n").select("doc_id", "text")
+    kind = docs.schema[id_col].dataType.simpleString()
+    ordered = with_following(docs, id_col, text_col).repartition("range").sortWithinPartitions(
+        "range", "ahead", "doc_id", "h").select("ahead", "doc_id", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         printer = _Printer(bins, bits, shingle)
-        task = TaskContext.get().partitionId()
         held = None  # the row that waits for its next: its id, text and bits
-
-        def batch_of(ids, made, edge, texts):
-            cols = list(zip(*made, strict=True)) if made else [[] for _ in MADE]
-            return pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(c, t) for c, (_, t) in zip(cols, MADE, strict=True)),
-                 pa.array([edge] * len(ids), pa.string()), pa.array([task] * len(ids), pa.int32()),
-                 pa.array(texts, pa.string())],
-                ["doc_id", *(n for n, _ in MADE), "edge", "task", "text"])
-
-        none = (None,) * len(MADE)
-        for batch in text_batches(batches):
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            lows = [printer.low(x) for x in texts]
-            if held is None:
-                yield batch_of(ids.slice(0, 1), [none], "first", texts[:1])
-            else:
-                yield batch_of(held[0], [printer.row(held[1], held[2], texts[0], lows[0])], None, [None])
-            made = [printer.row(*x) for x in zip(texts, lows, texts[1:], lows[1:], strict=False)]
-            yield batch_of(ids.slice(0, len(made)), made, None, [None] * len(made))
-            held = ids.slice(len(ids) - 1), texts[-1], lows[-1]
-        if held is not None:
-            yield batch_of(held[0], [none], "last", [held[1]])
-
-    id_type = kind.simpleString()
-    done = written(dealt.mapInArrow(
-        read, f"doc_id {id_type}, {MADE_SQL}, edge string, task int, text string"), "minhash")
-
-    edges = done.where(F.col("edge").isNotNull()).select("doc_id", "edge", "task", "text")
-    firsts = edges.where(F.col("edge") == "first")
-    order = Window.orderBy("task")
-    start = F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    following = firsts.select(F.col("task").alias("_task"),
-                              F.coalesce(F.lead("text").over(order), start).alias("following"))
-    pairs = edges.where(F.col("edge") == "last").join(following, F.col("task") == F.col("_task")).select(
-        "doc_id", "text", "following")
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        printer = _Printer(bins, bits, shingle)
-        for batch in text_batches(batches):
-            made = [printer.row(a, printer.low(a), b, printer.low(b)) for a, b in zip(
-                batch.column("text").to_pylist(), batch.column("following").to_pylist(), strict=True)]
+        for batch in text_batches(batches, most_bytes=1 << 20):
+            ids, made = [], []
+            for i, ahead, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ahead", "text")), strict=True):
+                low = printer.low(text)
+                if held is not None:
+                    ids.append(held[0])
+                    made.append(printer.row(held[1], held[2], text, low))
+                held = None if ahead else (i, text, low)
             cols = list(zip(*made, strict=True)) if made else [[] for _ in MADE]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, t) for c, (_, t) in zip(cols, MADE, strict=True))],
+                [pa.array(ids, batch.schema.field("doc_id").type),
+                 *(pa.array(c, t) for c, (_, t) in zip(cols, MADE, strict=True))],
                 ["doc_id", *(n for n, _ in MADE)])
 
-    return done.where(F.col("edge").isNull()).drop("edge", "task", "text").unionByName(
-        pairs.mapInArrow(pair, f"doc_id {id_type}, {MADE_SQL}"))
+    return ordered.mapInArrow(read, f"doc_id {kind}, {MADE_SQL}")
 
 
 def op9_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
