@@ -31,10 +31,12 @@ UNLIKELY = 0.001
 BINS_A_DECADE, MOST_BIN = 10, 400
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# encodings from the smallest alphabet to the largest; a token has the first that covers it
+# encodings from the smallest alphabet to the largest; a token has the first that covers it. Letters
+# alone, and names joined by _ or -, are alphabets of their own: in a larger one they'd pass as even
 ENCODINGS = (
-    _DIGITS + _LOWER[:6], _DIGITS + _UPPER[:6], _UPPER + "234567", _DIGITS + _LOWER, _DIGITS + _UPPER,
-    _DIGITS + _UPPER + _LOWER, _UPPER + _LOWER + _DIGITS + "+/", _UPPER + _LOWER + _DIGITS + "-_",
+    _DIGITS + _LOWER[:6], _DIGITS + _UPPER[:6], _LOWER + "_-", _UPPER + "_-", _UPPER + "234567", _DIGITS + _LOWER,
+    _DIGITS + _UPPER, _UPPER + _LOWER + "_-", _DIGITS + _UPPER + _LOWER, _UPPER + _LOWER + _DIGITS + "+/",
+    _UPPER + _LOWER + _DIGITS + "-_",
 )
 _SETS = [frozenset(x) for x in ENCODINGS]
 _PLACES = [{c: i for i, c in enumerate(x)} for x in ENCODINGS]
