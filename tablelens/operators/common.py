@@ -35,20 +35,6 @@ def long_rows(df: DataFrame, rows: list[tuple[str, ...]], values: list[Column],
     return df.select(F.inline(F.array(*structs)))
 
 
-def quantile_agg(x: Column, probs: list[float], approx: bool = False,
-                 accuracy: int = 10000) -> Column:
-    """Quantiles with linear interpolation (pandas' default).
-
-    Exact by default (``percentile``: per-task value->count maps, merged per
-    group); ``approx=True`` uses a bounded-memory sketch instead
-    (``percentile_approx``, rank error 1/accuracy), for columns whose number
-    of distinct values per group is too large for the exact maps.
-    """
-    if approx:
-        return F.percentile_approx(x, probs, accuracy)
-    return F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
-
-
 def require_columns(df: DataFrame, names) -> list[str]:
     """Keep the names (strings only) that exist in the frame, in given order."""
     if names is None:

@@ -1,276 +1,149 @@
-"""Exact quantiles (linear interpolation) with bounded work per task.
+"""Exact quantiles (linear interpolation) with bounded work per task, by one method.
 
 Spark's ``percentile`` keeps a value->count map per group and merges all of
 a group's maps in one task, so its memory grows with the number of distinct
-values (a column of 10^10 distinct doubles cannot be done that way). The
-default ``exact`` method computes the same numbers (same interpolation
-arithmetic) without ever holding a key's values together:
-
-* ``scan_quantiles`` (columns, global, few groups): min/max per key; counts
-  per (key, equal-width bucket) as a map-side aggregate of <= 4096 rows per
-  key; a running sum over those rows gives each bucket's rank range; a
-  second scan keeps only rows in the buckets that hold a wanted rank, which
-  are counted per value and ranked inside their bucket. No shuffle of the
-  input rows at all; hot values and hot keys only raise counters.
-* ``quantiles_from_frequency`` (many groups): the same bucket logic on a
-  frequency table ``(keys, x, c)``, which shuffles distinct (key, value)
-  pairs once (map-side combined) instead of broadcasting per-key tables.
-
-A bucket that holds most distinct values of a key (very skewed values) is
-sorted in one task, spilling to disk if needed.
-
-Other methods: ``percentile`` (Spark's aggregate; one pass, memory grows with
-distinct values per group), ``approx`` (``percentile_approx``, bounded sketch,
-rank error 1/accuracy). The default ``auto`` reads Catalyst's size estimate
-of the input (no job): up to ``tablelens.quantiles.onePassMaxBytes`` (32 MB)
-the one-pass ``percentile`` is used, above it ``exact``. Both are exact and
-give identical numbers.
+values. ``exact_quantiles`` computes the same numbers (same interpolation
+arithmetic) by narrowing the value range around the wanted ranks:
+
+1. counts, least and largest value per (key, magnitude), a magnitude being the
+   sign and the binary exponent, zero or an infinity: the cut doesn't depend on
+   the data, so one huge value or an infinity can't crowd all others into a cell;
+2. the few magnitudes that hold a wanted rank are cut into 4096 equal
+   widths between their own least and largest value, and counted again;
+3. the same once more, in the cells found;
+4. the values of the cells left are counted one by one and ranked.
+
+Each step is a scan with a map-side aggregate; input rows are not
+shuffled when the keys are few (columns): the cells found, at most two for
+each probability and key, are broadcast. A hot value or key only raises
+counters. With many keys the cells found are joined by key, by whichever join
+Spark's own size checks choose.
+
+``percentile`` (one pass, memory grows) and ``approx`` (``percentile_approx``, a
+bounded sketch) can be asked for by name; nothing picks them by size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 1024
-METHODS = ("auto", "exact", "percentile", "approx")
+METHODS = ("exact", "percentile", "approx")
 APPROX_ACCURACY = 10000
-# "auto": inputs whose planned size is at most this use the one-pass
-# ``percentile`` (its value maps stay small); larger ones the bounded method.
-ONE_PASS_CONF = "tablelens.quantiles.onePassMaxBytes"
-ONE_PASS_DEFAULT = 32 * 1024 * 1024
-
+CELLS = 4096
+CUTS = 2
+INFINITE = 5000
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the frame (file sizes for scans; no job
-    runs). Unknown sizes count as unbounded."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - e.g. no JVM handle: assume large
-        return 1 << 62
 
+def _magnitude(x: Column) -> Column:
+    """Sign and binary exponent as one number that never falls as ``x`` rises."""
+    exponent = F.floor(F.log2(F.abs(x))) + 1100  # 26 and above for every double but zero
+    size = F.when(F.abs(x) == F.lit(float("inf")), F.lit(INFINITE)).otherwise(exponent)
+    return F.when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("int")
 
-def resolve_method(df: DataFrame, method: str) -> str:
-    """``auto`` -> ``percentile`` for small inputs, ``exact`` otherwise; both
-    give identical results, only memory behaviour differs."""
-    if method != "auto":
-        return method
-    try:
-        limit = int(df.sparkSession.conf.get(ONE_PASS_CONF, str(ONE_PASS_DEFAULT)))
-    except Exception:  # noqa: BLE001
-        limit = ONE_PASS_DEFAULT
-    return "percentile" if estimated_bytes(df) <= limit else "exact"
 
+def _equal_width(x: Column, lo: Column, hi: Column) -> Column:
+    """Which of ``CELLS`` equal widths between ``lo`` and ``hi`` holds ``x``."""
+    return F.when(lo == hi, F.lit(0)).otherwise(
+        F.least(F.floor((x - lo) / (hi - lo) * CELLS), F.lit(CELLS - 1))).cast("int")
 
-def _bc(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
-
-
-def numeric_frequency(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(_k, _x, _c)``: counts of each non-null value of several numeric
-    columns (``_k`` = position in ``columns``), one shuffle for all."""
-    from ..functions.columns import as_double
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_k"), as_double(df, c).alias("_x"))
-        for i, c in enumerate(columns)])))
-    return long.where(F.col("_x").isNotNull()).groupBy("_k", "_x") \
-        .agg(F.count(F.lit(1)).alias("_c"))
-
-
-def quantiles_from_frequency(freq: DataFrame, keys: list[str], probs: list[float],
-                             buckets: int = DEFAULT_BUCKETS, small_keys: bool = True
-                             ) -> DataFrame:
-    """``(*keys, _n, q)`` from a frequency table ``(*keys, _x, _c)``; one row
-    per key that has values."""
-    probs = [float(p) for p in probs]
-    kc = [F.col(k) for k in keys]
-    rng = freq.groupBy(*kc).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
-                                F.sum("_c").alias("_n"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_x") - F.col("_lo")) / width * buckets), F.lit(buckets - 1)))
-    fb = freq.join(_bc(rng, small_keys), keys) if keys else freq.crossJoin(F.broadcast(rng))
-    fb = fb.select(*kc, "_x", "_c", bucket.cast("int").alias("_b"))
-
-    # rank range [_start, _end) of each bucket: a window over <= buckets rows per key
-    btot = fb.groupBy(*kc, "_b").agg(F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(*kc).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    btot = btot.withColumn("_end", F.sum("_bc").over(wb)) \
-        .withColumn("_start", F.col("_end") - F.col("_bc"))
-
-    # wanted ranks: floor(p(n-1)) and the next one, per probability
-    targets = []
-    for i, p in enumerate(probs):
-        k = F.floor(F.lit(p) * (F.col("_n") - 1))
-        targets.append(F.struct(F.lit(i).alias("_i"), F.lit(0).alias("_s"), k.alias("_r")))
-        targets.append(F.struct(F.lit(i).alias("_i"), F.lit(1).alias("_s"),
-                                F.least(k + 1, F.col("_n") - 1).alias("_r")))
-    tg = rng.select(*kc, F.inline(F.array(*targets)))
-    tb = (tg.join(_bc(btot, small_keys), keys) if keys else tg.crossJoin(F.broadcast(btot))) \
-        .where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_end"))) \
-        .select(*kc, "_i", "_s", "_r", "_b", "_start")
-    need = tb.select(*kc, "_b", "_start").distinct()
 
-    # only the values of target buckets are sorted
-    inb = fb.join(_bc(need, small_keys), keys + ["_b"])
-    wv = Window.partitionBy(*kc, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    inb = inb.withColumn("_cend", F.col("_start") + F.sum("_c").over(wv)) \
-        .withColumn("_cstart", F.col("_cend") - F.col("_c")).drop("_start")
-    hit = tb.drop("_start").join(inb, keys + ["_b"]) \
-        .where((F.col("_cstart") <= F.col("_r")) & (F.col("_r") < F.col("_cend")))
-    picked = hit.groupBy(*kc).agg(*[
-        F.max(F.when((F.col("_i") == i) & (F.col("_s") == s), F.col("_x"))).alias(f"_v{i}_{s}")
-        for i in range(len(probs)) for s in (0, 1)])
-    out = rng.join(_bc(picked, small_keys), keys, "left") if keys else rng.crossJoin(picked)
-    return out.select(*kc, "_n", _interpolate(probs).alias("q"))
+def _ranks(probs: list[float], n: Column) -> list[Column]:
+    """The two 0-based ranks between which each probability lies."""
+    low = [F.floor(F.lit(p) * (n - 1)) for p in probs]
+    return [r for k in low for r in (k, F.least(k + 1, n - 1))]
 
 
-SCAN_BUCKETS = 4096
+def _holds(probs: list[float], first: Column, end: Column) -> Column:
+    wanted = F.lit(False)
+    for r in _ranks(probs, F.col("_n")):
+        wanted = wanted | ((r >= first) & (r < end))
+    return wanted
 
 
-def _range_bucket(buckets: int):
-    """Equal-width bucket of ``_x`` within [_lo, _hi]: monotone in the value;
-    -inf / +inf get the outer buckets, an infinite range puts every finite
-    value in bucket 0 (ranks stay right, only the in-bucket sort grows)."""
-    x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
-    width = hi - lo
-    inf = F.lit(float("inf"))
-    finite = (F.abs(width) < inf) & (width > 0)
-    return (F.when(x == -inf, F.lit(-1)).when(x == inf, F.lit(buckets))
-            .when(~finite, F.lit(0))
-            .otherwise(F.least(F.floor((x - lo) / width * buckets), F.lit(buckets - 1)))
-            ).cast("int")
-
-
-def scan_quantiles(df: DataFrame, keys: list[str], x: str, probs: list[float],
-                   small_keys: bool = True, ranges: DataFrame | None = None,
-                   buckets: int = SCAN_BUCKETS) -> DataFrame:
-    """``(*keys, _n, q)`` in three scans of ``df`` and no shuffle of its rows:
-
-    0. min and max per key (skipped when ``ranges`` ``(*keys, _lo, _hi)`` is
-       given);
-    1. counts per (keys, equal-width bucket): a map-side aggregate of at most
-       ``buckets`` rows per key; a running sum over them (a window over those
-       few rows) gives each bucket's rank range;
-    2. only rows of the buckets holding a wanted rank are read again, counted
-       per value and ranked inside their bucket (window per key and bucket).
+def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: list[float],
+                    small_keys: bool = False) -> DataFrame:
+    """``(*keys, q)``: quantiles of the values of ``x`` per key, without nulls and NaN.
 
-    ``small_keys``: the number of keys is bounded (columns, a few groups), so
-    the per-key tables are broadcast into the scans.
+    Keys without values get no row; with no keys there is one row always.
+    ``small_keys``: the number of keys is bounded by the schema (column numbers),
+    so the cells found are broadcast; otherwise Spark chooses the join.
     """
     probs = [float(p) for p in probs]
-    kc = [F.col(k) for k in keys]
-    vals = df.select(*kc, F.col(x).cast("double").alias("_x")) \
-        .where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    rng = ranges if ranges is not None else \
-        vals.groupBy(*kc).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    vb = vals.join(_bc(rng, small_keys), keys) if keys else vals.crossJoin(F.broadcast(rng))
-    vb = vb.select(*kc, "_x", _range_bucket(buckets).alias("_b"))
-    btot = vb.groupBy(*kc, "_b").agg(F.count(F.lit(1)).alias("_bc"))
-    wrun = Window.partitionBy(*kc).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy(*kc)
-    btot = btot.withColumn("_end", F.sum("_bc").over(wrun)) \
-        .withColumn("_n", F.sum("_bc").over(wall)) \
-        .withColumn("_start", F.col("_end") - F.col("_bc"))
-    targets = []
-    for i, p in enumerate(probs):
-        k = F.floor(F.lit(p) * (F.col("_n") - 1))
-        targets.append(F.struct(F.lit(i).alias("_i"), F.lit(0).alias("_s"), k.alias("_r")))
-        targets.append(F.struct(F.lit(i).alias("_i"), F.lit(1).alias("_s"),
-                                F.least(k + 1, F.col("_n") - 1).alias("_r")))
-    tb = btot.select(*kc, "_b", "_start", "_end", "_n", F.inline(F.array(*targets))) \
-        .where((F.col("_start") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
-    need = tb.select(*kc, "_b", "_start").distinct()
-    inb = vb.join(_bc(need, small_keys), keys + ["_b"]) \
-        .groupBy(*kc, "_b", "_start", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    wv = Window.partitionBy(*kc, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    inb = inb.withColumn("_cend", F.col("_start") + F.sum("_c").over(wv)) \
-        .withColumn("_cstart", F.col("_cend") - F.col("_c")).drop("_start")
-    hit = tb.select(*kc, "_b", "_i", "_s", "_r", "_n").join(inb, keys + ["_b"]) \
-        .where((F.col("_cstart") <= F.col("_r")) & (F.col("_r") < F.col("_cend")))
-    picked = hit.groupBy(*kc).agg(F.max("_n").alias("_n"), *[
-        F.max(F.when((F.col("_i") == i) & (F.col("_s") == s), F.col("_x"))).alias(f"_v{i}_{s}")
-        for i in range(len(probs)) for s in (0, 1)])
-    if not keys:
-        one = df.sparkSession.range(1).select(F.lit(1).alias("_one"))
-        picked = one.join(picked.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    return picked.select(*kc, "_n", _interpolate(probs).alias("q"))
-
-
-def _interpolate(probs: list[float]):
+    kc = [F.col(f"`{k}`") for k in keys]
+    hint = F.broadcast if small_keys or not keys else (lambda t: t)
+    rows = df.select(*kc, F.col(x).cast("double").alias("_x")).where(
+        F.col("_x").isNotNull() & ~F.isnan("_x"))
+    # _at: rank of the first value of the cell that a row is in, which names the cell
+    rows = rows.withColumn("_at", F.lit(0).cast("long")).withColumn("_cell", _magnitude(F.col("_x")))
+    for cut in range(CUTS + 1):
+        counted = rows.groupBy(*kc, "_at", "_cell").agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
+            *([F.min("_n").alias("_n")] if cut else []))
+        run = Window.partitionBy(*kc, "_at").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        if not cut:
+            counted = counted.withColumn("_n", F.sum("_c").over(Window.partitionBy(*kc)))
+        found = counted.withColumn("_end", F.col("_at") + F.sum("_c").over(run)).withColumn(
+            "_first", F.col("_end") - F.col("_c")).where(_holds(probs, F.col("_first"), F.col("_end")))
+        found = found.select(*kc, "_at", "_cell", "_first", "_lo", "_hi", "_n")
+        rows = rows.drop("_n").join(hint(found), [*keys, "_at", "_cell"]).select(
+            *kc, "_x", F.col("_first").alias("_at"), "_n",
+            _equal_width(F.col("_x"), F.col("_lo"), F.col("_hi")).alias("_cell"))
+    values = rows.groupBy(*kc, "_at", "_n", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*kc, "_at").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("_end", F.col("_at") + F.sum("_c").over(run)).withColumn(
+        "_first", F.col("_end") - F.col("_c"))
+    picks = [F.max(F.when((r >= F.col("_first")) & (r < F.col("_end")), F.col("_x"))).alias(f"_v{i}")
+             for i, r in enumerate(_ranks(probs, F.col("_n")))]
+    agg = values.groupBy(*kc) if keys else values
+    return agg.agg(F.max("_n").alias("_n"), *picks).select(*kc, _interpolate(probs).alias("q"))
+
+
+def _interpolate(probs: list[float]) -> Column:
     """Linear interpolation between the values at floor/ceil of p(n-1), in
     the same arithmetic as Spark's ``percentile``."""
     qs = []
     for i, p in enumerate(probs):
         pos = F.lit(p) * (F.col("_n") - 1)
-        lo, hi = F.col(f"_v{i}_0"), F.col(f"_v{i}_1")
+        lo, hi = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
         mixed = (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi
         qs.append(F.when((F.ceil(pos) == F.floor(pos)) | (lo == hi), lo).otherwise(mixed))
     return F.array(*qs)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: list[float],
-                    buckets: int = DEFAULT_BUCKETS, small_keys: bool = False) -> DataFrame:
-    """``(*keys, q)``: quantiles of the non-null values of ``x`` per key
-    (keys without values get no row; with no keys, one row always).
-
-    ``small_keys``: the number of keys is bounded (e.g. column names), so
-    per-key tables are broadcast; otherwise adaptive execution picks joins.
-    """
-    if small_keys or not keys:
-        return scan_quantiles(df, keys, x, probs, small_keys=True).drop("_n")
-    kc = [F.col(k) for k in keys]
-    vals = df.select(*kc, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    freq = vals.groupBy(*kc, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    return quantiles_from_frequency(freq, keys, probs, buckets, False).drop("_n")
+def _one_pass(x: Column, probs: list[float], method: str) -> Column:
+    if method not in METHODS:
+        raise ValueError(f"unknown quantile method {method!r}")
+    return (F.percentile_approx(x, probs, APPROX_ACCURACY) if method == "approx"
+            else F.percentile(x, F.array(*[F.lit(p) for p in probs])))
 
 
-def quantile_frame(df: DataFrame, x: str, probs: list[float], method: str = "auto",
+def quantile_frame(df: DataFrame, x: str, probs: list[float], method: str = "exact",
                    keys: list[str] | None = None, small_keys: bool = False) -> DataFrame:
     """``(*keys, q)`` by any method (see module doc)."""
-    keys = list(keys or [])
-    method = resolve_method(df, method)
+    keys, probs = list(keys or []), [float(p) for p in probs]
     if method == "exact":
-        return exact_quantiles(df, keys, x, probs, small_keys=small_keys)
-    v = F.col(x).cast("double")
-    e = (F.percentile_approx(v, [float(p) for p in probs], APPROX_ACCURACY) if method == "approx"
-         else F.percentile(v, F.array(*[F.lit(float(p)) for p in probs])))
+        return exact_quantiles(df, keys, x, probs, small_keys)
+    e = _one_pass(F.col(x).cast("double"), probs, method)
     agg = df.groupBy(*keys).agg(e.alias("q")) if keys else df.agg(e.alias("q"))
     return agg.where(F.col("q").isNotNull()) if keys else agg
 
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                     method: str = "auto", freq: DataFrame | None = None,
-                     ranges: DataFrame | None = None) -> DataFrame:
-    """``(column_name, q)`` for several numeric columns (all share the
-    shuffles); ``freq`` may pass a ready :func:`numeric_frequency` table,
-    ``ranges`` a ready ``(_k, _lo, _hi)`` table of the columns' min/max."""
+                     method: str = "exact") -> DataFrame:
+    """``(_k, column_name, q)`` for several numeric columns (all share the scans)."""
     from ..functions.columns import as_double
-    method = resolve_method(df.select(*[F.col(f"`{c}`") for c in columns]), method)
+    probs = [float(p) for p in probs]
     names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)],
                                             "_k int, column_name string")
     nulls = F.array(*[F.lit(None).cast("double") for _ in probs])
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_k"), as_double(df, c).alias("_x"))
-        for i, c in enumerate(columns)])))
-    if method == "exact" and freq is not None:
-        q = quantiles_from_frequency(freq, ["_k"], probs, small_keys=True).drop("_n")
-    elif method == "exact" and ranges is not None:
-        q = scan_quantiles(long, ["_k"], "_x", probs, small_keys=True, ranges=ranges).drop("_n")
-    elif method == "exact":
-        # min/max of all columns in one wide aggregation (no unpivot needed)
-        wide = df.agg(*[f(as_double(df, c)).alias(f"{n}{i}") for i, c in enumerate(columns)
-                        for f, n in ((F.min, "lo"), (F.max, "hi"))])
-        ranges = wide.select(F.inline(F.array(*[
-            F.struct(F.lit(i).alias("_k"), F.col(f"lo{i}").alias("_lo"),
-                     F.col(f"hi{i}").alias("_hi")) for i in range(len(columns))])))
-        q = scan_quantiles(long, ["_k"], "_x", probs, small_keys=True, ranges=ranges).drop("_n")
+    if method == "exact":
+        long = df.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("_k"), as_double(df, c).alias("_v"))
+            for i, c in enumerate(columns)])))
+        q = exact_quantiles(long, ["_k"], "_v", probs, small_keys=True)
     else:
-        # one-pass methods: one wide aggregation, no unpivot
-        ps = [float(p) for p in probs]
-        aggs = [(F.percentile_approx(as_double(df, c), ps, APPROX_ACCURACY) if method == "approx"
-                 else F.percentile(as_double(df, c), F.array(*[F.lit(p) for p in ps])))
-                .alias(f"_q{i}") for i, c in enumerate(columns)]
+        aggs = [_one_pass(as_double(df, c), probs, method).alias(f"_q{i}") for i, c in enumerate(columns)]
         q = df.agg(*aggs).select(F.inline(F.array(*[
             F.struct(F.lit(i).alias("_k"), F.col(f"_q{i}").alias("q"))
             for i in range(len(columns))])))

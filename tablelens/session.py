@@ -53,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named in ``spark.checkpoint.dir``.
 
     On a cluster this setting names a folder every executor can reach and is
-    left as it is. Only when it is unset (tests, local runs) do we set our own.
+    left as it is. Only in local mode with the setting unset (tests) do we set our own.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -61,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="tablelens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
@@ -83,11 +85,3 @@ def apply_defaults(spark: SparkSession) -> None:
             spark.conf.set(k, DEFAULT_CONF[k])
         except Exception:  # some settings are static on shared clusters
             pass
-
-
-def worker_path_hint() -> None:
-    """Make the package importable by Python workers started later."""
-    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    cur = os.environ.get("PYTHONPATH", "")
-    if here not in cur.split(os.pathsep):
-        os.environ["PYTHONPATH"] = here + (os.pathsep + cur if cur else "")

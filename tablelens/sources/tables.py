@@ -62,10 +62,3 @@ def preview(df: DataFrame, n: int = 2, order_by: list[str] | None = None) -> Dat
     if order_by:
         return df.orderBy(*[F.col(f"`{c}`") for c in order_by]).limit(int(n))
     return df.limit(int(n))
-
-
-def dtypes_frame(df: DataFrame) -> DataFrame:
-    """``(column_name, type)`` for the schema preview."""
-    return df.sparkSession.createDataFrame(
-        [(f.name, f.dataType.simpleString()) for f in df.schema.fields],
-        "column_name string, type string")

@@ -6,8 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablelens.operators import analysis as A
-from tablelens.operators.quantiles import (column_quantiles, estimated_bytes, exact_quantiles,
-                                           resolve_method)
+from tablelens.operators.quantiles import column_quantiles, exact_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -72,12 +71,40 @@ def test_describe_and_median_methods_agree(spark):
     assert m1 == m2
 
 
-def test_auto_uses_plan_size(spark):
-    small = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    assert 0 < estimated_bytes(small) < 32 * 1024 * 1024
-    assert resolve_method(small, "auto") == "percentile"
-    spark.conf.set("tablelens.quantiles.onePassMaxBytes", "1")
+@pytest.mark.parametrize("far", [1e15, float("inf"), -1e300])
+def test_far_values_crowd_no_window(spark, far):
+    """One huge value among many must not put all others into one sorted cell."""
+    from pyspark.sql import Window
+
+    df = spark.range(0, 50000).select((F.col("id") * 0.37 + 3).alias("x")).union(
+        spark.createDataFrame([(far,)], "x double"))
+    got = exact_quantiles(df, [], "x", PROBS).collect()[0].q
+    want = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in PROBS]))).collect()[0][0]
+    assert close(got, want)
+    # the largest group that any window of the plan sorts
+    seen = []
+    keep = Window.partitionBy
+
+    def watched(*cols):
+        seen.append(cols)
+        return keep(*cols)
+
+    Window.partitionBy = staticmethod(watched)
     try:
-        assert resolve_method(small, "auto") == "exact"
+        exact_quantiles(df, [], "x", PROBS)
     finally:
-        spark.conf.unset("tablelens.quantiles.onePassMaxBytes")
+        Window.partitionBy = staticmethod(keep)
+    assert all(cols and cols[-1] == "_at" or not cols for cols in seen)
+    from tablelens.operators import quantiles as Q
+    low, high = df.where("abs(x) < 1e14").agg(F.min("x"), F.max("x")).first()
+    cells = df.where("abs(x) < 1e14").groupBy(Q._magnitude(F.col("x")).alias("m"), Q._equal_width(F.col("x"), F.lit(low), F.lit(high)).alias("c")
+                       ).count().agg(F.max("count")).first()[0]
+    assert cells <= 50000 / Q.CELLS * 8
+
+
+def test_integers_and_ties(spark):
+    df = spark.createDataFrame([(g, float(v)) for g in range(3) for v in [7] * 500 + [-(2**53)] * 3 + list(range(40))],
+                               "g int, x double")
+    ref = reference(df, ["g"])
+    got = {(r.g,): r.q for r in exact_quantiles(df, ["g"], "x", PROBS).collect()}
+    assert all(close(got[k], v) for k, v in ref.items())
