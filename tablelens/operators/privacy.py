@@ -111,6 +111,29 @@ def mask_column(df: DataFrame, name: str, typ: str):
     return c
 
 
+def sensitive_types(df: DataFrame, split_underscore: bool = False,
+                    detect_content: bool = True) -> dict[str, str]:
+    """Sensitive type of each column to mask: by name, else (text) by content.
+
+    Content is decided by one aggregation over the whole columns, whose single
+    row comes to the driver. Columns that carry the mask mark are left out.
+    """
+    fields = [f for f in df.schema.fields if not _masked(df, f.name)]
+    types = {f.name: t for f in fields if (t := sensitive_type_by_name(f.name, split_underscore)) is not None}
+    open_ = [f.name for f in fields if f.name not in types and isinstance(f.dataType, T.StringType)]
+    if detect_content and open_:
+        shares = df.agg(*email_share_exprs(df, open_)).first()
+        types |= {c: "email" for c, share in zip(open_, shares, strict=True) if (share or 0) > EMAIL_SHARE}
+    return types
+
+
+def mask_columns(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """A plain projection that masks the named columns by type and marks them."""
+    return df.select(*[
+        mask_column(df, c, types[c]).alias(c, metadata={MASK_META: types[c]}) if c in types else qcol(c)
+        for c in df.columns])
+
+
 def mask_table(df: DataFrame, split_underscore: bool = False,
                detect_content: bool = True) -> DataFrame:
     """Mask every sensitive column; other columns are left untouched.

@@ -786,7 +786,7 @@ def q_retention_apply(spark, sf_dir):
 
 @register("rank_items", f"""
 WITH i AS (
-  SELECT d.doc_id, regexp_replace(regexp_extract(d.text, '^[^\\n]*', 0), '^\\s+|\\s+$', '', 'g') AS text,
+  SELECT d.doc_id, regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') AS text,
          CASE WHEN l.quality IS NULL THEN 'n/a' ELSE CAST(l.quality * 100 AS VARCHAR) END AS r_raw,
          CAST(d.n_chars AS VARCHAR) AS s_raw
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
@@ -802,7 +802,7 @@ FROM b ORDER BY relevance DESC, significance DESC, doc_id ASC LIMIT {RT.RANK_LIM
 def q_rank_items(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     items = d.join(table(spark, sf_dir, "labels"), "doc_id", "left").select(
-        "doc_id", F.regexp_extract("text", r"^[^\n]*", 0).alias("text"),
+        "doc_id", "text",
         F.when(F.col("quality").isNull(), F.lit("n/a"))
         .otherwise((F.col("quality") * 100).cast("string")).alias("r_raw"),
         F.col("n_chars").cast("string").alias("s_raw"))
@@ -839,7 +839,7 @@ def q_run_plan(spark, sf_dir):
 @register("report_rows")
 def q_report_rows(spark, sf_dir):
     from . import plan as W
-    return W.result_rows(W.analyze(table(spark, sf_dir, "orders"), persist=False))
+    return W.result_rows(W.analyze(table(spark, sf_dir, "orders")))
 
 
 # --------------------------------------------------------------------------
