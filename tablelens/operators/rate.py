@@ -2,12 +2,12 @@
 
 Admission is order dependent: an event is allowed when fewer than ``limit``
 *allowed* events of its key lie in ``(t - window, t]``; rejected events do
-not count. No window function expresses that, so R1 is a streaming fold:
-events are hash-partitioned by key and sorted inside each partition, then
-one pass in Arrow batches carries at most ``limit`` timestamps of state for
-the key being read. Memory per task is bounded by the batch size and
-``limit``, whatever the size of a key; a very hot key still runs in one task
-because each of its decisions depends on the previous ones.
+not count. No window function expresses that, so R1 is a streaming fold in
+Arrow batches that carries at most ``limit`` timestamps. Where a key has no
+event for a whole window, nothing earlier can matter: its events are cut there
+into islands, found from the distinct pairs of key and window-wide time cell, and
+each island is folded by itself. So a busy key is spread over as many tasks as it
+has islands, and the memory of a task is bounded whatever a key's size.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import sys
 from collections import deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,47 +59,68 @@ def admit(keys: np.ndarray, times: np.ndarray, limit: int, window_us: int,
     return out
 
 
+def _islands(staged: DataFrame, window_us: int) -> DataFrame:
+    """``staged`` (``_key``, ``_t``, ...) with ``_island``: the first cell of its run of occupied cells.
+
+    A cell is one window long, so events two cells apart are at least a window apart.
+    Only distinct (key, cell) pairs are sorted by key, not the events.
+    """
+    staged = staged.withColumn("_cell", F.floor(F.col("_t") / F.lit(window_us)))
+    cells = staged.select(F.col("_key").alias("_k"), F.col("_cell").alias("_c")).distinct()
+    run = Window.partitionBy("_k").orderBy("_c")
+    begins = F.coalesce(F.col("_c") - F.lag("_c").over(run) > 1, F.lit(True))
+    cells = cells.withColumn("_begin", F.when(begins, F.col("_c")))
+    cells = cells.select("_k", "_c", F.last("_begin", ignorenulls=True).over(run).alias("_island"))
+    return staged.join(cells, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_cell") == F.col("_c"))).drop(
+        "_k", "_c", "_cell")
+
+
 def rate_admission(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float,
                    tiebreak: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Input rows plus ``allowed`` (boolean).
 
     Events of a key are judged in (ts, tiebreak) order; without a tiebreak
     column, ties are broken by the other columns so the order is total and a
-    recomputed partition reproduces the same decisions. ``num_partitions``
-    defaults to ``spark.sql.shuffle.partitions``.
+    recomputed partition reproduces the same decisions. Events without a key are
+    those of one client of their own; events without a time are not allowed.
+    Python sees only keys and times; all columns pass through as they are. Without
+    ``num_partitions`` Spark sets (and adapts) the number of tasks.
     """
     window_us = int(round(float(window_seconds) * 1_000_000))
     limit = int(limit)
-    # a total order, so a re-run task (lost executor) makes the same decisions
     ties = [tiebreak] if tiebreak else sorted(c for c in df.columns if c not in (key, ts))
-    order = [qcol(key), F.col("_t")] + [qcol(c) for c in ties]
-    staged = df.withColumn("_t", epoch_micros(qcol(ts)))
-    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    staged = staged.repartition(parts, qcol(key)).sortWithinPartitions(*order)
-    schema = T.StructType(list(staged.schema.fields) + [T.StructField("allowed", T.BooleanType())])
+    whole = df.select(F.struct("*").alias("row"))
+    field = lambda c: F.col("row").getField(c)
+    staged = whole.select("row", field(key).alias("_key"), epoch_micros(field(ts)).alias("_t"),
+                          *[field(c).alias(f"_tie{i}") for i, c in enumerate(ties)])
+    dated = _islands(staged.where(F.col("_t").isNotNull()), window_us)
+    order = ["_key", "_island", "_t", *[f"_tie{i}" for i in range(len(ties))]]
+    dealt = dated.repartition(*([num_partitions] if num_partitions else []), "_key", "_island").sortWithinPartitions(*order).select("row", "_key", "_island", "_t")
+    schema = T.StructType([T.StructField("row", dealt.schema["row"].dataType),
+                           T.StructField("allowed", T.BooleanType())])
 
     def run(batches):
-        state: dict = {}
-        last_key = None
-        for pdf in batches:
-            if len(pdf) == 0:
+        state, last = {}, None  # the admitted times of the group that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            keys = pdf[key].to_numpy()
-            # keep state only for the key that may continue into the next batch
-            if last_key is not None and keys[0] != last_key:
-                state.clear()
-            allowed = admit(keys, pdf["_t"].to_numpy(dtype="int64"), limit, window_us, state)
-            last_key = keys[-1]
-            for k in list(state):
-                if k != last_key:
-                    del state[k]
-            yield pdf.assign(allowed=pd.Series(allowed, index=pdf.index))
+            groups = list(zip(batch.column("_key").to_pylist(), batch.column("_island").to_pylist(), strict=True))
+            number, numbers = 0, np.zeros(len(groups), dtype=np.int64)
+            for i, (own, before) in enumerate(zip(groups, [last, *groups], strict=False)):
+                number += own != before
+                numbers[i] = number
+            # group 0 is the one carried over; later groups are new
+            held = {0: state.get("open")} if state.get("open") is not None else {}
+            allowed = admit(numbers, batch.column("_t").to_numpy(), limit, window_us, held)
+            state, last = {"open": held[int(numbers[-1])]}, groups[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(allowed)], ["row", "allowed"])
 
-    return staged.mapInPandas(run, schema).drop("_t")
+    undated = staged.where(F.col("_t").isNull()).select("row", F.lit(False).alias("allowed"))
+    return dealt.mapInArrow(run, schema).unionByName(undated).select("row.*", "allowed")
 
 
 def rate_window_count(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float,
-                      chunk_windows: int = 16) -> DataFrame:
+                      chunk_windows: int = 2) -> DataFrame:
     """Plain sliding count: ``recent`` = earlier events of the key in
     ``(t - window, t)`` (rejected ones included), ``allowed`` = recent < limit.
 

@@ -103,3 +103,38 @@ def test_admission_independent_of_partitioning(spark):
     b = {r.event_id: r.allowed for r in
          R.rate_admission(ev.repartition(7), "user_id", "ts", 2, 86400, num_partitions=7).collect()}
     assert a == b
+
+
+def test_keys_of_any_value_stay_apart(spark):
+    big = 2**53
+    rows = [(big, 0), (big + 1, 1), (big, 2), (None, 3), (None, 4), (big + 1, 5)]
+    df = spark.createDataFrame([(k, T0 + dt.timedelta(seconds=s), big + 7) for k, s in rows],
+                               "k bigint, ts timestamp_ntz, other bigint")
+    got = sorted((r.ts, r.k, r.allowed, r.other) for r in R.rate_admission(df, "k", "ts", 1, 60).collect())
+    assert [(k, a) for _, k, a, _ in got] == [(big, True), (big + 1, True), (big, False), (None, True), (None, False),
+                                            (big + 1, False)]
+    assert {o for *_, o in got} == {big + 7}
+
+
+def test_a_busy_key_is_cut_where_a_window_is_empty(spark):
+    """Islands give the same decisions as one fold over the whole key."""
+    import random
+    from collections import deque
+
+    rng = random.Random(2)
+    times, t = [], 0
+    for _ in range(600):
+        t += rng.choice([1, 3, 8, 20, 130, 400])
+        times.append(t)
+    df = spark.createDataFrame([(i, "busy", T0 + dt.timedelta(seconds=s)) for i, s in enumerate(times)],
+                               "id int, k string, ts timestamp_ntz")
+    want, held = {}, deque()
+    for i, s in enumerate(times):
+        while held and held[0] <= s - 60:
+            held.popleft()
+        want[i] = len(held) < 3
+        if want[i]:
+            held.append(s)
+    assert {r.id: r.allowed for r in R.rate_admission(df, "k", "ts", 3, 60, "id").collect()} == want
+    staged = df.select(F.col("k").alias("_key"), R.epoch_micros(F.col("ts")).alias("_t"))
+    assert R._islands(staged, 60_000_000).select("_island").distinct().count() > 50
