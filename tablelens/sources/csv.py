@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import WHOLE_TEXT, number_from_text
+
 # Text read as missing (pandas' default NA tokens).
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
              "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan",
@@ -26,11 +28,21 @@ TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 
 
+def detect_layout(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(encoding, multi_line) from one aggregation over all lines.
+
+    ``UTF-8`` when every line is valid UTF-8, else ``ISO-8859-1``; multi-line when a
+    line leaves a quote open (an odd number of quotes).
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    r = spark.read.text(path).agg(F.bool_and(F.expr("is_valid_utf8(value)")).alias("ok"),
+                                  F.bool_or(quotes % 2 == 1).alias("open")).first()
+    return "UTF-8" if r["ok"] in (None, True) else "ISO-8859-1", bool(r["open"])
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """``UTF-8`` when every line is valid UTF-8, else ``ISO-8859-1``."""
-    ok = spark.read.text(path).agg(F.bool_and(F.expr("is_valid_utf8(value)")).alias("ok")) \
-        .collect()[0]["ok"]
-    return "UTF-8" if ok in (None, True) else "ISO-8859-1"
+    return detect_layout(spark, path)[0]
 
 
 def header_names(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
@@ -61,8 +73,8 @@ def _choose_types(df: DataFrame) -> dict[str, str]:
     for i, c in enumerate(df.columns):
         v = F.trim(F.col(f"`{c}`"))
         exprs += [F.count(v).alias(f"n{i}"),
-                  F.count(v.try_cast("bigint")).alias(f"i{i}"),
-                  F.count(v.try_cast("double")).alias(f"d{i}"),
+                  F.count(F.when(v.rlike(WHOLE_TEXT), v.try_cast("bigint"))).alias(f"i{i}"),
+                  F.count(number_from_text(v)).alias(f"d{i}"),
                   F.count_if(v.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"b{i}")]
     r = df.agg(*exprs).collect()[0]
     types = {}
@@ -82,22 +94,32 @@ def _choose_types(df: DataFrame) -> dict[str, str]:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             encoding: str | None = None, multi_line: bool = False,
+             encoding: str | None = None, multi_line: bool | None = None,
              na_tokens=NA_TOKENS) -> DataFrame:
     """Read CSV files with a header row.
 
-    ``schema`` skips the typing pass. ``multi_line`` allows quoted fields
-    with line breaks; it makes each file one split, so keep it off for large
-    files that do not need it.
+    ``schema`` skips the typing pass. Quoted fields with line breaks are found by
+    the pass that checks the encoding (or told by ``multi_line``); then each file is
+    one split, so many files stay the unit of parallel reading. A row with more fields
+    than the header is an error, as nothing says where its fields belong.
     """
-    enc = encoding or detect_encoding(spark, path)
+    if encoding is None or multi_line is None:
+        found = detect_layout(spark, path)
+        encoding, multi_line = encoding or found[0], found[1] if multi_line is None else multi_line
+    enc = encoding
     names = header_names(spark, path, enc)
-    text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    extra = "_more"
+    while extra in names:
+        extra += "_"
+    text_schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, extra]])
     raw = (spark.read.option("header", True).option("enforceSchema", True)
            .option("encoding", enc).option("multiLine", multi_line)
            .option("quote", '"').option("escape", '"').option("nullValue", "\u0000")
            .option("emptyValue", "").schema(text_schema).csv(path))
     nas = list(na_tokens)
+    too_long = F.raise_error(F.lit("CSV row has more fields than the header")).cast("string")
+    raw = raw.withColumn(names[0], F.when(F.coalesce(F.col(f"`{extra}`"), F.lit("")) != "", too_long)
+                         .otherwise(F.col(f"`{names[0]}`")))
     raw = raw.select(*[F.when(F.col(f"`{n}`").isin(*nas), F.lit(None).cast("string"))
                        .otherwise(F.col(f"`{n}`")).alias(n) for n in names])
     if schema is not None:
@@ -124,6 +146,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "error")
     path the frame was read from (Spark would read what it overwrites)."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        (w.option("header", True).option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.format(fmt).save(path)

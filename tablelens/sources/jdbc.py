@@ -1,6 +1,6 @@
-"""SQL-table source (S2): a guarded table name and a row limit.
+"""SQL-table source (S2): a guarded table name and an optional row limit.
 
-The limit is written into the ``query`` option in the database's own
+A limit is written into the ``query`` option in the database's own
 syntax, because Spark does not push ``limit`` into a JDBC scan. Whole
 tables are read in parallel ranges of a numeric column instead.
 """
@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLE_NAME_RE = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 MAX_NAME_LENGTH = 63
-DEFAULT_LIMIT = 30000
-MAX_LIMIT = 30000
 
 
 def validate_table_name(name, max_length: int = MAX_NAME_LENGTH) -> bool:
@@ -37,21 +35,20 @@ def limited_query(url: str, table: str, limit: int) -> str:
     return f"SELECT * FROM {table} LIMIT {limit}"
 
 
-def jdbc_options(url: str, table: str, limit: int = DEFAULT_LIMIT,
+def jdbc_options(url: str, table: str, limit: int | None = None,
                  properties: dict | None = None) -> dict:
-    """Validated reader options (raises ValueError on a bad name or limit)."""
+    """Validated reader options (raises ValueError on a bad name or limit); no limit: the whole table."""
     if not validate_table_name(table):
         raise ValueError(f"Invalid table name: {table!r}")
-    if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= MAX_LIMIT:
-        raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
-    opts = dict(properties or {})
-    opts.update({"url": url, "query": limited_query(url, table, limit)})
-    return opts
+    if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or limit < 1):
+        raise ValueError("limit must be a positive whole number")
+    source = {"dbtable": table} if limit is None else {"query": limited_query(url, table, limit)}
+    return {**(properties or {}), "url": url, **source}
 
 
-def read_sql_table(spark: SparkSession, url: str, table: str, limit: int = DEFAULT_LIMIT,
+def read_sql_table(spark: SparkSession, url: str, table: str, limit: int | None = None,
                    properties: dict | None = None) -> DataFrame:
-    """At most ``limit`` rows of a database table."""
+    """A database table, or at most ``limit`` rows of it."""
     return spark.read.format("jdbc").options(**jdbc_options(url, table, limit, properties)).load()
 
 

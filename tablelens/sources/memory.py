@@ -19,8 +19,7 @@ def append_memory(spark: SparkSession, path: str, job_id: str, fingerprint: str,
     """Append one insight summary (stripped, first 1500 chars)."""
     ts = (created_at or datetime.now(timezone.utc)).replace(tzinfo=None)
     row = spark.createDataFrame([(job_id, fingerprint, insights, ts)], MEMORY_SCHEMA)
-    row = row.withColumn("insights_summary",
-                         F.substring(F.trim(F.col("insights_summary")), 1, SUMMARY_CHARS))
+    row = row.withColumn("insights_summary", summarize_column(F.col("insights_summary")))
     row.write.mode("append").parquet(path)
 
 

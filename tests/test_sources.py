@@ -64,8 +64,10 @@ def test_jdbc_options_and_limit():
     o = jdbc.jdbc_options("jdbc:postgresql://h/db", "users", 100)
     assert o["query"] == "SELECT * FROM users LIMIT 100"
     assert "FETCH FIRST 5 ROWS ONLY" in jdbc.jdbc_options("jdbc:derby:memory:x", "t", 5)["query"]
+    assert jdbc.jdbc_options("jdbc:postgresql://h/db", "users", 50000)["query"].endswith("LIMIT 50000")
+    assert jdbc.jdbc_options("jdbc:postgresql://h/db", "users")["dbtable"] == "users"  # the whole table
     with pytest.raises(ValueError):
-        jdbc.jdbc_options("jdbc:postgresql://h/db", "users", 50000)
+        jdbc.jdbc_options("jdbc:postgresql://h/db", "users", 0)
     with pytest.raises(ValueError):
         jdbc.jdbc_options("jdbc:postgresql://h/db", "users; drop", 10)
 
@@ -107,3 +109,35 @@ def test_memory_and_history(spark):
     assert [r.job_id for r in memory.history(mem, 2).collect()] == ["job4", "job3"]
     with pytest.raises(ValueError):
         memory.history(mem, 201)
+
+
+def test_csv_texts_come_back_whole(spark, tmp_path):
+    rows = [(1, "a\nb"), (2, "  lead and trail "), (3, 'quote " and, comma'), (4, "12D"), (5, "\tx\n\ny")]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    path = str(tmp_path / "csv")
+    write_table(df, path)
+    got = read_csv(spark, path)
+    assert sorted(map(tuple, got.collect())) == rows and got.dtypes == [("id", "bigint"), ("t", "string")]
+
+
+def test_csv_codes_stay_text(spark, tmp_path):
+    path = tmp_path / "codes.csv"
+    path.write_text("code,x,y\n12D,1e3,+7\n3F,.5,8\n7D,2.,-9\n")
+    got = read_csv(spark, str(path))
+    assert got.dtypes == [("code", "string"), ("x", "double"), ("y", "bigint")]
+    assert [r.code for r in got.collect()] == ["12D", "3F", "7D"]
+
+
+def test_csv_row_with_more_fields_is_an_error(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("a,b\n1,2\n3,4,5\n6\n")
+    with pytest.raises(Exception, match="more fields"):
+        read_csv(spark, str(path)).collect()
+    path = tmp_path / "short.csv"
+    path.write_text("a,b\n1,2\n6\n")
+    assert sorted((r.a, r.b) for r in read_csv(spark, str(path)).collect()) == [(1, 2), (6, None)]
+
+
+def test_memory_strips_lines_too(spark, tmp_path):
+    memory.append_memory(spark, str(tmp_path / "m"), "j", "f", "\n\t some insight \n")
+    assert spark.read.parquet(str(tmp_path / "m")).first().insights_summary == "some insight"
