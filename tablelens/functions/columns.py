@@ -47,14 +47,6 @@ def numeric_columns(df: DataFrame, include_bool: bool = False) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType, include_bool)]
 
 
-def string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-
-
-def datetime_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if is_datetime(f.dataType)]
-
-
 def qcol(name: str) -> Column:
     """Column by exact name, safe for names with dots or spaces."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -85,18 +77,6 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return c.isNull()
 
 
-def normalize_nan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Replace NaN by NULL in float columns (all of them by default)."""
-    cols = set(columns) if columns is not None else None
-    out = []
-    for f in df.schema.fields:
-        if is_float(f.dataType) and (cols is None or f.name in cols):
-            out.append(clean_value(df, f.name).alias(f.name))
-        else:
-            out.append(qcol(f.name))
-    return df.select(*out)
-
-
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson r over pairwise-complete rows; NULL when either side is
     constant (Spark's ``corr`` divides by zero under ANSI mode)."""
@@ -104,5 +84,16 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.try_divide(F.regr_sxy(y, x), F.nullif(den, F.lit(0.0)))
 
 
+# text that is a number: Java's parser would also take suffixes (12D, 3f) and hexadecimal
+NUMBER_TEXT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
+WHOLE_TEXT = r"^[+-]?\d+$"
+
+
+def number_from_text(c: Column) -> Column:
+    """Text as double, blanks around it allowed; NULL if it isn't written as a number."""
+    t = F.trim(c.cast("string"))
+    return F.when(t.rlike(NUMBER_TEXT), t.try_cast("double"))
+
+
 def type_name(dt: T.DataType) -> str:
     return dt.simpleString()

@@ -37,6 +37,21 @@ def parse_datetime(c: Column, fmt: str | None = None) -> Column:
     return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
 
 
+def best_format(c: Column) -> Column:
+    """Aggregate: number of the format in ``DATETIME_FORMATS`` that parses most texts (first on ties)."""
+    parsed = [F.struct(F.count(parse_datetime(c, f)).alias("n"), F.lit(-i).alias("i"))
+              for i, f in enumerate(DATETIME_FORMATS)]
+    return -F.greatest(*parsed).getField("i")
+
+
+def parse_by_number(c: Column, number: Column) -> Column:
+    """Text to timestamp_ntz by the format of that number."""
+    chosen = F.lit(None).cast("timestamp_ntz")
+    for i, f in enumerate(DATETIME_FORMATS):
+        chosen = F.when(number == i, parse_datetime(c, f)).otherwise(chosen)
+    return chosen
+
+
 def as_timestamp(df: DataFrame, name: str) -> Column:
     """A column as timestamp_ntz: timestamps and dates directly, text parsed."""
     dt = field(df, name).dataType

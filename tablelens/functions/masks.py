@@ -9,6 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import number_from_text
+
+
 def _null_str() -> Column:
     return F.lit(None).cast("string")
 
@@ -43,7 +46,7 @@ def to_double(c: Column, dt: T.DataType | None = None) -> Column:
     anything unparsable as NULL."""
     if dt is not None and isinstance(dt, (T.NumericType, T.BooleanType)):
         return c.cast("int").cast("double") if isinstance(dt, T.BooleanType) else c.cast("double")
-    return F.trim(c.cast("string")).try_cast("double")
+    return number_from_text(c)
 
 
 def mask_financial(c: Column, dt: T.DataType | None = None) -> Column:

@@ -13,14 +13,13 @@ from pyspark.sql import types as T
 
 from ..functions.columns import (as_double, clean_value, field, is_missing,
                                  is_numeric, numeric_columns, qcol, safe_corr)
-from ..functions.dates import FREQS, as_timestamp, period_label
+from ..functions.dates import FREQS, as_timestamp, best_format, parse_by_number, period_label
 from ..functions.masks import to_double
 from .common import is_identifier, long_rows, message_frame, require_columns
-from .quantiles import column_quantiles, quantile_frame, resolve_method
+from .quantiles import column_quantiles, quantile_frame
 
 DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 GROUP_AGGS = ("mean", "sum", "min", "max", "median", "count")
-SMALL_GROUPS = 10000
 
 
 def missing_values(df: DataFrame) -> DataFrame:
@@ -34,13 +33,13 @@ def missing_values(df: DataFrame) -> DataFrame:
                      ["column_name"], "missing")
 
 
-def describe_numeric(df: DataFrame, columns=None, method: str = "auto") -> DataFrame:
+def describe_numeric(df: DataFrame, columns=None, method: str = "exact") -> DataFrame:
     """count, mean, std, min, quartiles, max per numeric column, as
     ``(column_name, stat, value)``.
 
     Moments and bounds share one aggregation; the quartiles of all columns
-    share one frequency table (see :mod:`quantiles`; ``method`` picks exact
-    bounded-memory, Spark ``percentile`` or ``approx``). Given only
+    share the scans of :mod:`quantiles` (``method``: exact with bounded
+    memory, Spark ``percentile`` or ``approx``). Given only
     text/boolean columns, the categorical description is returned instead.
     """
     cols = require_columns(df, columns) if columns else numeric_columns(df)
@@ -66,37 +65,17 @@ def describe_numeric(df: DataFrame, columns=None, method: str = "auto") -> DataF
             rows.append((c, stat))
             vals.append(F.col(v).cast("double"))
     moments = long_rows(agg, rows, vals, ["column_name", "stat"], "value")
-    # the quartile pass reuses this aggregation's min/max as bucket ranges
-    ranges = agg.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_k"), F.col(f"lo{i}").alias("_lo"), F.col(f"hi{i}").alias("_hi"))
-        for i in range(len(num))])))
-    q = column_quantiles(df, num, [0.25, 0.5, 0.75], method, ranges=ranges)
+    q = column_quantiles(df, num, [0.25, 0.5, 0.75], method)
     quart = q.select("column_name", F.inline(F.array(*[
         F.struct(F.lit(s).alias("stat"), F.col("q")[i].alias("value"))
         for i, s in enumerate(("25%", "50%", "75%"))])))
     return moments.unionByName(quart)
 
 
-# Text longer than this is counted by a SHA-256 key instead of its full value,
-# so frequency tables of long texts shuffle 80 bytes per distinct value.
-LONG_TEXT = 256
-# Keys of long texts start with U+10FFFF: they sort after every plain value
-# (ties among long texts are ordered by digest), and plain values that start
-# with it are hashed too, so a key can never equal a plain value.
-LONG_MARK = "\U0010FFFF"
-
-
-def text_key(v):
-    """The value itself, or a digest key for long (or marker-prefixed) text."""
-    long_ = (F.length(v) > LONG_TEXT) | v.startswith(LONG_MARK)
-    return F.when(long_, F.concat(F.lit(LONG_MARK), F.sha2(v, 256))).otherwise(v)
-
-
 def frequency_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_name, value, n)``: non-null value counts of several columns in
-    one shuffle. Values are compared as text; NaN counts as missing; texts
-    longer than ``LONG_TEXT`` appear as digest keys (see
-    :func:`restore_values` for turning the few wanted keys back into text).
+    one shuffle. Values are compared as text, whatever their length; NaN counts
+    as missing.
 
     The unpivot is a projection; the aggregation combines map-side, so a hot
     value costs one partial row per task, not one row per occurrence.
@@ -104,36 +83,12 @@ def frequency_table(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = []
     for c in columns:
         v = clean_value(df, c).cast("string")
-        if isinstance(field(df, c).dataType, T.StringType):
-            v = text_key(v)
         pairs.append(F.struct(F.lit(c).alias("column_name"), v.alias("value")))
     long = df.select(F.inline(F.array(*pairs)))
     return (long.where(F.col("value").isNotNull())
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
-def restore_values(df: DataFrame, small: DataFrame, value_col: str = "value") -> DataFrame:
-    """Replace digest keys in a *small* frame ``(column_name, <value_col>, ...)``
-    by the texts they stand for. Only long texts of the named columns are
-    re-read and hashed; the keys looked up are broadcast (a few per column)."""
-    text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not text_cols:
-        return small
-    need = small.where(F.col(value_col).startswith(LONG_MARK)) \
-        .select("column_name", F.col(value_col).alias("_key")).distinct()
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), qcol(c).alias("_v")) for c in text_cols])))
-    long = long.where((F.length("_v") > LONG_TEXT) | F.col("_v").startswith(LONG_MARK))
-    found = long.withColumn("_key", text_key(F.col("_v"))) \
-        .join(F.broadcast(need), ["column_name", "_key"]) \
-        .groupBy(F.col("column_name").alias("_rcn"), F.col("_key").alias("_rkey")) \
-        .agg(F.min("_v").alias("_rv"))
-    cond = (F.col("column_name") == F.col("_rcn")) & (F.col(value_col) == F.col("_rkey"))
-    out = small.join(F.broadcast(found), cond, "left")
-    return out.withColumn(value_col, F.coalesce(F.col("_rv"), F.col(value_col))) \
-        .select(*small.columns)
-
-
 def describe_categorical(df: DataFrame, columns) -> DataFrame:
     """count, unique, top, freq per column as ``(column_name, stat, value)``
     with text values; the top value is the most frequent, smallest on ties."""
@@ -143,7 +98,10 @@ def describe_categorical(df: DataFrame, columns) -> DataFrame:
         F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
         F.max("n").alias("freq"))
-    per = restore_values(df, per, "top")
+    # a column without values still has its row: count 0
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    per = names.join(per, "column_name", "left").withColumns({
+        "count": F.coalesce("count", F.lit(0)), "unique": F.coalesce("unique", F.lit(0))})
     stats = ["count", "unique", "top", "freq"]
     return per.select("column_name", F.inline(F.array(*[
         F.struct(F.lit(s).alias("stat"), F.col(s).cast("string").alias("value"))
@@ -159,12 +117,10 @@ def value_counts(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
     """
     if not isinstance(column, str) or column not in df.columns:
         return message_frame(df.sparkSession, "Invalid column for value_counts")
-    if not isinstance(top_n, int) or isinstance(top_n, bool) or top_n < 1 or top_n > 100:
-        top_n = 10
+    if not isinstance(top_n, int) or isinstance(top_n, bool) or top_n < 1:
+        raise ValueError(f"top_n must be a positive whole number, not {top_n!r}")
     counts = frequency_table(df, [column]).withColumnRenamed("n", "count")
     top = counts.orderBy(F.col("count").desc(), F.col("value").asc()).limit(top_n)
-    if isinstance(field(df, column).dataType, T.StringType):
-        top = restore_values(df.select(qcol(column)), top)
     return top.select("value", "count")
 
 
@@ -194,18 +150,18 @@ def correlation_matrix(df: DataFrame, columns=None, max_columns: int | None = No
         for j, b in enumerate(cols):
             rows.append((a, b))
             if i == j:
-                vals.append(F.when(F.col(f"d{i}") > 0, F.lit(1.0)))
+                vals.append(F.when((F.col(f"d{i}") > 0) & ~F.isnan(f"d{i}"), F.lit(1.0)))
             else:
-                vals.append(F.col(keys[(min(i, j), max(i, j))]))
+                vals.append(F.nanvl(F.col(keys[(min(i, j), max(i, j))]), F.lit(None).cast("double")))
     return long_rows(agg, rows, [v.cast("double") for v in vals], ["x", "y"], "r")
 
 
 def groupby_agg(df: DataFrame, by: str, target: str, agg: str = "mean",
-                method: str = "auto") -> DataFrame:
+                method: str = "exact") -> DataFrame:
     """One aggregate of ``target`` per value of ``by``: ``(by, <agg>)``.
 
-    Null keys are dropped; ``sum`` of an all-null group is 0, every other
-    aggregate of it is NULL. Unknown ``agg`` falls back to ``mean``. The
+    Null and NaN keys are dropped; ``sum`` of an all-null group is 0 and NULL if
+    it overflows, every other aggregate of an all-null group is NULL. Unknown ``agg`` falls back to ``mean``. The
     median is exact with bounded memory per task (a hot group is split by
     value buckets, see :mod:`quantiles`).
     """
@@ -221,23 +177,17 @@ def groupby_agg(df: DataFrame, by: str, target: str, agg: str = "mean",
     if agg in ("mean", "median", "sum") and not numeric:
         raise ValueError(f"groupby {agg} needs a numeric target, {target} is {dt.simpleString()}")
     x = as_double(df, target) if agg in ("mean", "median") else clean_value(df, target)
-    keyed = df.where(qcol(by).isNotNull())
+    keyed = df.where(~is_missing(df, by))
     if agg == "median":
         base = keyed.select(qcol(by).alias(by), x.alias("_v"))
         groups = base.groupBy(by).agg(F.count(F.lit(1)).alias("_rows"))
-        # a few groups: per-group tables are broadcast into two scans; many
-        # groups: a frequency table is shuffled instead (one small action to
-        # choose, a HyperLogLog count of the groups)
-        method = resolve_method(keyed.select(qcol(by), x), method)
-        small = method != "exact" or \
-            base.agg(F.approx_count_distinct(by)).first()[0] <= SMALL_GROUPS
-        med = quantile_frame(base, "_v", [0.5], method, [by], small_keys=small)
+        med = quantile_frame(base, "_v", [0.5], method, [by])
         return groups.join(med, by, "left").select(by, F.col("q")[0].alias("median"))
     if agg == "mean":
         e = F.avg(x)
     elif agg == "sum":
-        s = F.sum(x.cast("int") if isinstance(dt, T.BooleanType) else x)
-        e = F.coalesce(s, F.lit(0).cast(s_type(dt)))
+        s = F.try_sum(x.cast("int") if isinstance(dt, T.BooleanType) else x)  # NULL on overflow
+        e = F.when(F.count(x) > 0, s).otherwise(F.lit(0).cast(s_type(dt)))
     elif agg == "min":
         e = F.min(x)
     elif agg == "max":
@@ -276,15 +226,17 @@ def anomaly_detection(df: DataFrame, column: str, z_threshold: float = 3.0) -> D
     stats = base.agg(F.avg("x").alias("mu"), F.stddev_samp("x").alias("sd"),
                      F.count(F.lit(1)).alias("n_all"))
     j = base.crossJoin(F.broadcast(stats))
-    hit = F.abs(F.try_divide(F.col("x") - F.col("mu"), F.col("sd"))) >= F.lit(thr)
+    z = F.try_divide(F.col("x") - F.col("mu"), F.col("sd"))
+    hit = ~F.isnan(z) & (F.abs(z) >= F.lit(thr))
     hx = F.when(hit, F.col("x"))
-    # a global aggregate: one row even for an empty input
+    # a global aggregate: one row even for an empty input; an infinity has no z-score, and with
+    # one among the values the deviation is NaN: no variance to judge by
     res = j.agg(
         F.max("sd").alias("sd"), F.max("n_all").alias("n_all"),
         F.count_if(F.coalesce(hit, F.lit(False))).alias("cnt"),
         F.min(hx).alias("lo"), F.max(hx).alias("hi"), F.avg(hx).alias("av"),
         F.stddev_samp(hx).alias("sd_hit"))
-    ok = F.col("sd").isNotNull() & (F.col("sd") != 0)
+    ok = F.col("sd").isNotNull() & ~F.isnan("sd") & (F.col("sd") != 0)
     cnt = F.coalesce(F.col("cnt"), F.lit(0))
     return res.select(
         F.lit(column).alias("column_name"),
@@ -302,7 +254,8 @@ def time_series_trend(df: DataFrame, date_column: str, value_column: str,
                       freq: str = "M") -> DataFrame:
     """Mean of a value per period: ``(period, mean)``.
 
-    Unparsable dates and values are dropped, empty periods do not appear.
+    Text dates are read in the one format that fits most of them; unparsable
+    dates and values are dropped, empty periods do not appear.
     Labels: D day start; W the Sunday ending the week; M/Q/Y last day of
     the period. ``freq`` outside D/W/M/Q/Y means M.
     """
@@ -312,7 +265,12 @@ def time_series_trend(df: DataFrame, date_column: str, value_column: str,
     if not isinstance(value_column, str) or value_column not in df.columns:
         return message_frame(spark, "Invalid value_column")
     freq = freq if freq in FREQS else "M"
-    d = as_timestamp(df, date_column)
+    if isinstance(field(df, date_column).dataType, T.StringType):
+        # one row: which of the known formats most texts have
+        df = df.crossJoin(F.broadcast(df.agg(best_format(qcol(date_column)).alias("_format"))))
+        d = parse_by_number(qcol(date_column), F.col("_format"))
+    else:
+        d = as_timestamp(df, date_column)
     vdt = field(df, value_column).dataType
     v = as_double(df, value_column) if is_numeric(vdt, True) else to_double(qcol(value_column))
     pts = df.select(d.alias("d"), v.alias("v")).where(

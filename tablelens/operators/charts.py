@@ -15,17 +15,18 @@ from .analysis import anomaly_detection, correlation_matrix, time_series_trend,
 from .common import message_frame
 from .quantiles import quantile_frame
 
-HEATMAP_MAX_COLUMNS = 10
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Equal-width histogram: ``(bucket, lower, upper, count)`` for buckets
     1..bins (empty buckets have count 0). The top edge belongs to the last
-    bucket; a constant column puts everything in bucket 1."""
+    bucket; a constant column puts everything in bucket 1. Infinite values have
+    no place on an equal-width axis and are left out, as nulls and NaN are."""
     if column not in df.columns or not is_numeric(field(df, column).dataType, True):
         return message_frame(df.sparkSession, f"No numeric column {column!r}")
     bins = int(bins)
-    x = df.select(as_double(df, column).alias("x")).where(F.col("x").isNotNull())
+    x = df.select(as_double(df, column).alias("x")).where(
+        F.col("x").isNotNull() & (F.abs("x") < F.lit(float("inf"))))
     rng = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     width = F.col("hi") - F.col("lo")
     b = F.when(width == 0, F.lit(1)).otherwise(
@@ -42,7 +43,7 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
         F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
 
 
-def box_plot(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
+def box_plot(df: DataFrame, column: str, method: str = "exact") -> DataFrame:
     """Five-number summary with 1.5*IQR whiskers and the outlier count."""
     if column not in df.columns or not is_numeric(field(df, column).dataType, True):
         return message_frame(df.sparkSession, f"No numeric column {column!r}")
@@ -70,9 +71,8 @@ def bar_top(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
 
 
 def heatmap(df: DataFrame, columns=None) -> DataFrame:
-    """Correlation of up to 10 numeric columns as ``(x, y, r)``."""
-    cols = columns or numeric_columns(df)
-    return correlation_matrix(df, cols, max_columns=HEATMAP_MAX_COLUMNS)
+    """Correlation of all (or the given) numeric columns as ``(x, y, r)``."""
+    return correlation_matrix(df, columns or numeric_columns(df))
 
 
 def anomaly_bar(df: DataFrame, column: str, z_threshold: float = 3.0) -> DataFrame:

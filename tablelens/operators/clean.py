@@ -46,7 +46,7 @@ def _mode_frame(df: DataFrame, column: str) -> DataFrame:
     return freq.orderBy(F.col("count").desc(), F.col("_mode").asc()).limit(1).select("_mode")
 
 
-def impute(df: DataFrame, columns_actions: list[tuple[str, str]], method: str = "auto") -> DataFrame:
+def impute(df: DataFrame, columns_actions: list[tuple[str, str]], method: str = "exact") -> DataFrame:
     """Fill missing values of several columns at once.
 
     ``columns_actions`` holds ``(column, action)`` with action in impute_mean,
@@ -103,7 +103,7 @@ def impute_mean(df: DataFrame, column: str) -> DataFrame:
     return impute(df, [(column, "impute_mean")])
 
 
-def impute_median(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
+def impute_median(df: DataFrame, column: str, method: str = "exact") -> DataFrame:
     return impute(df, [(column, "impute_median")], method)
 
 
@@ -120,7 +120,13 @@ def validate_cleaning_plan(steps, columns) -> list[dict]:
             and s.get("column") in cols]
 
 
-def apply_cleaning_plan(df: DataFrame, steps, method: str = "auto") -> DataFrame:
+def _fills(df: DataFrame, column: str, action: str) -> bool:
+    """Mean and median of a column that isn't numeric are no-ops."""
+    dt = field(df, column).dataType
+    return action == "impute_mode" or (is_numeric(dt, include_bool=True) and not isinstance(dt, T.BooleanType))
+
+
+def apply_cleaning_plan(df: DataFrame, steps, method: str = "exact") -> DataFrame:
     """Apply cleaning steps in order; a step on a column that no longer
     exists is skipped. Statistics always follow earlier row drops; runs of
     imputes on different columns share one statistics pass (they do not
@@ -137,9 +143,8 @@ def apply_cleaning_plan(df: DataFrame, steps, method: str = "auto") -> DataFrame
         if action not in ACTIONS or col not in df.columns:
             continue
         if action.startswith("impute"):
-            if col in [c for c, _ in pending]:
-                continue  # already filled by an earlier step of this run
-            pending.append((col, action))
+            if _fills(df, col, action) and col not in [c for c, _ in pending]:
+                pending.append((col, action))  # a second fill of a column finds nothing to do
             continue
         df = flush(df)
         pending = []

@@ -22,13 +22,11 @@ from ..functions.columns import (CATEGORICAL_CLASS, DATETIME_CLASS, DATETIME_LIK
                                  NUMERIC_CLASS, OTHER_CLASS, as_double, clean_value, is_datetime,
                                  is_missing, is_numeric, qcol, type_name)
 from ..functions.dates import DATETIME_FORMATS, parse_datetime
-from .analysis import frequency_table, restore_values
-from .quantiles import column_quantiles, quantiles_from_frequency, resolve_method
+from .analysis import frequency_table
+from .quantiles import column_quantiles
 
 DATETIME_RATIO = 0.8
 TOP_K = 5
-# text longer than this is never a date; skip the parse attempts for it
-MAX_DATE_TEXT = 64
 
 
 def schema_class(dt: T.DataType) -> str | None:
@@ -91,10 +89,9 @@ def _text_dates(freq: DataFrame, text_cols: list[str], formats=DATETIME_FORMATS)
     each *distinct* value is parsed once per candidate format and weighted by
     its count. ``(column_name, parsed_<k>, lo_<k>, hi_<k>)`` per format k."""
     v = F.col("value")
-    short = F.length(v) <= MAX_DATE_TEXT
     exprs = []
     for k, fm in enumerate(formats):
-        p = F.when(short, parse_datetime(v, fm))
+        p = parse_datetime(v, fm)
         exprs += [F.sum(F.when(p.isNotNull(), F.col("n"))).alias(f"c{k}"),
                   F.min(p).alias(f"pl{k}"), F.max(p).alias(f"ph{k}")]
     return freq.where(F.col("column_name").isin(text_cols)).groupBy("column_name").agg(*exprs)
@@ -138,8 +135,7 @@ def _numeric_frequency(df: DataFrame, positions: list[int]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_c"))
 
 
-def _top(freq: DataFrame, text_cols: list[str], top_k: int,
-         source: DataFrame | None = None) -> DataFrame:
+def _top(freq: DataFrame, text_cols: list[str], top_k: int) -> DataFrame:
     """Top-k values per text column as an array column.
 
     ``row_number() <= k`` over the frequency table is planned with a partial
@@ -149,8 +145,6 @@ def _top(freq: DataFrame, text_cols: list[str], top_k: int,
     w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), F.col("value").asc())
     ranked = freq.where(F.col("column_name").isin(text_cols)) \
         .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
-    if source is not None:  # digest keys of long texts back to text (k rows per column)
-        ranked = restore_values(source.select(*[qcol(c) for c in text_cols]), ranked)
     return ranked.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct(
         F.col("rank").cast("int").alias("rank"), F.col("value").alias("value"),
         F.col("n").cast("bigint").alias("count")))).alias("top_values"))
@@ -163,12 +157,12 @@ def top_values(df: DataFrame, top_k: int = TOP_K) -> DataFrame:
     if not text_cols:
         return df.sparkSession.createDataFrame(
             [], "column_name string, rank int, value string, count bigint")
-    return _top(frequency_table(df, text_cols), text_cols, top_k, df) \
+    return _top(frequency_table(df, text_cols), text_cols, top_k) \
         .select("column_name", F.inline("top_values"))
 
 
 def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
-            quantile_method: str = "auto") -> DataFrame:
+            quantile_method: str = "exact") -> DataFrame:
     """Full profile, one row per column.
 
     Columns: column_name, position, type, class (numeric / datetime /
@@ -189,36 +183,24 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
     num_pos = [i for i, f in enumerate(fields) if schema_class(f.dataType) == NUMERIC_CLASS]
     dt_pos = [i for i, f in enumerate(fields) if schema_class(f.dataType) == DATETIME_CLASS]
     text_cols = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    quantile_method = resolve_method(df, quantile_method)
     out = _stats_frame(df, quantile_method, approx_distinct)
 
-    exact_median = quantile_method == "exact" and bool(num_pos)
-    if num_pos and not exact_median:
-        # one-pass median in its own aggregation, so the statistics above
-        # keep whole-stage codegen (an object aggregate would disable it)
+    if num_pos:
         names = df.columns
         med = column_quantiles(df, [names[i] for i in num_pos], [0.5], quantile_method)
         out = out.join(F.broadcast(med.select("column_name", F.col("q")[0].alias("median_q"))),
                        "column_name", "left").withColumn("median", F.coalesce("median", "median_q"))
-    if (num_pos or dt_pos) and (exact_median or not approx_distinct):
-        nf = _numeric_frequency(df, num_pos + dt_pos)
-        if not approx_distinct:
-            nu = nf.groupBy(F.col("_k").alias("position")).agg(
-                F.count(F.lit(1)).alias("num_unique_n"))
-            out = out.join(F.broadcast(nu), "position", "left")
-        if exact_median:
-            med = quantiles_from_frequency(nf.where(F.col("_k").isin(num_pos)), ["_k"], [0.5],
-                                           small_keys=True)
-            med = med.select(F.col("_k").alias("position"), F.col("q")[0].alias("median_x"))
-            out = out.join(F.broadcast(med), "position", "left") \
-                .withColumn("median", F.coalesce("median", "median_x"))
+    if (num_pos or dt_pos) and not approx_distinct:
+        nu = _numeric_frequency(df, num_pos + dt_pos).groupBy(F.col("_k").alias("position")).agg(
+            F.count(F.lit(1)).alias("num_unique_n"))
+        out = out.join(F.broadcast(nu), "position", "left")
     if text_cols:
         tf = frequency_table(df, text_cols)
         if not approx_distinct:
             tu = tf.groupBy("column_name").agg(F.count(F.lit(1)).alias("num_unique_t"))
             out = out.join(F.broadcast(tu), "column_name", "left")
         out = out.join(F.broadcast(_text_dates(tf, text_cols)), "column_name", "left") \
-            .join(F.broadcast(_top(tf, text_cols, top_k, df)), "column_name", "left")
+            .join(F.broadcast(_top(tf, text_cols, top_k)), "column_name", "left")
         best = _best_format(F.col("n_rows").cast("double"))
     else:
         best = F.struct(F.lit(None).cast("double").alias("ratio"),

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import qcol
+from ..functions.columns import number_from_text, qcol
 from ..functions.text import py_strip
 
 # Default retention windows in hours (uploads, reports, jobs).
@@ -74,8 +74,8 @@ def rank_items(df: DataFrame, text: str, relevance: str, significance: str, orde
     """
     t = py_strip(qcol(text).cast("string"))
     r_raw, s_raw = qcol(relevance), qcol(significance)
-    r = r_raw.cast("string").try_cast("double")
-    s = s_raw.cast("string").try_cast("double")
+    r = number_from_text(r_raw)
+    s = number_from_text(s_raw)
     bad = (r_raw.isNotNull() & r.isNull()) | (s_raw.isNotNull() & s.isNull())
     rel = F.when(bad, F.lit(DEFAULT_SCORE)).otherwise(F.coalesce(r, F.lit(DEFAULT_SCORE)))
     sig = F.when(bad, F.lit(DEFAULT_SCORE)).otherwise(F.coalesce(s, F.lit(DEFAULT_SCORE)))

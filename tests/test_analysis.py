@@ -53,8 +53,11 @@ def test_value_counts_ties_and_bounds(spark):
     df = spark.createDataFrame([(v,) for v in "bbaacd"] + [(None,)], "s string")
     got = [tuple(r) for r in A.value_counts(df, "s", 2).collect()]
     assert got == [("a", 2), ("b", 2)]
-    # out-of-range top_n falls back to 10
     assert A.value_counts(df, "s", 500).count() == 4
+    many = spark.range(300).select(F.col("id").cast("string").alias("s"))
+    assert A.value_counts(many, "s", 200).count() == 200  # as many as asked for
+    with pytest.raises(ValueError):
+        A.value_counts(df, "s", 0)
     assert A.value_counts(df, "nope").columns == ["message"]
 
 
@@ -139,3 +142,30 @@ def test_trend_parses_text_and_drops_bad(spark):
                                 ("2024-01-25", "2.5")], "d string, v string")
     got = A.time_series_trend(df, "d", "v", "M").collect()
     assert len(got) == 1 and got[0]["mean"] == 2.0
+
+
+def test_infinities_are_no_anomalies(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(10)] + [(float("inf"),)], "x double")
+    r = A.anomaly_detection(df, "x").first()
+    assert r["count"] is None and r.message.startswith("Insufficient variance")
+    two = df.withColumn("y", F.col("x") * 2)
+    assert {(c.x, c.y): c.r for c in A.correlation_matrix(two).collect()} == {
+        (a, b): None for a in "xy" for b in "xy"}
+
+
+def test_nan_is_no_group(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (float("nan"), 3.0), (None, 4.0)], "k double, v double")
+    assert [tuple(r) for r in A.groupby_agg(df, "k", "v", "mean").collect()] == [(1.0, 2.0)]
+
+
+def test_trend_of_dates_that_are_not_iso(spark):
+    df = spark.createDataFrame([("01/15/2024", 1.0), ("01/20/2024", 3.0), ("02/01/2024", 5.0), ("junk", 9.0)],
+                               "d string, v double")
+    got = sorted(tuple(r) for r in A.time_series_trend(df, "d", "v").collect())
+    assert got == [(dt.datetime(2024, 1, 31), 2.0), (dt.datetime(2024, 2, 29), 5.0)]
+
+
+def test_describe_names_empty_text_columns(spark):
+    df = spark.createDataFrame([("a", None), ("a", None)], "s string, e string")
+    got = {(r.column_name, r.stat): r.value for r in A.describe_categorical(df, ["s", "e"]).collect()}
+    assert got["e", "count"] == "0" and got["e", "top"] is None and got["s", "freq"] == "2"

@@ -52,3 +52,9 @@ def test_validate_cleaning_plan():
     steps = [{"column": "a", "action": "drop"}, {"column": "zz", "action": "drop"},
              {"column": "a", "action": "explode"}, "junk"]
     assert C.validate_cleaning_plan(steps, ["a"]) == [{"column": "a", "action": "drop"}]
+
+
+def test_a_mean_of_text_blocks_no_mode(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "id int, s string")
+    plan = [{"column": "s", "action": "impute_mean"}, {"column": "s", "action": "impute_mode"}]
+    assert {r.id: r.s for r in C.apply_cleaning_plan(df, plan).collect()}[3] == "a"
