@@ -1,21 +1,14 @@
 """Text-column jobs (T1-T6) over whole text tables.
 
-All but HTML allow-listing are JVM expressions applied row by row (no
-shuffle). Section bullets split each text into lines with array functions
-and ``posexplode``, so a text is handled inside one row whatever its size
-and no window or grouping is needed. HTML allow-listing needs a real tag
-parser: it runs in Arrow batches (``mapInPandas``) with the standard
-library's ``html.parser``.
+All are JVM expressions applied row by row (no shuffle). Section bullets split
+each text into lines with array functions and ``posexplode``, so a text is
+handled inside one row whatever its size and no window or grouping is needed.
+HTML is cut into tokens by one pattern; a fold over them keeps allowed tags and
+the stack of open ones.
 """
 
 from __future__ import annotations
 
-import sys
-from html import escape
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +33,6 @@ BULLET_RE = r"^([-*]|[0-9]+\.)"
 BULLET_PREFIX_RE = r"^[ \-*0-9.]+"
 DEFAULT_HEADER = "(?i)recommendation"
 
-# Python workers receive this module's helpers by value, so executors need
-# no copy of the package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def with_column(df: DataFrame, column: str, expr, out: str | None = None) -> DataFrame:
     """Replace (or add as ``out``) one column, keeping the others."""
@@ -99,62 +88,74 @@ def section_bullets(df: DataFrame, column: str, keys: list[str] | None = None,
         F.regexp_replace("_line", BULLET_PREFIX_RE, "").alias("bullet"))
 
 
-class _AllowList(HTMLParser):
-    """Keep allowed tags (with class/id only) and all text; drop the rest."""
+# one token of HTML: a comment, a declaration, a tag (quotes may hold any character), a stray
+# bracket, or text. Possessive, so that a long tag needs no stack.
+HTML_TOKEN_RE = (r"(?s)<!--.*?-->|<[!?][^>]*>|"
+                 r"</?[A-Za-z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<|[^<]+")
+ATTRIBUTE_RE = r"""[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
+BARE_AMP_RE = r"&(?!(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)"
 
-    def __init__(self):
-        super().__init__(convert_charrefs=False)
-        self.out: list[str] = []
 
-    def _attrs(self, attrs):
-        kept = [(k, v) for k, v in attrs if k in ALLOWED_ATTRS]
-        return "".join(f' {k}="{escape(v or "", quote=True)}"' for k, v in kept)
+def _escaped(c):
+    """Text with brackets and every ``&`` escaped that begins no complete reference."""
+    c = F.regexp_replace(c, BARE_AMP_RE, "&amp;")
+    return F.replace(F.replace(c, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
-    def handle_starttag(self, tag, attrs):
-        if tag in ALLOWED_TAGS:
-            self.out.append(f"<{tag}{self._attrs(attrs)}>")
 
-    def handle_startendtag(self, tag, attrs):
-        if tag in ALLOWED_TAGS:
-            self.out.append(f"<{tag}{self._attrs(attrs)}>" if tag in VOID_TAGS
-                            else f"<{tag}{self._attrs(attrs)}></{tag}>")
+def _kept_attributes(tag):
+    inside = F.regexp_replace(tag, r"^</?[A-Za-z][A-Za-z0-9]*|/?>$", "")
+    name = lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0))
+    value = lambda a: F.regexp_replace(
+        F.regexp_replace(a, r"(?s)^[^\s=]+\s*=?\s*", ""), r"""(?s)^(["'])(.*)\1$""", "$2")
+    kept = F.filter(F.regexp_extract_all(inside, F.lit(ATTRIBUTE_RE), F.lit(0)),
+                    lambda a: name(a).isin(*ALLOWED_ATTRS))
+    return F.array_join(F.transform(kept, lambda a: F.concat(
+        F.lit(" "), name(a), F.lit('="'), F.replace(_escaped(value(a)), F.lit('"'), F.lit("&quot;")), F.lit('"'))), "")
 
-    def handle_endtag(self, tag):
-        if tag in ALLOWED_TAGS and tag not in VOID_TAGS:
-            self.out.append(f"</{tag}>")
 
-    def handle_data(self, data):
-        self.out.append(escape(data, quote=False))
+def _closings(stack):
+    """End tags for a stack of names written ``/em/p``, the innermost first."""
+    return F.regexp_replace(stack, r"/([a-z0-9]+)", "</$1>")
 
-    def handle_entityref(self, name):
-        self.out.append(f"&{name};")
 
-    def handle_charref(self, name):
-        self.out.append(f"&#{name};")
+def allow_html(c):
+    """Only allowed tags, with allowed attributes; the text of others stays, comments go.
 
-
-def clean_html(text: str | None) -> str | None:
-    """Allow-list one HTML string (script blocks must already be removed)."""
-    if text is None:
-        return None
-    p = _AllowList()
-    p.feed(text)
-    p.close()
-    return "".join(p.out)
+    Every start tag gets its end tag: one without a start is dropped, one that closes an
+    outer tag closes those inside it first, and what is open at the end is closed.
+    No further repair of nesting is made (a ``p`` in a ``p``, rows outside tables).
+    """
+    parts = F.transform(F.regexp_extract_all(c, F.lit(HTML_TOKEN_RE), F.lit(0)), lambda t: F.struct(
+        t.alias("token"), F.lower(F.regexp_extract(t, r"^</?([A-Za-z][A-Za-z0-9]*)", 1)).alias("name")))
+    parts = F.transform(parts, lambda p: F.struct(
+        p["name"].alias("name"),
+        F.when(p["name"] == "", F.lit("text")).when(~p["name"].isin(*sorted(ALLOWED_TAGS)), F.lit("none"))
+        .when(p["token"].startswith("</"), F.lit("end"))
+        .when(p["name"].isin(*VOID_TAGS) | p["token"].endswith("/>"), F.lit("text")).otherwise(F.lit("start")).alias("kind"),
+        F.when(p["name"] == "", F.when(p["token"].rlike("^<[!?]"), F.lit("")).otherwise(_escaped(p["token"])))
+        .otherwise(F.concat(F.lit("<"), p["name"], _kept_attributes(p["token"]), F.lit(">"), F.when(
+            p["token"].endswith("/>") & ~p["name"].isin(*VOID_TAGS), F.concat(F.lit("</"), p["name"], F.lit(">")))
+            .otherwise(F.lit("")))).alias("html")))
+
+    def step(state, p):
+        out, stack = state["out"], state["stack"]
+        at = F.instr(F.concat(stack, F.lit("/")), F.concat(F.lit("/"), p["name"], F.lit("/")))
+        ends = F.concat(_closings(F.substr(stack, F.lit(1), at - 1)), F.lit("</"), p["name"], F.lit(">"))
+        after = F.substr(stack, at + F.length(p["name"]) + 1)
+        closes = (p["kind"] == "end") & (at > 0) & ~p["name"].isin(*VOID_TAGS)
+        return F.struct(
+            F.when(p["kind"].isin("text", "start"), F.concat(out, p["html"]))
+            .when(closes, F.concat(out, ends)).otherwise(out).alias("out"),
+            F.when(p["kind"] == "start", F.concat(F.lit("/"), p["name"], stack))
+            .when(closes, after).otherwise(stack).alias("stack"))
+
+    empty = F.struct(F.lit("").alias("out"), F.lit("").alias("stack"))
+    return F.aggregate(parts, empty, step, lambda s: F.concat(s["out"], _closings(s["stack"])))
 
 
 def sanitize_html(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Remove script blocks (JVM regex), then allow-list tags and attributes
-    in Arrow batches. Other columns pass through unchanged."""
-    name = out or column
-    staged = df.withColumn(name, strip_scripts(qcol(column)))
-    schema = staged.schema
-
-    def run(batches):
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf[name] = pd.Series([clean_html(v) for v in pdf[name]], index=pdf.index,
-                                  dtype=object)
-            yield pdf
+    """Remove script blocks, then allow-list tags and attributes; NULL stays NULL.
 
-    return staged.mapInPandas(run, schema)
+    All JVM expressions on one row; other columns pass through unchanged.
+    """
+    return with_column(df, column, allow_html(strip_scripts(qcol(column))), out)

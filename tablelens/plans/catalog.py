@@ -595,7 +595,63 @@ def q_strip_scripts(spark, sf_dir):
     return X.strip_scripts_column(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
 
 
-@register("sanitize_html")
+def _esc_sql(x: str) -> str:
+    """Escape brackets, and ``&`` where no complete reference begins."""
+    refs = "'&amp;((#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)'"
+    amp = f"regexp_replace(replace({x}, '&', '&amp;'), {refs}, '&\\1', 'g')"
+    return f"replace(replace({amp}, '<', '&lt;'), '>', '&gt;')"
+
+
+# written out here, not taken from the code under test
+_HTML_TAGS = "'p','br','strong','em','u','h1','h2','h3','h4','h5','h6','ul','ol','li','blockquote','code','pre','table','tr','td','th','div','span'"
+_ATTR_NAME = "lower(regexp_extract(a, '^[^\\s=]+', 0))"
+_ATTR_VALUE = ("regexp_replace(regexp_replace(regexp_replace(a, '^[^\\s=]+\\s*=?\\s*', '', 's'), "
+               "'^\"(.*)\"$', '\\1', 's'), '^''(.*)''$', '\\1', 's')")
+_ENDS = "regexp_replace({}, '/([a-z0-9]+)', '</\\1>', 'g')"
+
+HTML_SQL = f"""
+WITH cut AS (
+  SELECT page_id, list_transform(regexp_extract_all({_SCRIPT_SQL.format(c='html')},
+    '<!--.*?-->|<[!?][^>]*>|</?[A-Za-z](?:[^<>"'']|"[^"]*"|''[^'']*'')*>|<|[^<]+', 0, 's'),
+    lambda t: {{'token': t, 'name': lower(regexp_extract(t, '^</?([A-Za-z][A-Za-z0-9]*)', 1))}}) AS parts
+  FROM pages
+), made AS (
+  SELECT page_id, list_transform(parts, lambda p: {{
+    'name': p.name,
+    'kind': CASE WHEN p.name = '' THEN 'text' WHEN p.name NOT IN ({_HTML_TAGS}) THEN 'none'
+                 WHEN starts_with(p.token, '</') THEN 'end'
+                 WHEN p.name = 'br' OR ends_with(p.token, '/>') THEN 'text' ELSE 'start' END,
+    'html': CASE WHEN p.name = '' AND regexp_matches(p.token, '^<[!?]') THEN ''
+                 WHEN p.name = '' THEN {_esc_sql('p.token')}
+                 ELSE '<' || p.name || list_aggregate(list_transform(
+                   list_filter(regexp_extract_all(
+                     regexp_replace(regexp_replace(p.token, '^</?[A-Za-z][A-Za-z0-9]*', ''), '/?>$', ''),
+                     '[^\\s"''<>/=]+(?:\\s*=\\s*(?:"[^"]*"|''[^'']*''|[^\\s"''=<>`]+))?', 0),
+                     lambda a: {_ATTR_NAME} IN ('class', 'id')),
+                   lambda a: ' ' || {_ATTR_NAME} || '="' || replace({_esc_sql(_ATTR_VALUE)}, '"', '&quot;') || '"')
+                   || [''], 'string_agg', '')
+                 || '>' || CASE WHEN ends_with(p.token, '/>') AND p.name <> 'br' THEN '</' || p.name || '>' ELSE '' END
+            END,
+    'out': '', 'stack': ''}}) AS parts
+  FROM cut
+), folded AS (
+  SELECT page_id, list_reduce([{{'name': '', 'kind': '', 'html': '', 'out': '', 'stack': ''}}] || parts, lambda s, p: {{
+    'name': '', 'kind': '', 'html': '',
+    'out': CASE WHEN p.kind IN ('text', 'start') THEN s.out || p.html
+                WHEN p.kind = 'end' AND p.name <> 'br' AND instr(s.stack || '/', '/' || p.name || '/') > 0
+                THEN s.out || {_ENDS.format("substr(s.stack, 1, instr(s.stack || '/', '/' || p.name || '/') - 1)")}
+                     || '</' || p.name || '>'
+                ELSE s.out END,
+    'stack': CASE WHEN p.kind = 'start' THEN '/' || p.name || s.stack
+                  WHEN p.kind = 'end' AND p.name <> 'br' AND instr(s.stack || '/', '/' || p.name || '/') > 0
+                  THEN substr(s.stack, instr(s.stack || '/', '/' || p.name || '/') + length(p.name) + 1)
+                  ELSE s.stack END}}) AS f
+  FROM made
+)
+SELECT page_id, f.out || {_ENDS.format('f.stack')} AS html FROM folded"""
+
+
+@register("sanitize_html", HTML_SQL)
 def q_sanitize_html(spark, sf_dir):
     return X.sanitize_html(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
 

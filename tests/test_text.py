@@ -55,3 +55,26 @@ def test_section_bullets(spark):
     df = spark.createDataFrame([(7, text), (8, "- no header here")], "id int, t string")
     got = [(r.id, r.bullet) for r in X.section_bullets(df, "t", ["id"]).orderBy("line_no").collect()]
     assert got == [(7, "first"), (7, "second"), (7, "third"), (7, "fourth"), (7, "fifth")]
+
+
+def test_html_stays_well_formed(spark):
+    cases = {
+        "R&D dept": "R&amp;D dept", "AT&T;": "AT&T;", "a?x=1&y=2 &amp; &#38; &#x26;": "a?x=1&amp;y=2 &amp; &#38; &#x26;",
+        "</div><p>x": "<p>x</p>", "<p><em>a</p>b</em>": "<p><em>a</em></p>b", "1 < 2 > 0": "1 &lt; 2 &gt; 0",
+        "<a href='x'>link</a><b>bold</b>": "linkbold", "<!-- no -->x<!DOCTYPE html>": "x",
+        '<P CLASS=big ID="i&j" title="class=no">t</P>': '<p class="big" id="i&amp;j">t</p>',
+        "<div class='say \"hi\"' data-x>y": '<div class="say &quot;hi&quot;">y</div>',
+        '<span title="a > b" id=s>z</span>': '<span id="s">z</span>', "a<br/>b<br>c</br>": "a<br>b<br>c",
+        "<p/>x": "<p></p>x", "": "", "<li>" * 3: "<li><li><li></li></li></li>",
+        "<script>alert(1)</script>ok<SCRIPT src=x>y</SCRIPT>": "ok",
+    }
+    df = spark.createDataFrame([(k, 2**53 + 1) for k in cases] + [(None, None)], "h string, big bigint")
+    got = X.sanitize_html(df.withColumn("o", F.col("h")), "h", "h").collect()
+    assert {r.o: r.h for r in got if r.o is not None} == cases
+    assert [r.h for r in got if r.o is None] == [None] and got[0].big == 2**53 + 1
+
+
+def test_html_has_no_python_node(spark):
+    df = spark.createDataFrame([("<p>x",)], "h string")
+    plan = X.sanitize_html(df, "h")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
