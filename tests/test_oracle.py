@@ -59,18 +59,4 @@ def test_query_matches_oracle(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows_only_queries_run(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
-
-
-QUANTILE_QUERIES = ["describe_numeric", "groupby_median", "profile", "profile_numeric", "chart_box",
-                    "clean_impute_median", "clean_plan"]
-
-
-@pytest.mark.parametrize("name", QUANTILE_QUERIES)
-def test_bounded_quantile_path_matches_oracle(spark, con, name):
-    """The same queries with the bounded-memory quantile method forced."""
-    spark.conf.set("tablelens.quantiles.onePassMaxBytes", "1")
-    try:
-        test_query_matches_oracle(spark, con, name)
-    finally:
-        spark.conf.unset("tablelens.quantiles.onePassMaxBytes")
+    assert QUERIES[name](spark, SF).count() > 0
