@@ -10,10 +10,11 @@ arithmetic) by narrowing the value range around the wanted ranks:
    the data, so one huge value or an infinity can't crowd all others into a cell;
 2. the few magnitudes that hold a wanted rank are cut into 4096 equal
    widths between their own least and largest value, and counted again;
-3. the same once more, in the cells found;
-4. the values of the cells left are counted one by one and ranked.
+3. the values of the cells found are counted one by one (shuffled by value, so that
+   even crowded cells are spread), and cut into 4096 widths once more;
+4. the values of the cells left are ranked.
 
-Each step is a scan with a map-side aggregate; input rows are not
+Steps 1 to 3 are scans with a map-side aggregate; input rows are not
 shuffled when the keys are few (columns): the cells found, at most two for
 each probability and key, are broadcast. A hot value or key only raises
 counters. With many keys the cells found are joined by key, by whichever join
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 METHODS = ("exact", "percentile", "approx")
 APPROX_ACCURACY = 10000
 CELLS = 4096
-CUTS = 2
 INFINITE = 5000
 
 
@@ -75,21 +75,23 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: list[float],
     rows = df.select(*kc, F.col(x).cast("double").alias("_x")).where(
         F.col("_x").isNotNull() & ~F.isnan("_x"))
     # _at: rank of the first value of the cell that a row is in, which names the cell
-    rows = rows.withColumn("_at", F.lit(0).cast("long")).withColumn("_cell", _magnitude(F.col("_x")))
-    for cut in range(CUTS + 1):
+    rows = rows.withColumns({"_at": F.lit(0).cast("long"), "_cell": _magnitude(F.col("_x")), "_c": F.lit(1).cast("long")})
+    for cut in ("magnitude", "width", "width again"):
+        if cut == "width again":  # few values are left, unless they crowd: count each once, spread by value
+            rows = rows.groupBy(*kc, "_at", "_cell", "_n", "_x").agg(F.sum("_c").alias("_c"))
         counted = rows.groupBy(*kc, "_at", "_cell").agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
-            *([F.min("_n").alias("_n")] if cut else []))
+            F.sum("_c").alias("_cc"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
+            *([] if cut == "magnitude" else [F.min("_n").alias("_n")]))
         run = Window.partitionBy(*kc, "_at").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-        if not cut:
-            counted = counted.withColumn("_n", F.sum("_c").over(Window.partitionBy(*kc)))
-        found = counted.withColumn("_end", F.col("_at") + F.sum("_c").over(run)).withColumn(
-            "_first", F.col("_end") - F.col("_c")).where(_holds(probs, F.col("_first"), F.col("_end")))
+        if cut == "magnitude":
+            counted = counted.withColumn("_n", F.sum("_cc").over(Window.partitionBy(*kc)))
+        found = counted.withColumn("_end", F.col("_at") + F.sum("_cc").over(run)).withColumn(
+            "_first", F.col("_end") - F.col("_cc")).where(_holds(probs, F.col("_first"), F.col("_end")))
         found = found.select(*kc, "_at", "_cell", "_first", "_lo", "_hi", "_n")
         rows = rows.drop("_n").join(hint(found), [*keys, "_at", "_cell"]).select(
-            *kc, "_x", F.col("_first").alias("_at"), "_n",
+            *kc, "_x", "_c", F.col("_first").alias("_at"), "_n",
             _equal_width(F.col("_x"), F.col("_lo"), F.col("_hi")).alias("_cell"))
-    values = rows.groupBy(*kc, "_at", "_n", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    values = rows
     run = Window.partitionBy(*kc, "_at").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     values = values.withColumn("_end", F.col("_at") + F.sum("_c").over(run)).withColumn(
         "_first", F.col("_end") - F.col("_c"))
