@@ -836,12 +836,19 @@ def q_rate_window_count(spark, sf_dir):
 def q_rate_admission_stream(spark, sf_dir):
     from ..session import shared_path
     from ..streaming.rate import rate_admission_stream, run_to_table
-    src = f"{sf_dir.rstrip('/')}/events*.parquet"  # a file glob: the source wants a pattern
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(src)
+    events = table(spark, sf_dir, "events")
+    path = shared_path(spark, "rate-stream")
+    # four stretches of time, written one after another; a micro-batch reads one of them
+    stretches, files = 4, 8
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(stretches):
+        start, end = lo + (hi - lo) * i / stretches, lo + (hi - lo) * (i + 1) / stretches
+        last = F.col("ts") <= end if i == stretches - 1 else F.col("ts") < end
+        events.where((F.col("ts") >= start) & last).repartition(files).write.parquet(f"{path}/source/{i}")
+    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files)
+              .option("recursiveFileLookup", "true").parquet(f"{path}/source"))
     out = rate_admission_stream(stream, "user_id", "ts", "event_id", RATE_LIMIT, RATE_WINDOW_S,
                                 watermark=f"{RATE_WINDOW_S} seconds")
-    path = shared_path(spark, "rate-stream")
     run_to_table(out, path + "/data", path + "/checkpoint")
     return spark.read.parquet(path + "/data")
 

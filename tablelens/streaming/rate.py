@@ -4,8 +4,10 @@
 the admitted events that can still matter (at most ``limit`` values inside
 the window). Within a micro-batch a key's events are judged in time order;
 while micro-batches arrive in time order the result equals the batch
-operator. An event older than the newest admitted time of its key is judged
-against the current state (late data is not re-ordered). Event-time
+operator. An event of an earlier time than its key's newest admitted one is judged
+against the current state (late data is not re-ordered); one behind the
+watermark is dropped by Spark before this operator sees it and is absent from
+the output, so the watermark must be as long as data may be late. Event-time
 timeouts drop the state of keys idle for longer than the window once the
 watermark passes, so state size follows the number of active keys.
 
@@ -51,7 +53,7 @@ def rate_admission_stream(events: DataFrame, key: str, ts: str, event_id: str, l
             state.remove()
             return
         q = deque(state.get[0] if state.exists else [])
-        frames = [p for p in pdfs if len(p)]
+        frames = [p for p in pdfs if len(p)]  # a key's rows of one micro-batch
         if not frames:
             return
         pdf = pd.concat(frames).sort_values(["_t", event_id], kind="stable")

@@ -138,3 +138,19 @@ def test_a_busy_key_is_cut_where_a_window_is_empty(spark):
     assert {r.id: r.allowed for r in R.rate_admission(df, "k", "ts", 3, 60, "id").collect()} == want
     staged = df.select(F.col("k").alias("_key"), R.epoch_micros(F.col("ts")).alias("_t"))
     assert R._islands(staged, 60_000_000).select("_island").distinct().count() > 50
+
+
+def test_rows_behind_the_watermark_are_absent(spark):
+    base = tempfile.mkdtemp(prefix="rate-late-")
+    src = os.path.join(base, "src")
+    # event 3 comes when the watermark is at 440 (Spark applies that of the batch before)
+    batches = [[(1, 0), (2, 500)], [(4, 505)], [(3, 10), (5, 510)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(n, "a", T0 + dt.timedelta(seconds=s)) for n, s in rows],
+                              "id int, k string, ts timestamp_ntz").coalesce(1).write.parquet(os.path.join(src, f"{i}"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema("id int, k string, ts timestamp_ntz").option("maxFilesPerTrigger", 1) \
+        .option("recursiveFileLookup", "true").parquet(src)
+    out = rate_admission_stream(stream, "k", "ts", "id", 5, 30, watermark="60 seconds")
+    run_to_table(out, os.path.join(base, "out"), os.path.join(base, "ckpt"))
+    assert {r.id for r in spark.read.parquet(os.path.join(base, "out")).collect()} == {1, 2, 4, 5}
