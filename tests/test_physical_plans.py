@@ -60,9 +60,10 @@ def test_no_python_workers_outside_html_and_rate(lineitem, build):
     assert not any(n in p for n in PYTHON_NODES), p[:2000]
 
 
-def test_html_runs_in_arrow_batches(spark):
+def test_html_stays_in_the_jvm(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    assert "MapInPandas" in plan_of(X.sanitize_html(pages, "html"))
+    p = plan_of(X.sanitize_html(pages, "html"))
+    assert "Python" not in p and "InPandas" not in p and "InArrow" not in p and "Exchange" not in p
 
 
 def test_column_pruning_reaches_scan(lineitem):
