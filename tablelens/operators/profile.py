@@ -231,26 +231,34 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
         F.lit(len(df.columns)).cast("bigint").alias("num_cols"))
 
 
+# what any date or time in a known format is made of; other texts needn't be tried
+DATE_SHAPE_RE = r"^\s*(?=[^0-9]{0,12}[0-9])[0-9A-Za-z\s,:/.+_\[\]-]+$"
+
+
 def classes(df: DataFrame) -> DataFrame:
     """``(column_name, position, type, class)`` only: the schema decides all
-    but text columns, which need just the datetime detection (a frequency
-    table of the text columns)."""
-    text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    rows = [(f.name, i, type_name(f.dataType), schema_class(f.dataType))
-            for i, f in enumerate(df.schema.fields)]
-    spark = df.sparkSession
-    base = spark.createDataFrame(rows, "column_name string, position int, type string, "
-                                       "base_class string")
-    if not text_cols:
-        return base.select("column_name", "position", "type", F.col("base_class").alias("class"))
-    n_rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    dates = _text_dates(frequency_table(df, text_cols), text_cols)
-    out = base.join(F.broadcast(dates), "column_name", "left").crossJoin(F.broadcast(n_rows))
-    best = _best_format(F.col("n_rows").cast("double"))
-    klass = F.coalesce(F.col("base_class"),
-                       F.when(best["ratio"] >= F.lit(DATETIME_RATIO), F.lit(DATETIME_LIKE_CLASS))
-                       .otherwise(F.lit(CATEGORICAL_CLASS)))
-    return out.select("column_name", "position", "type", klass.alias("class"))
+    but text columns, whose share of texts that parse as dates is counted
+    map-side, all columns and formats in one aggregation."""
+    fields = df.schema.fields
+    exprs = [F.count(F.lit(1)).alias("n_rows")]
+    for i, f in enumerate(fields):
+        if schema_class(f.dataType) is None:
+            text = F.when(qcol(f.name).rlike(DATE_SHAPE_RE), qcol(f.name))
+            exprs += [F.count(parse_datetime(text, fm)).alias(f"d{i}_{k}") for k, fm in enumerate(DATETIME_FORMATS)]
+
+    def klass(i: int, dt: T.DataType) -> Column:
+        if schema_class(dt) is not None:
+            return F.lit(schema_class(dt))
+        most = F.greatest(*[F.col(f"d{i}_{k}") for k in range(len(DATETIME_FORMATS))])
+        share = F.try_divide(most.cast("double"), F.col("n_rows").cast("double"))
+        return F.when(share >= F.lit(DATETIME_RATIO), F.lit(DATETIME_LIKE_CLASS)).otherwise(F.lit(CATEGORICAL_CLASS))
+
+    rows = [F.struct(F.lit(f.name).alias("column_name"), F.lit(i).alias("position"),
+                     F.lit(type_name(f.dataType)).alias("type"), klass(i, f.dataType).alias("class"))
+            for i, f in enumerate(fields)]
+    if not rows:
+        return df.sparkSession.createDataFrame([], "column_name string, position int, type string, class string")
+    return df.agg(*exprs).select(F.inline(F.array(*rows)))
 
 
 def profile_shape(df: DataFrame) -> DataFrame:
