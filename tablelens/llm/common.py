@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -33,6 +34,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reaching(df: DataFrame) -> DataFrame:
+    """``df`` itself, after its session's Python workers were told where this package is.
+
+    They import it by name, so that what a worker has learned (words, vocabularies)
+    serves all of its tasks. On a cluster the same folder must exist on the executors, or the
+    package be installed there or sent along with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = df.sparkSession.sparkContext.environment
+    paths = [x for x in known.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return df
+
+
 def pick(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only id and text, renamed, so that other columns can't clash."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

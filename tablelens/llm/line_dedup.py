@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tablelens.llm.common import SPACE, table, text_batches, written
+from tablelens.llm.common import SPACE, reaching, table, text_batches, written
 from tablelens.llm.cuckoo import CuckooFilter, as_words
 
 BLANK = SPACE.encode()
@@ -58,7 +58,7 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  batch.column("holder").take(pa.array(rows, pa.int64()))], ["shard", "key", "holder"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("holder"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(keys, f"shard int, key binary, holder {kind.simpleString()}").distinct()
+    return reaching(rows).mapInArrow(keys, f"shard int, key binary, holder {kind.simpleString()}").distinct()
 
 
 def counts(refs: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def filters(repeated: DataFrame) -> DataFrame:
                          "size": pa.array([len(made)], pa.int64()),
                          "filter": pa.array([made], pa.binary())})
 
-    return repeated.select("shard", "key").groupBy("shard").applyInArrow(
+    return reaching(repeated).select("shard", "key").groupBy("shard").applyInArrow(
         build, "shard int, size long, filter binary")
 
 
@@ -112,7 +112,7 @@ def update_filters(old: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame
         return pa.table(out, schema=pa.schema(
             [("shard", pa.int32()), ("size", pa.int64()), ("filter", pa.binary())]))
 
-    return old.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(
+    return reaching(old).groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(
         change, "shard int, size long, filter binary")
 
 
@@ -163,7 +163,7 @@ def possible(docs: DataFrame, held: dict[int, bytes], id_col: str, text_col: str
                  batch.column("holder").take(pa.array([rows[i] for i in at], pa.int64()))], ["key", "holder"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("holder"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(probe, f"key binary, holder {kind.simpleString()}")
+    return reaching(rows).mapInArrow(probe, f"key binary, holder {kind.simpleString()}")
 
 
 def drop_lines(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str,
@@ -191,7 +191,7 @@ def drop_lines(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str,
                 [batch.column("row"), pa.array(kept, pa.string()), pa.array(total, pa.int64()),
                  pa.array(gone, pa.int64())], ["row", "kept_text", "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(cut, made)
+    return reaching(joined).mapInArrow(cut, made)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

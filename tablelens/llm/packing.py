@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import table, text_batches, written
+from tablelens.llm.common import reaching, table, text_batches, written
 
 END_ID = 1
 CACHED_WORDS = 400_000
@@ -132,7 +132,7 @@ def token_pieces(docs: DataFrame, size: int, path: str | None, id_col: str, text
             yield pa.RecordBatch.from_arrays(out, names)
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(
+    return reaching(rows).mapInArrow(
         cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long"
         + (", ids array<int>" if keep_ids else ""))
 
@@ -255,7 +255,7 @@ def pack_documents(docs: DataFrame, size: int = 4096, path: str | None = None, i
                 [*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return reaching(ranked).mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

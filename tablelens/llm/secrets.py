@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import pick, table, text_batches, written
+from tablelens.llm.common import pick, reaching, table, text_batches, written
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -169,7 +169,7 @@ def character_shares(rows: DataFrame) -> list[float]:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(128, dtype=np.int32)), pa.array(seen[:128])],
                                          ["code", "n"])
 
-    sums = rows.select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    sums = reaching(rows).select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counts = {chr(r["code"]): r["n"] for r in sums.collect()}  # 128 rows
     out = []
     for alphabet in ENCODINGS:
@@ -235,7 +235,7 @@ def scan_secrets(docs: DataFrame, false_share: float = FALSE_SHARE, id_col: str
                 [batch.column("doc_id"), pa.array(bases, span), pa.array(tokens, token)], ["doc_id", "base", "tokens"])
 
     struct = "array<struct<start:bigint,kind:int,end:bigint>>"
-    scanned = written(rows.mapInArrow(
+    scanned = written(reaching(rows).mapInArrow(
         scan, f"doc_id {kind}, base {struct}, "
         "tokens array<struct<start:bigint,end:bigint,stratum:int,bin:int,random:boolean>>"), "secrets")
     least = thresholds(scanned, false_share)

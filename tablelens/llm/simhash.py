@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import table, text_batches, written
+from tablelens.llm.common import reaching, table, text_batches, written
 from tablelens.llm.components import connected_components
 
 BITS = 64
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
                                              ["doc_id", "fp"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(hashed, f"doc_id {kind}, fp long")
+    return reaching(rows).mapInArrow(hashed, f"doc_id {kind}, fp long")
 
 
 def parts(count: int) -> list[tuple[int, int]]:
@@ -215,7 +215,7 @@ def near_links(fps: DataFrame, radius: int, count: int, chunk: int = CHUNK) -> D
                 a, b = links(fp.view(np.uint64), groups, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
-    return dealt.repartition("mask", "key", "cell").sortWithinPartitions("mask", "key", "cell").mapInArrow(
+    return reaching(dealt).repartition("mask", "key", "cell").sortWithinPartitions("mask", "key", "cell").mapInArrow(
         compare, "a long, b long").distinct()
 
 

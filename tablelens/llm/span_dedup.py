@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import table, text_batches, written
+from tablelens.llm.common import reaching, table, text_batches, written
 
 RUN = 3
 LONG = 12
@@ -95,7 +95,7 @@ def occurrences(docs: DataFrame, run: int, least_words: int, long: int, id_col:
                  batch.column("doc_id").take(rows), batch.column("version").take(rows),
                  pa.array(places, pa.int32())], ["a", "b", "doc_id", "version", "place"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(
+    return reaching(_rows(docs, id_col, text_col)).mapInArrow(
         cut, f"a long, b int, doc_id {kind}, version int, place int")
 
 
@@ -141,7 +141,7 @@ def dedup_spans(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS,
                 [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
                  pa.array(kept, pa.string())], ["doc_id", "n_sentences", "n_removed", "text"])
 
-    return joined.mapInArrow(remove, f"doc_id {kind}, n_sentences long, n_removed long, text string")
+    return reaching(joined).mapInArrow(remove, f"doc_id {kind}, n_sentences long, n_removed long, text string")
 
 
 def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
