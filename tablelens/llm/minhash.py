@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import table, text_batches
+from tablelens.llm.common import reaching, table, text_batches
 
 BINS = 512
 KEPT_BITS = 4
@@ -163,21 +163,19 @@ def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = KEPT_BITS, shing
                                              ["doc_id", "fingerprint"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return reaching(rows).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
 def range_of(bounds: list) -> Column:
     """How many of the sorted bounds lie below doc_id, found in two steps of about their square root."""
-    step = max(1, math.isqrt(len(bounds)))
-    fine = [bounds[i:i + step] for i in range(0, len(bounds), step)]
-    if not fine:
+    if not bounds:
         return F.lit(0)
-    text = ";".join(",".join(map(str, x)) for x in fine)
-    parsed = F.transform(F.split(F.lit(text), ";"), lambda x: F.split(x, ",").cast("array<bigint>"))
+    step = max(1, math.isqrt(len(bounds)))
+    known = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  a constant
     below = lambda xs: F.size(F.filter(xs, lambda b: b < F.col("doc_id")))
-    group = F.size(F.filter(parsed, lambda xs: xs[0] < F.col("doc_id"))) - 1
-    return F.when(F.col("doc_id").isNull() | (group < 0), 0).otherwise(
-        group * step + below(parsed[F.greatest(group, F.lit(0))]))
+    block = F.greatest(below(known(bounds[::step])) - 1, F.lit(0))
+    found = block * step + below(F.slice(known(bounds), block * step + 1, step))
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(found)
 
 
 def with_following(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -244,7 +242,7 @@ def compare_edited(docs: DataFrame, bins: int = BINS, bits: int = KEPT_BITS, shi
                  *(pa.array(c, t) for c, (_, t) in zip(cols, MADE, strict=True))],
                 ["doc_id", *(n for n, _ in MADE)])
 
-    return ordered.mapInArrow(read, f"doc_id {kind}, {MADE_SQL}")
+    return reaching(ordered).mapInArrow(read, f"doc_id {kind}, {MADE_SQL}")
 
 
 def op9_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
