@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -12,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import table, text_batches, written
+from tablelens.llm.common import reaching, table, text_batches, written
 
-TRAIN_ROWS = 2000  # labelled rows for each language, at most about so many
+TRAIN_ROWS = 1000  # labelled rows for each language, at most about so many
 ROUNDS = 3
 SMOOTHING = 500.0
 LONGEST = 48
@@ -105,43 +106,90 @@ def expected(ends: list[list[tuple[int, int]]], p: list[float], times: float, in
 
 
 class Model:
-    """Piece probabilities of each language and the words' log-probabilities found so far."""
+    """Piece probabilities of each language, languages x pieces."""
 
     def __init__(self, languages: list[str], p: np.ndarray, path: str | None):
-        self.languages, self.path = languages, path
-        self.p = p  # languages x pieces
-        self.lists = [row.tolist() for row in p]
+        self.languages, self.path, self.p = languages, path, p
+        self.name = uuid.uuid4().hex
 
-    def score_words(self, words: list[str]) -> np.ndarray:
+    def score_words(self, words: list[str], p: np.ndarray) -> np.ndarray:
+        """The words' log-probabilities, words x languages, by the forward algorithm.
+
+        Words of one length go through it together, all languages at once. ``p`` is pieces
+        x languages with a last row of zeros, which stands for "no such piece".
+        """
         pieces, longest = _pieces(self.path)
+        get, none = pieces.get, len(p) - 1
         out = np.empty((len(words), len(self.languages)))
+        same = defaultdict(list)
         for k, word in enumerate(words):
-            ends = lattice(word, pieces, longest)
-            out[k] = [math.log(max(forward(ends, p)[-1], 1e-300)) for p in self.lists]
+            same[len(word)].append(k)
+        for length, places in same.items():
+            spans = [(i, j) for j in range(1, length + 2) for i in range(max(0, j - longest), j)]
+            missing = [0 if j - i == 1 else none for i, j in spans]  # 0: a character that no piece covers
+            numbers = np.array([[get(w[i:j], d) for (i, j), d in zip(spans, missing, strict=True)]
+                                for w in ("▁" + words[k] for k in places)])
+            reach = np.zeros((length + 2, len(places), len(self.languages)))
+            reach[0] = 1.0
+            for at, (i, j) in enumerate(spans):
+                own = np.flatnonzero(numbers[:, at] != none)
+                if len(own):
+                    reach[j, own] += reach[i, own] * p[numbers[own, at]]
+            out[places] = np.log(np.maximum(reach[-1], 1e-300))
         return out
 
-    def predict(self, texts: list[str | None], known: dict[str, np.ndarray]) -> list[tuple[str, float]]:
-        """(language, its posterior with equal priors) of each text; ``known`` remembers words."""
-        cut = [words_of(t) for t in texts]
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list({w for words in cut for w in words if w not in known})
-        if new:
-            known.update(zip(new, self.score_words(new), strict=True))
+
+class Scorer:
+    """Predicts with a model and remembers the scores of a bounded number of words."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.p = np.concatenate([model.p, np.zeros((len(model.p), 1))], axis=1).T.copy()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.scores = np.empty((1024, len(self.model.languages)))
+
+    def _learn(self, cut: list[list[str]]) -> None:
+        if len(self.known) > CACHED_WORDS:
+            self._forget()
+        new = list({w for words in cut for w in words if w not in self.known})
+        at = len(self.known)
+        while at + len(new) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
+        self.scores[at:at + len(new)] = self.model.score_words(new, self.p)
+        self.known.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, its posterior with equal priors) of each text."""
+        languages, cut = self.model.languages, [words_of(t) for t in texts]
+        if languages:
+            self._learn(cut)
         found = []
         for words in cut:
-            if not words or not self.languages:
+            if not words or not languages:
                 found.append((UNKNOWN, 0.0))
                 continue
-            total = np.zeros(len(self.languages))
-            for word, n in Counter(words).items():
-                total += n * known[word]
+            places = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+            total = self.scores[np.sort(places)].sum(axis=0)
             odds = np.exp(total - total.max())
             best = int(odds.argmax())
-            found.append((self.languages[best], float(odds[best] / odds.sum())))
+            found.append((languages[best], float(odds[best] / odds.sum())))
         return found
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer(model: Model) -> Scorer:
+    """This worker process' scorer of the model; its words serve all of the worker's tasks."""
+    if model.name not in _scorers:
+        _scorers.clear()
+        _scorers[model.name] = Scorer(model)
+    return _scorers[model.name]
+
+
 def smoothed(counts: np.ndarray) -> np.ndarray:
     """Each language's shares, drawn a little to those of all languages together."""
     everyone = counts.sum(axis=0) + 1e-3
@@ -182,7 +230,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS, p
                 [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())],
                 ["lang", "word", "n"])
 
-    words = written(chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(
+    words = written(reaching(chosen).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(
         F.sum("n").alias("n")), "langid-words")
     place = {k: i for i, k in enumerate(languages)}
     p = np.full(counts.shape, 1 / counts.shape[1])
@@ -203,7 +251,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS, p
                 [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64())],
                 ["lang", "piece", "uses"])
 
-        sums = words.mapInArrow(expect, "lang int, piece int, uses double").groupBy("lang", "piece").agg(
+        sums = reaching(words).mapInArrow(expect, "lang int, piece int, uses double").groupBy("lang", "piece").agg(
             F.round(F.sum("uses"), 6).alias("uses")).collect()
         counts = np.zeros_like(counts)
         for r in sums:
@@ -229,15 +277,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     sent = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        own = scorer(sent.value)
         for batch in text_batches(batches):
-            made = sent.value.predict(batch.column("text").to_pylist(), known)
+            made = own.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([a for a, _ in made], pa.string()),
                  pa.array([b for _, b in made], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return reaching(rows).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id):

@@ -7,8 +7,8 @@ import zlib
 
 import pytest
 
-from tablelens.llm.langid import (_pieces, expected, forward, held_out, identify, lattice, op3_language_id, train,
-                                  words_of)
+from tablelens.llm.langid import (Model, Scorer, _pieces, expected, forward, held_out, identify, lattice,
+                                  op3_language_id, train, words_of)
 from tablelens.llm.secrets import KINDS, battery_p, infer_encoding, op1_secret_scan, ordinary_p, runs_p, scan_secrets, serial_p
 from tablelens.llm.secrets import ENCODINGS
 
@@ -115,6 +115,18 @@ def test_forward_sums_all_segmentations():
         assert math.isclose(sum(v * lengths[n] for n, v in uses.items()), len(word) + 1)
 
 
+def test_words_scored_together_equal_words_scored_alone():
+    import numpy as np
+
+    pieces, longest = _pieces(None)
+    model = Model(["a", "b", "c"], np.random.default_rng(1).random((3, len(pieces) + 1)) / 1e3, None)
+    words = ["there", "straße", "niño", "x", "ﬁne", "日本", "a" * 48, "éèêç", "there"]
+    got = model.score_words(words, Scorer(model).p)
+    for word, row in zip(words, got, strict=True):
+        ends = lattice(word, pieces, longest)
+        assert np.allclose(row, [math.log(forward(ends, p.tolist())[-1]) for p in model.p])
+
+
 def test_held_out_accuracy(spark):
     wide = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{wide}/documents.parquet")
