@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tablelens.llm.common import table, written
 from tablelens.llm.line_dedup import dedup_lines
 from tablelens.llm.mixing import mix
-from tablelens.llm.packing import pack_documents
+from tablelens.llm.packing import in_file_order, pack_documents
 from tablelens.llm.quality import quality_rules
 from tablelens.llm.simhash import keep_one
 
@@ -41,8 +41,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every document's pieces in sequences of at most 4096 tokens."""
-    return pack_documents(docs, size=4096)
+    """The place of every document's pieces in sequences of at most 4096 tokens.
+
+    The sequences follow the order in which the mixing wrote the documents.
+    """
+    return pack_documents(in_file_order(docs, "_position"), size=4096, order_col="_position")
 
 
 STAGES = [

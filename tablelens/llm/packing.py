@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import reaching, table, text_batches, written
+from tablelens.llm.common import ranked, reaching, table, text_batches, written
 
 END_ID = 1
 CACHED_WORDS = 400_000
@@ -98,8 +98,11 @@ def tokenizer_path() -> str:
 
 
 def token_pieces(docs: DataFrame, size: int, path: str | None, id_col: str, text_col: str,
-                 keep_ids: bool) -> DataFrame:
-    """One row for each piece of each document, with its rank among the task's pieces of its length."""
+                 keep_ids: bool, order_col: str | None = None) -> DataFrame:
+    """One row for each piece of each document, with its rank among the task's pieces of its length.
+
+    With ``order_col`` also the document's ``position``, its value there.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +132,16 @@ def token_pieces(docs: DataFrame, size: int, path: str | None, id_col: str, text
             if keep_ids:
                 out.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
+            if order_col:
+                out.append(batch.column("position").take(pa.array(rows, pa.int64())))
+                names.append("position")
             yield pa.RecordBatch.from_arrays(out, names)
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                       *([F.col(f"`{order_col}`").cast("long").alias("position")] if order_col else []))
     return reaching(rows).mapInArrow(
         cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long"
-        + (", ids array<int>" if keep_ids else ""))
+        + (", ids array<int>" if keep_ids else "") + (", position long" if order_col else ""))
 
 
 def fullest(left: np.ndarray, anchor: int, size: int) -> dict[int, int]:
@@ -205,8 +212,100 @@ def minimum_bin_slack(counts: dict[int, int], size: int) -> Plan:
     return plan
 
 
+@dataclass
+class Runs:
+    """The plan run by run: how often each choice is taken, and what it holds."""
+
+    times: np.ndarray
+    first: np.ndarray  # the plan's number of the run's first sequence
+    holds: list[list[tuple[int, int, int]]]  # (length, pieces of it, where they begin)
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]]  # the runs that use a length, and their pieces of it
+
+    @classmethod
+    def of(cls, plan: Plan) -> Runs:
+        first = np.array(sorted({x for own in plan.sequence.values() for x in own}), dtype=np.int64)
+        holds: list[list[tuple[int, int, int]]] = [[] for _ in first]
+        by_length = {}
+        for length, own in plan.sequence.items():
+            runs = np.searchsorted(first, own)
+            by_length[length] = (runs, np.array(plan.uses[length], dtype=np.int64))
+            for run, n, at in zip(runs, plan.uses[length], plan.offset[length], strict=True):
+                holds[run].append((length, n, at))
+        return cls(np.diff(np.append(first, plan.sequences)), first, holds, by_length)
+
+    def slots(self, made: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, rank, made, offset) of the pieces of the sequences with these numbers in the plan.
+
+        The i-th of a run's n sequences stands at (2i + 1) / 2n of the way, the earlier run
+        first at the same place. So every run is dealt out evenly, and a length's pieces go
+        by rank to the sequences that hold it, in that order.
+        """
+        most = max(1, (1 << 20) // max(1, len(self.times)))
+        of = np.searchsorted(self.first, made, side="right") - 1
+        for run in np.unique(of).tolist():
+            every = made[of == run]
+            own = self.times[run]
+            for begin in range(0, len(every), most):
+                these = every[begin:begin + most]
+                way = (2 * (these - self.first[run]) + 1)[:, None] * self.times - own
+                # of each run, the sequences that stand before: strictly for the later runs
+                before = np.where(np.arange(len(self.times)) < run, way // (2 * own) + 1, -(-way // (2 * own)))
+                before = np.clip(before, 0, self.times)
+                for length, n, at in self.holds[run]:
+                    runs, uses = self.by_length[length]
+                    rank = before[:, runs] @ uses
+                    k = np.arange(n)
+                    yield (np.full(len(these) * n, length), (rank[:, None] + k).ravel(), np.repeat(these, n),
+                           np.tile(at + k * length, len(these)))
+
+
+def in_file_order(docs: DataFrame, name: str) -> DataFrame:
+    """``docs``, read from files that Spark wrote, with the row's place in the written order as column ``name``.
+
+    Reading keeps no order, as splits are packed by size. But a writer's files carry the
+    number of the task and of its file, and a sort leaves ascending ranges to its tasks; so a row's
+    place is the number of rows in the files before, and its index in its own file.
+    """
+    file = docs.metadataColumn("_metadata")["file_name"]
+    number = lambda pattern: F.regexp_extract(file, pattern, 1).try_cast("long")
+    keys = {"_part": number(r"^part-(\d+)"), "_count": number(r"-c(\d+)\."), "_file": file}
+    # one row for each file
+    files = docs.select(*[c.alias(k) for k, c in keys.items()]).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(F.col("_file").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    index = docs.metadataColumn("_metadata")["row_index"]
+    return docs.select("*", file.alias("_file"), index.alias("_index")).join(
+        F.broadcast(starts), F.col("_file") == F.col("_of")).withColumn(
+        name, F.col("_start") + F.col("_index")).drop("_file", "_index", "_of", "_start")
+
+
+def placed_in_order(pieces: DataFrame, plan: Plan, kept: list[str]) -> DataFrame:
+    """The pieces' places, where the plan's sequences follow the pieces' ``position``.
+
+    Of one length, earlier pieces go to earlier sequences (see ``Runs.slots``); then
+    the sequences are numbered by the mean position of their ids.
+    """
+    runs = pieces.sparkSession.sparkContext.broadcast(Runs.of(plan))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for columns in runs.value.slots(batch.column("id").to_numpy()):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
+                                                 ["_length", "_rank", "made", "offset"])
+
+    slots = reaching(pieces.sparkSession.range(plan.sequences)).mapInArrow(
+        deal, "_length long, _rank long, made long, offset long")
+    by_rank = ranked(pieces.select(*kept, "position"), ["position", "piece"], by=["length"], name="piece-ranks")
+    placed = written(by_rank.join(slots, (F.col("length") == F.col("_length")) & (F.col("pos") == F.col("_rank"))).select(
+        *kept, "position", "made", "offset"), "placed")
+    means = placed.groupBy("made").agg((F.sum(F.col("length") * F.col("position")) / F.sum("length")).alias("mean"))
+    numbers = ranked(means, ["mean", "made"], name="sequence-order").select(
+        F.col("made").alias("_made"), F.col("pos").alias("sequence_id"))
+    return placed.join(numbers, F.col("made") == F.col("_made")).select(*kept, "sequence_id", "offset")
+
+
 def pack_documents(docs: DataFrame, size: int = 4096, path: str | None = None, id_col: str = "doc_id",
-                   text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+                   text_col: str = "text", keep_ids: bool = False, order_col: str | None = None) -> DataFrame:
     """Pack all documents' token ids into few sequences of at most ``size`` ids.
 
     A document's ids end with id 1; only longer ones are cut, into pieces of ``size``
@@ -216,20 +315,27 @@ def pack_documents(docs: DataFrame, size: int = 4096, path: str | None = None, i
     finds its place from its rank among the pieces of its length, which needs only
     counts by task and length.
 
+    With ``order_col``, a column of whole numbers, the sequences follow that order: pieces of
+    one length are handed out by it, evenly over the plan's choices, and sequences are
+    numbered by the mean place of what they hold. Their number and fill stay the same.
+
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids with
     ``keep_ids``), one row per piece. Cases: null and empty texts are the one id 1; rows of
     equal or null id are documents of their own; an empty table gives no rows;
     other columns are ignored.
     """
-    pieces = written(token_pieces(docs, size, path, id_col, text_col, keep_ids), "pieces")
+    pieces = written(token_pieces(docs, size, path, id_col, text_col, keep_ids, order_col), "pieces")
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
     by_task = written(pieces.groupBy("task", "length").agg((F.max("rank") + 1).alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = docs.sparkSession.sparkContext.broadcast(minimum_bin_slack(counts, size))
+    made = minimum_bin_slack(counts, size)
+    if order_col:
+        return placed_in_order(pieces, made, kept)
+    plan = docs.sparkSession.sparkContext.broadcast(made)
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_task.select(F.col("task").alias("_task"), F.col("length").alias("_length"),
                             F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    kept = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-    ranked = pieces.join(starts, (F.col("task") == F.col("_task")) & (F.col("length") == F.col("_length"))).select(
+    by_rank = pieces.join(starts, (F.col("task") == F.col("_task")) & (F.col("length") == F.col("_length"))).select(
         *kept, (F.col("before") + F.col("rank")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +360,8 @@ def pack_documents(docs: DataFrame, size: int = 4096, path: str | None = None, i
                 [*(batch.column(i) for i in keep), pa.array(sequence), pa.array(offset)],
                 [*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return reaching(ranked).mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in by_rank.schema if f.name != "rank")
+    return reaching(by_rank).mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tablelens.llm.packing import (fullest, minimum_bin_slack, op10_best_fit_packing, pack_documents, sequences,
+from tablelens.llm.packing import (Runs, fullest, minimum_bin_slack, op10_best_fit_packing, pack_documents, sequences,
                                    tokenizer_path)
 
 from .conftest import SMALL
@@ -99,3 +100,27 @@ def test_plan_deals_every_piece_once():
             filled[plan.sequence[length][run] + past // plan.uses[length][run]] += length
     assert set(filled) == set(range(plan.sequences)) and max(filled.values()) <= 64
     assert plan.sequences <= 1.02 * -(-sum(x * n for x, n in counts.items()) // 64)
+
+
+def test_runs_deal_every_piece_once_in_order():
+    rng = random.Random(10)
+    counts = Counter(rng.choice([7, 13, 50, 64, rng.randint(1, 64)]) for _ in range(3000))
+    plan = minimum_bin_slack(counts, 64)
+    runs = Runs.of(plan)
+    rows = [r for own in runs.slots(np.arange(plan.sequences)) for r in zip(*(c.tolist() for c in own), strict=True)]
+    assert sorted((n, rank) for n, rank, *_ in rows) == sorted((n, rank) for n, c in counts.items() for rank in range(c))
+    by = {}
+    for n, _, made, offset in rows:
+        by.setdefault(made, []).append((offset, n))
+    assert set(by) == set(range(plan.sequences))
+    for own in by.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:i]) for i in range(len(own))]
+        assert sum(n for _, n in own) <= 64
+
+    def way(made):
+        run = int(np.searchsorted(runs.first, made, side="right")) - 1
+        return Fraction(int(2 * (made - runs.first[run]) + 1), int(2 * runs.times[run])), run
+
+    for length in counts:
+        dealt = [way(made) for n, _, made, _ in sorted(rows) if n == length]
+        assert dealt == sorted(dealt)
