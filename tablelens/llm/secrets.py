@@ -25,6 +25,9 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 LEAST_CHARS = 16
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}" % LEAST_CHARS)
+# the pairs of symbols that no encoding holds together, and the parts of a run that has both
+MIXED = (re.compile(r"[+/]"), re.compile(r"[_-]"))
+PARTS = [re.compile("[A-Za-z0-9%s]{%d,}" % (x, LEAST_CHARS)) for x in ("+/", "_-", "")]
 BANDS = (16, 20, 28, 40, 64)
 FALSE_SHARE = 0.01
 UNLIKELY = 0.001
@@ -133,25 +136,49 @@ def ordinary_p(statistic: float, n: int, symbols: int, unevenness: float) -> flo
     return _normal_tail(-z / (h * math.sqrt(2 * p) * (1 + 0.5 * m * p)))
 
 
-def candidates(text: str, uneven: list[float]) -> list[tuple[int, int, int, int, bool]]:
-    """(start, end, stratum, bin, random) of the tokens of a text that have an encoding.
+def judged(token: str, start: int, uneven: list[float], choices: int = 1) -> tuple[int, int, int, int, bool] | None:
+    """(start, end, stratum, bin, random) of a token; None if it has no encoding.
 
-    ``bin`` is -log10 of the ordinary token's p in steps of a tenth; ``random`` tells if
-    the battery lets the token pass as random.
+    ``bin`` is -log10 of the ordinary token's p, times ``choices``, in steps of a tenth;
+    ``random`` tells if the battery lets the token pass as random.
     """
+    kind = infer_encoding(token)
+    if kind is None:
+        return None
+    symbols = len(ENCODINGS[kind])
+    places = np.fromiter(map(_PLACES[kind].__getitem__, token), dtype=np.int64, count=len(token))
+    p = min(1.0, choices * ordinary_p(uniformity(places, symbols), len(token), symbols, uneven[kind]))
+    steps = min(MOST_BIN, int(-math.log10(max(p, 1e-300)) * BINS_A_DECADE))
+    band = sum(len(token) >= b for b in BANDS) - 1
+    return (start, start + len(token), kind * len(BANDS) + band, steps,
+            steps > 0 and battery_p(places, symbols) >= UNLIKELY)
+
+
+def candidates(text: str, uneven: list[float],
+               base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, int, int, bool]]:
+    """``judged`` for the tokens of a text that have an encoding, in order; not random on a ``base`` span.
+
+    No encoding holds a run with symbols of both pairs, '+/' and '-_'. Its tokens are the
+    longest parts without the one pair, without the other, and without both. Of those
+    that overlap, the one that passes as random and is least likely ordinary is
+    taken, with p times the number of cuts.
+    """
+    def free(t: tuple[int, int, int, int, bool]) -> tuple[int, int, int, int, bool]:
+        return (*t[:4], t[4] and not any(x < t[1] and t[0] < y for x, _, y in base))
+
     found = []
     for m in CANDIDATE.finditer(text):
-        token = m.group()
-        kind = infer_encoding(token)
-        if kind is None:
+        run = m.group()
+        if not (MIXED[0].search(run) and MIXED[1].search(run)):
+            token = judged(run, m.start(), uneven)
+            found += [free(token)] if token else []
             continue
-        symbols = len(ENCODINGS[kind])
-        places = np.fromiter(map(_PLACES[kind].__getitem__, token), dtype=np.int64, count=len(token))
-        p = ordinary_p(uniformity(places, symbols), len(token), symbols, uneven[kind])
-        steps = min(MOST_BIN, int(-math.log10(max(p, 1e-300)) * BINS_A_DECADE))
-        band = sum(len(token) >= b for b in BANDS) - 1
-        found.append((m.start(), m.end(), kind * len(BANDS) + band, steps,
-                      steps > 0 and battery_p(places, symbols) >= UNLIKELY))
+        parts = [judged(x.group(), m.start() + x.start(), uneven, len(PARTS)) for cut in PARTS for x in cut.finditer(run)]
+        taken = []
+        for t in sorted((free(t) for t in parts if t), key=lambda t: (not t[4], -t[3], t[0] - t[1], t[0])):
+            if all(t[1] <= x[0] or x[1] <= t[0] for x in taken):
+                taken.append(t)
+        found += sorted(taken)
     return found
 
 
@@ -203,7 +230,10 @@ def scan_secrets(docs: DataFrame, false_share: float = FALSE_SHARE, id_col: str
     """Find secrets in every whole text: base patterns and tokens that look random.
 
     A token is a longest run of 16 or more base64 characters. Its encoding is the
-    smallest alphabet that covers it. It is added as a span of kind ``random`` if it is
+    smallest alphabet that covers it. A run that has '+' or '/' as well as '-' or '_', such as
+    most of a URL, has none: its tokens are its longest parts of 16 or more without the one
+    pair, the other, or both, of which no two that overlap are taken (see ``candidates``).
+    A token is added as a span of kind ``random`` if it is
     too even for an ordinary token of its length (with the shares that the corpus gives the
     alphabet's characters), under false-discovery control within its encoding and length
     band, and if chi-squared, runs and serial-correlation tests together let it pass as
@@ -228,9 +258,8 @@ def scan_secrets(docs: DataFrame, false_share: float = FALSE_SHARE, id_col: str
                 base = base_spans(text or "")
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
                 tokens.append([
-                    {"start": a, "end": b, "stratum": s, "bin": n,
-                     "random": ok and not any(x < b and a < y for x, _, y in base)}
-                    for a, b, s, n, ok in candidates(text or "", uneven)])
+                    {"start": a, "end": b, "stratum": s, "bin": n, "random": ok}
+                    for a, b, s, n, ok in candidates(text or "", uneven, base)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(bases, span), pa.array(tokens, token)], ["doc_id", "base", "tokens"])
 

@@ -71,6 +71,36 @@ def test_random_tokens_are_found_and_others_left(spark):
     assert not any(got[1000 + i] for i in range(len(plain)))
 
 
+def test_tokens_in_urls_and_paths(spark):
+    """Runs that have '+' or '/' as well as '-' or '_'."""
+    rng = random.Random(21)
+    common = "the quick brown fox jumps over lazy dog and internationalization misunderstandings responsibilities".split()
+    prose = lambda: " ".join(rng.choices(common, k=60))
+    of = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    inner = lambda: of(ENCODINGS[8], 1) + of(ENCODINGS[10], 38) + of(ENCODINGS[8], 1)
+    planted = [("com/file/d/", inner(), "/edit_it") for _ in range(12)]
+    planted += [("/srv/my-app/", of(ENCODINGS[8], 40), "") for _ in range(12)]
+    planted += [("key-", of(ENCODINGS[9], 40), "") for _ in range(12)]
+    planted += [("of/this-", of(ENCODINGS[8], 40), "/x") for _ in range(12)]
+    plain = ["/src/main/java/my-service/some_module", "www/the-quick-brown-fox-jumps/over_the_lazy_dog/and-all-others",
+             "and/or_internationalization-of-responsibilities"]
+    docs = [(i, f"{prose()} {''.join(t)} {prose()}") for i, t in enumerate(planted)]
+    docs += [(1000 + i, f"{prose()} {t} {prose()}") for i, t in enumerate(plain)]
+    got = {r.doc_id: [d for d in r.spans if d.kind == 3] for r in scan_secrets(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    texts = dict(docs)
+    for kind in range(4):
+        caught = 0
+        for i in range(12 * kind, 12 * kind + 12):
+            spans = sorted((s.start, s.end) for s in got[i])
+            assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+            at = texts[i].index(planted[i][1])
+            # random neighbours may be taken along or lost, the most of the secret is covered
+            caught += sum(max(0, min(b, at + 40) - max(a, at)) for a, b in spans) >= 30
+        assert caught >= 9, kind
+    assert not any(got[1000 + i] for i in range(len(plain)))
+
+
 def test_battery():
     import numpy as np
 
