@@ -24,8 +24,8 @@ class WordIds:
 
     The tokenizer drops white space, lower-cases, and never merges across white
     space, so a text's ids are those of its words. New words are encoded many at a
-    time, set apart by a special token. Texts that spell out a special token are
-    encoded as they are. The cache holds a bounded number of words.
+    time, set apart by a special token. Texts that spell out a special token,
+    in capitals or not, are encoded as they are. The cache holds a bounded number of words.
     """
 
     def __init__(self, path: str):
@@ -35,7 +35,7 @@ class WordIds:
         specials = self.tokenizer.get_added_tokens_decoder()
         self.mark_id, mark = next(iter(specials.items()))
         self.mark = mark.content
-        self.specials = [t.content.encode() for t in specials.values()]
+        self.specials = [t.content.encode().lower() for t in specials.values()]
         self.cache: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
@@ -52,9 +52,9 @@ class WordIds:
 
     @staticmethod
     def _cut(text: bytes) -> list[bytes]:
-        """Words in lower case; a stop or comma behind a plain letter is a word of its own."""
+        """Words of a text in lower case; a stop or comma behind a plain letter is a word of its own."""
         words = []
-        for w in text.lower().split():
+        for w in text.split():
             if w[-1] in b".," and len(w) > 1 and 97 <= w[-2] <= 122:
                 words.append(w[:-1])
                 words.append(w[-1:])
@@ -66,7 +66,7 @@ class WordIds:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
         cut: list[list[bytes] | None] = []
         for t in texts:
-            raw = (t or "").encode()
+            raw = (t or "").encode().lower()
             cut.append(None if any(s in raw for s in self.specials) else self._cut(raw))
         new = list({w for words in cut if words for w in words if w not in self.cache})
         if new:

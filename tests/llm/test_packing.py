@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tablelens.llm.packing import (Runs, fullest, minimum_bin_slack, op10_best_fit_packing, pack_documents, sequences,
-                                   tokenizer_path)
+from tablelens.llm.packing import (Runs, WordIds, fullest, minimum_bin_slack, op10_best_fit_packing, pack_documents,
+                                   sequences, tokenizer_path)
 
 from .conftest import SMALL
 
@@ -57,6 +57,13 @@ def test_odd_rows(odd, none, tokenizer):
     assert pack_documents(none).count() == 0
 
 
+def test_special_tokens_in_capitals(tokenizer):
+    for text in ("a <|STARTOFTEXT|> b", "<|EndOfText|> c", "x<|ENDOFTEXT|>y <|StartOfText|>", "Plain Words, HERE."):
+        got = WordIds(tokenizer_path()).encode([text, "other words"])
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "other words")]
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == want
+
+
 def test_round_trip(odd, tokenizer):
     whole = pack_documents(odd, size=64, keep_ids=True)
     made = {r.sequence_id: r.ids for r in sequences(whole).collect()}
