@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from tablelens.llm import langid, line_dedup, minhash, mixing, packing, quality, secrets, sharding, simhash, span_dedup
+from tablelens.llm import (
+    filter_audit,
+    langid,
+    lexical_search,
+    line_dedup,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    span_dedup,
+)
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,9 +28,13 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_minhash_fingerprints": minhash.op9_minhash_fingerprints,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
 }
 
 ORACLE = {
     "op2_sharding": sharding.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
 }
