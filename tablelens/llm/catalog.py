@@ -15,6 +15,7 @@ from tablelens.llm import (
     sharding,
     simhash,
     span_dedup,
+    toxicity,
 )
 
 QUERIES = {
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLE = {
