@@ -72,18 +72,35 @@ def test_few_shingles_are_densified():
     assert likeness(low, fingerprint(one[::-1].copy(), asks, 4), 4) == 1.0
 
 
+def pieces(text):
+    """Texts and words of the sentences, each cut out by its bytes."""
+    raw = text.encode()
+    cut = sentences(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    texts = [raw[a:b] for a, b in zip(cut.start.tolist(), cut.end.tolist(), strict=True)]
+    return texts, [tuple(x.lower().split()) for x in texts]
+
+
 def brute_spans(rows):
-    """Kept texts, place by place: the first of equal runs stays."""
+    """Kept texts, place by place: the first of equal runs stays; short stretches stay too."""
     seen, out = {}, []
     order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
     for i, text in order:
-        ends, keys, counts = sentences(text or "")
+        texts, words = pieces(text or "")
         covered = set()
-        for j in range(len(keys) - 2):
-            if sum(counts[j:j + 3]) >= 8 and seen.setdefault(tuple(keys[j:j + 3]), (i, text, j)) != (i, text, j):
+        for j in range(len(words) - 2):
+            span = sum(words[j:j + 3], ())
+            if len(span) >= 8 and seen.setdefault(span, (i, text, j)) != (i, text, j):
                 covered |= {j, j + 1, j + 2}
-        kept = "".join((text or "")[a:b] for n, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if n not in covered)
-        out.append((i, len(ends), len(covered), kept if covered else text or ""))
+        gone, stretch = set(), []
+        for j in range(len(words) + 1):
+            if j in covered:
+                stretch.append(j)
+            else:
+                if sum(len(words[k]) for k in stretch) >= 25:
+                    gone |= set(stretch)
+                stretch = []
+        kept = b"".join(x for j, x in enumerate(texts) if j not in gone).decode()
+        out.append((i, len(texts), len(gone), kept if gone else text or ""))
     return sorted(out, key=repr)
 
 
@@ -115,8 +132,39 @@ def test_passage_is_removed_wherever_it_stands(spark, odd, none):
 
 
 def test_sentences_cover_the_text():
-    for text in ("One. Two! Three?\nFour 3.14 five... six", "  lead. \n\n", "no stop", "a." * 50, "x " * 400, "... !!!", "é。ß . z"):
-        ends, keys, counts = sentences(text)
-        assert not ends or ends[-1] == len(text) and ends == sorted(set(ends))
-        assert b" ".join(keys) == b" ".join(text.encode().lower().split()) or not keys
-        assert sum(counts) == sum(len(k.split()) for k in keys)
+    for text in ("One. Two! Three?\nFour 3.14 five... six", "  lead. \n\n", "no stop", "a." * 50, "x " * 400, "... !!!",
+                 "é。ß . z", "", " \n", "Some Words " * 30):
+        texts, words = pieces(text)
+        assert not text.split() or b"".join(texts).decode() == text
+        assert all(words) and sum(words, ()) == tuple(text.encode().lower().split())
+    assert [x.decode() for x in pieces("One. Two! Three?\nFour 3.14 five... six")[0]] == [
+        "One. ", "Two! ", "Three?\n", "Four 3.14 five... ", "six"]
+
+
+def test_pieces_are_bounded_and_follow_the_words():
+    rng = random.Random(4)
+    for kinds in (2, 5, 2000):
+        word = lambda: f"w{rng.randrange(kinds)}"
+        passage = " ".join(word() for _ in range(50))
+        found = []
+        for _ in range(20):
+            text = " ".join([*(word() for _ in range(rng.randrange(30))), passage, *(word() for _ in range(rng.randrange(30)))])
+            words = pieces(text)[1]
+            assert max(map(len, words)) <= 8 or len(text.split()) <= 12
+            found.append({sum(words[j:j + 3], ()) for j in range(len(words) - 2)})
+        # three neighbouring pieces inside the passage are the same everywhere
+        assert sum(len(x) for x in set.intersection(*found)) >= 3
+
+
+def test_batches_are_cut_like_single_texts():
+    texts = ["One two. Three four five six seven", "", "  ", "a b c. d e f. g h i. j k", "\nx y z " * 20]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    cut = sentences(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    at, a, b = cut.runs(3, 3)
+    together = [(int(cut.row[i]), int(x), int(y)) for i, x, y in zip(at, a, b, strict=True)]
+    single = []
+    for n, x in enumerate(raw):
+        own = sentences(np.frombuffer(x, np.uint8), np.array([0, len(x)]))
+        single += [(n, int(p), int(q)) for _, p, q in zip(*own.runs(3, 3), strict=True)]
+    assert together == single and len(single) > 5
