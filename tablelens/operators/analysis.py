@@ -15,10 +15,12 @@ from ..functions.columns import (as_double, clean_value, field, is_missing,
                                  is_numeric, numeric_columns, qcol, safe_corr)
 from ..functions.dates import FREQS, as_timestamp, best_format, parse_by_number, period_label
 from ..functions.masks import to_double
+from .comoments import pair_correlations
 from .common import is_identifier, long_rows, message_frame, require_columns
 from .quantiles import column_quantiles, quantile_frame
 
 DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
+FEW_COLUMNS = 10  # up to so many columns one aggregation holds all pairs
 GROUP_AGGS = ("mean", "sum", "min", "max", "median", "count")
 
 
@@ -127,16 +129,19 @@ def value_counts(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns=None, max_columns: int | None = None) -> DataFrame:
     """Pearson correlation of every pair, pairwise complete, as ``(x, y, r)``.
 
-    One aggregation of n(n-1)/2 guarded expressions; a constant column gives
-    NULL (never a division error). The diagonal is 1.0 for columns with at
-    least two distinct values, NULL otherwise.
+    Up to ``FEW_COLUMNS`` columns all pairs are guarded expressions of one aggregation; more
+    columns come from the co-moment blocks of :mod:`comoments`, whose plan doesn't grow with them. A
+    constant column and one with an infinity give NULL (never a division error). The diagonal
+    is 1.0 for columns with at least two distinct values, NULL otherwise. A name given twice counts once.
     """
     cols = require_columns(df, columns) if columns else numeric_columns(df)
-    cols = [c for c in cols if is_numeric(field(df, c).dataType, include_bool=True)]
+    cols = [c for c in dict.fromkeys(cols) if is_numeric(field(df, c).dataType, include_bool=True)]
     if max_columns:
         cols = cols[:max_columns]
     if len(cols) < 2:
         return message_frame(df.sparkSession, "Not enough numeric columns for correlation")
+    if len(cols) > FEW_COLUMNS:
+        return _by_blocks(df, cols)
     xs = {c: as_double(df, c) for c in cols}
     exprs, keys = [], {}
     for i, a in enumerate(cols):
@@ -156,6 +161,17 @@ def correlation_matrix(df: DataFrame, columns=None, max_columns: int | None = No
     return long_rows(agg, rows, [v.cast("double") for v in vals], ["x", "y"], "r")
 
 
+def _by_blocks(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(x, y, r)`` of all pairs from co-moments; every pair has its row, also of an empty table."""
+    k = len(cols)
+    name = F.array(*[F.lit(c) for c in cols])
+    grid = df.sparkSession.range(k * k).select(
+        F.expr(f"int(id div {k})").alias("a"), F.expr(f"int(id % {k})").alias("b"))
+    found = pair_correlations(df, cols)  # a row per pair of columns
+    return grid.join(found, (F.least("a", "b") == F.col("i")) & (F.greatest("a", "b") == F.col("j")), "left").select(
+        F.get(name, F.col("a")).alias("x"), F.get(name, F.col("b")).alias("y"), "r")
+
+
 def groupby_agg(df: DataFrame, by: str, target: str, agg: str = "mean",
                 method: str = "exact") -> DataFrame:
     """One aggregate of ``target`` per value of ``by``: ``(by, <agg>)``.
