@@ -178,6 +178,26 @@ def q_correlation_matrix(spark, sf_dir):
     return rounded(A.correlation_matrix(table(spark, sf_dir, "lineitem")))
 
 
+def embedding_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 64 dimensions of ``embeddings`` as columns; one value in nine is missing."""
+    gap = lambda i: F.col("vec_id") % 9 == i % 9
+    return table(spark, sf_dir, "embeddings").select(*[
+        F.when(~gap(i), F.col("embedding")[i].cast("double")).alias(f"d{i}") for i in range(64)])
+
+
+@register("correlation_wide", """
+WITH e AS (SELECT vec_id, unnest(range(64)) AS i, embedding FROM embeddings),
+v AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM e WHERE vec_id % 9 <> i % 9),
+p AS (SELECT a.i, b.i AS j, CASE WHEN var_samp(a.x) > 0 AND var_samp(b.x) > 0 THEN corr(a.x, b.x) END AS r
+      FROM v a JOIN v b ON a.vec_id = b.vec_id GROUP BY ALL)
+SELECT 'd' || x.i AS x, 'd' || y.i AS y, CASE WHEN x.i = y.i AND p.r IS NOT NULL THEN 1.0 ELSE p.r END AS r
+FROM (SELECT unnest(range(64)) AS i) x CROSS JOIN (SELECT unnest(range(64)) AS i) y
+LEFT JOIN p ON p.i = x.i AND p.j = y.i""", ["r"])
+def q_correlation_wide(spark, sf_dir):
+    """Correlation of 64 columns with gaps, from co-moment blocks."""
+    return rounded(A.correlation_matrix(embedding_columns(spark, sf_dir)))
+
+
 _GROUP_SQL = {
     "mean": "avg(l_extendedprice)",
     "sum": "coalesce(sum(l_extendedprice), 0)",
@@ -472,6 +492,41 @@ def q_clean_plan(spark, sf_dir):
     return rounded(C.apply_cleaning_plan(base, CLEAN_PLAN))
 
 
+LONG_PLAN = [
+    {"column": "nc", "action": "impute_median"},
+    {"column": "src_n", "action": "drop"},
+    {"column": "quality", "action": "impute_mean"},
+    {"column": "quality", "action": "drop"},
+    {"column": "lang_n", "action": "impute_mode"},
+    {"column": "lang_n", "action": "drop"},
+    {"column": "toxic", "action": "impute_mode"},
+    {"column": "n_chars", "action": "drop_column"},
+    {"column": "nc", "action": "impute_mean"},
+    {"column": "nc", "action": "drop"},
+]
+
+
+@register("clean_plan_long", f"""
+WITH b AS (SELECT *, nullif(lang, 'en') AS lang_n, nullif(source, 'src0') AS src_n,
+             CASE WHEN n_chars % 7 <> 0 THEN n_chars END AS nc FROM {DOCS_LABELS_SQL}),
+s1 AS (SELECT * REPLACE (coalesce(nc::DOUBLE, (SELECT median(nc) FROM b)) AS nc) FROM b),
+s2 AS (SELECT * FROM s1 WHERE src_n IS NOT NULL),
+s3 AS (SELECT * REPLACE (coalesce(quality::DOUBLE, (SELECT avg(quality) FROM s2)) AS quality) FROM s2),
+s4 AS (SELECT * FROM s3 WHERE quality IS NOT NULL),
+s5 AS (SELECT * REPLACE (coalesce(lang_n, (SELECT lang_n FROM s4 WHERE lang_n IS NOT NULL GROUP BY 1
+         ORDER BY count(*) DESC, 1 LIMIT 1)) AS lang_n) FROM s4),
+s6 AS (SELECT * FROM s5 WHERE lang_n IS NOT NULL),
+s7 AS (SELECT * REPLACE (coalesce(toxic, (SELECT toxic FROM s6 WHERE toxic IS NOT NULL GROUP BY 1
+         ORDER BY count(*) DESC, 1 LIMIT 1)) AS toxic) FROM s6)
+SELECT * EXCLUDE (n_chars) FROM s7 WHERE nc IS NOT NULL""", ["quality", "nc"])
+def q_clean_plan_long(spark, sf_dir):
+    """Ten steps: fills that feed later drops, drops that later statistics follow."""
+    base = docs_labels(spark, sf_dir).select(
+        "*", F.expr("nullif(lang, 'en')").alias("lang_n"), F.expr("nullif(source, 'src0')").alias("src_n"),
+        F.when(F.col("n_chars") % 7 != 0, F.col("n_chars")).alias("nc"))
+    return rounded(C.apply_cleaning_plan(base, LONG_PLAN))
+
+
 # --------------------------------------------------------------------------
 # M1-M7 privacy (customer with derived contact columns)
 # --------------------------------------------------------------------------
