@@ -1,13 +1,18 @@
-"""Table profile (P1-P9): one row per column, computed in two scans.
-
-Scan 1 is a single global aggregation holding every per-column statistic:
-missing counts, numeric moments and median, datetime bounds. Scan 2 is the
-frequency table ``(column, value, n)`` that gives distinct counts, the top
-values, and for text columns the share of rows that parse with each
-candidate datetime format (each distinct value is parsed once, weighted by
+"""Table profile (P1-P9): one row per column, computed in three scans.
+
+Scan 1 is a single global aggregation holding every per-column statistic that needs no
+values side by side: missing counts, moments, bounds. Scan 2 is the typed frequency table of
+numbers and times, ``(column, double, exact, n)``: the value as a double and, where
+doubles can't tell values apart (64-bit whole numbers, decimals, times), as a whole number
+too. It gives distinct counts and, narrowed by rank, the medians. Scan 3 is the frequency table
+``(column, value, n)`` of texts, for distinct counts, top values, and the share of rows that parse
+with each candidate datetime format (each distinct value is parsed once, weighted by
 its count). All pieces have one row per column, so the final joins are
 broadcast joins whose size is bounded by the schema width.
 
+What reads a frequency table reads its counts as well and filters on nothing but results, so
+that Spark recognises the shuffle as the same and runs it once.
+
 The column class is decided inside the plan (a CASE over the parse ratio),
 so ``profile`` runs no action and stays one lazy DataFrame.
 """
@@ -23,7 +28,7 @@ from ..functions.columns import (CATEGORICAL_CLASS, DATETIME_CLASS, DATETIME_LIK
                                  is_missing, is_numeric, qcol, type_name)
 from ..functions.dates import DATETIME_FORMATS, parse_datetime
 from .analysis import frequency_table
-from .quantiles import column_quantiles
+from .quantiles import column_quantiles, exact_quantiles
 
 DATETIME_RATIO = 0.8
 TOP_K = 5
@@ -84,17 +89,16 @@ def _stats_frame(df: DataFrame, quantile_method: str = "exact",
     return agg.select("n_rows", F.inline(F.array(*rows)))
 
 
-def _text_dates(freq: DataFrame, text_cols: list[str], formats=DATETIME_FORMATS) -> DataFrame:
-    """Datetime detection for text columns, computed on the frequency table:
-    each *distinct* value is parsed once per candidate format and weighted by
-    its count. ``(column_name, parsed_<k>, lo_<k>, hi_<k>)`` per format k."""
+def _text_facts(freq: DataFrame, formats=DATETIME_FORMATS) -> DataFrame:
+    """``(column_name, num_unique_t, c<k>, pl<k>, ph<k>)``: distinct texts, and for format k the rows
+    that parse and their bounds. Each *distinct* value is parsed, once per format."""
     v = F.col("value")
-    exprs = []
+    exprs = [F.count_if(F.col("n") > 0).alias("num_unique_t")]
     for k, fm in enumerate(formats):
         p = parse_datetime(v, fm)
         exprs += [F.sum(F.when(p.isNotNull(), F.col("n"))).alias(f"c{k}"),
                   F.min(p).alias(f"pl{k}"), F.max(p).alias(f"ph{k}")]
-    return freq.where(F.col("column_name").isin(text_cols)).groupBy("column_name").agg(*exprs)
+    return freq.groupBy("column_name").agg(*exprs)
 
 
 def _best_format(n_rows: Column, formats=DATETIME_FORMATS) -> Column:
@@ -110,41 +114,60 @@ def _best_format(n_rows: Column, formats=DATETIME_FORMATS) -> Column:
     return F.greatest(*cands) if len(cands) > 1 else cands[0]
 
 
-def _value_micros(df: DataFrame, name: str) -> Column:
-    """A numeric or datetime column as double (datetimes as epoch micros or
-    days), for the numeric frequency table."""
+def _typed(df: DataFrame, name: str) -> Column:
+    """A number or time as struct (x, exact, text): together they tell all values of the column apart.
+
+    ``x``: a number as a double, NULL for a time; ``exact``: the value as a whole number where doubles
+    lose digits; ``text``: the value as text where that loses some too (decimals of over 18 digits).
+    """
     dt = df.schema[name].dataType
-    c = qcol(name)
-    if isinstance(dt, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                                c).cast("double")
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
-    return as_double(df, name)
-
-
-def _numeric_frequency(df: DataFrame, positions: list[int]) -> DataFrame:
-    """``(_k, _x, _c)`` over numeric and datetime columns, ``_k`` = position."""
+    c, exact = clean_value(df, name), F.lit(0).cast("long")
+    text = F.lit(None).cast("string")
+    x = as_double(df, name) if is_numeric(dt, include_bool=True) else F.lit(None).cast("double")
+    if isinstance(dt, T.DecimalType) and dt.precision > 18:
+        text = c.cast("string")
+    elif isinstance(dt, T.DecimalType):
+        exact = (c * F.lit(10 ** dt.scale).cast(T.DecimalType(19, 0))).cast("long")
+    elif isinstance(dt, T.LongType):
+        exact = c
+    elif isinstance(dt, T.TimestampNTZType):
+        exact = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    elif isinstance(dt, T.TimestampType):
+        exact = F.unix_micros(c)
+    elif isinstance(dt, T.DateType):
+        exact = F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
+    return F.when(c.isNotNull(), F.struct(x.alias("x"), exact.alias("exact"), text.alias("text")))
+
+
+def _number_frequency(df: DataFrame, positions: list[int]) -> DataFrame:
+    """``(position, x, exact, text, n)`` over numeric and datetime columns."""
     names = df.columns
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_k"), _value_micros(df, names[i]).alias("_x"))
-        for i in positions])))
-    return long.where(F.col("_x").isNotNull()).groupBy("_k", "_x") \
-        .agg(F.count(F.lit(1)).alias("_c"))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), _typed(df, names[i]).alias("v"))
+                                        for i in positions])))
+    return long.where(F.col("v").isNotNull()).groupBy("position", "v.x", "v.exact", "v.text").agg(
+        F.count(F.lit(1)).alias("n"))
+
 
+def _distinct_numbers(freq: DataFrame) -> DataFrame:
+    return freq.groupBy("position").agg(F.count_if(F.col("n") > 0).alias("num_unique_n"))
 
-def _top(freq: DataFrame, text_cols: list[str], top_k: int) -> DataFrame:
-    """Top-k values per text column as an array column.
+
+def _medians(freq: DataFrame) -> DataFrame:
+    """``(position, median_q)`` of the numeric columns of a table of frequencies."""
+    values = freq.select("position", F.when(F.col("n") > 0, F.col("x")).alias("x"), "n")
+    return exact_quantiles(values, ["position"], "x", [0.5], small_keys=True, weight="n").select(
+        "position", F.col("q")[0].alias("median_q"))
+
+
+def _top(freq: DataFrame, top_k: int) -> DataFrame:
+    """Top-k values per column of a frequency table as an array column.
 
     ``row_number() <= k`` over the frequency table is planned with a partial
     WindowGroupLimit before the exchange, so each column's window partition
     receives at most k rows per task however many distinct values it has.
     """
     w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), F.col("value").asc())
-    ranked = freq.where(F.col("column_name").isin(text_cols)) \
-        .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    ranked = freq.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
     return ranked.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct(
         F.col("rank").cast("int").alias("rank"), F.col("value").alias("value"),
         F.col("n").cast("bigint").alias("count")))).alias("top_values"))
@@ -157,8 +180,7 @@ def top_values(df: DataFrame, top_k: int = TOP_K) -> DataFrame:
     if not text_cols:
         return df.sparkSession.createDataFrame(
             [], "column_name string, rank int, value string, count bigint")
-    return _top(frequency_table(df, text_cols), text_cols, top_k) \
-        .select("column_name", F.inline("top_values"))
+    return _top(frequency_table(df, text_cols), top_k).select("column_name", F.inline("top_values"))
 
 
 def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
@@ -171,9 +193,8 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
     datetime_ratio, datetime_format (text), top_values (categorical only),
     num_rows, num_cols.
 
-    Three pieces, all lazy: the statistics aggregation; the numeric
-    frequency table (numeric and datetime columns as doubles, keyed by
-    position) giving distinct counts and exact medians; the text frequency
+    Three pieces, all lazy: the statistics aggregation; the typed frequency table of
+    numbers and times giving distinct counts and exact medians; the text frequency
     table giving distinct counts, top values and datetime detection. Each
     piece has one row per column and is joined by broadcast (size bounded
     by the schema width). ``approx_distinct`` replaces exact distinct counts
@@ -182,25 +203,28 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
     fields = df.schema.fields
     num_pos = [i for i, f in enumerate(fields) if schema_class(f.dataType) == NUMERIC_CLASS]
     dt_pos = [i for i, f in enumerate(fields) if schema_class(f.dataType) == DATETIME_CLASS]
+    names = df.columns
     text_cols = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     out = _stats_frame(df, quantile_method, approx_distinct)
 
+    shared = _number_frequency(df, num_pos + dt_pos) if (num_pos or dt_pos) and not approx_distinct else None
+    if shared is not None:
+        out = out.join(F.broadcast(_distinct_numbers(shared)), "position", "left")
     if num_pos:
-        names = df.columns
-        med = column_quantiles(df, [names[i] for i in num_pos], [0.5], quantile_method)
-        out = out.join(F.broadcast(med.select("column_name", F.col("q")[0].alias("median_q"))),
-                       "column_name", "left").withColumn("median", F.coalesce("median", "median_q"))
-    if (num_pos or dt_pos) and not approx_distinct:
-        nu = _numeric_frequency(df, num_pos + dt_pos).groupBy(F.col("_k").alias("position")).agg(
-            F.count(F.lit(1)).alias("num_unique_n"))
-        out = out.join(F.broadcast(nu), "position", "left")
+        if shared is not None and quantile_method == "exact":
+            med = _medians(shared)
+        else:
+            med = column_quantiles(df, [names[i] for i in num_pos], [0.5], quantile_method).select(
+                F.element_at(F.array(*[F.lit(i) for i in num_pos]), F.col("_k") + 1).alias("position"),
+                F.col("q")[0].alias("median_q"))
+        out = out.join(F.broadcast(med), "position", "left").withColumn("median", F.coalesce("median", "median_q"))
     if text_cols:
         tf = frequency_table(df, text_cols)
-        if not approx_distinct:
-            tu = tf.groupBy("column_name").agg(F.count(F.lit(1)).alias("num_unique_t"))
-            out = out.join(F.broadcast(tu), "column_name", "left")
-        out = out.join(F.broadcast(_text_dates(tf, text_cols)), "column_name", "left") \
-            .join(F.broadcast(_top(tf, text_cols, top_k)), "column_name", "left")
+        facts = _text_facts(tf)
+        if approx_distinct:
+            facts = facts.drop("num_unique_t")
+        out = out.join(F.broadcast(facts), "column_name", "left").join(
+            F.broadcast(_top(tf, top_k)), "column_name", "left")
         best = _best_format(F.col("n_rows").cast("double"))
     else:
         best = F.struct(F.lit(None).cast("double").alias("ratio"),
@@ -217,7 +241,7 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
     klass = F.coalesce(F.col("base_class"),
                        F.when(is_dt, F.lit(DATETIME_LIKE_CLASS)).otherwise(F.lit(CATEGORICAL_CLASS)))
     uniq = F.coalesce("approx_unique", "num_unique_n", "num_unique_t",
-                      F.when(F.col("base_class") != OTHER_CLASS, F.lit(0)))
+                      F.when(F.coalesce("base_class", F.lit("")) != OTHER_CLASS, F.lit(0)))
     return out.select(
         "column_name", "position", "type", klass.alias("class"), "num_missing",
         uniq.cast("bigint").alias("num_unique"),
@@ -275,5 +299,20 @@ def column_stats(df: DataFrame) -> DataFrame:
 
 
 def unique_counts(df: DataFrame, approx: bool = False) -> DataFrame:
-    """``(column_name, num_unique)``: distinct non-null values per column."""
-    return profile(df, approx_distinct=approx).select("column_name", "num_unique")
+    """``(column_name, num_unique)``: distinct non-null values per column; NULL for nested types."""
+    if approx:
+        return profile(df, approx_distinct=True).select("column_name", "num_unique")
+    fields = df.schema.fields
+    numbers = [i for i, f in enumerate(fields) if schema_class(f.dataType) in (NUMERIC_CLASS, DATETIME_CLASS)]
+    texts = [f.name for f in fields if schema_class(f.dataType) is None]
+    names = [(f.name, i, schema_class(f.dataType) == OTHER_CLASS) for i, f in enumerate(fields)]
+    out = df.sparkSession.createDataFrame(names, "column_name string, position int, _other boolean")
+    found = F.lit(None).cast("bigint")
+    if numbers:
+        out = out.join(F.broadcast(_distinct_numbers(_number_frequency(df, numbers))), "position", "left")
+        found = F.coalesce(found, "num_unique_n")
+    if texts:
+        each = frequency_table(df, texts).groupBy("column_name").agg(F.count_if(F.col("n") > 0).alias("num_unique_t"))
+        out = out.join(F.broadcast(each), "column_name", "left")
+        found = F.coalesce(found, "num_unique_t")
+    return out.select("column_name", F.when(~F.col("_other"), F.coalesce(found, F.lit(0))).cast("bigint").alias("num_unique"))

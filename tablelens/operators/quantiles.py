@@ -62,20 +62,22 @@ def _holds(probs: list[float], first: Column, end: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], x: str, probs: list[float],
-                    small_keys: bool = False) -> DataFrame:
+                    small_keys: bool = False, weight: str | None = None) -> DataFrame:
     """``(*keys, q)``: quantiles of the values of ``x`` per key, without nulls and NaN.
 
-    Keys without values get no row; with no keys there is one row always.
+    Keys without values get no row; with no keys there is one row always. ``weight``: a column
+    that says how often each row's value stands (of a table of frequencies).
     ``small_keys``: the number of keys is bounded by the schema (column numbers),
     so the cells found are broadcast; otherwise Spark chooses the join.
     """
     probs = [float(p) for p in probs]
     kc = [F.col(f"`{k}`") for k in keys]
     hint = F.broadcast if small_keys or not keys else (lambda t: t)
-    rows = df.select(*kc, F.col(x).cast("double").alias("_x")).where(
+    times = F.col(weight) if weight else F.lit(1)
+    rows = df.select(*kc, F.col(x).cast("double").alias("_x"), times.cast("long").alias("_c")).where(
         F.col("_x").isNotNull() & ~F.isnan("_x"))
     # _at: rank of the first value of the cell that a row is in, which names the cell
-    rows = rows.withColumns({"_at": F.lit(0).cast("long"), "_cell": _magnitude(F.col("_x")), "_c": F.lit(1).cast("long")})
+    rows = rows.withColumns({"_at": F.lit(0).cast("long"), "_cell": _magnitude(F.col("_x"))})
     for cut in ("magnitude", "width", "width again"):
         if cut == "width again":  # few values are left, unless they crowd: count each once, spread by value
             rows = rows.groupBy(*kc, "_at", "_cell", "_n", "_x").agg(F.sum("_c").alias("_c"))

@@ -364,6 +364,19 @@ _profile_part("profile_datetime", ["column_name", "datetime_min", "datetime_max"
               "class = 'datetime'")
 
 
+@register("profile_unique_exact", _union([
+    f"SELECT '{c}' AS column_name, count(DISTINCT {e}) AS num_unique FROM lineitem" for c, e in (
+        ("far_key", "l_orderkey + 9007199254740992"), ("price", "l_extendedprice::DECIMAL(18,2)"),
+        ("wide_price", "l_extendedprice::DECIMAL(30,2) + 1000000000000000000000"), ("l_shipdate", "l_shipdate"),
+        ("l_returnflag", "l_returnflag"), ("l_tax", "l_tax"))]))
+def q_profile_unique_exact(spark, sf_dir):
+    """Distinct values that doubles can't tell apart: keys past 2^53, decimals, times."""
+    return P.unique_counts(table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey + 9007199254740992 AS far_key", "CAST(l_extendedprice AS DECIMAL(18,2)) AS price",
+        "CAST(l_extendedprice AS DECIMAL(30,2)) + CAST('1000000000000000000000' AS DECIMAL(30,2)) AS wide_price",
+        "l_shipdate", "l_returnflag", "l_tax"))
+
+
 @register("profile_shape", "SELECT count(*) AS num_rows, CAST(11 AS BIGINT) AS num_cols FROM lineitem")
 def q_profile_shape(spark, sf_dir):
     return P.profile_shape(table(spark, sf_dir, "lineitem"))

@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 
 from tablelens.operators import profile as P
 
@@ -73,3 +74,35 @@ def test_top_values_frame(spark):
     df = spark.createDataFrame([(v,) for v in "aabbbcdefg"], "s string")
     got = [tuple(r) for r in P.top_values(df, 3).orderBy("rank").collect()]
     assert got == [("s", 1, "b", 3), ("s", 2, "a", 2), ("s", 3, "c", 1)]
+
+
+def test_values_that_doubles_confuse_are_distinct(spark):
+    big = 2 ** 53
+    df = spark.createDataFrame(
+        [(big + i, Decimal(f"90071992547409.{92 + i % 3}"), Decimal(f"{10 ** 25 + i}.5"), dt.datetime(2024, 1, 1, microsecond=i % 2),
+          dt.date(2024, 1, 1 + i), -0.0 if i % 2 else 0.0, 0.1, bool(i % 2), f"t{i // 2}") for i in range(6)]
+        + [(None,) * 9],
+        "k bigint, d decimal(16,2), w decimal(38,1), ts timestamp_ntz, day date, z double, f float, b boolean, s string")
+    want = {"k": 6, "d": 3, "w": 6, "ts": 2, "day": 6, "z": 1, "f": 1, "b": 2, "s": 3}
+    assert {r.column_name: r.num_unique for r in P.unique_counts(df).collect()} == want
+    p = by_col(P.profile(df))
+    assert {c: r.num_unique for c, r in p.items()} == want
+    assert p["k"]["median"] == float(big + 4) and p["w"]["median"] == 1e25 and p["b"]["median"] == 0.5
+    empty = by_col(P.profile(df.limit(0)))
+    assert {r.num_unique for r in empty.values()} == {0} and {r.median for r in empty.values()} == {None}
+    assert {r.num_unique for r in P.unique_counts(df.limit(0)).collect()} == {0}
+
+
+def test_nested_columns_have_no_distinct_count(spark):
+    df = spark.createDataFrame([(1, [1, 2], {"a": 1})], "i int, a array<int>, m map<string,int>")
+    assert {r.column_name: r.num_unique for r in P.unique_counts(df).collect()} == {"i": 1, "a": None, "m": None}
+    assert by_col(P.profile(df))["a"]["num_unique"] is None
+
+
+def test_profile_reads_the_table_three_times(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id", "id * 0.37 AS x", "CAST(id % 10 AS STRING) AS s", "timestamp_micros(id) AS t",
+                                      "CAST(id AS DECIMAL(12,2)) AS d")
+    df.write.parquet(str(tmp_path / "t"))
+    p = P.profile(spark.read.parquet(str(tmp_path / "t")))
+    p.collect()
+    assert p._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan") <= 4
