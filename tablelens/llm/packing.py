@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,69 +17,136 @@ from tablelens.llm.common import ranked, reaching, table, text_batches, written
 
 END_ID = 1
 CACHED_WORDS = 400_000
-TOGETHER = 200
+TOGETHER = 50
+WORD_END = "</w>"
+
+
+# white space 0, letters 1, digits 2, all else 3
+_KIND = np.full(256, 3, np.uint8)
+_KIND[list(b" \t\n\x0b\x0c\r")] = 0
+_KIND[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = 1
+_KIND[list(b"0123456789")] = 2
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[ord("A"):ord("Z") + 1] += 32
+
+
+def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the units of plain lower-case text, which ends in a line break, start and end.
+
+    A unit is a run of letters, a digit, a contraction ('s 't 're 've 'm 'll 'd where a run of
+    other characters could start) or a run of other characters.
+    """
+    kind = _KIND[data]
+    begins = np.concatenate([[True], kind[1:] != kind[:-1]]) | (kind == 2)
+    at = np.flatnonzero((data[:-2] == ord("'")) & begins[:-2]) if len(data) > 2 else np.zeros(0, np.int64)
+    one, two = data[at + 1], data[at + 1].astype(np.int32) << 8 | data[at + 2]
+    length = np.where(np.isin(one, list(b"stmd")), 1, np.where(np.isin(two, [0x7265, 0x7665, 0x6C6C]), 2, 0))
+    at, length = at[length > 0], length[length > 0]
+    begins[at + 1] = False
+    begins[at + 1 + length] = True
+    places = np.flatnonzero(begins)
+    ends = np.append(places[1:], len(data))
+    inked = kind[places] > 0
+    return places[inked], ends[inked]
+
+
+class Known(dict):
+    """Ids of words, found for new ones by ``learn``; a bounded number: when it is full the older half goes."""
+
+    def __init__(self, learn: Callable[[list[bytes]], Iterable[bytes]], most: int):
+        self.learn, self.most = learn, most
+        self.unknown: dict[bytes, None] = {}
+
+    def __missing__(self, word: bytes) -> None:
+        self.unknown[word] = None
+
+    def lookup(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.__getitem__, words))
+        if self.unknown:
+            new = list(self.unknown)
+            self.unknown.clear()
+            self.update(zip(new, self.learn(new), strict=True))
+            for k in [k for k, x in enumerate(found) if x is None]:
+                found[k] = self[words[k]]
+        if len(self) > self.most:
+            for old in list(islice(self, len(self) // 2)):
+                del self[old]
+        return found
 
 
 class WordIds:
     """Token ids of texts, with the ids of each distinct word found once.
 
-    The tokenizer drops white space, lower-cases, and never merges across white
-    space, so a text's ids are those of its words. New words are encoded many at a
-    time, set apart by a special token. Texts that spell out a special token,
-    in capitals or not, are encoded as they are. The cache holds a bounded number of words.
+    The tokenizer drops white space, lower-cases, and merges only inside runs of letters, single
+    digits, contractions and runs of other characters, so a text's ids are those of these units. Texts of
+    plain characters (printable ASCII and the accented letters up to U+017F) are cut into units
+    here; others, where normalisation can move a border, at white space only. Units and words are
+    encoded once and kept. Texts that spell out a special token, in capitals or not, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    # byte pairs among the plain characters' that are no letters (multiplication and division sign), or
+    # become two characters in lower case (capital I with dot)
+    ODD_PAIRS = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
+    PLAIN = bytes([*b"\t\n\x0b\x0c\r", *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
+    def __init__(self, path: str, most: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        specials = self.tokenizer.get_added_tokens_decoder()
-        self.mark_id, mark = next(iter(specials.items()))
-        self.mark = mark.content
-        self.specials = [t.content.encode().lower() for t in specials.values()]
-        self.cache: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.cache) + len(words) > CACHED_WORDS:
-            self.cache.clear()
+        self.specials = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+        self.units, self.words = Known(self._units, most), Known(self._words, most)
+
+    def _units(self, words: list[bytes]) -> Iterable[bytes]:
+        """Encode units of plain text, many in one go: a unit's last id, and only that, is one of a word end."""
         groups = [words[i:i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        texts = [self.mark.join(w.decode() for w in g) for g in groups]
-        for group, made in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False),
-                               strict=True):
-            ids = np.array(made.ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            for word, own in zip(group, np.split(ids, cuts), strict=True):
-                self.cache[word] = (own[1:] if len(own) and own[0] == self.mark_id else own).tobytes()
-
-    @staticmethod
-    def _cut(text: bytes) -> list[bytes]:
-        """Words of a text in lower case; a stop or comma behind a plain letter is a word of its own."""
-        words = []
-        for w in text.split():
-            if w[-1] in b".," and len(w) > 1 and 97 <= w[-2] <= 122:
-                words.append(w[:-1])
-                words.append(w[-1:])
-            else:
-                words.append(w)
-        return words
+        made = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, dtype="<u4") for x in made])
+        cuts = (4 * np.flatnonzero(self.word_end[ids]) + 4).tolist()
+        raw = ids.tobytes()
+        return (raw[at:to] for at, to in zip([0, *cuts], cuts, strict=False))
+
+    def _words(self, words: list[bytes]) -> Iterable[bytes]:
+        """Encode words of any text, one by one."""
+        made = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return (np.array(x.ids, dtype="<u4").tobytes() for x in made)
+
+    def _plain(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of texts of plain characters: cut and counted together, each distinct unit looked up once."""
+        data = _LOW[np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)]
+        start, end = units(data)
+        offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(start), [
+            None, pa.py_buffer(offsets), pa.py_buffer(data[_KIND[data] > 0])]).dictionary_encode()
+        code = coded.indices.to_numpy()
+        found = self.units.lookup(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        upto = np.concatenate([[0], np.cumsum(size[code])])
+        ids = flat[np.repeat(first[code] - upto[:-1], size[code]) + np.arange(upto[-1])]
+        begin = np.cumsum([0, *(len(x) + 1 for x in raws)])
+        bounds = upto[np.searchsorted(start, begin)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
-        cut: list[list[bytes] | None] = []
-        for t in texts:
-            raw = (t or "").encode().lower()
-            cut.append(None if any(s in raw for s in self.specials) else self._cut(raw))
-        new = list({w for words in cut if words for w in words if w not in self.cache})
-        if new:
-            if len(self.cache) + len(new) > CACHED_WORDS:
-                self.cache.clear()
-                new = list({w for words in cut if words for w in words})
-            self._learn(new)
-        get = self.cache.__getitem__
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            if words is None else b"".join(map(get, words))
-            for t, words in zip(texts, cut, strict=True)]
+        made: list[bytes] = [b""] * len(texts)
+        plain, raws = [], []
+        for i, t in enumerate(texts):
+            raw = (t or "").encode()
+            if b"<|" in raw and any(s in raw.lower() for s in self.specials):
+                made[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            elif raw.translate(None, self.PLAIN) or any(x in raw for x in self.ODD_PAIRS):
+                # words as written: a letter and its mark may join in one case only
+                made[i] = b"".join(self.words.lookup(raw.split()))
+            else:
+                plain.append(i)
+                raws.append(raw)
+        if raws:
+            for i, ids in zip(plain, self._plain(raws), strict=True):
+                made[i] = ids
+        return made
 
 
 _loaded: dict[str, WordIds] = {}
@@ -109,7 +177,7 @@ def token_pieces(docs: DataFrame, size: int, path: str | None, id_col: str, text
         ids_of = word_ids(path or tokenizer_path())
         task = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, dtype=np.int64)
-        for batch in text_batches(batches, most_bytes=1 << 20):
+        for batch in text_batches(batches, most_bytes=2 << 20):
             rows, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
             for i, data in enumerate(ids_of.encode(batch.column("text").to_pylist())):
                 data += END_ID.to_bytes(4, "little")

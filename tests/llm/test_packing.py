@@ -64,6 +64,25 @@ def test_special_tokens_in_capitals(tokenizer):
         assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == want
 
 
+def test_ids_equal_the_tokenizers(tokenizer):
+    """Texts of odd characters, by a cache so small that it loses words all the time."""
+    rng = random.Random(12)
+    parts = ["don't", "I'LL", "'s", "x's'", "we've!!", "a.b,c", "1234", "5th", "$$$", "***word***", "über", "ÉCOLE,", "ñ!", "×", "3×4", "a÷b",
+             "İstanbul", "ıI", "ﬁn", "e\u0301", "e\u0301!", "\u0301x", "Å", "ſs", "ŉ", "ǅ", "ß.", "日本語", "текст,", "𝔘𝔫𝔦", "—", "“q”", "’s", "\xa0",
+             "\u2009", "\x85", "\x1c", "\x00", "\x7f", "\u200b", "<|", "|>", "<|endoftext", "🙂", "²", "½", "Ⅷ", "_", "a_b", "İ!", "K"]
+    blanks = [" ", "", "\n", "  ", "\t", "\r\n", " ' "]
+    texts = ["".join(rng.choice(parts) + rng.choice(blanks) for _ in range(rng.randint(1, 12))) for _ in range(6000)]
+    texts += ["".join(chr(rng.choice([rng.randint(32, 126), rng.randint(0xA0, 0x24F), rng.randint(0x300, 0x36F)])) for _ in range(20))
+              for _ in range(2000)]
+    small = WordIds(tokenizer_path(), 300)
+    got = [x for i in range(0, len(texts), 50) for x in small.encode(texts[i:i + 50])]
+    assert len(small.units) <= 300 and len(small.words) <= 300
+    texts += ["", None, "'", "''s", "x's't're'd", "'s", "'", "'l", "it'll'", "\n", "'Re'VE"]
+    got += small.encode(texts[-11:])
+    for text, own in zip(texts, got, strict=True):
+        assert np.frombuffer(own, dtype="<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_round_trip(odd, tokenizer):
     whole = pack_documents(odd, size=64, keep_ids=True)
     made = {r.sequence_id: r.ids for r in sequences(whole).collect()}
