@@ -16,6 +16,7 @@ from tablelens.session import shared_path
 # bytes.split() and bytes.strip() use
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
+ROW_GROUP = 16 << 20  # bytes of a row group of a written table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +27,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Cuts the lineage: a lost executor costs no recomputation of what is behind
-    the table, and values that depend on the task layout are fixed by it.
+    the table, and values that depend on the task layout are fixed by it. Row groups are small, as a
+    writer holds one in memory. The tables stay in the shared folder under names that
+    start with ``name``: lazy results read them at any later time, so whoever owns the folder
+    empties it when the results are used up, as with checkpoints.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablelens.llm.common import reaching, table, text_batches, written
@@ -40,18 +40,26 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(bits.view("<u8")[0])
 
 
+def text_hashes(text_col: str) -> tuple[Column, Column]:
+    """128 bits that tell texts apart (a null text is an empty one)."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number, one row per document."""
+    """(doc_id, h1, h2, fp): the text's hash and the fingerprint as signed 64-bit numbers, one row per document."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             made = np.array([fingerprint(x, shingle) for x in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))],
-                                             ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(made.view(np.int64))],
+                ["doc_id", "h1", "h2", "fp"])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return reaching(rows).mapInArrow(hashed, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                       *[h.alias(f"h{i}") for i, h in enumerate(text_hashes(text_col), 1)])
+    return reaching(rows).mapInArrow(hashed, f"doc_id {kind}, h1 long, h2 long, fp long")
 
 
 def parts(count: int) -> list[tuple[int, int]]:
@@ -219,6 +227,20 @@ def near_links(fps: DataFrame, radius: int, count: int, chunk: int = CHUNK) -> D
         compare, "a long, b long").distinct()
 
 
+def grouped(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str,
+            blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints' rows, and (fp, component, component_id) of each distinct fingerprint."""
+    if not 0 < radius < blocks <= BITS:
+        raise ValueError("radius must be 1 or more and below the number of blocks")
+    rows = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    joined = connected_components(near_links(classes.select("fp"), radius, blocks))
+    whole = written(classes.join(joined, F.col("fp") == F.col("node"), "left").select(
+        "fp", "low", F.coalesce("component", "fp").alias("component")), "members")
+    lows = whole.groupBy("component").agg(F.min("low").alias("component_id"))
+    return rows, whole.join(lows, "component").select(F.col("fp").alias("_fp"), "component", "component_id")
+
+
 def near_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id",
                 text_col: str = "text", blocks: int = 6) -> DataFrame:
     """Groups of documents whose SimHash fingerprints are joined by links of few differing bits.
@@ -231,35 +253,37 @@ def near_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str
     Returns doc_id, fp (signed 64-bit) and component_id, the least doc_id of the
     group, one row per input row. Cases: texts without words (null, empty) have
     fingerprint 0, linked like any other; a null id takes part, its group's least id
-    skips nulls and is null if it has no other; repeated rows and ids stay; an empty
-    table gives no rows; other columns are ignored.
+    skips nulls and is null if it has no other; repeated rows and ids stay; a very long text is
+    one fingerprint; an empty table gives no rows; other columns are ignored.
     """
-    if not 0 < radius < blocks <= BITS:
-        raise ValueError("radius must be 1 or more and below the number of blocks")
-    rows = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    joined = connected_components(near_links(classes.select("fp"), radius, blocks))
-    whole = written(classes.join(joined, F.col("fp") == F.col("node"), "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("component")), "members")
-    lows = whole.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = whole.join(lows, "component").select(F.col("fp").alias("_fp"), "component_id")
+    rows, ids = grouped(docs, radius, shingle, id_col, text_col, blocks)
     return rows.join(ids, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one of the least id.
-
-    Cases: rows of one id are one document, of which the row with the least text
-    stays; rows without an id can't be told apart by it and all stay; all columns are kept.
+             text_col: str = "text", blocks: int = 6) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: of the least id (nulls last), then text hash.
+
+    Keepers are chosen on ids and hashes alone; whole rows are only matched to them, through a hash
+    table of the keepers, and never sorted. Cases: rows of one id with texts of different groups are
+    documents of their own, each group keeps its own; a group of rows without ids keeps one of
+    them; of rows with equal id and text the one with the least hash of all its columns stays;
+    null and empty texts are one group; an empty table gives no rows; all columns are kept.
     """
-    least = near_groups(docs, radius, shingle, id_col, text_col).select(
-        F.col("component_id").alias("_least")).where(F.col("_least").isNotNull()).distinct()
-    packed = docs.select(F.col(f"`{id_col}`").alias("_id"), F.struct("*").alias("row"))
-    first = Window.partitionBy("_id").orderBy(F.col(f"row.`{text_col}`"), F.xxhash64("row"))
-    named = packed.join(least, F.col("_id") == F.col("_least"), "left_semi").withColumn(
-        "_at", F.row_number().over(first)).where(F.col("_at") == 1)
-    return named.select("row.*").unionByName(packed.where(F.col("_id").isNull()).select("row.*"))
+    rows, ids = grouped(docs, radius, shingle, id_col, text_col, blocks)
+    key = ["doc_id", "h1", "h2"]
+    seen = rows.join(ids, F.col("fp") == F.col("_fp")).groupBy("component", *key).agg(
+        (F.count(F.lit(1)) > 1).alias("several"))
+    keepers = written(seen.groupBy("component").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), *key, "several")).alias("k")).select(
+        F.col("k.doc_id").alias("_id"), F.col("k.h1").alias("_h1"), F.col("k.h2").alias("_h2"), "k.several"), "keepers")
+    packed = docs.select(F.col(f"`{id_col}`").alias("id"), *[h.alias(f"h{i}") for i, h in enumerate(
+        text_hashes(text_col), 1)], F.struct("*").alias("row"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    kept = packed.join(keepers.hint("shuffle_hash"), same)
+    first = Window.partitionBy("id", "h1", "h2").orderBy(F.xxhash64("row"))
+    one = kept.where("several").withColumn("_at", F.row_number().over(first)).where("_at = 1")
+    return kept.where("NOT several").select("row.*").unionByName(one.select("row.*"))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,3 +124,18 @@ def test_components(spark, none):
 def test_fingerprint_of_very_long_text():
     text = " ".join(f"w{i % 977}" for i in range(40000))
     assert fingerprint(text) == brute_fingerprint(text)
+
+
+def test_no_text_is_lost(spark):
+    """Repeated and missing ids: each group keeps one row, whatever the ids."""
+    from tablelens.llm.simhash import keep_one
+
+    rng = random.Random(31)
+    a, b = (" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(99))
+                     for _ in range(80)) for _ in range(2))
+    rows = [(1, a, "x"), (1, b, "x"), (2, b + " more", "x"), (None, a, "x"), (None, a, "y"), (5, None, "x"), (4, "", "x"), (4, "", "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, h1 string")
+    assert sorted((r.doc_id, r.text) for r in keep_one(frame).collect()) == sorted([(1, a), (1, b), (4, "")])
+    alone = spark.createDataFrame([(None, a, "x"), (None, a, "y"), (None, b, "x")], "doc_id long, text string, h1 string")
+    assert sorted(r.text for r in keep_one(alone).collect()) == sorted([a, b])
+    assert keep_one(frame.limit(0)).count() == 0
