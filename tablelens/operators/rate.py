@@ -63,15 +63,15 @@ def _islands(staged: DataFrame, window_us: int) -> DataFrame:
     """``staged`` (``_key``, ``_t``, ...) with ``_island``: the first cell of its run of occupied cells.
 
     A cell is one window long, so events two cells apart are at least a window apart.
-    Only distinct (key, cell) pairs are sorted by key, not the events.
+    Only distinct (key, cell) pairs are sorted by key, not the events. Events without a time have none.
     """
     staged = staged.withColumn("_cell", F.floor(F.col("_t") / F.lit(window_us)))
-    cells = staged.select(F.col("_key").alias("_k"), F.col("_cell").alias("_c")).distinct()
+    cells = staged.select(F.col("_key").alias("_k"), F.col("_cell").alias("_c")).where(F.col("_c").isNotNull()).distinct()
     run = Window.partitionBy("_k").orderBy("_c")
     begins = F.coalesce(F.col("_c") - F.lag("_c").over(run) > 1, F.lit(True))
     cells = cells.withColumn("_begin", F.when(begins, F.col("_c")))
     cells = cells.select("_k", "_c", F.last("_begin", ignorenulls=True).over(run).alias("_island"))
-    return staged.join(cells, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_cell") == F.col("_c"))).drop(
+    return staged.join(cells, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_cell") == F.col("_c")), "left").drop(
         "_k", "_c", "_cell")
 
 
@@ -93,7 +93,9 @@ def rate_admission(df: DataFrame, key: str, ts: str, limit: int, window_seconds:
     field = lambda c: F.col("row").getField(c)
     staged = whole.select("row", field(key).alias("_key"), epoch_micros(field(ts)).alias("_t"),
                           *[field(c).alias(f"_tie{i}") for i, c in enumerate(ties)])
-    dated = _islands(staged.where(F.col("_t").isNotNull()), window_us)
+    # events without a time are dealt out by their other columns
+    loose = F.pmod(F.xxhash64(*[f"_tie{i}" for i in range(len(ties))]), F.lit(1024)) if ties else F.lit(0).cast("long")
+    dated = _islands(staged, window_us).withColumn("_island", F.coalesce("_island", loose))
     order = ["_key", "_island", "_t", *[f"_tie{i}" for i in range(len(ties))]]
     dealt = dated.repartition(*([num_partitions] if num_partitions else []), "_key", "_island").sortWithinPartitions(*order).select("row", "_key", "_island", "_t")
     schema = T.StructType([T.StructField("row", dealt.schema["row"].dataType),
@@ -111,12 +113,14 @@ def rate_admission(df: DataFrame, key: str, ts: str, limit: int, window_seconds:
                 numbers[i] = number
             # group 0 is the one carried over; later groups are new
             held = {0: state.get("open")} if state.get("open") is not None else {}
-            allowed = admit(numbers, batch.column("_t").to_numpy(), limit, window_us, held)
-            state, last = {"open": held[int(numbers[-1])]}, groups[-1]
+            times = batch.column("_t")
+            dated = times.is_valid().to_numpy(zero_copy_only=False)
+            allowed = np.zeros(len(groups), dtype=bool)
+            allowed[dated] = admit(numbers[dated], times.drop_null().to_numpy(), limit, window_us, held)
+            state, last = {"open": held.get(int(numbers[-1]))}, groups[-1]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(allowed)], ["row", "allowed"])
 
-    undated = staged.where(F.col("_t").isNull()).select("row", F.lit(False).alias("allowed"))
-    return dealt.mapInArrow(run, schema).unionByName(undated).select("row.*", "allowed")
+    return dealt.mapInArrow(run, schema).select("row.*", "allowed")
 
 
 def rate_window_count(df: DataFrame, key: str, ts: str, limit: int, window_seconds: float,

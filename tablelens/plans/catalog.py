@@ -9,6 +9,7 @@ summation order cannot change the compared values.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -906,19 +907,27 @@ def q_rate_admission_stream(spark, sf_dir):
     from ..streaming.rate import rate_admission_stream, run_to_table
     events = table(spark, sf_dir, "events")
     path = shared_path(spark, "rate-stream")
-    # four stretches of time, written one after another; a micro-batch reads one of them
-    stretches, files = 4, 8
+    # twelve uneven stretches of time, written one after another; by hash one event in three
+    # comes one stretch late. A micro-batch reads eight files, of whatever stretches.
+    stretches, files = 12, 8
     lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
-    for i in range(stretches):
-        start, end = lo + (hi - lo) * i / stretches, lo + (hi - lo) * (i + 1) / stretches
-        last = F.col("ts") <= end if i == stretches - 1 else F.col("ts") < end
-        events.where((F.col("ts") >= start) & last).repartition(files).write.parquet(f"{path}/source/{i}")
+    span = (hi - lo).total_seconds()
+    share = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(lo).cast("timestamp"))) / F.lit(span * 1e6 + 1)
+    stretch = F.floor(F.sqrt(share) * stretches) + (F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0).cast("int")
+    for i in range(stretches + 1):
+        events.where(F.coalesce(stretch, F.lit(0)) == i).repartition(files).write.parquet(f"{path}/source/{i}")
+    late = span / 2  # the longest stretch is the last, 23/144 of the time
+    # a last event of nobody, so much later that all others are due; it stays in the state itself
+    end = hi + timedelta(seconds=2 * late + 2 * RATE_WINDOW_S)
+    closing = events.limit(1).select(*[F.lit(end).cast(f.dataType).alias(f.name) if f.name == "ts"
+                                       else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields])
+    closing.coalesce(1).write.parquet(f"{path}/source/{stretches + 1}")
     stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files)
               .option("recursiveFileLookup", "true").parquet(f"{path}/source"))
     out = rate_admission_stream(stream, "user_id", "ts", "event_id", RATE_LIMIT, RATE_WINDOW_S,
-                                watermark=f"{RATE_WINDOW_S} seconds")
+                                watermark=f"{late} seconds")
     run_to_table(out, path + "/data", path + "/checkpoint")
-    return spark.read.parquet(path + "/data")
+    return spark.read.parquet(path + "/data").drop("late")
 
 
 RETENTION_HOURS = 72

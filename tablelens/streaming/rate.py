@@ -1,20 +1,18 @@
-"""Rate admission on a stream (R2): the R1 rule with per-key state.
-
-``groupBy(key).applyInPandasWithState`` keeps, per key, only the times of
-the admitted events that can still matter (at most ``limit`` values inside
-the window). Within a micro-batch a key's events are judged in time order;
-while micro-batches arrive in time order the result equals the batch
-operator. An event of an earlier time than its key's newest admitted one is judged
-against the current state (late data is not re-ordered); one behind the
-watermark is dropped by Spark before this operator sees it and is absent from
-the output, so the watermark must be as long as data may be late. Event-time
-timeouts drop the state of keys idle for longer than the window once the
-watermark passes, so state size follows the number of active keys.
-
-Within one micro-batch a key's events are sorted together in one Python
-worker, so memory per task is bounded by the micro-batch size: bound it at
-the source (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``) when single
-keys can be very hot.
+"""Rate admission on a stream (R2): the R1 rule, whatever the micro-batches.
+
+Events are judged in the order of their times, not of their arrival: a key's events wait in its
+state until the watermark has passed them, when nothing earlier can come any more, and are
+then judged in time order. So the decisions are those of the batch operator for any
+split of the events into files or micro-batches, as long as no event is later than the
+watermark allows. A later one comes out at once, not allowed and marked as late; one that is
+later by more than ``grace`` besides is dropped by Spark before this operator sees it. Events without a
+time wait for nothing: they are not allowed, as in the batch operator.
+
+The state of a key is its waiting events (those of the watermark's length) and the times
+of the admitted events that can still matter (at most ``limit`` inside the window). An
+event-time timeout wakes a key when its first waiting event is due, also if it gets no new
+events, and at last drops an idle key. Events that are still within the watermark when a stream
+ends stay in the state; the next events, of any key, release them.
 """
 
 from __future__ import annotations
@@ -22,9 +20,11 @@ from __future__ import annotations
 import sys
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.columns import qcol
@@ -32,45 +32,63 @@ from ..operators.rate import admit, epoch_micros
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-STATE_SCHEMA = "admitted array<bigint>"
+
+def _millis(interval: str) -> int:
+    return int(round(pd.Timedelta(interval).total_seconds() * 1000))
 
 
 def rate_admission_stream(events: DataFrame, key: str, ts: str, event_id: str, limit: int,
-                          window_seconds: float, watermark: str = "1 hour") -> DataFrame:
-    """Streaming rows ``(key, event_id, ts, allowed)`` in append mode."""
-    window_us = int(round(float(window_seconds) * 1_000_000))
+                          window_seconds: float, watermark: str = "1 hour", grace: str = "7 days") -> DataFrame:
+    """Streaming rows ``(key, event_id, ts, allowed, late)`` in append mode.
+
+    ``watermark``: how much later than the newest event seen before an event may come and still be judged
+    in its place; ``grace``: how much later than that it is still given out, as late.
+    """
+    window_us, grace_ms = int(round(float(window_seconds) * 1_000_000)), _millis(grace)
     limit = int(limit)
     key_type = events.schema[key].dataType.simpleString()
     id_type = events.schema[event_id].dataType.simpleString()
-    out_schema = f"{key} {key_type}, {event_id} {id_type}, {ts} timestamp_ntz, allowed boolean"
-    staged = events.select(qcol(key), qcol(event_id), qcol(ts).cast("timestamp_ntz").alias(ts),
-                           epoch_micros(qcol(ts)).alias("_t"),
-                           qcol(ts).cast("timestamp").alias("_wm")) \
-        .withWatermark("_wm", watermark)
+    out_schema = f"{key} {key_type}, {event_id} {id_type}, {ts} timestamp_ntz, allowed boolean, late boolean"
+    state_schema = f"admitted array<bigint>, times array<bigint>, ids array<{id_type}>"
+    delay_ms = _millis(watermark) + grace_ms
+    rows = events.select(qcol(key).alias(key), qcol(event_id).alias(event_id), qcol(ts).cast("timestamp_ntz").alias(ts))
+    staged = rows.where(qcol(ts).isNotNull()).select(
+        "*", epoch_micros(qcol(ts)).alias("_t"), qcol(ts).cast("timestamp").alias("_wm")).withWatermark(
+        "_wm", f"{delay_ms} milliseconds")
 
     def fold(key_tuple, pdfs, state):
-        if state.hasTimedOut:
+        admitted, times, ids = state.get if state.exists else ([], [], [])
+        mark = state.getCurrentWatermarkMs()
+        # Spark's watermark is late by the grace as well; 0 means that there is none yet
+        due = (mark + grace_ms) * 1000 if mark > 0 else None
+        came = [p for p in pdfs] if not state.hasTimedOut else []
+        new_t = np.concatenate([p["_t"].to_numpy(dtype="int64") for p in came]) if came else np.zeros(0, np.int64)
+        new_id = [x for p in came for x in p[event_id].tolist()]
+        late = new_t < due if due is not None else np.zeros(len(new_t), bool)
+        waiting = sorted([*zip(times, ids), *((int(t), x) for t, x, old in zip(new_t, new_id, late) if not old)])
+        n = sum(t < due for t, _ in waiting) if due is not None else 0
+        ready, waiting = waiting[:n], waiting[n:]
+        q = deque(admitted)
+        allowed = admit([0] * n, np.array([t for t, _ in ready], dtype="int64"), limit, window_us, {0: q})
+        kept = [int(t) for t in q][-limit:] if limit else []
+        if waiting or kept:
+            state.update((kept, [t for t, _ in waiting], [x for _, x in waiting]))
+            # the first waiting event's time, or that from which the admitted ones can't matter, by Spark's watermark
+            wake = (waiting[0][0] if waiting else kept[-1] + window_us) // 1000 - grace_ms
+            state.setTimeoutTimestamp(max(wake, mark + 1, 1))
+        elif state.exists:
             state.remove()
-            return
-        q = deque(state.get[0] if state.exists else [])
-        frames = [p for p in pdfs if len(p)]  # a key's rows of one micro-batch
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["_t", event_id], kind="stable")
-        k = key_tuple[0]
-        keys = [k] * len(pdf)
-        allowed = admit(keys, pdf["_t"].to_numpy(dtype="int64"), limit, window_us, {k: q})
-        kept = [int(t) for t in q][-limit:]
-        state.update((kept,))
-        if kept:
-            # event time (ms) after which the key's state can no longer matter
-            expiry = int((kept[-1] + window_us) // 1000)
-            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: pdf[key].to_numpy(), event_id: pdf[event_id].to_numpy(),
-                            ts: pdf[ts].to_numpy(), "allowed": allowed})
-
-    return staged.groupBy(qcol(key)).applyInPandasWithState(
-        fold, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+        out = [(t, x, bool(a), False) for (t, x), a in zip(ready, allowed)]
+        out += [(int(t), x, False, True) for t, x, old in zip(new_t, new_id, late) if old]
+        if out:
+            t, x, a, old = zip(*out)
+            yield pd.DataFrame({key: pd.Series([key_tuple[0]] * len(out), dtype=object), event_id: list(x),
+                                ts: pd.to_datetime(list(t), unit="us"), "allowed": list(a), "late": list(old)})
+
+    judged = staged.groupBy(qcol(key)).applyInPandasWithState(
+        fold, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    undated = rows.where(qcol(ts).isNull()).select("*", F.lit(False).alias("allowed"), F.lit(False).alias("late"))
+    return judged.unionByName(undated)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:
@@ -81,4 +99,3 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parq
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import random
 import tempfile
 import time
 
@@ -33,27 +34,62 @@ def test_rejected_events_do_not_count(spark):
     assert plain == [True, False, False]  # the plain window counts the refused one
 
 
-def test_stream_equals_batch_over_ordered_batches(spark):
-    ev = spark.read.parquet(EVENTS).select("event_id", "user_id", "ts")
-    batch = {r.event_id: r.allowed for r in
-             R.rate_admission(ev, "user_id", "ts", 2, 86400, "event_id").collect()}
-    assert 0 < sum(batch.values()) < len(batch)
+def run_stream(spark, frames, watermark, limit, window, files=1, close=True, **more):
+    """The stream's rows for frames written one after another, a closing event of nobody last."""
     base = tempfile.mkdtemp(prefix="rate-stream-")
     src = os.path.join(base, "src")
-    bounds = ev.agg(F.min("ts"), F.max("ts")).collect()[0]
-    lo, hi = bounds[0], bounds[1] + dt.timedelta(seconds=1)
-    step = (hi - lo) / 4
-    for i in range(4):  # four files in time order, written one after another
-        part = ev.where((F.col("ts") >= lo + step * i) & (F.col("ts") < lo + step * (i + 1)))
-        part.coalesce(1).write.parquet(os.path.join(src, f"part{i}"))
-        time.sleep(1.1)
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1) \
-        .option("recursiveFileLookup", "true").parquet(src)
-    out = rate_admission_stream(stream, "user_id", "ts", "event_id", 2, 86400,
-                                watermark="2 days")
+    schema = "event_id long, user_id long, ts timestamp_ntz"
+    if close:
+        frames = [*frames, spark.createDataFrame([(-1, -1, dt.datetime(2030, 1, 1))], schema)]
+    for i, frame in enumerate(frames):
+        frame.coalesce(1).write.parquet(os.path.join(src, f"part{i:03}"))
+        time.sleep(0.02)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option(
+        "recursiveFileLookup", "true").parquet(src)
+    out = rate_admission_stream(stream, "user_id", "ts", "event_id", limit, window, watermark=watermark, **more)
     run_to_table(out, os.path.join(base, "out"), os.path.join(base, "ckpt"))
-    got = {r.event_id: r.allowed for r in spark.read.parquet(os.path.join(base, "out")).collect()}
-    assert got == batch
+    rows = spark.read.parquet(os.path.join(base, "out")).collect()
+    return {r.event_id: (r.allowed, r.late) for r in rows}, len(rows)
+
+
+def test_stream_equals_batch_for_any_split(spark):
+    """Uneven stretches, files in shuffled order within the watermark, null times and keys, ties."""
+    rng = random.Random(11)
+    rows, t = [], T0
+    for i in range(400):
+        t += dt.timedelta(seconds=rng.choice([0, 1, 1, 2, 30, 200]))
+        rows.append((i, rng.choice([1, 1, 1, 2, 3, None]), t))
+    rows += [(1000 + i, rng.choice([1, None]), None) for i in range(5)]
+    schema = "event_id long, user_id long, ts timestamp_ntz"
+    df = spark.createDataFrame(rows, schema)
+    batch = {r.event_id: (r.allowed, False) for r in R.rate_admission(df, "user_id", "ts", 3, 60, "event_id").collect()}
+    assert 0 < sum(a for a, _ in batch.values()) < len(batch)
+    span = rows[399][2] - T0
+    for files, pieces, watermark in ((1, 5, "100 days"), (2, 9, f"{span.total_seconds() / 3} seconds")):
+        cuts = sorted(rng.sample(range(400), pieces - 1))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, 405])]
+        if watermark == "100 days":
+            rng.shuffle(parts)  # any order at all
+        else:
+            held = []  # each event at most a sixth of the time late
+            for x in rows:
+                late = dt.timedelta(seconds=rng.random() * span.total_seconds() / 6)
+                held.append((x[2] or T0, late, x))
+            held.sort(key=lambda x: x[0] + x[1])
+            parts = [[x for *_, x in held[a:b]] for a, b in zip([0, *cuts], [*cuts, 405])]
+        got, n = run_stream(spark, [spark.createDataFrame(x, schema) for x in parts if x], watermark, 3, 60, files)
+        assert got == batch and n == len(batch)
+
+
+def test_open_events_wait_and_late_ones_are_marked(spark):
+    schema = "event_id long, user_id long, ts timestamp_ntz"
+    frame = lambda rows: spark.createDataFrame([(n, 1, T0 + dt.timedelta(seconds=s)) for n, s in rows], schema)
+    # the watermark is Spark's, of the batch before: 440 when event 3 comes, 450 when event 6 does
+    frames = [frame([(1, 0), (2, 500)]), frame([(4, 505)]), frame([(3, 10), (5, 510)]), frame([(6, 460)])]
+    got, _ = run_stream(spark, frames, "60 seconds", 5, 30, close=False, grace="1 hour")
+    assert got == {1: (True, False), 3: (False, True)}  # nothing later says that the others are due
+    got, _ = run_stream(spark, frames, "60 seconds", 1, 50, grace="1 hour")
+    assert got == {1: (True, False), 3: (False, True), 6: (True, False), 2: (False, False), 4: (False, False), 5: (True, False)}
 
 
 def test_retention(spark):
@@ -140,17 +176,9 @@ def test_a_busy_key_is_cut_where_a_window_is_empty(spark):
     assert R._islands(staged, 60_000_000).select("_island").distinct().count() > 50
 
 
-def test_rows_behind_the_watermark_are_absent(spark):
-    base = tempfile.mkdtemp(prefix="rate-late-")
-    src = os.path.join(base, "src")
-    # event 3 comes when the watermark is at 440 (Spark applies that of the batch before)
-    batches = [[(1, 0), (2, 500)], [(4, 505)], [(3, 10), (5, 510)]]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame([(n, "a", T0 + dt.timedelta(seconds=s)) for n, s in rows],
-                              "id int, k string, ts timestamp_ntz").coalesce(1).write.parquet(os.path.join(src, f"{i}"))
-        time.sleep(1.1)
-    stream = spark.readStream.schema("id int, k string, ts timestamp_ntz").option("maxFilesPerTrigger", 1) \
-        .option("recursiveFileLookup", "true").parquet(src)
-    out = rate_admission_stream(stream, "k", "ts", "id", 5, 30, watermark="60 seconds")
-    run_to_table(out, os.path.join(base, "out"), os.path.join(base, "ckpt"))
-    assert {r.id for r in spark.read.parquet(os.path.join(base, "out")).collect()} == {1, 2, 4, 5}
+def test_rows_behind_the_grace_are_absent(spark):
+    schema = "event_id long, user_id long, ts timestamp_ntz"
+    frame = lambda rows: spark.createDataFrame([(n, 1, T0 + dt.timedelta(seconds=s)) for n, s in rows], schema)
+    frames = [frame([(1, 0), (2, 500)]), frame([(4, 505)]), frame([(3, 10), (5, 510)])]
+    got, _ = run_stream(spark, frames, "60 seconds", 5, 30, grace="1 second")
+    assert set(got) == {1, 2, 4, 5} and not any(late for _, late in got.values())
