@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import number_from_text, qcol
@@ -15,6 +15,7 @@ UPLOAD_RETENTION_HOURS = 72
 REPORT_RETENTION_HOURS = 720
 COMPLETED_JOB_RETENTION_HOURS = 1440
 
+DAY_FILES = 8  # files a day, at most, that a write spreads over
 DEFAULT_SCORE = 50.0
 RANK_LIMIT = 10
 
@@ -61,6 +62,39 @@ def apply_retention(df: DataFrame, ts: str, cutoff_hours: float = UPLOAD_RETENTI
         .select(*[qcol(c) for c in df.columns])
 
 
+DAY = "_day"
+
+
+def write_by_day(df: DataFrame, path: str, ts: str) -> None:
+    """A table in a folder per day of ``ts`` (rows without a time in one of their own).
+
+    A later write replaces the days that it holds rows of, and no others (dynamic overwrite), so
+    a repeated or corrected load of a day leaves that day's rows once.
+    """
+    by_day = df.withColumn(DAY, F.to_date(qcol(ts)))
+    spread = by_day.repartition(F.col(DAY), F.pmod(F.xxhash64(*[qcol(c) for c in df.columns]), F.lit(DAY_FILES)))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+
+
+def read_by_day(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """The table that ``write_by_day`` wrote, with its schema given (``columns``), and the column ``_day``."""
+    return spark.read.schema(f"{columns}, {DAY} date").parquet(path)
+
+
+def retained_days(df: DataFrame, ts: str, cutoff_hours: float, now: datetime) -> DataFrame:
+    """Rows of a table by day that survive retention; days that expired whole are not read."""
+    cut = now - timedelta(hours=float(cutoff_hours))
+    fresh = F.col(DAY).isNull() | (F.col(DAY) >= F.lit(cut.date()))
+    kept = qcol(ts).isNull() | (qcol(ts) >= F.lit(cut).cast("timestamp_ntz"))
+    return df.where(fresh).where(kept).drop(DAY)
+
+
+def expired_days(df: DataFrame, cutoff_hours: float, now: datetime) -> DataFrame:
+    """``(day, rows)`` of the days that expired whole: what a sweep may delete (counted from file footers)."""
+    cut = now - timedelta(hours=float(cutoff_hours))
+    return df.where(F.col(DAY) < F.lit(cut.date())).groupBy(F.col(DAY).alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def rank_items(df: DataFrame, text: str, relevance: str, significance: str, order: str,
                top_n: int = RANK_LIMIT) -> DataFrame:
     """Rank scored items: ``(rank, <text>, relevance, significance, <order>)``.

@@ -92,6 +92,7 @@ def section_bullets(df: DataFrame, column: str, keys: list[str] | None = None,
 # bracket, or text. Possessive, so that a long tag needs no stack.
 HTML_TOKEN_RE = (r"(?s)<!--.*?-->|<[!?][^>]*>|"
                  r"</?[A-Za-z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<|[^<]+")
+PIECE = 512  # tokens that are joined together
 ATTRIBUTE_RE = r"""[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?"""
 BARE_AMP_RE = r"&(?!(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)"
 
@@ -123,7 +124,8 @@ def allow_html(c):
 
     Every start tag gets its end tag: one without a start is dropped, one that closes an
     outer tag closes those inside it first, and what is open at the end is closed.
-    No further repair of nesting is made (a ``p`` in a ``p``, rows outside tables).
+    No further repair of nesting is made (a ``p`` in a ``p``, rows outside tables). Time grows with
+    the tags, and with how deep they are nested.
     """
     parts = F.transform(F.regexp_extract_all(c, F.lit(HTML_TOKEN_RE), F.lit(0)), lambda t: F.struct(
         t.alias("token"), F.lower(F.regexp_extract(t, r"^</?([A-Za-z][A-Za-z0-9]*)", 1)).alias("name")))
@@ -149,8 +151,25 @@ def allow_html(c):
             F.when(p["kind"] == "start", F.concat(F.lit("/"), p["name"], stack))
             .when(closes, after).otherwise(stack).alias("stack"))
 
-    empty = F.struct(F.lit("").alias("out"), F.lit("").alias("stack"))
-    return F.aggregate(parts, empty, step, lambda s: F.concat(s["out"], _closings(s["stack"])))
+    def piece(state, tokens):
+        """A run of tokens: its text is joined by itself, so that no text is copied once a tag."""
+        start = F.struct(F.lit("").alias("out"), state["stack"].alias("stack"))
+        folded = F.aggregate(tokens, start, step)
+        return _once(folded, lambda f: F.struct(
+            F.concat(state["outs"], F.array(f["out"])).alias("outs"), f["stack"].alias("stack")))
+
+    def whole(tokens):
+        runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(tokens) / PIECE).cast("int")),
+                           lambda i: F.slice(tokens, i * PIECE + 1, F.lit(PIECE)))
+        empty = F.struct(F.array().cast("array<string>").alias("outs"), F.lit("").alias("stack"))
+        return F.aggregate(runs, empty, piece, lambda s: F.concat(F.array_join(s["outs"], ""), _closings(s["stack"])))
+
+    return _once(parts, whole)
+
+
+def _once(value, use):
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def sanitize_html(df: DataFrame, column: str, out: str | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import WHOLE_TEXT, number_from_text
+from .csv_records import records
 
 # Text read as missing (pandas' default NA tokens).
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -51,8 +52,12 @@ def header_names(spark: SparkSession, path: str, encoding: str = "UTF-8") -> lis
         .text(path).limit(1).collect()
     if not first:
         raise ValueError("No columns to parse from file")
-    line = first[0][0].rstrip("\r")
-    names = next(csv.reader(io.StringIO(line)), [])
+    return unique_names(first[0][0].rstrip("\r"))
+
+
+def unique_names(header: str) -> list[str]:
+    """The names in a header record (which may hold line breaks), made unique like pandas does."""
+    names = next(csv.reader(io.StringIO(header, newline="")), [])
     if not names:
         raise ValueError("No columns to parse from file")
     out, seen = [], {}
@@ -99,23 +104,33 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     """Read CSV files with a header row.
 
     ``schema`` skips the typing pass. Quoted fields with line breaks are found by
-    the pass that checks the encoding (or told by ``multi_line``); then each file is
-    one split, so many files stay the unit of parallel reading. A row with more fields
+    the pass that checks the encoding (or told by ``multi_line``); then the records are put
+    together first, all splits of a file in parallel (see :mod:`csv_records`). A row with more fields
     than the header is an error, as nothing says where its fields belong.
     """
     if encoding is None or multi_line is None:
         found = detect_layout(spark, path)
         encoding, multi_line = encoding or found[0], found[1] if multi_line is None else multi_line
     enc = encoding
-    names = header_names(spark, path, enc)
+    whole = records(spark, path, enc) if multi_line else None
+    if whole is None:
+        names = header_names(spark, path, enc)
+    else:
+        header = whole.where("first").orderBy("text").limit(1).collect()  # the files of a table share one header
+        if not header:
+            raise ValueError("No columns to parse from file")
+        names = unique_names(header[0]["text"])
     extra = "_more"
     while extra in names:
         extra += "_"
     text_schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, extra]])
-    raw = (spark.read.option("header", True).option("enforceSchema", True)
-           .option("encoding", enc).option("multiLine", multi_line)
-           .option("quote", '"').option("escape", '"').option("nullValue", "\u0000")
-           .option("emptyValue", "").schema(text_schema).csv(path))
+    options = {"quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": "", "multiLine": "true" if multi_line else "false"}
+    if whole is None:
+        raw = spark.read.options(**options).option("header", True).option("enforceSchema", True).option(
+            "encoding", enc).schema(text_schema).csv(path)
+    else:
+        fields = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in text_schema)
+        raw = whole.where("NOT first").select(F.from_csv("text", fields, options).alias("r")).select("r.*")
     nas = list(na_tokens)
     too_long = F.raise_error(F.lit("CSV row has more fields than the header")).cast("string")
     raw = raw.withColumn(names[0], F.when(F.coalesce(F.col(f"`{extra}`"), F.lit("")) != "", too_long)

@@ -1,10 +1,13 @@
+import csv
 import datetime as dt
 import os
+import random
 import tempfile
 
 import pytest
 
-from tablelens.sources import jdbc, memory, tables
+from tablelens.operators import retention as RT
+from tablelens.sources import csv_records, jdbc, memory, tables
 from tablelens.sources.csv import read_csv, write_table
 
 
@@ -141,3 +144,77 @@ def test_csv_row_with_more_fields_is_an_error(spark, tmp_path):
 def test_memory_strips_lines_too(spark, tmp_path):
     memory.append_memory(spark, str(tmp_path / "m"), "j", "f", "\n\t some insight \n")
     assert spark.read.parquet(str(tmp_path / "m")).first().insights_summary == "some insight"
+
+
+def csv_file(path, rows):
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        csv.writer(f, lineterminator="\r\n" if path.endswith("r.csv") else "\n").writerows(rows)
+
+
+@pytest.mark.parametrize("name", ["n.csv", "r.csv"])
+def test_csv_with_line_breaks_in_many_splits(spark, tmp_path, name):
+    """Records, and fields longer than several splits, across split ends; one file, many tasks."""
+    rng = random.Random(9)
+    texts = ["plain", "two\nlines", 'say "yes",\n"no"', "\n\n", "a" * 300 + "\n" + "b" * 900, 'q"', '"', ",", "x\r\ny", " "]
+    rows = [(str(i), rng.choice(texts) + f" {i}", "end") for i in range(400)]
+    p = str(tmp_path / name)
+    csv_file(p, [("id", "the\ntext", "last"), *rows])
+    conf = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = read_csv(spark, p)
+        assert got.columns == ["id", "the\ntext", "last"]
+        assert sorted(map(tuple, got.collect())) == sorted((int(i), t, e) for i, t, e in rows)
+        assert csv_records._lines(spark, p, "UTF-8").rdd.getNumPartitions() > 50
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, read_csv(spark, p).collect())) == sorted((int(i), t, e) for i, t, e in rows)
+
+
+def test_csv_records_of_many_files_and_encodings(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_bytes(("\n\nk,v\n%d,\"é\n%d\"\n\n" % (i, i)).encode("latin-1"))
+    got = read_csv(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(i, f"é\n{i}") for i in range(3)]
+    (tmp_path / "open").mkdir()
+    (tmp_path / "open" / "o.csv").write_text('k,v\n1,"never\nclosed\n')
+    assert csv_records.records(spark, str(tmp_path / "open")).count() == 2
+
+
+def test_repeated_appends_leave_one_entry(spark, tmp_path):
+    path = str(tmp_path / "m")
+    for n in range(3):
+        memory.append_memory(spark, path, "job1", "fp1", " same insight ", dt.datetime(2024, 1, 1 + n))
+    memory.append_memory(spark, path, "job1", "fp1", "other insight", dt.datetime(2024, 2, 1))
+    memory.append_memory(spark, path, "job1", "fp2", "same insight", dt.datetime(2024, 2, 2))
+    held = memory.read_memory(spark, path)
+    assert sorted((r.schema_fingerprint, r.insights_summary, r.created_at.day) for r in held.collect()) == [
+        ("fp1", "other insight", 1), ("fp1", "same insight", 1), ("fp2", "same insight", 2)]
+    recent = memory.recent_memory(held, "fp1", 3)
+    assert [r.insight for r in recent.collect()] == [
+        "Historical Insight 1: other insight", "Historical Insight 2: same insight"]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(schema_fingerprint" in plan
+
+
+def test_table_by_day(spark, tmp_path):
+    path, schema = str(tmp_path / "d"), "id int, ts timestamp_ntz"
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(hours=7 * i)) for i in range(40)] + [(99, None)]
+    RT.write_by_day(spark.createDataFrame(rows, schema), path, "ts")
+    RT.write_by_day(spark.createDataFrame(rows[8:16], schema), path, "ts")  # again: part of days 3 to 5
+    days = {t.date() for _, t in rows[8:16]}
+    want = [r for r in rows if r[1] is None or r[1].date() not in days] + rows[8:16]
+    table = RT.read_by_day(spark, path, schema)
+    assert sorted(r.id for r in table.collect()) == sorted(i for i, _ in want)
+    now = t0 + dt.timedelta(hours=300)
+    kept = RT.retained_days(table, "ts", 72, now)
+    cut = now - dt.timedelta(hours=72)
+    assert sorted(r.id for r in kept.collect()) == sorted(i for i, t in want if t is None or t >= cut)
+    assert "PartitionFilters: [(isnull(_day" in kept._jdf.queryExecution().executedPlan().toString()
+    gone = {r.day: r.rows for r in RT.expired_days(table, 72, now).collect()}
+    assert gone == {d: sum(t is not None and t.date() == d for _, t in want) for d in {t.date() for _, t in want if t}
+                    if d < cut.date()}
