@@ -20,6 +20,7 @@ from .common import is_identifier, long_rows, message_frame, require_columns
 from .quantiles import column_quantiles, quantile_frame
 
 DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
+WIDE = 40  # beyond so many columns statistics are taken over rows (column, value)
 FEW_COLUMNS = 10  # up to so many columns one aggregation holds all pairs
 GROUP_AGGS = ("mean", "sum", "min", "max", "median", "count")
 
@@ -50,6 +51,12 @@ def describe_numeric(df: DataFrame, columns=None, method: str = "exact") -> Data
     num = [c for c in cols if is_numeric(field(df, c).dataType)]
     if not num:
         return describe_categorical(df, cols)
+    q = column_quantiles(df, num, [0.25, 0.5, 0.75], method)
+    quart = q.select("column_name", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("stat"), F.col("q")[i].alias("value"))
+        for i, s in enumerate(("25%", "50%", "75%"))])))
+    if len(num) > WIDE:
+        return _moments_by_rows(df, num).unionByName(quart)
     exprs = []
     for i, c in enumerate(num):
         x = as_double(df, c)
@@ -67,13 +74,23 @@ def describe_numeric(df: DataFrame, columns=None, method: str = "exact") -> Data
             rows.append((c, stat))
             vals.append(F.col(v).cast("double"))
     moments = long_rows(agg, rows, vals, ["column_name", "stat"], "value")
-    q = column_quantiles(df, num, [0.25, 0.5, 0.75], method)
-    quart = q.select("column_name", F.inline(F.array(*[
-        F.struct(F.lit(s).alias("stat"), F.col("q")[i].alias("value"))
-        for i, s in enumerate(("25%", "50%", "75%"))])))
     return moments.unionByName(quart)
 
 
+def _moments_by_rows(df: DataFrame, num: list[str]) -> DataFrame:
+    """Count, mean, std, min and max of many columns, taken as rows (column, value): generated code
+    doesn't grow with the columns."""
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_k"), as_double(df, c).alias("x")) for i, c in enumerate(num)])))
+    stats = {"count": F.count("x").cast("double"), "mean": F.avg("x"), "std": F.stddev_samp("x"),
+             "min": F.min("x"), "max": F.max("x")}
+    each = long.groupBy("_k").agg(*[v.alias(s) for s, v in stats.items()])
+    names = df.sparkSession.createDataFrame(list(enumerate(num)), "_k int, column_name string")
+    found = names.join(F.broadcast(each), "_k", "left").withColumn("count", F.coalesce("count", F.lit(0.0)))
+    return found.select("column_name", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in stats])))
+
+
 def frequency_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_name, value, n)``: non-null value counts of several columns in
     one shuffle. Values are compared as text, whatever their length; NaN counts
@@ -142,6 +159,12 @@ def correlation_matrix(df: DataFrame, columns=None, max_columns: int | None = No
         return message_frame(df.sparkSession, "Not enough numeric columns for correlation")
     if len(cols) > FEW_COLUMNS:
         return _by_blocks(df, cols)
+    exprs, rows, vals = correlation_parts(df, cols)
+    return long_rows(df.agg(*exprs), rows, vals, ["x", "y"], "r")
+
+
+def correlation_parts(df: DataFrame, cols: list[str]) -> tuple[list, list[tuple[str, str]], list]:
+    """Aggregates over the table, and the pairs and their correlations made from the results."""
     xs = {c: as_double(df, c) for c in cols}
     exprs, keys = [], {}
     for i, a in enumerate(cols):
@@ -149,7 +172,6 @@ def correlation_matrix(df: DataFrame, columns=None, max_columns: int | None = No
         for j in range(i + 1, len(cols)):
             keys[(i, j)] = f"r{i}_{j}"
             exprs.append(safe_corr(xs[a], xs[cols[j]]).alias(keys[(i, j)]))
-    agg = df.agg(*exprs)
     rows, vals = [], []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -158,7 +180,7 @@ def correlation_matrix(df: DataFrame, columns=None, max_columns: int | None = No
                 vals.append(F.when((F.col(f"d{i}") > 0) & ~F.isnan(f"d{i}"), F.lit(1.0)))
             else:
                 vals.append(F.nanvl(F.col(keys[(min(i, j), max(i, j))]), F.lit(None).cast("double")))
-    return long_rows(agg, rows, [v.cast("double") for v in vals], ["x", "y"], "r")
+    return exprs, rows, [v.cast("double") for v in vals]
 
 
 def _by_blocks(df: DataFrame, cols: list[str]) -> DataFrame:

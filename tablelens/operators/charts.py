@@ -78,18 +78,26 @@ def heatmap(df: DataFrame, columns=None) -> DataFrame:
 def anomaly_bar(df: DataFrame, column: str, z_threshold: float = 3.0) -> DataFrame:
     """``(stat, value)`` for min / mean / max of the anomalies; no rows when
     there are none."""
-    a = anomaly_detection(df, column, z_threshold)
-    if "count" not in a.columns:
-        return a
+    return anomaly_rows(anomaly_detection(df, column, z_threshold))
+
+
+def anomaly_rows(found: DataFrame) -> DataFrame:
+    """The bars of a result of ``anomaly_detection`` (its message, if it has no more)."""
+    if "count" not in found.columns:
+        return found
     stats = [("Min Anomaly", "min_anomaly"), ("Mean Anomaly", "mean_anomaly"),
              ("Max Anomaly", "max_anomaly")]
-    return a.where(F.col("count") > 0).select(F.inline(F.array(*[
+    return found.where(F.col("count") > 0).select(F.inline(F.array(*[
         F.struct(F.lit(s).alias("stat"), F.col(c).alias("value")) for s, c in stats])))
 
 
 def trend_line(df: DataFrame, date_column: str, value_column: str, freq: str = "M") -> DataFrame:
     """``(x, y)`` points of the period means; no rows when there are none."""
-    t = time_series_trend(df, date_column, value_column, freq)
-    if "period" not in t.columns:
-        return t
-    return t.select(F.col("period").alias("x"), F.col("mean").alias("y"))
+    return trend_points(time_series_trend(df, date_column, value_column, freq))
+
+
+def trend_points(found: DataFrame) -> DataFrame:
+    """The points of a result of ``time_series_trend`` (its message, if it has no more)."""
+    if "period" not in found.columns:
+        return found
+    return found.select(F.col("period").alias("x"), F.col("mean").alias("y"))

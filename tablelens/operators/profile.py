@@ -27,7 +27,7 @@ from ..functions.columns import (CATEGORICAL_CLASS, DATETIME_CLASS, DATETIME_LIK
                                  NUMERIC_CLASS, OTHER_CLASS, as_double, clean_value, is_datetime,
                                  is_missing, is_numeric, qcol, type_name)
 from ..functions.dates import DATETIME_FORMATS, parse_datetime
-from .analysis import frequency_table
+from .analysis import WIDE, frequency_table
 from .quantiles import column_quantiles, exact_quantiles
 
 DATETIME_RATIO = 0.8
@@ -45,12 +45,9 @@ def schema_class(dt: T.DataType) -> str | None:
     return OTHER_CLASS
 
 
-def _stats_frame(df: DataFrame, quantile_method: str = "exact",
-                 approx_distinct: bool = False) -> DataFrame:
-    """Scan 1: one row per column with every statistic that needs no shuffle
-    of values (all columns share one aggregation). The median is added here
-    only for the one-pass methods; the exact one comes from the frequency
-    table."""
+def stats_parts(df: DataFrame, approx_distinct: bool = False) -> tuple[list[Column], list[Column]]:
+    """Aggregates over the table, and one struct per column made from their results: every
+    statistic that needs no shuffle of values."""
     exprs: list[Column] = [F.count(F.lit(1)).alias("n_rows")]
     rows = []
     for i, f in enumerate(df.schema.fields):
@@ -83,12 +80,49 @@ def _stats_frame(df: DataFrame, quantile_method: str = "exact",
             var.cast("double").alias("variance"), lo.cast("double").alias("min"),
             hi.cast("double").alias("max"),
             dlo.cast("timestamp_ntz").alias("dt_min"), dhi.cast("timestamp_ntz").alias("dt_max")))
-    agg = df.agg(*exprs)
+    return exprs, rows
+
+
+def stats_rows(agg: DataFrame, rows: list[Column]) -> DataFrame:
+    """The one aggregated row as one row per column."""
     if not rows:
         return agg.select(F.col("n_rows")).where(F.lit(False))
     return agg.select("n_rows", F.inline(F.array(*rows)))
 
 
+def _stats_frame(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
+    """Scan 1: one row per column (all columns share one aggregation)."""
+    if len(df.columns) > WIDE:
+        return _stats_by_rows(df, approx_distinct)
+    exprs, rows = stats_parts(df, approx_distinct)
+    return stats_rows(df.agg(*exprs), rows)
+
+
+def _stats_by_rows(df: DataFrame, approx_distinct: bool) -> DataFrame:
+    """The same of many columns, taken as rows (column, value): generated code doesn't grow with the columns."""
+    none, never = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
+    items, names = [], []
+    for i, f in enumerate(df.schema.fields):
+        base = schema_class(f.dataType)
+        text = clean_value(df, f.name).cast("string") if approx_distinct and base != OTHER_CLASS else F.lit(None).cast("string")
+        items.append(F.struct(
+            F.lit(i).alias("position"), is_missing(df, f.name).alias("gap"),
+            (as_double(df, f.name) if base == NUMERIC_CLASS else none).alias("x"),
+            (qcol(f.name).cast("timestamp_ntz") if base == DATETIME_CLASS else never).alias("t"), text.alias("text")))
+        names.append((f.name, i, type_name(f.dataType), base))
+    each = df.select(F.inline(F.array(*items))).groupBy("position").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("gap").alias("num_missing"), F.approx_count_distinct("text").alias("u"),
+        F.avg("x").alias("mean"), F.var_samp("x").alias("variance"), F.min("x").alias("min"), F.max("x").alias("max"),
+        F.min("t").alias("dt_min"), F.max("t").alias("dt_max"))
+    columns = df.sparkSession.createDataFrame(names, "column_name string, position int, type string, base_class string")
+    unique = F.when(F.coalesce("base_class", F.lit("")) != OTHER_CLASS, F.col("u")) if approx_distinct else F.lit(None)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return columns.join(F.broadcast(each), "position", "left").select(
+        zero(F.col("n")).alias("n_rows"), "column_name", "position", "type", "base_class",
+        zero(F.col("num_missing")).alias("num_missing"), unique.cast("bigint").alias("approx_unique"), "mean",
+        none.alias("median"), "variance", "min", "max", "dt_min", "dt_max")
+
+
 def _text_facts(freq: DataFrame, formats=DATETIME_FORMATS) -> DataFrame:
     """``(column_name, num_unique_t, c<k>, pl<k>, ph<k>)``: distinct texts, and for format k the rows
     that parse and their bounds. Each *distinct* value is parsed, once per format."""
@@ -139,9 +173,11 @@ def _typed(df: DataFrame, name: str) -> Column:
     return F.when(c.isNotNull(), F.struct(x.alias("x"), exact.alias("exact"), text.alias("text")))
 
 
-def _number_frequency(df: DataFrame, positions: list[int]) -> DataFrame:
+def number_frequency(df: DataFrame) -> DataFrame:
     """``(position, x, exact, text, n)`` over numeric and datetime columns."""
     names = df.columns
+    positions = [i for i, f in enumerate(df.schema.fields)
+                 if schema_class(f.dataType) in (NUMERIC_CLASS, DATETIME_CLASS)]
     long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), _typed(df, names[i]).alias("v"))
                                         for i in positions])))
     return long.where(F.col("v").isNotNull()).groupBy("position", "v.x", "v.exact", "v.text").agg(
@@ -184,7 +220,8 @@ def top_values(df: DataFrame, top_k: int = TOP_K) -> DataFrame:
 
 
 def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
-            quantile_method: str = "exact") -> DataFrame:
+            quantile_method: str = "exact", stats: DataFrame | None = None, numbers: DataFrame | None = None,
+            texts: DataFrame | None = None) -> DataFrame:
     """Full profile, one row per column.
 
     Columns: column_name, position, type, class (numeric / datetime /
@@ -198,16 +235,19 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
     table giving distinct counts, top values and datetime detection. Each
     piece has one row per column and is joined by broadcast (size bounded
     by the schema width). ``approx_distinct`` replaces exact distinct counts
-    by HyperLogLog sketches; ``quantile_method`` as in :mod:`quantiles`.
+    by HyperLogLog sketches; ``quantile_method`` as in :mod:`quantiles`. The three pieces
+    can be given (``stats``, ``numbers``, ``texts``), as stored by :mod:`facts`.
     """
     fields = df.schema.fields
     num_pos = [i for i, f in enumerate(fields) if schema_class(f.dataType) == NUMERIC_CLASS]
     dt_pos = [i for i, f in enumerate(fields) if schema_class(f.dataType) == DATETIME_CLASS]
     names = df.columns
     text_cols = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    out = _stats_frame(df, quantile_method, approx_distinct)
+    out = _stats_frame(df, approx_distinct) if stats is None else stats
 
-    shared = _number_frequency(df, num_pos + dt_pos) if (num_pos or dt_pos) and not approx_distinct else None
+    shared = numbers
+    if shared is None and (num_pos or dt_pos) and not approx_distinct:
+        shared = number_frequency(df)
     if shared is not None:
         out = out.join(F.broadcast(_distinct_numbers(shared)), "position", "left")
     if num_pos:
@@ -219,7 +259,7 @@ def profile(df: DataFrame, top_k: int = TOP_K, approx_distinct: bool = False,
                 F.col("q")[0].alias("median_q"))
         out = out.join(F.broadcast(med), "position", "left").withColumn("median", F.coalesce("median", "median_q"))
     if text_cols:
-        tf = frequency_table(df, text_cols)
+        tf = frequency_table(df, text_cols) if texts is None else texts
         facts = _text_facts(tf)
         if approx_distinct:
             facts = facts.drop("num_unique_t")
@@ -295,7 +335,7 @@ def column_stats(df: DataFrame) -> DataFrame:
     """Scan-1 statistics only (no frequency tables, so no median and no
     distinct counts): one row per column with missing counts, numeric
     moments and bounds, datetime bounds."""
-    return _stats_frame(df, "exact")
+    return _stats_frame(df)
 
 
 def unique_counts(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -309,7 +349,7 @@ def unique_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     out = df.sparkSession.createDataFrame(names, "column_name string, position int, _other boolean")
     found = F.lit(None).cast("bigint")
     if numbers:
-        out = out.join(F.broadcast(_distinct_numbers(_number_frequency(df, numbers))), "position", "left")
+        out = out.join(F.broadcast(_distinct_numbers(number_frequency(df))), "position", "left")
         found = F.coalesce(found, "num_unique_n")
     if texts:
         each = frequency_table(df, texts).groupBy("column_name").agg(F.count_if(F.col("n") > 0).alias("num_unique_t"))

@@ -950,6 +950,21 @@ def q_retention_apply(spark, sf_dir):
     return RT.apply_retention(table(spark, sf_dir, "events"), "ts", RETENTION_HOURS)
 
 
+@register("retention_by_day", f"""
+SELECT event_id, ts, user_id, event_type, value, props FROM events
+WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL {RETENTION_HOURS} HOUR""", ["value"])
+def q_retention_by_day(spark, sf_dir):
+    """The events in a table by day, its last day written again; expired days are not read."""
+    from ..session import shared_path
+    events = table(spark, sf_dir, "events")
+    path = shared_path(spark, "events-by-day")
+    newest = events.agg(F.max("ts")).first()[0]
+    RT.write_by_day(events, path, "ts")
+    RT.write_by_day(events.where(F.to_date("ts") == F.lit(newest.date())), path, "ts")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields)
+    return rounded(RT.retained_days(RT.read_by_day(spark, path, schema), "ts", RETENTION_HOURS, newest))
+
+
 @register("rank_items", f"""
 WITH i AS (
   SELECT d.doc_id, regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') AS text,
@@ -981,7 +996,30 @@ def q_rank_items(spark, sf_dir):
 # W1-W4 plans and the report
 # --------------------------------------------------------------------------
 
-@register("default_plan")
+_NUMBER_SQL = "('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT', 'DOUBLE', 'FLOAT', 'HUGEINT')"
+
+
+def _default_plan_sql(tab: str, texts: list[str]) -> str:
+    """The proposed plan of a table that has dates, numbers and texts that aren't dates."""
+    category = "CASE " + " ".join(f"WHEN (SELECT avg({_ISO_OK.format(c=c)}) FROM {tab}) < 0.8 THEN '{c}'" for c in texts) + " END"
+    return f"""
+WITH c AS (SELECT * FROM (DESCRIBE {tab})),
+n AS (SELECT list(column_name) AS num FROM c WHERE column_type IN {_NUMBER_SQL}),
+d AS (SELECT list(column_name) AS dates FROM c WHERE column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE'),
+f AS (SELECT num, num[1] AS first, dates[1] AS date, {category} AS cat,
+        '{{"columns": ["' || array_to_string(num, '", "') || '"]}}' AS columns FROM n, d)
+SELECT unnest([1, 2, 3, 4, 5, 6])::INTEGER AS step,
+  unnest(['missing_values', 'describe_numeric', 'anomaly_detection', 'value_counts', 'correlation_matrix',
+          'time_series_trend']) AS operation,
+  unnest(['Assess missing values', 'Summarize numeric distributions', 'Detect anomalies in key numeric features',
+          'Category distribution for ' || cat, 'Compute correlations between numeric features',
+          'Analyze time-series trend']) AS task,
+  unnest(['{{}}', columns, '{{"column": "' || first || '", "z_threshold": 3.0}}', '{{"column": "' || cat || '", "top_n": 10}}',
+          columns, '{{"date_column": "' || date || '", "freq": "M", "value_column": "' || first || '"}}']) AS params
+FROM f"""
+
+
+@register("default_plan", _default_plan_sql("lineitem", ["l_returnflag", "l_linestatus"]))
 def q_default_plan(spark, sf_dir):
     import json
     from . import plan as W
@@ -992,20 +1030,101 @@ def q_default_plan(spark, sf_dir):
          for i, s in enumerate(steps)], "step int, operation string, task string, params string")
 
 
-@register("run_plan")
+def parsed_rows(rows: DataFrame) -> DataFrame:
+    """Result rows as ``(result, label, field, number)``: one row per number in a result's row, labelled
+    by the row's texts in the order of their names."""
+    fields = F.map_entries(F.from_json("row_json", "map<string,string>"))
+    is_number = lambda e: e["value"].rlike(r"^-?[0-9.]+([eE][-+]?[0-9]+)?$")
+    texts = F.array_sort(F.filter(fields, lambda e: e["value"].isNotNull() & ~is_number(e)))
+    label = F.array_join(F.transform(texts, lambda e: e["value"]), "|")
+    numbers = F.filter(fields, is_number)
+    return rows.select("result", label.alias("label"), F.explode(numbers).alias("e")).select(
+        "result", "label", F.col("e.key").alias("field"), F.col("e.value").cast("double").alias("number"))
+
+
+def _parsed_sql(result: str, sql: str, texts: list[str], numbers: list[str]) -> str:
+    label = "concat_ws('|', " + ", ".join(texts) + ")" if texts else "''"
+    return _union([f"SELECT '{result}' AS result, {label} AS label, '{f}' AS field, \"{f}\"::DOUBLE AS number "
+                   f"FROM ({sql}) WHERE \"{f}\" IS NOT NULL" for f in numbers])
+
+
+def _missing_sql(tab: str, cols: list[str]) -> str:
+    return _union([f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS missing FROM {tab}" for c in cols])
+
+
+def _counts_sql(tab: str, col: str) -> str:
+    return (f"SELECT {col} AS value, count(*) AS count FROM {tab} WHERE {col} IS NOT NULL GROUP BY 1 "
+            f"ORDER BY count DESC, value LIMIT 10")
+
+
+def _month_sql(tab: str, date: str, value: str, names: tuple[str, str] = ("period", "mean")) -> str:
+    return (f"SELECT strftime(last_day({date}), '%Y-%m-%dT00:00:00.000') AS {names[0]}, avg({value}) AS {names[1]} "
+            f"FROM {tab} WHERE {date} IS NOT NULL AND {value} IS NOT NULL GROUP BY 1")
+
+
+_HITS = ["threshold", "count", "percentage", "min_anomaly", "max_anomaly", "mean_anomaly", "std_anomaly"]
+_LINEITEM_COLS = [c for c, _ in LINEITEM_SCHEMA]
+
+
+@register("run_plan", _union([
+    _parsed_sql("step_1_missing_values", _missing_sql("lineitem", _LINEITEM_COLS), ["column_name"], ["missing"]),
+    _parsed_sql("step_2_describe_numeric", _describe_sql("lineitem", LINEITEM_NUMERIC), ["column_name", "stat"], ["value"]),
+    _parsed_sql("step_3_anomaly_detection", _anomaly_sql("lineitem", "l_orderkey", 3.0), ["column_name"], _HITS),
+    _parsed_sql("step_4_value_counts", _counts_sql("lineitem", "l_returnflag"), ["value"], ["count"]),
+    _parsed_sql("step_5_correlation_matrix", _corr_sql("lineitem", LINEITEM_NUMERIC), ["x", "y"], ["r"]),
+    _parsed_sql("step_6_time_series_trend", _month_sql("lineitem", "l_shipdate", "l_orderkey"), ["period"], ["mean"]),
+    _parsed_sql("step_7_groupby_agg", "SELECT l_returnflag, median(l_extendedprice) AS median FROM lineitem "
+                "WHERE l_returnflag IS NOT NULL GROUP BY 1", ["l_returnflag"], ["median"])]), ["number"])
 def q_run_plan(spark, sf_dir):
     from . import plan as W
     li = table(spark, sf_dir, "lineitem")
     steps = W.default_plan(W.column_classes(li))
     steps.append({"task": "Mean price by flag", "operation": "groupby_agg",
                   "params": {"by": "l_returnflag", "target": "l_extendedprice", "agg": "median"}})
-    return W.result_rows(W.run_plan(li, W.validate_plan(steps)))
+    return rounded(parsed_rows(W.result_rows(W.run_plan(li, W.validate_plan(steps)))))
 
 
-@register("report_rows")
-def q_report_rows(spark, sf_dir):
+def report(spark, sf_dir) -> DataFrame:
+    """Everything that ``analyze`` finds in ``lineitem`` as ``(result, row_json)``."""
     from . import plan as W
-    return W.result_rows(W.analyze(table(spark, sf_dir, "orders")))
+    return W.result_rows(W.analyze(table(spark, sf_dir, "lineitem")))
+
+
+_HIST_SQL = """
+SELECT b.bucket, lo + (b.bucket - 1) * (hi - lo) / 10 AS lower,
+  CASE WHEN b.bucket = 10 THEN hi ELSE lo + b.bucket * (hi - lo) / 10 END AS upper,
+  (SELECT count(*) FROM lineitem WHERE least(floor((l_orderkey - lo) / (hi - lo) * 10) + 1, 10) = b.bucket) AS count
+FROM (SELECT unnest(range(1, 11)) AS bucket) b, (SELECT min(l_orderkey)::DOUBLE AS lo, max(l_orderkey)::DOUBLE AS hi FROM lineitem)"""
+_BOX_SQL = """
+WITH q AS (SELECT quantile_cont(l_orderkey, [0.25, 0.5, 0.75]) AS q FROM lineitem),
+w AS (SELECT q[1] AS q1, q[2] AS median, q[3] AS q3, q[1] - 1.5 * (q[3] - q[1]) AS lf, q[3] + 1.5 * (q[3] - q[1]) AS uf FROM q)
+SELECT 'l_orderkey' AS column_name, count(*) AS count, min(l_orderkey) AS min, max(q1) AS q1, max(median) AS median,
+  max(q3) AS q3, max(l_orderkey) AS max, min(l_orderkey) FILTER (l_orderkey BETWEEN lf AND uf) AS whisker_low,
+  max(l_orderkey) FILTER (l_orderkey BETWEEN lf AND uf) AS whisker_high,
+  count(*) FILTER (NOT l_orderkey BETWEEN lf AND uf) AS outliers FROM lineitem, w"""
+_REPORT_SQL = [
+    _parsed_sql("step_1_missing_values", _missing_sql("lineitem", _LINEITEM_COLS), ["column_name"], ["missing"]),
+    _parsed_sql("step_2_describe_numeric", _describe_sql("lineitem", LINEITEM_NUMERIC), ["column_name", "stat"], ["value"]),
+    _parsed_sql("step_3_anomaly_detection", _anomaly_sql("lineitem", "l_orderkey", 3.0), ["column_name"], _HITS),
+    _parsed_sql("step_4_value_counts", _counts_sql("lineitem", "l_returnflag"), ["value"], ["count"]),
+    _parsed_sql("step_5_correlation_matrix", _corr_sql("lineitem", LINEITEM_NUMERIC), ["x", "y"], ["r"]),
+    _parsed_sql("step_6_time_series_trend", _month_sql("lineitem", "l_shipdate", "l_orderkey"), ["period"], ["mean"]),
+    _parsed_sql("chart_histogram_numeric", _HIST_SQL, [], ["bucket", "lower", "upper", "count"]),
+    _parsed_sql("chart_box_numeric", _BOX_SQL, ["column_name"],
+                ["count", "min", "q1", "median", "q3", "max", "whisker_low", "whisker_high", "outliers"]),
+    _parsed_sql("chart_bar_category", _counts_sql("lineitem", "l_returnflag"), ["value"], ["count"]),
+    _parsed_sql("chart_correlation_heatmap", _corr_sql("lineitem", LINEITEM_NUMERIC), ["x", "y"], ["r"]),
+    _parsed_sql("chart_anomaly_summary", _union([
+        f"SELECT '{s} Anomaly' AS stat, {c}_anomaly AS value FROM ({_anomaly_sql('lineitem', 'l_orderkey', 3.0)}) WHERE count > 0"
+        for s, c in (("Min", "min"), ("Mean", "mean"), ("Max", "max"))]), ["stat"], ["value"]),
+    _parsed_sql("chart_line_timeseries", _month_sql("lineitem", "l_shipdate", "l_orderkey", ("x", "y")), ["x"], ["y"]),
+]
+
+
+@register("report_rows", _union(_REPORT_SQL), ["number"])
+def q_report_rows(spark, sf_dir):
+    """The whole report but its profile, which is a query of its own."""
+    return rounded(parsed_rows(report(spark, sf_dir).where("result <> 'profile'")))
 
 
 # --------------------------------------------------------------------------
@@ -1062,10 +1181,24 @@ def q_recent_topk(spark, sf_dir):
                                  tiebreak="event_id"))
 
 
+@register("memory_append", """
+SELECT 'user' || user_id AS job_id, event_type AS schema_fingerprint, props AS insights_summary, min(ts) AS created_at
+FROM events GROUP BY ALL""")
+def q_memory_append(spark, sf_dir):
+    """Every event's note appended to the memory, twice; each is stored once."""
+    from ..session import shared_path
+    from ..sources.memory import append_memories, read_memory
+    notes = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("user"), F.col("user_id")).alias("job_id"), F.col("event_type").alias("schema_fingerprint"),
+        F.col("props").alias("insights_summary"), F.col("ts").alias("created_at"))
+    path = shared_path(spark, "memory")
+    append_memories(notes, path)
+    append_memories(notes, path)
+    return read_memory(spark, path).drop("entry_key")
+
+
 @register("history_topk", "SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 20", ["value"])
 def q_history_topk(spark, sf_dir):
     from ..sources.memory import history
     return rounded(history(table(spark, sf_dir, "events"), 20, ts="ts", tiebreak="event_id"))
 
-
-FLAGSHIP = "profile"
