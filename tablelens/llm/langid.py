@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from tablelens.llm.common import reaching, table, text_batches, written
 
-TRAIN_ROWS = 1000  # labelled rows for each language, at most about so many
+TRAIN_ROWS = 2000  # labelled rows for each language, at most about so many
 ROUNDS = 3
 SMOOTHING = 500.0
 LONGEST = 48
 CACHED_WORDS = 300_000
+RAISE = 1e60
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -67,6 +68,40 @@ def _pieces(path: str | None) -> tuple[dict[str, int], int]:
     return _vocabularies[path]
 
 
+# an odd number whose powers, modulo 2^64, weigh the characters of a string
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _running(codes: np.ndarray) -> np.ndarray:
+    """For strings of one length (rows of characters) the hashes of all their beginnings."""
+    upto = np.zeros((codes.shape[1] + 1, codes.shape[0]), np.uint64)
+    for k in range(codes.shape[1]):
+        upto[k + 1] = upto[k] * _BASE + codes[:, k]
+    return upto
+
+
+def _characters(strings: list[str], length: int) -> np.ndarray:
+    return np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length).astype(np.uint64)
+
+
+_tables: dict[str | None, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def _hashed(path: str | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length the pieces' 64-bit hashes, sorted, and their numbers."""
+    if path not in _tables:
+        by = defaultdict(list)
+        for piece in _pieces(path)[0]:
+            by[len(piece)].append(piece)
+        found = {}
+        for length, own in by.items():
+            hashes = _running(_characters(own, length))[-1]
+            order = np.argsort(hashes)
+            found[length] = hashes[order], np.array([_pieces(path)[0][x] for x in own])[order]
+        _tables[path] = found
+    return _tables[path]
+
+
 def lattice(word: str, pieces: dict[str, int], longest: int) -> list[list[tuple[int, int]]]:
     """For each end in the marked word the (start, piece number) of every piece that ends there."""
     word = "▁" + word
@@ -98,7 +133,7 @@ def expected(ends: list[list[tuple[int, int]]], p: list[float], times: float, in
     for j in range(len(ends) - 1, 0, -1):
         for i, n in ends[j]:
             after[i] += p[n] * after[j]
-    if before[-1] > 0:
+    if before[-1] > 1e-290:  # below that the shares are no numbers any more
         share = times / before[-1]
         for j in range(1, len(ends)):
             for i, n in ends[j]:
@@ -115,27 +150,42 @@ class Model:
     def score_words(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """The words' log-probabilities, words x languages, by the forward algorithm.
 
-        Words of one length go through it together, all languages at once. ``p`` is pieces
-        x languages with a last row of zeros, which stands for "no such piece".
+        Words of one length go through it together, all languages at once; their pieces are found by
+        64-bit hashes of the spans. ``p`` is pieces
+        x languages with a last row of zeros, which stands for "no such piece". Sums that become
+        very small are raised, with those that later places still read, and the raise is taken off
+        the logarithm: no length of word underflows.
         """
-        pieces, longest = _pieces(self.path)
-        get, none = pieces.get, len(p) - 1
+        longest, none, known = _pieces(self.path)[1], len(p) - 1, _hashed(self.path)
+        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(longest, _BASE)]))
         out = np.empty((len(words), len(self.languages)))
         same = defaultdict(list)
         for k, word in enumerate(words):
             same[len(word)].append(k)
         for length, places in same.items():
+            upto = _running(_characters(["▁" + words[k] for k in places], length + 1))
             spans = [(i, j) for j in range(1, length + 2) for i in range(max(0, j - longest), j)]
-            missing = [0 if j - i == 1 else none for i, j in spans]  # 0: a character that no piece covers
-            numbers = np.array([[get(w[i:j], d) for (i, j), d in zip(spans, missing, strict=True)]
-                                for w in ("▁" + words[k] for k in places)])
+            numbers = np.empty((len(places), len(spans)), np.int64)
+            for at, (i, j) in enumerate(spans):
+                missing = 0 if j - i == 1 else none  # 0: a character that no piece covers
+                hashes, own = known.get(j - i, (None, None))
+                if hashes is None:
+                    numbers[:, at] = missing
+                    continue
+                wanted = upto[j] - upto[i] * powers[j - i]
+                near = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+                numbers[:, at] = np.where(hashes[near] == wanted, own[near], missing)
             reach = np.zeros((length + 2, len(places), len(self.languages)))
             reach[0] = 1.0
+            raised = np.zeros(reach.shape[1:])
             for at, (i, j) in enumerate(spans):
                 own = np.flatnonzero(numbers[:, at] != none)
                 if len(own):
                     reach[j, own] += reach[i, own] * p[numbers[own, at]]
-            out[places] = np.log(np.maximum(reach[-1], 1e-300))
+                if i == j - 1 and (small := reach[j] < 1 / RAISE).any():  # the last span that ends here
+                    reach[max(0, j - longest + 1):j + 1] *= np.where(small, RAISE, 1.0)
+                    raised[small] += 1
+            out[places] = np.log(reach[-1]) - raised * math.log(RAISE)
         return out
 
 

@@ -157,6 +157,22 @@ def test_words_scored_together_equal_words_scored_alone():
         assert np.allclose(row, [math.log(forward(ends, p.tolist())[-1]) for p in model.p])
 
 
+def test_long_words_of_unknown_letters():
+    """Languages whose letters differ by a factor of two are told apart at any length."""
+    import numpy as np
+
+    pieces, _ = _pieces(None)
+    p = np.full((2, len(pieces) + 1), 1e-9)
+    p[1, 0] = 2e-9
+    model = Model(["a", "b"], p, None)
+    for n in (4, 40, 48):
+        word = "ꙮ" * n
+        a, b = model.score_words([word], Scorer(model).p)[0]
+        # the mark at the beginning of a word is a piece of its own
+        assert math.isclose(b - a, n * math.log(2), rel_tol=1e-9) and math.isclose(a, (n + 1) * math.log(1e-9), rel_tol=1e-9)
+    assert Scorer(model).predict(["ꙮ" * 500])[0][0] == "b"
+
+
 def test_held_out_accuracy(spark):
     wide = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{wide}/documents.parquet")
