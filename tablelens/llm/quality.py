@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from tablelens.llm.common import SPACE, SPACE_CLASS, table
 
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 16
-TARGET_ROWS = 20_000
+BROADCAST_IDS = 200_000  # trusted ids that are broadcast, at most
+SHORT_TEXT = 1 << 12
 THRESHOLD = -0.11
 SMOOTHING = 10.0
 
@@ -31,35 +34,42 @@ def hashed_words(rows: DataFrame) -> DataFrame:
 def repeated_words(rows: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words in 3-word windows that occur twice or more in the text.
 
-    Each window becomes one number, its hash above its position (as many low bits
-    as the positions need). Sorted, equal hashes are neighbours; the flagged
-    positions in order then tell how many words their windows cover.
+    Each window is a hash and its position. Sorted, equal hashes are neighbours; the flagged
+    positions in order then tell how many words their windows cover. In texts of fewer than
+    ``SHORT_TEXT`` words the hash stands above the position in one number, 52 bits or more of it; in
+    longer ones, where positions would take bits of the hash, beside it.
     """
     tri = F.zip_with(_tail(F.col("bi"), 1, F.size("bi") - 1), _tail(F.col("uni"), 3, F.size("bi") - 1),
                      lambda a, b: F.xxhash64(a, b))
-    low = F.col("_low")
-    rows = rows.withColumn("_low", F.expr("shiftleft(1L, length(bin(n_words))) - 1"))
-    rows = rows.withColumn("_windows", F.sort_array(F.transform(
-        tri, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))))
-    n = F.size("_windows")
-    twins = F.filter(
-        F.zip_with(_tail(F.col("_windows"), 1, n - 1), _tail(F.col("_windows"), 2, n - 1),
-                   lambda a, b: F.when(a.bitwiseXOR(b).bitwiseAND(F.bitwise_not(low)) == 0,
-                                       F.array(a.bitwiseAND(low), b.bitwiseAND(low)))),
-        lambda pair: pair.isNotNull())
-    rows = rows.withColumn("_at", F.sort_array(F.array_distinct(F.flatten(twins))))
+    low, place = F.lit(SHORT_TEXT - 1).cast("long"), lambda i: i.cast("long")
+    short = F.col("n_words") < SHORT_TEXT
+    rows = rows.withColumns({
+        "_near": F.when(short, F.sort_array(F.transform(
+            tri, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(place(i))))),
+        "_far": F.when(~short, F.sort_array(F.transform(
+            tri, lambda h, i: F.struct(h.alias("h"), place(i).alias("i")))))})
+
+    def twins(windows: str, equal: Callable, at: Callable) -> Column:
+        n = F.size(windows)
+        pairs = F.filter(F.zip_with(_tail(F.col(windows), 1, n - 1), _tail(F.col(windows), 2, n - 1),
+                                    lambda a, b: F.when(equal(a, b), F.array(at(a), at(b)))), lambda x: x.isNotNull())
+        return F.sort_array(F.array_distinct(F.flatten(pairs)))
+
+    rows = rows.withColumn("_at", F.when(short, twins(
+        "_near", lambda a, b: a.bitwiseXOR(b).bitwiseAND(F.bitwise_not(low)) == 0, lambda x: x.bitwiseAND(low))).otherwise(
+        twins("_far", lambda a, b: a["h"] == b["h"], lambda x: x["i"])))
     covered = F.zip_with("_at", _tail(F.col("_at"), 2, F.size("_at")),
                          lambda a, b: F.least(F.lit(3).cast("long"), F.coalesce(b - a, F.lit(3).cast("long"))))
     return rows.withColumn(
         "n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda x, y: x + y)
-    ).drop("_low", "_windows", "_at")
+    ).drop("_near", "_far", "_at")
 
 
-def target_ids(labels: DataFrame, most: int, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
-    """Ids of at most ``most`` trusted documents, the first by a hash of the id."""
+def target_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+    """Ids of all trusted documents; broadcast if they are few enough by count, else joined as they are."""
     ids = labels.where(F.col(quality_col) == 1).select(F.col(id_col).alias("_target")).where(
         F.col("_target").isNotNull()).distinct()
-    return ids.orderBy(F.xxhash64("_target"), "_target").limit(most)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def log_ratios(docs: DataFrame, targets: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -74,7 +84,7 @@ def log_ratios(docs: DataFrame, targets: DataFrame, buckets: int = BUCKETS) -> D
     a task are shuffled. Without any trusted n-gram all weights are 0.
     """
     grams = hashed_words(docs).join(
-        F.broadcast(targets), F.col("doc_id") == F.col("_target"), "left").select(
+        targets, F.col("doc_id") == F.col("_target"), "left").select(
         F.col("_target").isNotNull().cast("long").alias("hit"),
         F.explode(F.transform(F.concat("uni", "bi"), lambda h: h.bitwiseAND(buckets - 1))).alias("bucket"))
     found = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("hit").alias("target"))
@@ -91,14 +101,13 @@ def log_ratios(docs: DataFrame, targets: DataFrame, buckets: int = BUCKETS) -> D
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
-                  buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, min_words: int = 50,
+                  buckets: int = BUCKETS, min_words: int = 50,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Judge every whole text by base counts and by how much it resembles trusted texts.
 
     The score is the mean of log(p_target / p_raw) over all hashed word unigrams
     and bigrams of the text; a text passes if it isn't below ``threshold``. The
-    raw multinomial covers all documents, the target one at most ``target_rows``
-    documents that ``labels`` calls good (first by a hash of their ids).
+    raw multinomial covers all documents, the target one all that ``labels`` calls good.
 
     Returns ``row`` (a struct of all columns of ``docs``), doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, score, base_failed and kept, one row per input row.
@@ -112,7 +121,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
                        F.struct("*").alias("row"))
     # the model, ``buckets`` numbers, as one constant array (folded once, read by index)
-    model = log_ratios(rows.drop("row"), target_ids(labels, target_rows), buckets).first()["weights"]
+    model = log_ratios(rows.drop("row"), target_ids(labels), buckets).first()["weights"]
     weights = F.split(F.lit(",".join(map(str, model))), ",").cast("array<bigint>")
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACE, "") != "")

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -68,3 +69,24 @@ def test_labelled_documents_are_told_apart(spark):
     n = {(r.quality, r.kept): r["count"] for r in rows}
     assert n.get((1, False), 0) <= 0.01 * n[1, True]
     assert n[0, False] >= 0.9 * (n[0, False] + n.get((0, True), 0))
+
+
+def test_repeated_windows_of_long_texts(spark):
+    """Positions take no bits of the hash: texts on both sides of the bound, and far beyond it."""
+    rng = random.Random(2)
+    for n in (4000, 4095, 4096, 4097, 20_000):
+        words = [f"w{rng.randrange(300)}" for _ in range(n)]
+        text = " ".join(words)
+        other = " ".join(f"u{i}" for i in range(n))
+        rows = quality_rules(spark.createDataFrame([(1, text), (2, other), (3, other + " u1 u2 u3")], "doc_id long, text string"),
+                             spark.createDataFrame([], "doc_id long, quality int")).collect()
+        assert {r.doc_id: r.n_repeat_words for r in rows} == {1: base(text)[4], 2: 0, 3: 6}
+
+
+def test_trusted_documents_by_join(spark, labels, monkeypatch):
+    """Too many ids to broadcast change nothing."""
+    from tablelens.llm import quality
+
+    want = {(r.doc_id, r.score) for r in op4_quality_rules(spark, SMALL).collect()}
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    assert {(r.doc_id, r.score) for r in op4_quality_rules(spark, SMALL).collect()} == want
