@@ -24,10 +24,16 @@ from tablelens.llm.common import SPACE, reaching, table, text_batches, written
 from tablelens.llm.cuckoo import CuckooFilter, as_words
 
 BLANK = SPACE.encode()
-SHARDS = 64
+SHARDS = 64  # at least
+SHARD_DOCS = 1 << 14  # documents for which another shard is made
 FILTER_BYTES = 64 << 20
 
 
+def shards_for(n_docs: int) -> int:
+    """A power of two, ``SHARDS`` or more."""
+    return max(SHARDS, 1 << max(0, -(-n_docs // SHARD_DOCS) - 1).bit_length())
+
+
 def line_key(line: bytes, min_chars: int) -> bytes | None:
     """Digest of the stripped, A-Z lower-cased line; None if it is too short."""
     line = line.strip(BLANK)
@@ -195,7 +201,7 @@ def drop_lines(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str,
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                min_chars: int = 40, min_docs: int = 5, shards: int = SHARDS,
+                min_chars: int = 40, min_docs: int = 5, shards: int | None = None,
                 filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Remove repeated long lines from every document but the last that holds them.
 
@@ -204,12 +210,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     loses all its lines, except in the document of the largest id that holds it.
 
     Returns a struct ``row`` with all columns of ``docs``, and kept_text, n_lines
-    (before dropping) and n_dropped. ``filter_bytes`` bounds what is broadcast.
+    (before dropping) and n_dropped. ``filter_bytes`` bounds what is broadcast; without ``shards`` their
+    number follows that of the documents, so a filter's keys stay about as many at any size.
     Cases: a null or empty text is one empty line (kept_text is empty); rows with the
     same id count as one document, and a null id as one document below all others;
     repeated rows are treated alike; lines that repeat inside one document are one
-    reference; an empty table gives no rows.
+    reference; a very long text is one row; an empty table gives no rows.
     """
+    shards = shards or shards_for(docs.count())
     refs = references(docs, id_col, text_col, min_chars, shards)
     repeated = written(counts(refs).where(F.col("n_docs") >= min_docs), "line-counts")
     built = written(filters(repeated), "line-filters")

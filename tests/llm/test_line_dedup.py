@@ -97,3 +97,10 @@ def test_cuckoo_filter():
     assert made.contains(words[:5000]).mean() < 0.002
     again = CuckooFilter.from_bytes(made.to_bytes())
     assert (again.slots == made.slots).all()
+
+
+def test_shards_follow_the_documents():
+    from tablelens.llm.line_dedup import SHARD_DOCS, SHARDS, shards_for
+
+    assert [shards_for(n) for n in (0, 1, SHARDS * SHARD_DOCS, SHARDS * SHARD_DOCS + 1, 10**9)] == [
+        SHARDS, SHARDS, SHARDS, 2 * SHARDS, 65536]
