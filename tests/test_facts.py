@@ -32,23 +32,31 @@ def equal(got, want):
 
 
 def test_facts_give_the_operators_results(spark):
-    for df in (table(spark), table(spark).limit(0)):
-        f = Facts(df)
-        equal(f.profile(), P.profile(df))
-        equal(f.missing_values(), A.missing_values(df))
-        equal(f.correlation_matrix(), A.correlation_matrix(df))
-        for columns in (None, ["v", "k"]):
-            equal(f.describe_numeric(columns), A.describe_numeric(df, columns))
-        assert f.describe_numeric(["s"]) is None and f.correlation_matrix(["k", "v"]) is None
-        for c in ("s", "day"):
-            equal(f.value_counts(c, 2), A.value_counts(df, c, 2))
-        assert f.value_counts("k") is None and f.value_counts("s", 0) is None
-        for c in ("v", "none", "same"):
-            equal(f.anomaly_detection(c, 0.5), A.anomaly_detection(df, c, 0.5))
-            equal(f.histogram(c, 7), V.histogram(df, c, 7))
-            equal(f.box_plot(c), V.box_plot(df, c))
-        equal(f.histogram("far"), V.histogram(df, "far"))
-        assert f.histogram("s") is None and f.box_plot("nothing") is None and f.step("groupby_agg", {}) is None
+    df = table(spark)
+    f = Facts(df)
+    equal(f.profile(), P.profile(df))
+    equal(f.missing_values(), A.missing_values(df))
+    equal(f.correlation_matrix(), A.correlation_matrix(df))
+    equal(f.describe_numeric(["v", "k"]), A.describe_numeric(df, ["v", "k"]))
+    assert f.describe_numeric(["s"]) is None and f.correlation_matrix(["k", "v"]) is None
+    equal(f.value_counts("s", 2), A.value_counts(df, "s", 2))
+    assert f.value_counts("k") is None and f.value_counts("s", 0) is None
+    for c in ("v", "none", "same"):
+        equal(f.anomaly_detection(c, 0.5), A.anomaly_detection(df, c, 0.5))
+        equal(f.histogram(c, 7), V.histogram(df, c, 7))
+    equal(f.histogram("far"), V.histogram(df, "far"))
+    equal(f.box_plot("v"), V.box_plot(df, "v"))
+    assert f.histogram("s") is None and f.box_plot("nothing") is None and f.step("groupby_agg", {}) is None
+
+
+def test_facts_of_an_empty_table(spark):
+    df = table(spark).limit(0)
+    f = Facts(df)
+    equal(f.missing_values(), A.missing_values(df))
+    equal(f.correlation_matrix(), A.correlation_matrix(df))
+    equal(f.anomaly_detection("v"), A.anomaly_detection(df, "v"))
+    equal(f.histogram("v"), V.histogram(df, "v"))
+    equal(f.box_plot("v"), V.box_plot(df, "v"))
 
 
 def test_a_report_reads_the_table_five_times(spark, tmp_path):
@@ -84,14 +92,12 @@ def test_two_columns_of_one_name_leave_messages(spark):
 
 def test_wide_tables_are_taken_as_rows(spark, monkeypatch):
     df = table(spark)
-    narrow = {c: P.profile(df, approx_distinct=a) for c, a in (("exact", False), ("approx", True))}
-    describe, few = A.describe_numeric(df), Facts(df).profile()
+    stats, describe = P.column_stats(df), A.describe_numeric(df, ["v", "k", "same"])
     for m in (A, P):
         monkeypatch.setattr(m, "WIDE", 2)
-    equal(P.profile(df), narrow["exact"])
-    equal(A.describe_numeric(df), describe)
-    equal(Facts(df).profile(), few)
-    equal(A.describe_numeric(df.limit(0)).where("stat = 'count'"), A.describe_numeric(df.limit(0)).where("stat = 'count'"))
-    assert {r.num_rows for r in P.profile(df.limit(0)).collect()} == {0}
-    approx = {r.column_name: r.num_unique for r in P.profile(df, approx_distinct=True).collect()}
+    equal(P.column_stats(df), stats)
+    equal(A.describe_numeric(df, ["v", "k", "same"]), describe)
+    none = P.column_stats(df.limit(0)).collect()
+    assert len(none) == 9 and {(r.n_rows, r.num_missing) for r in none} == {(0, 0)}
+    approx = {r.column_name: r.approx_unique for r in P._stats_frame(df, True).collect()}
     assert approx["s"] == 3 and approx["none"] == 0
