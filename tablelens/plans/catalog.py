@@ -910,7 +910,7 @@ def q_rate_admission_stream(spark, sf_dir):
     # twelve uneven stretches of time, written one after another; by hash one event in three
     # comes one stretch late. A micro-batch reads eight files, of whatever stretches.
     stretches, files = 12, 8
-    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    lo, hi, rows = events.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
     span = (hi - lo).total_seconds()
     share = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(lo).cast("timestamp"))) / F.lit(span * 1e6 + 1)
     stretch = F.floor(F.sqrt(share) * stretches) + (F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0).cast("int")
@@ -925,7 +925,7 @@ def q_rate_admission_stream(spark, sf_dir):
     stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files)
               .option("recursiveFileLookup", "true").parquet(f"{path}/source"))
     out = rate_admission_stream(stream, "user_id", "ts", "event_id", RATE_LIMIT, RATE_WINDOW_S,
-                                watermark=f"{late} seconds")
+                                watermark=f"{late} seconds", buckets=max(64, rows // 16_000))
     run_to_table(out, path + "/data", path + "/checkpoint")
     return spark.read.parquet(path + "/data").drop("late")
 

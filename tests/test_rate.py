@@ -182,3 +182,24 @@ def test_rows_behind_the_grace_are_absent(spark):
     frames = [frame([(1, 0), (2, 500)]), frame([(4, 505)]), frame([(3, 10), (5, 510)])]
     got, _ = run_stream(spark, frames, "60 seconds", 5, 30, grace="1 second")
     assert set(got) == {1, 2, 4, 5} and not any(late for _, late in got.values())
+
+
+def test_stream_state_is_grouped_by_buckets_of_keys(spark):
+    """A micro-batch costs a call for each bucket, not for each key; wide keys and ids with absent ones stay exact."""
+    big = 2**53
+    rows = [(big + i, None if i % 50 == 0 else big + i % 1500, T0 + dt.timedelta(seconds=i // 3)) for i in range(6000)]
+    rows += [(None, big + 7, T0 + dt.timedelta(seconds=s)) for s in (9, 9, 900)]
+    schema = "event_id long, user_id long, ts timestamp_ntz"
+    base = tempfile.mkdtemp(prefix="rate-stream-")
+    spark.createDataFrame(rows, schema).repartition(3, "event_id").write.parquet(f"{base}/src")
+    stream = spark.readStream.schema(schema).parquet(f"{base}/src")
+    # the times before the last 100 seconds are due when the first batch's watermark is known
+    out = rate_admission_stream(stream, "user_id", "ts", "event_id", 2, 3600, watermark="100 seconds", grace="1 hour")
+    q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(
+        availableNow=True).start()
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 256
+    fields = lambda df: sorted((r.ts, r.user_id or 0, r.event_id or 0, r.allowed) for r in df.collect())
+    due = F.col("ts") < F.lit(rows[5999][2] - dt.timedelta(seconds=100)).cast("timestamp_ntz")
+    want = fields(R.rate_admission(spark.createDataFrame(rows, schema), "user_id", "ts", 2, 3600, "event_id").where(due))
+    assert fields(spark.read.parquet(f"{base}/out")) == want and 0 < sum(a for *_, a in want) < len(want)
