@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,11 +32,36 @@ DATETIME_FORMATS: tuple[str | None, ...] = (
 )
 
 
+# What a text must look like to be read under a part of a format. Years may have a sign and more digits;
+# numbers of one letter may have leading zeros. Each is as wide as Spark's parser or wider.
+_SHAPES = {
+    "yyyy": "[+-]?[0-9]{4,}", "M": "0*([1-9]|1[0-2])", "MM": "(0[1-9]|1[0-2])", "MMM": "[^0-9 ]{3,4}", "MMMM": "[^0-9 ]{3,9}",
+    "d": "0*([1-9]|[12][0-9]|3[01])", "dd": "(0[1-9]|[12][0-9]|3[01])", "HH": "([01][0-9]|2[0-3])", "mm": "[0-5][0-9]",
+    "ss": "[0-5][0-9]"}
+# no number has over 19 digits, so no text of such a format has more bytes
+_LONGEST = 100
+
+
+def _shape(fmt: str) -> str | None:
+    """Pattern of all texts that the format can read; None if a part of it is not known."""
+    parts = [m.group() for m in re.finditer(r"([A-Za-z])\1*|[^A-Za-z]", fmt)]
+    if any(p not in _SHAPES and p not in "/-.:, " for p in parts):
+        return None
+    return f"^{''.join(_SHAPES.get(p) or re.escape(p) for p in parts)}$"
+
+
 def parse_datetime(c: Column, fmt: str | None = None) -> Column:
-    """Text to timestamp_ntz; unparsable text gives NULL (never an error)."""
+    """Text to timestamp_ntz; unparsable text gives NULL (never an error).
+
+    Spark's parser answers a text of another format with an exception, many times dearer than a parse;
+    so it gets only texts of the format's shape (that of Spark's own parser, not of its legacy one).
+    """
     if fmt is None:
         return c.cast("string").try_cast("timestamp_ntz")
-    return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    parsed, shape = F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz"), _shape(fmt)
+    if shape is None:
+        return parsed
+    return F.when((F.octet_length(c.cast("string")) <= _LONGEST) & c.cast("string").rlike(shape), parsed)
 
 
 def best_format(c: Column) -> Column:

@@ -1,9 +1,11 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tablelens.functions.dates import DATETIME_FORMATS, parse_datetime
 from tablelens.operators import analysis as A
 
 
@@ -169,3 +171,25 @@ def test_describe_names_empty_text_columns(spark):
     df = spark.createDataFrame([("a", None), ("a", None)], "s string, e string")
     got = {(r.column_name, r.stat): r.value for r in A.describe_categorical(df, ["s", "e"]).collect()}
     assert got["e", "count"] == "0" and got["e", "top"] is None and got["s", "freq"] == "2"
+
+
+def test_text_dates_are_parsed_only_under_formats_of_their_shape(spark):
+    """Each format reads what Spark's parser reads under it; texts of other shapes don't get to the parser."""
+    rng = random.Random(5)
+    texts = ["2024-02-30", "1999/12/31 23:59:59", "1999/12/31", "12345/01/02", "+12345/01/02", "-1999/01/02", "+1999/01/02", "99/01/02", "1999/1/2", "02/30/2020",
+             "02/29/2020", "02/29/2021", "3/5/1999", "0003/005/1999", "+3/5/1999", "-3/5/1999", "13/01/1999", "00/10/1999", "03/05/1999 24:00",
+             "03/05/1999 23:59", "03/05/1999 23:59:60", "03/05/1999 23:59:59", "31-12-1999", "31.12.1999", "31.12.1999 ", "19991231", "+123451231",
+             "123451231", "-19991231", "5 Mar 1999", "05 mar 1999", "5 March 1999", "Mar 5, 1999", "MAR 05, 1999", "Sept 5, 1999", "ſep 5, 1999",
+             "September 5, 1999", "may 5, 1999", "May  5, 1999", "Jan 31,1999", "03/05/1999\n", "٣/5/1999", "٣1/12/1999", "", " ", "x" * 300,
+             "0" * 25 + "3/5/1999", "3/5/" + "0" * 15 + "1999", "3/5/" + "0" * 25 + "1999", "0" * 18 + "3/" + "0" * 18 + "5/" + "0" * 15 + "1999",
+             "September " + "0" * 18 + "5, +" + "0" * 15 + "1999", None]
+    texts += [t[:i] + rng.choice("0123456789/-.:, +aM\n") + t[i + rng.randrange(2):] for t in texts[:39] for i in [rng.randrange(len(t)) for _ in range(12)]]
+    df = spark.createDataFrame([(t,) for t in texts], "d string").repartition(1)
+    for fmt in DATETIME_FORMATS[1:]:
+        guarded = parse_datetime(F.col("d"), fmt)
+        plain = F.try_to_timestamp("d", F.lit(fmt)).cast("timestamp_ntz")
+        rows = df.select("d", guarded.cast("string").alias("got"), plain.cast("string").alias("want")).collect()  # years over 9999, too
+        assert [r.d for r in rows if r.got != r.want] == [], fmt
+        assert any(r.got for r in rows) and "RLIKE" in df.select(guarded)._jdf.queryExecution().optimizedPlan().toString(), fmt
+    odd = F.try_to_timestamp("d", F.lit("yyyy-MM-dd'T'HH")).cast("timestamp_ntz")  # parts without a known shape: as before
+    assert str(parse_datetime(F.col("d"), "yyyy-MM-dd'T'HH")) == str(odd)
